@@ -31,7 +31,9 @@ def spectral_columns(power: str, n_samples: Column, rate_hz: float) -> dict[str,
     """Dominant frequency, energy and entropy from a power array (element 0 is the mean, skipped)."""
     bins = F.slice(F.col(power), 2, F.greatest(F.size(power) - 1, F.lit(0)))
     total = F.aggregate(bins, F.lit(0.0), lambda a, p: a + p)
-    peak = F.array_position(bins, F.array_max(bins))
+    # The first of the highest bins: bins that differ by rounding alone count as equal.
+    top = F.array_max(bins) * (1 - 1e-9)
+    peak = F.array_position(F.transform(bins, lambda p: p >= top), True)
     entropy = F.aggregate(
         bins, F.lit(0.0), lambda a, p: a - (p / total) * F.log2(p / total + F.lit(1e-12))
     )

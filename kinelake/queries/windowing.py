@@ -107,10 +107,10 @@ p AS (
     SELECT {keys}, bin, sum(v * cos(2 * pi() * bin * off / {n})) ** 2
                         + sum(v * sin(2 * pi() * bin * off / {n})) ** 2 AS raw
     FROM centred, bins GROUP BY {keys}, bin)),
-tot AS (SELECT {keys}, sum(power) AS total FROM p WHERE bin > 0 GROUP BY {keys}),
+tot AS (SELECT {keys}, sum(power) AS total, max(power) AS top FROM p WHERE bin > 0 GROUP BY {keys}),
 sp AS (
   SELECT {keys},
-         CASE WHEN any_value(total) > 0 THEN arg_max(bin, power) * {RATE} / {n} ELSE 0.0 END AS dominant_freq_hz,
+         CASE WHEN any_value(total) > 0 THEN min(bin) FILTER (power >= top * (1 - 1e-9)) * {RATE} / {n} ELSE 0.0 END AS dominant_freq_hz,
          any_value(total) AS spectral_energy,
          CASE WHEN any_value(total) > 0 THEN -sum(power / total * log2(power / total + 1e-12)) ELSE 0.0 END AS spectral_entropy
   FROM p JOIN tot USING ({keys}) WHERE bin > 0 GROUP BY {keys})"""

@@ -63,6 +63,7 @@ def main():
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.001"
     names = args or list(QUERIES)
     spark = local_session()
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     failed = 0
     for name in names:
@@ -76,7 +77,7 @@ def main():
             else:
                 status = f"rows only: {df.count()}"
         except Exception as exc:  # report and go on
-            status = f"ERROR {str(exc)[:1500]}"
+            status = f"ERROR {str(exc)[-1200:]}"
             failed += 1
         print(f"{name:28s} {time.time() - t:6.1f}s {status}", flush=True)
     print(f"{failed} failed of {len(names)}")
