@@ -3,8 +3,8 @@
 Most series are short, but one series may hold a large share of all rows. Everything here that
 needs an order splits such a series into bounded slices:
 
-* ``prefix_total`` / ``number_rows`` rank rows per key. Keys above ``hot_rows`` rows are ranked
-  slice by slice and shifted by the sizes of the slices before.
+* ``prefix`` / ``number_rows`` run totals and ranks per key. Keys above ``hot_rows`` rows are worked
+  slice by slice and joined to the totals of the slices before.
 * ``with_blocks`` groups numbered frames into fixed-size blocks, copying the few frames a block
   needs from its neighbours, so that window functions and grouped maps can use (key, block).
 * ``join_series`` brings per-series attributes to blocked rows on (key, block).
@@ -22,17 +22,19 @@ BLOCK_FRAMES = 65_536
 HOT_ROWS = 2_000_000
 
 
-def prefix_total(
+def prefix(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence,
     split: Column,
     out: str,
     value: Column | None = None,
+    how: str = "sum",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the sum of ``value`` over the rows before this one within ``keys`` (default: row count).
+    """Add the sum, min or max of ``value`` over the rows before this one within ``keys``.
 
+    Without ``value``, the number of rows before. Sums start at 0, min and max at null.
     ``split`` must rise with ``order`` (for example its leading column, coarsened). It cuts the
     keys with more than ``hot_rows`` rows into slices; with no ``keys`` all rows are sliced.
     ``order`` must be total up to rows that are alike.
@@ -47,23 +49,23 @@ def prefix_total(
     else:
         sliced = df.withColumn("_slice", split)
     part = keys + ["_slice"]
-    weight = F.lit(1) if value is None else value
     ordered = W.partitionBy(*part).orderBy(*order)
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     if value is None:
         local = (F.row_number().over(ordered) - 1).cast("long")
+        value = F.lit(1)
     else:
-        before = F.sum(value).over(ordered.rowsBetween(W.unboundedPreceding, -1))
-        local = F.coalesce(before, F.lit(0).cast("long"))
+        local = fold(value).over(ordered.rowsBetween(W.unboundedPreceding, -1))
     ranked = sliced.withColumn("_local", local)
-
-    sizes = sliced.filter(F.col("_slice").isNotNull()).groupBy(*part).agg(F.sum(weight).alias("_size"))
+    sizes = sliced.filter(F.col("_slice").isNotNull()).groupBy(*part).agg(fold(value).alias("_size"))
     upto = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    base = sizes.select(*part, F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_base"))
-    return (
-        ranked.join(base, part, "left")
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_base"), F.lit(0)))
-        .drop("_slice", "_local", "_base")
-    )
+    base = sizes.select(*part, fold("_size").over(upto).alias("_base"))
+    joined = ranked.join(base, part, "left")
+    if how == "sum":
+        total = F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_base"), F.lit(0))
+    else:
+        total = (F.least if how == "min" else F.greatest)(F.col("_local"), F.col("_base"))
+    return joined.withColumn(out, total).drop("_slice", "_local", "_base")
 
 
 def number_rows(
@@ -75,7 +77,7 @@ def number_rows(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number rows from 0 within ``keys`` in ``order``."""
-    return prefix_total(df, keys, order, split, out, hot_rows=hot_rows)
+    return prefix(df, keys, order, split, out, hot_rows=hot_rows)
 
 
 def fill_forward(
