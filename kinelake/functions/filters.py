@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 
 
-@lru_cache(maxsize=16)
 def butter_bandpass(order: int, low_hz: float, high_hz: float, rate_hz: float) -> tuple[np.ndarray, np.ndarray]:
     """Digital Butterworth band-pass: numerator and denominator of length 2*order+1."""
     if high_hz >= rate_hz / 2:
@@ -28,7 +26,6 @@ def butter_bandpass(order: int, low_hz: float, high_hz: float, rate_hz: float) -
     return b * gain, a
 
 
-@lru_cache(maxsize=16)
 def settling_length(order: int, low_hz: float, high_hz: float, rate_hz: float) -> int:
     """Samples after which the filter has forgotten its past to double precision."""
     _, a = butter_bandpass(order, low_hz, high_hz, rate_hz)
@@ -46,7 +43,6 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
 
 
-@lru_cache(maxsize=16)
 def responses(order: int, low_hz: float, high_hz: float, rate_hz: float) -> tuple[np.ndarray, np.ndarray]:
     """Response to an impulse from rest, and to silence from the steady state, until settled."""
     b, a = butter_bandpass(order, low_hz, high_hz, rate_hz)
@@ -74,12 +70,15 @@ def _one_way(x: np.ndarray, impulse: np.ndarray, settle: np.ndarray) -> np.ndarr
     return y
 
 
-def filtfilt_bandpass(x: np.ndarray, order: int, low_hz: float, high_hz: float, rate_hz: float) -> np.ndarray:
-    """Zero-phase band-pass along axis 0 with odd extension at both ends."""
-    pad = 3 * (2 * order + 1)
+def edge_length(order: int) -> int:
+    """Samples mirrored at either end of a series."""
+    return 3 * (2 * order + 1)
+
+
+def zero_phase(x: np.ndarray, impulse: np.ndarray, settle: np.ndarray, pad: int) -> np.ndarray:
+    """Filter forwards and backwards along axis 0, with odd extension by ``pad`` at both ends."""
     if len(x) <= pad:
         raise ValueError(f"a series needs more than {pad} samples to be filtered, got {len(x)}")
-    impulse, settle = responses(order, low_hz, high_hz, rate_hz)
     extended = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     forward = _one_way(extended, impulse, settle)
     backward = _one_way(forward[::-1], impulse, settle)[::-1]
@@ -94,7 +93,6 @@ def resample_ratio(native_hz: float, target_hz: float) -> tuple[int, int]:
     return ratio.numerator, ratio.denominator
 
 
-@lru_cache(maxsize=16)
 def resample_taps(up: int, down: int) -> np.ndarray:
     """Anti-alias low-pass: windowed sinc, Kaiser beta 5, ten zero crossings a side, gain ``up``."""
     widest = max(up, down)
@@ -104,12 +102,13 @@ def resample_taps(up: int, down: int) -> np.ndarray:
     return up * taps / taps.sum()
 
 
-def resample_at(x: np.ndarray, first: int, outputs: np.ndarray, up: int, down: int) -> np.ndarray:
+def resample_at(
+    x: np.ndarray, first: int, outputs: np.ndarray, up: int, down: int, taps: np.ndarray
+) -> np.ndarray:
     """Resampled values at positions ``outputs``, from samples ``first``, ``first+1``, ... in rows.
 
     Samples outside the given ones count as zero.
     """
-    taps = resample_taps(up, down)
     half = (len(taps) - 1) // 2
     reach = half // up + 1
     padded = np.pad(x, ((reach, reach + 1), (0, 0)))

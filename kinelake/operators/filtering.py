@@ -44,6 +44,7 @@ def resample(
         return samples
     up, down = filters.resample_ratio(native_hz, target_hz)
     reach = 10 * max(up, down) // up + 2
+    taps = filters.resample_taps(up, down)
     columns = [*channels, time]
     schema = _schema(samples, keys, frame, columns)
 
@@ -58,7 +59,7 @@ def resample(
         else:
             outputs_end = -(-high * up // down)
         outputs = np.arange(-(-low * up // down), min(-(-high * up // down), outputs_end))
-        values = filters.resample_at(pdf[channels].to_numpy(float), int(frames[0]), outputs, up, down)
+        values = filters.resample_at(pdf[channels].to_numpy(float), int(frames[0]), outputs, up, down, taps)
         start = pdf[time].iloc[0] - frames[0] / native_hz
         out = pd.DataFrame(values, columns=channels)
         out[time] = start + outputs / target_hz
@@ -87,9 +88,10 @@ def bandpass(
     size: int = BLOCK_FRAMES,
 ) -> DataFrame:
     """Zero-phase Butterworth band-pass of ``channels``; other columns pass through."""
-    filters.butter_bandpass(order, low, high, rate_hz)
+    impulse, settle = filters.responses(order, low, high, rate_hz)
+    pad = filters.edge_length(order)
     keys, channels = list(keys), list(channels)
-    context = filters.settling_length(order, low, high, rate_hz) + 3 * (2 * order + 1)
+    context = len(impulse) + pad
     floats = [T.StructField(c, T.DoubleType()) if c in channels else samples.schema[c] for c in samples.columns]
     schema = T.StructType(floats)
 
@@ -98,7 +100,7 @@ def bandpass(
         if not core.any():
             return pdf.iloc[:0][samples_columns]
         pdf = pdf.sort_values(frame)
-        filtered = filters.filtfilt_bandpass(pdf[channels].to_numpy(float), order, low, high, rate_hz)
+        filtered = filters.zero_phase(pdf[channels].to_numpy(float), impulse, settle, pad)
         pdf = pdf.assign(**{c: filtered[:, i] for i, c in enumerate(channels)})
         return pdf.loc[pdf["core"], samples_columns]
 

@@ -82,10 +82,10 @@ def cache_features(features: DataFrame, path: str, recompute: bool = False) -> D
     """
     spark = features.sparkSession
     held = None if recompute else _existing(spark, path)
-    if held is None:
-        todo = features
-    else:
-        todo = features.join(F.broadcast(held.select("dataset").distinct()), "dataset", "left_anti")  # a few names
+    todo = features
+    if held is not None:
+        names = [r[0] for r in held.select("dataset").distinct().collect()]  # one row per dataset
+        todo = features.filter(~F.col("dataset").isin(names))
     writer = todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dataset").parquet(path)
     return spark.read.schema(features.schema).parquet(path)
