@@ -109,7 +109,8 @@ def smooth_alerts(
     def fold(pdf: pd.DataFrame, start: int) -> pd.DataFrame:
         core = averaged(pdf)
         codes = fold_codes(core[smoothed].to_numpy(), start, c)
-        return core.assign(state=[STATES[min(code, FALL)] for code in codes])[schema.names]
+        states = pd.Series([STATES[min(code, FALL)] for code in codes], index=core.index, dtype=object)
+        return core.assign(state=states)[schema.names]
 
     longest = probs.agg(F.max(order)).first()[0]
     if longest is None or longest < size:

@@ -51,7 +51,9 @@ def window_specs(
     """One row per window: index, start, end (exclusive), real and padded sample counts.
 
     A remainder after the last full window becomes one more, padded window starting where that
-    one ended. Series without samples have no windows. Windows are generated in runs of
+    one ended and running to the end of the series (with a stride beyond the window length it may
+    hold more than a window; its samples past the length go unused, and its padding is negative).
+    Series without samples have no windows. Windows are generated in runs of
     ``per_task``, spread over the cluster before they are expanded.
     """
     n = F.col(n_col).cast("long")
@@ -70,7 +72,8 @@ def window_specs(
     index = F.col("window_index")
     start = F.when(index < full, index * stride).otherwise(last_full_end(n, length, stride))
     windows = windows.withColumn("start_frame", start)
-    windows = windows.withColumn("end_frame", F.least(F.col("start_frame") + length, n))
+    end = F.when(index < full, F.least(F.col("start_frame") + length, n)).otherwise(n)
+    windows = windows.withColumn("end_frame", end)
     real = F.col("end_frame") - F.col("start_frame")
     return windows.withColumns({"n_real_samples": real, "n_pad_samples": F.lit(length) - real}).drop("_run")
 
@@ -154,13 +157,13 @@ def assign_windows(samples: DataFrame, n_col: str, length: int, stride: int, fra
     high = F.least(full - 1, F.floor(f / stride))
     nothing = F.array().cast("array<bigint>")
     on_grid = F.when(low <= high, F.sequence(low, high)).otherwise(nothing)
-    tail = (n > length) & (f >= end)
+    tail = (n > length) & (f >= end) & (f < end + length)
     is_last = f == n - 1
     pads = (
         F.when(is_last & (n < length), F.array_repeat(F.lit(0).cast("long"), (F.lit(length) - n).cast("int")))
         .when(
             is_last & (n > length) & (end < n),
-            F.array_repeat(full, (F.lit(length) - (n - end)).cast("int")),
+            F.array_repeat(full, F.greatest(F.lit(length) - (n - end), F.lit(0)).cast("int")),
         )
         .otherwise(nothing)
     )
@@ -191,9 +194,10 @@ def materialize_windows(
     )
     located = samples.withColumn("_cell", F.floor(F.col(frame) / length))
     joined = cells.join(located, list(keys) + ["_cell"])
-    joined = joined.filter((F.col(frame) >= F.col("start_frame")) & (F.col(frame) < F.col("end_frame")))
+    used = F.least(F.col("end_frame"), F.col("start_frame") + length)
+    joined = joined.filter((F.col(frame) >= F.col("start_frame")) & (F.col(frame) < used))
     copies = F.when(F.col(frame) == F.col("end_frame") - 1, F.lit(length) - (F.col("end_frame") - F.col("start_frame")) + 1)
-    copies = F.coalesce(copies, F.lit(1)).cast("int")
+    copies = F.greatest(F.coalesce(copies, F.lit(1)), F.lit(1)).cast("int")
     # A real sample makes one row; the last one makes a row per padded position as well.
     rows = joined.select("*", F.posexplode(F.array_repeat(F.lit(0), copies)).alias("_copy", "_zero"))
     return rows.withColumns(
