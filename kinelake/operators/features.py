@@ -18,7 +18,10 @@ from kinelake.functions.channels import (
 )
 from kinelake.functions.spectrum import power_spectrum, spectral_columns
 from kinelake.operators.blocks import BLOCK_FRAMES, join_series, with_blocks
-from kinelake.operators.windows import assign_windows
+from kinelake.operators.windows import assign_windows, full_windows, last_full_end, materialize_windows
+
+# Frames packed into one array when windows are cut from blocks.
+SLICE_FRAMES = 4096
 
 # Statistics per channel and feature names, in output order.
 CHANNEL_STATS = ["mean", "std", "min", "max", "range", "rms"]
@@ -113,6 +116,51 @@ def window_arrays(rows: DataFrame, keys: Sequence[str], values: Sequence[str], o
     return grouped.select(*keys, *[F.col(f"_samples.{v}").alias(v) for v in values])
 
 
+def slice_windows(
+    blocked: DataFrame,
+    series: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    length: int,
+    stride: int,
+    frame: str = "frame",
+    n_frames: str = "n_frames",
+    size: int = SLICE_FRAMES,
+) -> DataFrame:
+    """One row per window with the real samples of each value column as an array.
+
+    Each block is packed into arrays once and every window that starts in it is cut from them, so
+    overlapping windows cost no extra shuffle. ``blocked`` needs ``length - 1`` frames of context
+    after each block; context before it is left out.
+    """
+    keys = list(keys)
+    inside = blocked.filter(F.col(frame) >= F.col("block") * size)
+    packed = F.array_sort(F.collect_list(F.struct(frame, *values))).alias("_samples")
+    arrays = inside.groupBy(*keys, "block").agg(packed)
+    arrays = arrays.select(*keys, "block", *[F.col(f"_samples.{v}").alias(f"_all_{v}") for v in values])
+    joined = join_series(arrays, series.select(*keys, n_frames), keys, n_frames, size)
+    n, block = F.col(n_frames), F.col("block")
+    full, end = full_windows(n, length, stride), last_full_end(n, length, stride)
+    low = F.ceil(block * size / stride)
+    high = F.least(full - 1, F.floor(((block + 1) * size - 1) / stride))
+    nothing = F.array().cast("array<bigint>")
+    on_grid = F.when(low <= high, F.sequence(low, high)).otherwise(nothing)
+    tail = (n > length) & (end < n) & (F.floor(end / size) == block)
+    numbered = F.concat(on_grid, F.when(tail, F.array(full)).otherwise(nothing))
+    windows = joined.withColumn("window_index", F.explode(numbered))
+    index = F.col("window_index")
+    first = F.when(index < full, index * stride).otherwise(end) - block * size
+    cut = {v: F.slice(F.col(f"_all_{v}"), (first + 1).cast("int"), F.lit(length)) for v in values}
+    return windows.select(*keys, "window_index", *[c.alias(v) for v, c in cut.items()])
+
+
+def padded(column: str, length: int, fill: Column | None = None) -> Column:
+    """An array filled up to ``length`` with its last element (or ``fill``)."""
+    value = F.col(column)
+    last = F.element_at(value, -1) if fill is None else fill
+    return F.concat(value, F.array_repeat(last, F.lit(length) - F.size(value)))
+
+
 def spectral_features(
     windows: DataFrame, keys: Sequence[str], value: str, rate_hz: float = 100.0
 ) -> DataFrame:
@@ -149,7 +197,11 @@ def window_features(
     rows = _windowed(samples, series, keys, length, stride, frame, n_frames, size)
     by_window = list(keys) + ["window_index"]
     timed = _time_aggregates(rows, keys, length, rate_hz)
-    arrays = window_arrays(rows.select(*by_window, "offset", "accel_mag"), by_window, ["accel_mag"])
+    slices = min(size, SLICE_FRAMES)
+    magnitude = samples.select(*keys, frame, accel_magnitude().alias("accel_mag"))
+    blocked = with_blocks(magnitude, frame, after=length - 1, size=slices)
+    arrays = slice_windows(blocked, series, keys, ["accel_mag"], length, stride, frame, n_frames, slices)
+    arrays = arrays.select(*by_window, padded("accel_mag", length).alias("accel_mag"))
     spectral = spectral_features(arrays, by_window, "accel_mag", rate_hz)
     return timed.join(spectral, by_window).select(*by_window, *FEATURE_NAMES)
 
@@ -163,8 +215,6 @@ def features_batch(
     frame: str = "frame",
 ) -> DataFrame:
     """Features for the windows of a windows manifest, with label and ids carried along."""
-    from kinelake.operators.windows import materialize_windows
-
     derived = samples.withColumns({"accel_mag": accel_magnitude(), "gyro_mag": gyro_magnitude()})
     derived = derived.withColumn("tilt", tilt_degrees(F.col("accel_mag")))
     blocked = with_blocks(derived, frame, before=1)
@@ -205,16 +255,28 @@ def auxiliary_channels(
     )
 
 
-def series_auxiliary(
-    samples: DataFrame, keys: Sequence[str], rate_hz: float = 100.0, frame: str = "frame", size: int = BLOCK_FRAMES
+def augmented_windows(
+    samples: DataFrame,
+    series: DataFrame,
+    keys: Sequence[str],
+    length: int,
+    stride: int,
+    rate_hz: float = 100.0,
+    frame: str = "frame",
+    n_frames: str = "n_frames",
+    size: int = SLICE_FRAMES,
 ) -> DataFrame:
-    """Magnitude, tilt and the steps to both neighbours, once per sample of a series.
+    """One row per window with nine channel arrays, padded to ``length``.
 
-    Dense windows overlap heavily; this leaves only the ends of each window to be decided there.
+    Magnitude, tilt and the steps to both neighbours are found once per sample of the series.
+    Only the two ends of a window differ from that, so windows that overlap heavily are cut from
+    the packed blocks and patched there.
     """
-    derived = samples.withColumn("accel_mag", accel_magnitude())
+    if length < 2:
+        raise ValueError("a derivative needs windows of at least 2 samples")
+    derived = samples.select(*keys, frame, *CHANNELS, accel_magnitude().alias("accel_mag"))
     derived = derived.withColumn("tilt_deviation_deg", tilt_degrees(F.col("accel_mag")))
-    blocked = with_blocks(derived, frame, before=1, after=1, size=size)
+    blocked = with_blocks(derived, frame, before=1, after=length, size=size)
     ordered = W.partitionBy(*keys, "block").orderBy(frame)
     m = F.col("accel_mag")
     stepped = blocked.withColumns(
@@ -223,49 +285,18 @@ def series_auxiliary(
             "_ahead": F.coalesce(F.lead("accel_mag").over(ordered) - m, F.lit(0.0)) * rate_hz,
         }
     )
-    return stepped.filter("core").drop("core")
-
-
-def augmented_rows(
-    samples: DataFrame,
-    series: DataFrame,
-    keys: Sequence[str],
-    length: int,
-    stride: int,
-    rate_hz: float = 100.0,
-    frame: str = "frame",
-    n_frames: str = "n_frames",
-    size: int = BLOCK_FRAMES,
-) -> DataFrame:
-    """Nine channels for every sample of every window, as rows (window_index, offset)."""
-    if length < 2:
-        raise ValueError("a derivative needs windows of at least 2 samples")
-    stepped = series_auxiliary(samples, keys, rate_hz, frame, size)
-    joined = join_series(stepped, series.select(*keys, n_frames), keys, n_frames, size)
-    rows = assign_windows(joined, n_frames, length, stride, frame)
-    # A padded copy repeats its neighbour: no slope ahead of it or on it.
-    ahead = F.when(F.col(frame) == F.col(n_frames) - 1, 0.0).otherwise(F.col("_ahead"))
-    jerk = (
-        F.when(F.col("is_pad"), 0.0)
-        .when(F.col("offset") == 0, ahead)
-        .when(F.col("offset") == length - 1, F.col("_back"))
-        .otherwise((ahead + F.col("_back")) / 2)
+    stepped = stepped.filter(F.col(frame) < (F.col("block") + 1) * size + length - 1)
+    stepped = stepped.withColumn("_middle", (F.col("_back") + F.col("_ahead")) / 2)
+    plain = [*CHANNELS, "accel_mag", "tilt_deviation_deg"]
+    cut = slice_windows(
+        stepped, series, keys, [*plain, "_back", "_ahead", "_middle"], length, stride, frame, n_frames, size
     )
-    rows = rows.withColumn("jerk", jerk)
-    return rows.select(*keys, "window_index", "offset", *CHANNELS, *AUX_CHANNELS)
-
-
-def augmented_windows(
-    samples: DataFrame,
-    series: DataFrame,
-    keys: Sequence[str],
-    length: int,
-    stride: int,
-    rate_hz: float = 100.0,
-    frame: str = "frame",
-    n_frames: str = "n_frames",
-    size: int = BLOCK_FRAMES,
-) -> DataFrame:
-    """One row per window with nine channel arrays."""
-    rows = augmented_rows(samples, series, keys, length, stride, rate_hz, frame, n_frames, size)
-    return window_arrays(rows, list(keys) + ["window_index"], CHANNELS + AUX_CHANNELS)
+    real = F.size("accel_mag")
+    # Padding repeats the last sample: no slope on it, and none ahead of the last real one.
+    head = F.slice("_ahead", 1, 1)
+    whole = F.concat(head, F.slice("_middle", 2, length - 2), F.slice("_back", length, 1))
+    short = F.concat(head, F.slice("_middle", F.lit(2), real - 1), F.array_repeat(F.lit(0.0), F.lit(length) - real))
+    cut = cut.withColumn("jerk", F.when(real == length, whole).otherwise(short))
+    filled = {c: padded(c, length) for c in plain}
+    columns = [filled[c].alias(c) if c in filled else F.col(c) for c in [*CHANNELS, *AUX_CHANNELS]]
+    return cut.select(*keys, "window_index", *columns)

@@ -88,7 +88,7 @@ def run_harmonization(
     harmonized = _settle(harmonize(samples, calibrations, native, c), "harmonized")
     verdicts = validate(harmonized, trials, calibrations, TRIAL_KEYS, SUBJECT_KEYS, c.target_rate_hz)
     verdicts = _settle(verdicts, "verdicts")
-    tables.write_harmonized(harmonized, verdicts, f"{store}/samples")
+    tables.write_harmonized(harmonized, verdicts, f"{store}/samples", dataset)
     records = tables.provenance(trials, calibrations, verdicts, asdict(c))
     writer = records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dataset").parquet(f"{store}/provenance")
@@ -107,12 +107,13 @@ def _settle(df: DataFrame, name: str) -> DataFrame:
 def manifest_rows(verdicts: DataFrame, calibrations: DataFrame, store: str, rate_hz: float) -> DataFrame:
     """Catalogue rows of validated trials."""
     rows = verdicts.join(calibrations.select(*SUBJECT_KEYS, F.col("source").alias("calibration_source")), SUBJECT_KEYS)
-    place = F.concat_ws("/", F.lit(store), F.lit("samples"), F.concat(F.lit("accepted="), F.col("accepted").cast("string")))
+    folder = F.concat(F.lit("dataset="), F.col("dataset"), F.lit("/accepted="), F.col("accepted").cast("string"))
+    place = F.concat_ws("/", F.lit(store), F.lit("samples"), folder)
     return rows.withColumns(
         {
             "duration_s": F.col("n_frames") / F.lit(rate_hz),
             "sample_rate_hz": F.lit(rate_hz),
-            "harmonized_path": F.concat_ws("/", place, *TRIAL_KEYS),
+            "harmonized_path": F.concat_ws("/", place, *TRIAL_KEYS[1:]),
         }
     ).select(*MANIFEST_COLUMNS)
 

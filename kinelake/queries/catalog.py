@@ -308,7 +308,8 @@ def harmonized_store(spark, sf_dir):
     trials = catalog(spark, sf_dir).select(*sensors.TRIAL_KEYS, "trial", "accepted")
     rows = samples(spark, sf_dir).join(trials.drop("accepted"), "trial").drop("trial")
     path = shared_path(spark, "store")
-    tables.write_harmonized(rows, trials, path)
+    for dataset in ("kfall", "sisfall"):
+        tables.write_harmonized(rows, trials, path, dataset)
     both = [tables.read_harmonized(spark, path, flag, ["acc_x"]).withColumn("accepted", F.lit(flag)) for flag in (True, False)]
     per_trial = both[0].unionByName(both[1]).groupBy("dataset", "accepted", "trial_id").agg(
         F.count("*").alias("n"), F.sum("acc_x").alias("s")

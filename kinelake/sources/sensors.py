@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions.units import RAW_COLUMNS
@@ -20,6 +20,9 @@ KFALL_COLUMNS = {
     "GyrX": "gyro_x", "GyrY": "gyro_y", "GyrZ": "gyro_z",
     "EulerX": "euler_x", "EulerY": "euler_y", "EulerZ": "euler_z",
 }
+# Nine whole numbers with commas between, semicolons at the end.
+SISFALL_LINE = r"^[+-]?\d+\s*(,\s*[+-]?\d+\s*){8};*$"
+WHITE_SPACE = " \t\r\n\f\v"
 TRIAL_KEYS = ["dataset", "subject_id", "activity_code", "trial_id"]
 
 
@@ -61,19 +64,21 @@ def read_kfall(spark: SparkSession, root: str) -> DataFrame:
     return naming.with_kfall_keys(number_lines(named), "source_path")
 
 
+def _lines(df: DataFrame, line: str) -> DataFrame:
+    """Lines that are not blank, with ``_text`` stripped of white space at both ends."""
+    return df.withColumn("_text", F.trim(F.col(line), F.lit(WHITE_SPACE))).filter(F.col("_text") != "")
+
+
 def parse_sisfall_lines(df: DataFrame, line: str = "value", path: str = "source_path") -> DataFrame:
     """Nine integers per line; blank lines are dropped, anything else is an error with file and line."""
-    text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    lines = df.withColumn("_text", text).filter(F.col("_text") != "")
-    fields = F.split(F.regexp_replace("_text", ";+$", ""), ",")
-    lines = lines.withColumn("_fields", F.transform(fields, lambda f: F.trim(f)))
-    fine = (F.size("_fields") == len(RAW_COLUMNS)) & F.forall("_fields", lambda f: f.rlike(r"^[+-]?\d+$"))
     bad = F.raise_error(
         F.concat(F.col(path), F.lit(f": expected {len(RAW_COLUMNS)} whole numbers, got: "), F.col(line))
-    ).cast("array<string>")
-    lines = lines.withColumn("_fields", F.when(fine, F.col("_fields")).otherwise(bad))
-    numbers = {c: F.col("_fields")[i].cast("int") for i, c in enumerate(RAW_COLUMNS)}
-    return lines.withColumns(numbers).drop("_text", "_fields", line)
+    ).cast("string")
+    text = F.when(F.col("_text").rlike(SISFALL_LINE), F.col("_text")).otherwise(bad)
+    options = {"mode": "FAILFAST", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    schema = ", ".join(f"{c} int" for c in RAW_COLUMNS)
+    parsed = _lines(df, line).withColumn("_numbers", F.from_csv(F.rtrim(text, F.lit(";")), schema, options))
+    return parsed.select(*[c for c in df.columns if c != line], "_numbers.*")
 
 
 def read_sisfall(spark: SparkSession, root: str) -> DataFrame:
@@ -143,7 +148,5 @@ def reader_report(trials: DataFrame, expected: DataFrame | None = None, by: Sequ
 
 def unreadable_lines(df: DataFrame, line: str = "value", path: str = "source_path") -> DataFrame:
     """Lines the reader would stop at, counted per file."""
-    text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    fields = F.transform(F.split(F.regexp_replace(text, ";+$", ""), ","), lambda f: F.trim(f))
-    fine: Column = (F.size(fields) == len(RAW_COLUMNS)) & F.forall(fields, lambda f: f.rlike(r"^[+-]?\d+$"))
-    return df.filter((text != "") & ~fine).groupBy(path).agg(F.count("*").alias("n_bad"), F.min(line).alias("example"))
+    bad = _lines(df, line).filter(~F.col("_text").rlike(SISFALL_LINE))
+    return bad.groupBy(path).agg(F.count("*").alias("n_bad"), F.min(line).alias("example"))

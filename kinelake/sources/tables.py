@@ -13,15 +13,19 @@ from kinelake.operators.catalog import MANIFEST_COLUMNS, MANIFEST_KEY, upsert_ma
 from kinelake.sources.sensors import TRIAL_KEYS
 
 
-def write_harmonized(samples: DataFrame, verdicts: DataFrame, root: str, keys: Sequence[str] = TRIAL_KEYS) -> None:
-    """Write samples in one pass, accepted and quarantined ones apart (partition ``accepted``).
+def write_harmonized(
+    samples: DataFrame, verdicts: DataFrame, root: str, dataset: str, keys: Sequence[str] = TRIAL_KEYS
+) -> None:
+    """Write one dataset's samples in one pass, accepted and quarantined ones apart (``accepted``).
 
-    Writing a dataset again replaces its partitions and no others.
+    Replaces all that was stored of the dataset, so a trial is never left in both places.
     """
     keys = list(keys)
-    routed = samples.join(verdicts.select(*keys, "accepted"), keys)
-    writer = routed.sortWithinPartitions(*keys, "frame").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("accepted", "dataset").parquet(root)
+    own = verdicts.filter(F.col("dataset") == dataset).select(*keys, "accepted")
+    routed = samples.filter(F.col("dataset") == dataset).join(own, keys).drop("dataset")
+    order = [k for k in keys if k != "dataset"]
+    writer = routed.sortWithinPartitions("accepted", *order, "frame").write.mode("overwrite")
+    writer.partitionBy("accepted").parquet(f"{root}/dataset={dataset}")
 
 
 def read_harmonized(spark: SparkSession, root: str, accepted: bool = True, columns: Sequence[str] = CHANNELS) -> DataFrame:

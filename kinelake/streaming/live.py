@@ -33,10 +33,10 @@ _STATE = "seq long, seen long, buffer array<double>, average array<double>, code
 
 
 def read_sample_stream(spark: SparkSession, folder: str, delete: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Samples from JSON files, one object or an array of them per file, in file-name order.
+    """Samples from JSON files, one object or an array of them per file.
 
-    A file that cannot be parsed leaves one row with ``_corrupt_record``. Samples without ``seq``
-    are numbered by file name.
+    Files are taken in the order they were written; within a batch, ``seq`` decides. A file that
+    cannot be parsed leaves one row with ``_corrupt_record``. ``delete`` removes files once done.
     """
     reader = spark.readStream.schema(SAMPLE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
     if delete:

@@ -98,9 +98,12 @@ def test_auxiliary_both_ways(trials, size):
     specs = w.window_specs(series, "n_frames", LENGTH, STRIDE).select("k", "window_index", "start_frame", "end_frame")
     rows = w.materialize_windows(specs, samples, ["k"], LENGTH)
     rolled = features.auxiliary_channels(rows, ["k", "window_index"], LENGTH, RATE)
-    dense = features.augmented_rows(samples, series, ["k"], LENGTH, STRIDE, RATE, size=size)
+    dense = features.augmented_windows(samples, series, ["k"], LENGTH, STRIDE, RATE, size=size)
+    zipped = F.posexplode(F.arrays_zip(*CHANNELS, *AUX_CHANNELS)).alias("offset", "x")
+    dense = dense.select("k", "window_index", zipped).select("k", "window_index", "offset", "x.*")
     for table in (rolled, dense):
         pdf = table.toPandas().sort_values(["k", "window_index", "offset"])
+        assert pdf.groupby(["k", "window_index"]).ngroups == sum(len(loop_windows(len(a), LENGTH, STRIDE)) for a in arrays.values())
         for (k, i), g in pdf.groupby(["k", "window_index"]):
             s, e = loop_windows(len(arrays[k]), LENGTH, STRIDE)[i]
             x = padded(arrays[k], s, e)
