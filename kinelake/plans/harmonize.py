@@ -56,7 +56,7 @@ def harmonize(
     resampling (where rates differ) and filtering go through Python, a block at a time.
     """
     c = config or HarmonizeConfig()
-    signal = convert_units(samples).select(*keys, "frame", *HARMONIZED_COLUMNS)
+    signal = convert_units(samples).select(*dict.fromkeys([*keys, *subject]), "frame", *HARMONIZED_COLUMNS)
     signal = filtering.resample(signal, keys, CHANNELS, native_hz, c.target_rate_hz)
     signal = rotation.rotate(signal, calibrations, subject)
     signal = filtering.bandpass(

@@ -367,3 +367,29 @@ def feature_cache(spark, sf_dir):
     tables.cache_features(rows.filter("dataset = 'kfall'"), path)
     held = tables.cache_features(rows, path)
     return held.groupBy("dataset").agg(F.count("*").alias("n"), F.round(F.sum("duration_s"), 6).alias("seconds"))
+
+
+_CSV = {"acc_x": "AccX", "acc_y": "AccY", "acc_z": "AccZ", "gyro_x": "GyrX", "gyro_y": "GyrY", "gyro_z": "GyrZ"}
+
+
+@query(
+    "sensor_csv",
+    f"""WITH {SAMPLES_SQL}
+SELECT trial, frame::BIGINT AS frame, frame / 100.0::DOUBLE AS time_s, {", ".join(_CSV)} FROM s""",
+)
+def sensor_csv(spark, sf_dir):
+    """All samples written as sensor CSV files, in order, then read and numbered by place in the file."""
+    rows = samples(spark, sf_dir).select(
+        "trial",
+        "frame",
+        (F.col("frame") / 100.0).alias("TimeStamp(s)"),
+        (F.col("frame") + 1).alias("FrameCounter"),
+        *[F.col(c).alias(n) for c, n in _CSV.items()],
+        *[F.lit(0.0).alias(f"Euler{axis}") for axis in "XYZ"],
+    )
+    path = shared_path(spark, "csv")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(partitions, "trial", "frame").sortWithinPartitions("trial", "frame")
+    ordered.drop("frame").write.option("header", True).csv(path)
+    numbered = sensors.number_lines(sensors.read_sensor_csv(spark, path), ["trial"])
+    return numbered.select(F.col("trial").cast("long").alias("trial"), "frame", "time_s", *_CSV)

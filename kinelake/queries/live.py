@@ -97,3 +97,25 @@ def live_state(spark, sf_dir):
     return live.read_state(spark, path).select("device", "window_index", "state")
 
 
+
+
+@query(
+    "json_samples",
+    f"""SELECT 'u' || user_id AS device, event_id AS seq, {", ".join(f"{e.replace('D', '::DOUBLE')} AS {c}" for c, e in _CHANNEL_EXPR.items())}
+FROM events WHERE event_type <> 'error'""",
+)
+def json_samples(spark, sf_dir):
+    """Events as JSON files holding arrays of samples, streamed back; samples lacking a channel are dropped."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sample = F.struct(
+        F.concat(F.lit("u"), "user_id").alias("device"),
+        F.col("event_id").alias("seq"),
+        *[F.expr(e).cast("double").alias(c) for c, e in _CHANNEL_EXPR.items() if c != "gyro_z"],
+        F.when(F.col("event_type") != "error", F.expr(_CHANNEL_EXPR["gyro_z"]).cast("double")).alias("gyro_z"),
+    )
+    files = events.groupBy(F.floor(F.col("event_id") / 50_000).alias("part")).agg(F.to_json(F.collect_list(sample)).alias("value"))
+    folder = shared_path(spark, "json")
+    files.select("value").write.option("maxRecordsPerFile", 1).text(folder)  # one array per file
+    stream = live.well_formed(live.read_sample_stream(spark, folder))
+    columns = ["device", "seq", *_CHANNEL_EXPR]
+    return live.run_to_table(stream, shared_path(spark, "samples"), shared_path(spark, "samples-checkpoint"), columns)

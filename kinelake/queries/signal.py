@@ -292,28 +292,30 @@ def _recursion_sql(source: str, name: str, b, a) -> str:
   SELECT p.trial, e.i, {y}, {", ".join(z)} FROM {name} p JOIN {source} e ON e.trial = p.trial AND e.i = p.i + 1)"""
 
 
-def _bandpass_sql(channel: str) -> str:
+def _zero_phase_sql(channel: str, source: str = "s", counts: str = "n") -> str:
+    """CTEs up to ``bwd``: ``channel`` of ``source`` extended, filtered forwards and backwards."""
     b, a = (v.astype(float).tolist() for v in filters.butter_bandpass(4, 0.5, 20.0, 100.0))
-    forward = _recursion_sql("ext", "fwd", b, a)
-    backward = _recursion_sql("rev", "bwd", b, a)
-    return f"""WITH RECURSIVE {SAMPLES_SQL},
+    return f"""
 ends AS (
   SELECT n.trial, n_frames AS n, f.{channel} AS x0, l.{channel} AS x1
-  FROM n JOIN s f ON f.trial = n.trial AND f.frame = 0 JOIN s l ON l.trial = n.trial AND l.frame = n_frames - 1),
+  FROM {counts} n JOIN {source} f ON f.trial = n.trial AND f.frame = 0 JOIN {source} l ON l.trial = n.trial AND l.frame = n_frames - 1),
 ext AS (
-  SELECT trial, frame + 27 AS i, {channel} AS x FROM s
+  SELECT trial, frame + 27 AS i, {channel} AS x FROM {source}
   UNION ALL
-  SELECT s.trial, 27 - frame, 2 * x0 - {channel} FROM s JOIN ends USING (trial) WHERE frame BETWEEN 1 AND 27
+  SELECT trial, 27 - frame, 2 * x0 - {channel} FROM {source} JOIN ends USING (trial) WHERE frame BETWEEN 1 AND 27
   UNION ALL
-  SELECT s.trial, 27 + n + (n - 2 - frame), 2 * x1 - {channel} FROM s JOIN ends USING (trial) WHERE frame BETWEEN n - 28 AND n - 2),
-{forward},
+  SELECT trial, 27 + n + (n - 2 - frame), 2 * x1 - {channel} FROM {source} JOIN ends USING (trial) WHERE frame BETWEEN n - 28 AND n - 2),
+{_recursion_sql("ext", "fwd", b, a)},
 rev AS (SELECT fwd.trial, n + 53 - i AS i, y AS x FROM fwd JOIN ends USING (trial)),
-{backward}
-SELECT bwd.trial, (n + 53 - i - 27)::BIGINT AS frame, round(y, 3) + 0.0 AS {channel}
+{_recursion_sql("rev", "bwd", b, a)}"""
+
+
+def _filtered_select(channel: str) -> str:
+    return f"""SELECT bwd.trial, (n + 53 - i - 27)::BIGINT AS frame, round(y, 3) + 0.0 AS {channel}
 FROM bwd JOIN ends USING (trial) WHERE n + 53 - i BETWEEN 27 AND 26 + n"""
 
 
-@query("bandpass", _bandpass_sql("acc_z"))
+@query("bandpass", f"WITH RECURSIVE {SAMPLES_SQL}, {_zero_phase_sql('acc_z')}\n{_filtered_select('acc_z')}")
 def bandpass(spark, sf_dir):
     """Zero-phase band-pass of the vertical channel of every trial."""
     trials = samples(spark, sf_dir).select("trial", "frame", "acc_z")
@@ -321,6 +323,45 @@ def bandpass(spark, sf_dir):
     return filtered.select("trial", "frame", (F.round("acc_z", 3) + 0.0).alias("acc_z"))
 
 
+_COUNTS_SQL = f"""
+c AS (
+  SELECT trial, frame, {", ".join(f"raw_{c} * {k!r}::DOUBLE AS {c}" for c, k in zip(CHANNELS, [32 / 8192] * 3 + [4000 / 65536] * 3))}
+  FROM (SELECT l_suppkey AS trial, row_number() OVER (PARTITION BY l_suppkey
+               ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS frame,
+               {", ".join(f"{_RAW[r]} AS raw_{c}" for c, r in zip(CHANNELS, units.RAW_ACCEL + units.RAW_GYRO))} FROM lineitem)),
+m AS (SELECT l_suppkey AS trial, round_even(count(*) / 2, 0)::BIGINT AS n_frames FROM lineitem GROUP BY 1),
+taps(k, h) AS (VALUES {_TAPS}),
+o AS (SELECT trial, unnest(generate_series(0, n_frames - 1)) AS i FROM m),
+half AS (
+  SELECT o.trial, i AS frame, {", ".join(f"sum(h * {a}) AS {a}" for a in ACCEL)}
+  FROM o CROSS JOIN taps JOIN c ON c.trial = o.trial AND c.frame = i * 2 + 20 - k GROUP BY o.trial, i),
+grav AS (SELECT trial, avg(acc_x) AS g_x, avg(acc_y) AS g_y, avg(acc_z) AS g_z FROM c GROUP BY trial),
+{_rotation_sql("grav", "trial")},
+turned AS (SELECT trial, frame, r31 * acc_x + r32 * acc_y + r33 * acc_z AS acc_z FROM half JOIN rot USING (trial))"""
+
+
+@query(
+    "harmonize",
+    f"WITH RECURSIVE {_COUNTS_SQL}, {_zero_phase_sql('acc_z', 'turned', 'm')}\n{_filtered_select('acc_z')}",
+)
+def harmonize(spark, sf_dir):
+    """Sensor counts at 200 Hz converted, resampled to 100 Hz, turned upright and filtered; vertical channel shown."""
+    from kinelake.operators.blocks import number_rows
+    from kinelake.plans.harmonize import harmonize as run
+    from kinelake.queries.standins import SAMPLE_ORDER
+
+    lines = table(spark, sf_dir, "lineitem")
+    raw = lines.select(
+        F.col("l_suppkey").alias("trial"), F.lit("sisfall").alias("dataset"), *SAMPLE_ORDER,
+        *[F.expr(_RAW[c]).alias(c) for c in units.RAW_COLUMNS],
+    )
+    slices = F.struct(F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 1_000_000))
+    raw = filtering.shift_time(number_rows(raw, ["trial"], SAMPLE_ORDER, slices).drop(*SAMPLE_ORDER), 200.0)
+    mean = units.convert_units(raw).groupBy("trial").agg(*[F.avg(a).alias(g) for a, g in zip(ACCEL, GRAVITY)])
+    upright = run(raw, rotation.gravity_rotation(mean, *GRAVITY), 200.0, keys=["trial"], subject=["trial"])
+    return upright.select("trial", "frame", (F.round("acc_z", 3) + 0.0).alias("acc_z"))
+
+
 # Samples with faults put in by trial, to be found by the checks.
 _FAULTY_SQL = f"""
 timed AS (SELECT *, frame / 100.0::DOUBLE + CASE WHEN trial % 5 = 0 AND frame >= 50 THEN 0.004 ELSE 0 END AS time_s FROM s),

@@ -38,8 +38,11 @@ def _located(df: DataFrame) -> DataFrame:
 
 
 def number_lines(df: DataFrame, keys: Sequence[str] = ("source_path",)) -> DataFrame:
-    """Frame numbers in file order. A file read in several splits is numbered split by split."""
-    numbered = number_rows(df, list(keys), ["_block", "_row"], F.col("_block"))
+    """Frame numbers in file order, over all files of the keys in path order.
+
+    A long series is numbered split by split: a split of a file is a slice of its own.
+    """
+    numbered = number_rows(df, list(keys), ["source_path", "_block", "_row"], F.struct("source_path", "_block"))
     return numbered.drop("_block", "_row")
 
 
@@ -53,15 +56,22 @@ def rename_sensor_columns(df: DataFrame) -> DataFrame:
     return df.select(*kept, *named)
 
 
-def read_kfall(spark: SparkSession, root: str) -> DataFrame:
-    """Samples of all trial CSV files below ``root/SA*/``.
+def read_sensor_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Rows of sensor CSV files with their place in the file; other columns of theirs are kept.
 
     The header comes from the first file; every other file is checked against it as it is read.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", naming.KFALL_GLOB)
-    located = _located(reader.csv(f"{root.rstrip('/')}/SA*/"))
-    named = rename_sensor_columns(naming.trial_files(located, "source_path", naming.KFALL_FILE))
-    return naming.with_kfall_keys(number_lines(named), "source_path")
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    return rename_sensor_columns(_located(reader.csv(path)))
+
+
+def read_kfall(spark: SparkSession, root: str) -> DataFrame:
+    """Samples of all trial CSV files below ``root/SA*/``."""
+    rows = read_sensor_csv(spark, f"{root.rstrip('/')}/SA*/", naming.KFALL_GLOB)
+    trials = naming.trial_files(rows, "source_path", naming.KFALL_FILE)
+    return naming.with_kfall_keys(number_lines(trials), "source_path")
 
 
 def _lines(df: DataFrame, line: str) -> DataFrame:
