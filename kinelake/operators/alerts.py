@@ -9,10 +9,10 @@ hundred rows of context determine it to double precision.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +39,6 @@ class SmootherConfig:
         return 3 + self.fall_latch
 
 
-def moving_average(probs: np.ndarray, alpha: float, start: np.ndarray | None = None) -> np.ndarray:
-    """Exponential average down the rows, from ``start`` or from the first row."""
-    out = np.empty_like(probs, dtype=float)
-    current = start
-    for i, row in enumerate(probs):
-        current = row if current is None else alpha * row + (1 - alpha) * current
-        out[i] = current
-    return out
-
-
 def next_code(code: int, pre: float, fall: float, c: SmootherConfig) -> int:
     """State after one row. Codes: calm, pre-impact, fall, then fall with 1, 2, ... latched rows to go."""
     if code > FALL:
@@ -62,21 +52,59 @@ def next_code(code: int, pre: float, fall: float, c: SmootherConfig) -> int:
     return PRE_IMPACT if pre >= c.pre_impact_exit else CALM
 
 
-def fold_codes(averages: np.ndarray, start: int, c: SmootherConfig) -> list[int]:
-    codes, code = [], start
-    for _, pre, fall in averages.tolist():
-        code = next_code(code, pre, fall, c)
-        codes.append(code)
-    return codes
-
-
-def end_codes(averages: np.ndarray, c: SmootherConfig) -> list[int]:
-    """End state of these rows for every start state."""
-    ends = list(range(c.n_codes))
-    for _, pre, fall in averages.tolist():
-        step = {code: next_code(code, pre, fall, c) for code in set(ends)}
-        ends = [step[e] for e in ends]
-    return ends
+def _folder(by: Sequence[str], columns: Sequence[str], out: Sequence[str], c: SmootherConfig):
+    """Batches of rows in order to the same rows with averages and state; a new group starts afresh."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, average, code = None, None, CALM
+        for pdf in batches:
+            averages, states = [], []
+            rows = zip(zip(*[pdf[k] for k in by]), pdf["_start"].tolist(), pdf["core"].tolist(), *[pdf[p].tolist() for p in columns])
+            for key, start, core, *probs in rows:
+                if key != group:
+                    group, average, code = key, probs, start
+                else:
+                    average = [c.ema_alpha * p + (1 - c.ema_alpha) * a for p, a in zip(probs, average)]
+                if core:
+                    code = next_code(code, average[1], average[2], c)
+                averages.append(average)
+                states.append(STATES[min(code, FALL)])
+            smoothed = pd.DataFrame(averages, columns=out[-len(columns) - 1 : -1], index=pdf.index, dtype=float)
+            full = pdf.assign(**smoothed, state=pd.Series(states, index=pdf.index, dtype=object))
+            yield full.loc[pdf["core"].to_numpy(), list(out)]
+
+    return fold
+
+
+def _reporter(by: Sequence[str], columns: Sequence[str], c: SmootherConfig):
+    """Batches of rows in order to one row per group: its end state for every start state."""
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, average, ends = None, None, []
+        for pdf in batches:
+            done = []
+            rows = zip(zip(*[pdf[k] for k in by]), pdf["core"].tolist(), *[pdf[p].tolist() for p in columns])
+            for key, core, *probs in rows:
+                if key != group:
+                    if group is not None:
+                        done.append((*group, ends))
+                    group, average, ends = key, probs, list(range(c.n_codes))
+                else:
+                    average = [c.ema_alpha * p + (1 - c.ema_alpha) * a for p, a in zip(probs, average)]
+                if core:
+                    step = {code: next_code(code, average[1], average[2], c) for code in set(ends)}
+                    ends = [step[e] for e in ends]
+            if done:
+                yield pd.DataFrame(done, columns=[*by, "ends"])
+        if group is not None:
+            yield pd.DataFrame([(*group, ends)], columns=[*by, "ends"])
+
+    return report
+
+
+def _in_order(blocked: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Blocks whole in one partition each and in order: many short series share a task and its batches."""
+    return blocked.repartition(*by).sortWithinPartitions(*by, order)
 
 
 def smooth_alerts(
@@ -93,59 +121,43 @@ def smooth_alerts(
     """
     c = config or SmootherConfig()
     keys, columns = list(keys), list(columns)
-    smoothed = [f"s_{p.removeprefix('p_')}" for p in columns]
-    context = int(np.ceil(np.log(1e-18) / np.log(1 - c.ema_alpha))) if c.ema_alpha < 1 else 1
-    schema = T.StructType(
-        [*probs.schema.fields, *[T.StructField(s, T.DoubleType()) for s in smoothed], T.StructField("state", T.StringType())]
-    )
+    by = [*keys, "block"]
+    smoothed = [T.StructField(f"s_{p.removeprefix('p_')}", T.DoubleType()) for p in columns]
+    schema = T.StructType([*probs.schema.fields, *smoothed, T.StructField("state", T.StringType())])
+    context = math.ceil(math.log(1e-18) / math.log(1 - c.ema_alpha)) if c.ema_alpha < 1 else 1
     blocked = with_blocks(probs, order, before=context, size=size)
-    by_block = [*keys, "block"]
-
-    def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        values = moving_average(pdf[columns].to_numpy(float), c.ema_alpha)
-        return pdf.assign(**{s: values[:, i] for i, s in enumerate(smoothed)}).loc[pdf["core"].to_numpy()]
-
-    def fold(pdf: pd.DataFrame, start: int) -> pd.DataFrame:
-        core = averaged(pdf)
-        codes = fold_codes(core[smoothed].to_numpy(), start, c)
-        states = pd.Series([STATES[min(code, FALL)] for code in codes], index=core.index, dtype=object)
-        return core.assign(state=states)[schema.names]
 
     longest = probs.agg(F.max(order)).first()[0]
     if longest is None or longest < size:
-        return blocked.groupBy(*by_block).applyInPandas(lambda pdf: fold(pdf, CALM), schema)
+        started = blocked.withColumn("_start", F.lit(CALM))
+    else:
+        started = _with_starts(blocked, probs, keys, order, columns, c, size)
+    return _in_order(started, by, order).mapInPandas(_folder(by, columns, schema.names, c), schema)
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        core = averaged(pdf)
-        out = pdf[by_block].iloc[:1].copy()
-        out["ends"] = [end_codes(core[smoothed].to_numpy(), c)]
-        return out
 
-    ends_schema = T.StructType(
-        [*[probs.schema[k] for k in keys], T.StructField("block", T.LongType()), T.StructField("ends", T.ArrayType(T.IntegerType()))]
-    )
-    starts_schema = T.StructType([*ends_schema.fields[:-1], T.StructField("start", T.IntegerType())])
+def _with_starts(
+    blocked: DataFrame, probs: DataFrame, keys: list[str], order: str, columns: list[str], c: SmootherConfig, size: int
+) -> DataFrame:
+    """Rows with the state their block starts in, for series longer than one block."""
+    by = [*keys, "block"]
+    key_fields = [*[probs.schema[k] for k in keys], T.StructField("block", T.LongType())]
+    ends_schema = T.StructType([*key_fields, T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    starts_schema = T.StructType([*key_fields, T.StructField("_start", T.IntegerType())])
+    long = probs.filter(F.col(order) >= size).select(*keys).distinct()
+    rows = blocked.join(long, keys, "left_semi").select(*by, order, "core", *columns)
+    ends = _in_order(rows, by, order).mapInPandas(_reporter(by, columns, c), ends_schema)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         starts, code = [], CALM
-        for ends in pdf["ends"]:
+        for block_ends in pdf["ends"]:
             starts.append(code)
-            code = int(ends[code])
-        return pdf[by_block].assign(start=starts)
+            code = int(block_ends[code])
+        return pdf[by].assign(_start=starts)
 
     # One short row per block of the long series only.
-    long = probs.filter(F.col(order) >= size).select(*keys).distinct()
-    ends = blocked.join(long, keys, "left_semi").groupBy(*by_block).applyInPandas(report, ends_schema)
     starts = ends.groupBy(*keys).applyInPandas(chain, starts_schema)
-
-    def fold_from(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=schema.names)
-        return fold(left, int(right["start"].iloc[0]) if len(right) else CALM)
-
-    return blocked.groupBy(*by_block).cogroup(starts.groupBy(*by_block)).applyInPandas(fold_from, schema)
+    return blocked.join(starts, by, "left").withColumn("_start", F.coalesce("_start", F.lit(CALM)))
 
 
 def latest_states(alerts: DataFrame, keys: Iterable[str], order: str) -> DataFrame:

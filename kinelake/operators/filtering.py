@@ -7,7 +7,7 @@ precision, so a long series filtered in blocks equals the same series filtered w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelake.functions import filters
+from kinelake.functions.groups import whole_groups
 from kinelake.operators.blocks import BLOCK_FRAMES, with_blocks
 
 
@@ -48,32 +49,34 @@ def resample(
     columns = [*channels, time]
     schema = _schema(samples, keys, frame, columns)
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
-        frames = pdf[frame].to_numpy()
-        low = int(pdf["block"].iloc[0]) * size
-        high = low + size
-        if frames[-1] < high + reach - 1:
-            # The series ends here: its length is known.
-            outputs_end = round((int(frames[-1]) + 1) * up / down)
-        else:
-            outputs_end = -(-high * up // down)
-        outputs = np.arange(-(-low * up // down), min(-(-high * up // down), outputs_end))
-        values = filters.resample_at(pdf[channels].to_numpy(float), int(frames[0]), outputs, up, down, taps)
-        start = pdf[time].iloc[0] - frames[0] / native_hz
-        out = pd.DataFrame(values, columns=channels)
-        out[time] = start + outputs / target_hz
-        out[frame] = outputs
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[f.name for f in schema]]
+    def some_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, groups in whole_groups(batches, [*keys, "block"]):
+            frames, times = pdf[frame].to_numpy(), pdf[time].to_numpy(float)
+            block, core, signal = pdf["block"].to_numpy(), pdf["core"].to_numpy(), pdf[channels].to_numpy(float)
+            numbers, values, clock, origin = [], [], [], []
+            for i, j in groups:
+                if not core[i:j].any():
+                    continue  # context past the end of the series
+                low = int(block[i]) * size
+                high = low + size
+                last = int(frames[j - 1])
+                # Within reach of its end, the length of the series is known.
+                ends_here = last < high + reach - 1
+                stop = round((last + 1) * up / down) if ends_here else -(-high * up // down)
+                outputs = np.arange(-(-low * up // down), min(-(-high * up // down), stop))
+                numbers.append(outputs)
+                values.append(filters.resample_at(signal[i:j], int(frames[i]), outputs, up, down, taps))
+                clock.append(times[i] - frames[i] / native_hz + outputs / target_hz)
+                origin.append(np.full(len(outputs), i))
+            if numbers:
+                out = pdf[keys].iloc[np.concatenate(origin)].reset_index(drop=True)
+                out[frame] = np.concatenate(numbers)
+                out[channels] = np.concatenate(values)
+                out[time] = np.concatenate(clock)
+                yield out[schema.names]
 
     blocked = with_blocks(samples.select(*keys, frame, *columns), frame, reach, reach, size)
-    # A block past the end of its series holds context only.
-    grouped = blocked.groupBy(*keys, "block").applyInPandas(
-        lambda pdf: one_block(pdf) if pdf["core"].any() else pd.DataFrame(columns=[f.name for f in schema]), schema
-    )
-    return grouped
+    return _in_order(blocked, keys, frame).mapInPandas(some_blocks, schema)
 
 
 def bandpass(
@@ -95,18 +98,21 @@ def bandpass(
     floats = [T.StructField(c, T.DoubleType()) if c in channels else samples.schema[c] for c in samples.columns]
     schema = T.StructType(floats)
 
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        core = pdf["core"]
-        if not core.any():
-            return pdf.iloc[:0][samples_columns]
-        pdf = pdf.sort_values(frame)
-        filtered = filters.zero_phase(pdf[channels].to_numpy(float), impulse, settle, pad)
-        pdf = pdf.assign(**{c: filtered[:, i] for i, c in enumerate(channels)})
-        return pdf.loc[pdf["core"], samples_columns]
-
-    samples_columns = samples.columns
-    blocked = with_blocks(samples, frame, context, context, size)
-    return blocked.groupBy(*keys, "block").applyInPandas(one_block, schema)
+    def some_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, groups in whole_groups(batches, [*keys, "block"]):
+            core, signal = pdf["core"].to_numpy(), pdf[channels].to_numpy(float)
+            for i, j in groups:
+                if core[i:j].any():  # else context past the end of the series
+                    signal[i:j] = filters.zero_phase(signal[i:j], impulse, settle, pad)
+            out = pdf.loc[core, schema.names]
+            yield out.assign(**{c: signal[core, k] for k, c in enumerate(channels)})
+
+    return _in_order(with_blocks(samples, frame, context, context, size), keys, frame).mapInPandas(some_blocks, schema)
+
+
+def _in_order(blocked: DataFrame, keys: Sequence[str], frame: str) -> DataFrame:
+    """Blocks whole in one partition each and in order: many short series share a task and its batches."""
+    return blocked.repartition(*keys, "block").sortWithinPartitions(*keys, "block", frame)
 
 
 def shift_time(df: DataFrame, rate_hz: float, frame: str = "frame", time: str = "time_s") -> DataFrame:
