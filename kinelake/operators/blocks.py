@@ -139,3 +139,24 @@ def join_series(
     last = F.floor((F.col(n_frames) - 1) / size)
     spread = series.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return blocked.join(spread, list(keys) + ["block"])
+
+
+def join_spans(
+    samples: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    frame: str = "frame",
+    cell: int = BLOCK_FRAMES,
+) -> DataFrame:
+    """Samples with frames in [start, end) of the spans of their series.
+
+    The two meet on (keys, cell of frames), so a long series is not one join key. Choose ``cell``
+    near the length of a span: each span is repeated once per cell it touches.
+    """
+    cells = F.sequence(F.floor(F.greatest(F.col(start), F.lit(0)) / cell), F.floor((F.col(end) - 1) / cell))
+    spread = spans.filter((F.col(end) > 0) & (F.col(start) < F.col(end))).withColumn("_cell", F.explode(cells))
+    located = samples.withColumn("_cell", F.floor(F.col(frame) / cell))
+    joined = located.join(spread, [*keys, "_cell"])
+    return joined.filter((F.col(frame) >= F.col(start)) & (F.col(frame) < F.col(end))).drop("_cell")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinelake.functions.channels import ACCEL, accel_magnitude
-from kinelake.operators.blocks import BLOCK_FRAMES, number_rows, with_blocks
+from kinelake.operators.blocks import BLOCK_FRAMES, join_spans, number_rows, with_blocks
 
 # Bin edges in frames from onset.
 DISTANCE_EDGES = [-400, -300, -200, -100, -50, -20, 0, 20, 50, 100, 200, 300, 400]
@@ -186,10 +186,15 @@ def impact_peaks(
     Searches [impact - half_window, impact + half_window); the first of equal peaks counts.
     """
     labelled = trials.filter((F.col("label") == "fall") & F.col("fall_impact_frame").isNotNull())
-    labelled = labelled.select(*keys, "fall_onset_frame", "fall_impact_frame")
-    near = samples.select(*keys, frame, *ACCEL).join(labelled, list(keys))
-    away = F.col(frame) - F.col("fall_impact_frame")
-    near = near.filter((away >= -half_window) & (away < half_window)).withColumn("_mag", accel_magnitude())
+    spans = labelled.select(
+        *keys,
+        "fall_onset_frame",
+        "fall_impact_frame",
+        (F.col("fall_impact_frame") - half_window).alias("_from"),
+        (F.col("fall_impact_frame") + half_window).alias("_to"),
+    )
+    near = join_spans(samples.select(*keys, frame, *ACCEL), spans, keys, "_from", "_to", frame, 2 * half_window)
+    near = near.withColumn("_mag", accel_magnitude())
 
     def peak(value: Column, *carry: str) -> Column:
         return F.max(F.struct(value.alias("v"), (-F.col(frame)).alias("f"), *carry))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.channels import ACCEL, GYRO
+from kinelake.operators.blocks import join_spans
 
 ROTATION = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
 GRAVITY = ["g_x", "g_y", "g_z"]
@@ -132,10 +133,8 @@ def segment_gravity(samples: DataFrame, chosen: DataFrame, trial: Sequence[str],
     """Mean acceleration over each chosen segment."""
     spans = chosen.filter(F.col("source").isNotNull())
     names = list(dict.fromkeys([*subject, *trial]))
-    inside = samples.select(*trial, frame, *ACCEL).join(
-        spans.select(*names, "source", "start_frame", "end_frame"), list(trial)
-    )
-    inside = inside.filter((F.col(frame) >= F.col("start_frame")) & (F.col(frame) < F.col("end_frame")))
+    spans = spans.select(*names, "source", "start_frame", "end_frame")
+    inside = join_spans(samples.select(*trial, frame, *ACCEL), spans, trial, "start_frame", "end_frame", frame)
     return inside.groupBy(*subject, "source").agg(*[F.avg(a).alias(g) for a, g in zip(ACCEL, GRAVITY)])
 
 

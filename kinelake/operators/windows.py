@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.channels import half_even
-from kinelake.operators.blocks import BLOCK_FRAMES
+from kinelake.operators.blocks import BLOCK_FRAMES, join_spans
 
 # Class names and ids.
 LABEL_IDS = {"non_fall": 0, "pre_impact": 1, "fall": 2}
@@ -186,20 +186,12 @@ def materialize_windows(
     """
     empty = F.raise_error(F.lit("window without real samples")).cast("boolean")
     windows = windows.filter(F.when(F.col("end_frame") <= F.col("start_frame"), empty).otherwise(F.lit(True)))
-    cells = windows.withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(F.floor(F.col("start_frame") / length), F.floor((F.col("end_frame") - 1) / length))
-        ),
-    )
-    located = samples.withColumn("_cell", F.floor(F.col(frame) / length))
-    joined = cells.join(located, list(keys) + ["_cell"])
-    used = F.least(F.col("end_frame"), F.col("start_frame") + length)
-    joined = joined.filter((F.col(frame) >= F.col("start_frame")) & (F.col(frame) < used))
+    spans = windows.withColumn("_used", F.least(F.col("end_frame"), F.col("start_frame") + length))
+    joined = join_spans(samples, spans, keys, "start_frame", "_used", frame, length).drop("_used")
     copies = F.when(F.col(frame) == F.col("end_frame") - 1, F.lit(length) - (F.col("end_frame") - F.col("start_frame")) + 1)
     copies = F.greatest(F.coalesce(copies, F.lit(1)), F.lit(1)).cast("int")
     # A real sample makes one row; the last one makes a row per padded position as well.
     rows = joined.select("*", F.posexplode(F.array_repeat(F.lit(0), copies)).alias("_copy", "_zero"))
     return rows.withColumns(
         {"offset": F.col(frame) - F.col("start_frame") + F.col("_copy"), "is_pad": F.col("_copy") > 0}
-    ).drop("_cell", "_copy", "_zero")
+    ).drop("_copy", "_zero")

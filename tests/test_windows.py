@@ -92,3 +92,10 @@ def test_detection_example(spark):
     assert list(got["n_pad_samples"]) == [0, 0, 0, 0, 150]
     assert set(got["global_subject_id"]) == {"kfall_SA06"} and set(got["label"]) == {0}
     assert np.all(got.columns == w.DETECTION_COLUMNS)
+
+
+def test_window_without_samples_is_an_error(spark):
+    specs = spark.createDataFrame([(0, 0, 5, 5)], "k long, window_index long, start_frame long, end_frame long")
+    samples = spark.createDataFrame([(0, 4, 1.0)], "k long, frame long, v double")
+    with pytest.raises(Exception, match="without real samples"):
+        w.materialize_windows(specs, samples, ["k"], 10).collect()
