@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -126,18 +126,23 @@ def slice_windows(
     frame: str = "frame",
     n_frames: str = "n_frames",
     size: int = SLICE_FRAMES,
+    single: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per window with the real samples of each value column as an array.
 
+    ``single`` names columns of which only the sample at one offset is wanted.
+
     Each block is packed into arrays once and every window that starts in it is cut from them, so
     overlapping windows cost no extra shuffle. ``blocked`` needs ``length - 1`` frames of context
     after each block; context before it is left out.
     """
     keys = list(keys)
     inside = blocked.filter(F.col(frame) >= F.col("block") * size)
-    packed = F.array_sort(F.collect_list(F.struct(frame, *values))).alias("_samples")
+    single = single or {}
+    every = [*values, *single]
+    packed = F.array_sort(F.collect_list(F.struct(frame, *every))).alias("_samples")
     arrays = inside.groupBy(*keys, "block").agg(packed)
-    arrays = arrays.select(*keys, "block", *[F.col(f"_samples.{v}").alias(f"_all_{v}") for v in values])
+    arrays = arrays.select(*keys, "block", *[F.col(f"_samples.{v}").alias(f"_all_{v}") for v in every])
     joined = join_series(arrays, series.select(*keys, n_frames), keys, n_frames, size)
     n, block = F.col(n_frames), F.col("block")
     full, end = full_windows(n, length, stride), last_full_end(n, length, stride)
@@ -149,8 +154,9 @@ def slice_windows(
     numbered = F.concat(on_grid, F.when(tail, F.array(full)).otherwise(nothing))
     windows = joined.withColumn("window_index", F.explode(numbered))
     index = F.col("window_index")
-    first = F.when(index < full, index * stride).otherwise(end) - block * size
-    cut = {v: F.slice(F.col(f"_all_{v}"), (first + 1).cast("int"), F.lit(length)) for v in values}
+    first = (F.when(index < full, index * stride).otherwise(end) - block * size).cast("int")
+    cut = {v: F.slice(F.col(f"_all_{v}"), first + 1, F.lit(length)) for v in values}
+    cut |= {v: F.get(F.col(f"_all_{v}"), first + offset) for v, offset in single.items()}
     return windows.select(*keys, "window_index", *[c.alias(v) for v, c in cut.items()])
 
 
@@ -158,7 +164,8 @@ def padded(column: str, length: int, fill: Column | None = None) -> Column:
     """An array filled up to ``length`` with its last element (or ``fill``)."""
     value = F.col(column)
     last = F.element_at(value, -1) if fill is None else fill
-    return F.concat(value, F.array_repeat(last, F.lit(length) - F.size(value)))
+    filled = F.concat(value, F.array_repeat(last, F.lit(length) - F.size(value)))
+    return F.when(F.size(value) == length, value).otherwise(filled)
 
 
 def spectral_features(
@@ -288,13 +295,12 @@ def augmented_windows(
     stepped = stepped.filter(F.col(frame) < (F.col("block") + 1) * size + length - 1)
     stepped = stepped.withColumn("_middle", (F.col("_back") + F.col("_ahead")) / 2)
     plain = [*CHANNELS, "accel_mag", "tilt_deviation_deg"]
-    cut = slice_windows(
-        stepped, series, keys, [*plain, "_back", "_ahead", "_middle"], length, stride, frame, n_frames, size
-    )
+    ends = {"_ahead": 0, "_back": length - 1}
+    cut = slice_windows(stepped, series, keys, [*plain, "_middle"], length, stride, frame, n_frames, size, ends)
     real = F.size("accel_mag")
     # Padding repeats the last sample: no slope on it, and none ahead of the last real one.
-    head = F.slice("_ahead", 1, 1)
-    whole = F.concat(head, F.slice("_middle", 2, length - 2), F.slice("_back", length, 1))
+    head = F.array("_ahead")
+    whole = F.concat(head, F.slice("_middle", 2, length - 2), F.array("_back"))
     short = F.concat(head, F.slice("_middle", F.lit(2), real - 1), F.array_repeat(F.lit(0.0), F.lit(length) - real))
     cut = cut.withColumn("jerk", F.when(real == length, whole).otherwise(short))
     filled = {c: padded(c, length) for c in plain}

@@ -30,19 +30,29 @@ def quiet_frames(
     group = W.partitionBy(*keys, "block")
     ordered = group.orderBy(frame)
     upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # Values relative to the block's first sample keep the sums small.
-    centred = blocked.withColumns({f"_{a}": F.col(a) - F.first(a).over(ordered) for a in ACCEL})
+    # A window with a missing or infinite value is not still; such values must not spoil later sums.
+    bad = F.lit(False)
+    for c in [*ACCEL, "_gyro"]:
+        bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    blocked = blocked.withColumn("_bad", bad.cast("int"))
+    fine = {c: F.when(F.col("_bad") == 0, F.col(c)) for c in [*ACCEL, "_gyro"]}
+    # Values relative to the block's first good sample keep the sums small.
+    centred = blocked.withColumns(
+        {f"_{a}": F.coalesce(fine[a] - F.first(fine[a], ignorenulls=True).over(ordered), F.lit(0.0)) for a in ACCEL}
+    )
+    centred = centred.withColumn("_gyro", F.coalesce(fine["_gyro"], F.lit(0.0)))
     squares = sum((F.col(f"_{a}") ** 2 for a in ACCEL), F.lit(0.0))
-    sums = [f"_{a}" for a in ACCEL] + ["_square", "_gyro"]
+    sums = [f"_{a}" for a in ACCEL] + ["_square", "_gyro", "_bad"]
     running = centred.withColumn("_square", squares).withColumns(
         {**{f"_sum{c}": F.sum(c).over(upto) for c in sums}, "_seen": F.row_number().over(ordered)}
     )
-    window = {f"_win{c}": F.col(f"_sum{c}") - F.lag(f"_sum{c}", n, 0.0).over(ordered) for c in sums}
+    window = {f"_win{c}": F.col(f"_sum{c}") - F.coalesce(F.lag(f"_sum{c}", n).over(ordered), F.lit(0)) for c in sums}
     windowed = running.withColumns(window)
     variance = (
         F.col("_win_square") - sum((F.col(f"_win_{a}") ** 2 for a in ACCEL), F.lit(0.0)) / n
     ) / n
-    still = (F.col("_seen") >= n) & (variance < var_below) & (F.col("_win_gyro") / n < gyro_below)
+    whole = (F.col("_seen") >= n) & (F.col("_win_bad") == 0)
+    still = whole & (variance < var_below) & (F.col("_win_gyro") / n < gyro_below)
     flagged = windowed.withColumn("_still", F.when(still, 1).otherwise(0))
     # A frame is quiet if a still window ends at it or at one of the n-1 frames after it.
     counted = flagged.withColumns(

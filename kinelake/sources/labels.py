@@ -14,6 +14,7 @@ TASK_CODE = r"(?i)^T(\d+)$"
 FALL_CODE = r"(?i)^F(\d+)\s*\((\d+)\)$"
 FALL_TO_SHEET, SHEET_TO_TASK = 19, 2
 LABEL_FILE = r"(?i)([^/]+)_label\.csv$"
+LABEL_SCHEMA = "subject_id string, task_id int, repetition int, onset int, impact int, row_no long"
 
 
 def normal_name(column: str) -> str:
@@ -66,10 +67,13 @@ def fill_labels(rows: DataFrame, file: Sequence[str], order: Sequence[str], spli
 
 
 def standard_labels(filled: DataFrame, subject: str = "subject_id", order: str = "row_no") -> DataFrame:
-    """subject_id, task_id, repetition, onset, impact, row_no from a filled sheet."""
+    """subject_id, task_id, repetition, onset, impact, row_no from a filled sheet.
+
+    A sheet without trial, onset or impact columns labels nothing.
+    """
     trial, onset, impact = (_find(filled.columns, w) for w in ("trial", "onset", "impact"))
     if not (trial and onset and impact):
-        raise ValueError(f"need trial, onset and impact columns, have {filled.columns}")
+        return filled.sparkSession.createDataFrame([], LABEL_SCHEMA)
 
     def whole(c: str) -> Column:
         return F.col(c).try_cast("double").cast("int")
@@ -86,8 +90,14 @@ def standard_labels(filled: DataFrame, subject: str = "subject_id", order: str =
 
 
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labels of all sheets ``<subject>_label.csv`` below ``root``, rows in file order."""
-    rows = spark.read.option("header", True).option("pathGlobFilter", "*_label.csv").csv(root)
+    """Labels of all sheets ``<subject>_label.csv`` below ``root``, rows in file order.
+
+    Sheets share one header. Without a task column they label nothing.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "*_label.csv")
+    rows = reader.csv(root)
+    if _find([normal_name(c) for c in rows.columns], "task") is None:
+        return spark.createDataFrame([], LABEL_SCHEMA)
     rows = rows.withColumns(
         {
             "subject_id": F.regexp_extract(F.col("_metadata.file_path"), LABEL_FILE, 1),

@@ -23,7 +23,7 @@ def loop_segment(x, n, var_thr, gyro_thr):
     quiet = np.zeros(len(x), bool)
     gyro = np.sqrt((x[:, 3:] ** 2).sum(1))
     for s in range(len(x) - n + 1):
-        if x[s : s + n, :3].var(axis=0).sum() < var_thr and gyro[s : s + n].mean() < gyro_thr:
+        if np.isfinite(x[s : s + n]).all() and x[s : s + n, :3].var(axis=0).sum() < var_thr and gyro[s : s + n].mean() < gyro_thr:
             quiet[s : s + n] = True
     edges = np.flatnonzero(np.diff(np.r_[0, quiet.astype(int), 0]))
     runs = [(e - s, -s, s, e) for s, e in zip(edges[::2], edges[1::2])]
@@ -41,6 +41,9 @@ def test_stillness_matches_loop(spark, size):
             x[s : s + rng.integers(5, 120)] *= 0.02
         arrays[k] = x
     arrays[30] = rng.normal(scale=0.01, size=(240, 6))
+    for k, value in ((31, np.nan), (32, np.inf)):
+        arrays[k] = rng.normal(scale=0.01, size=(240, 6))
+        arrays[k][[0, 90], [1, 4]] = value
     n, var_thr, gyro_thr = 20, 0.01, 0.5
     got = stationary.stationary_segments(frames(spark, arrays), ["k"], 100.0, n / 100, var_thr, gyro_thr, size=size)
     got = {r["k"]: (r["start_frame"], r["end_frame"]) for r in got.collect()}

@@ -85,6 +85,13 @@ def test_labels(spark, kfall):
     assert (quiet.fall_onset_frame, quiet.label, quiet.n_frames, quiet.native_rate_hz) == (None, "adl", 500, 100.0)
 
 
+def test_sheets_without_the_columns_label_nothing(spark, tmp_path):
+    (tmp_path / "SA06_label.csv").write_text("Name,Trial ID\nx,1\n")
+    assert labels.read_labels(spark, str(tmp_path)).count() == 0
+    filled = spark.createDataFrame([("SA06", 22, 0)], "subject_id string, resolved_task_id int, row_no long")
+    assert labels.standard_labels(filled).count() == 0
+
+
 @pytest.mark.parametrize("code", ["F01 (22)", "X1", "", None, "T22a"])
 def test_bad_task_codes(spark, code):
     df = spark.createDataFrame([(code,)], "c string")
