@@ -45,3 +45,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op9_exact_dedup",
+    r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS size, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents
+), k AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy that stays in its place."""
+    from kinelake.llm.exact import mark_duplicates
+
+    marked = mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
