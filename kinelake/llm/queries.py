@@ -66,3 +66,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marked = mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_token_ids_orc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text through ORC files: place, length and checksum."""
+    from kinelake.llm.token_ids import store, token_index
+
+    return token_index(spark, store(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=2))
