@@ -80,3 +80,49 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.token_ids import store, token_index
 
     return token_index(spark, store(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), end_id=2))
+
+
+@query(
+    "op3_source_mixing",
+    """
+WITH held AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS held FROM documents GROUP BY 1),
+weight AS (SELECT source, held, CASE WHEN held > 0 THEN pow(held, 0.5) ELSE 0 END AS weight FROM held),
+rate AS (SELECT source, CASE WHEN held > 0 THEN sum(held) OVER () * weight / sum(weight) OVER () / held ELSE 0 END AS rate FROM weight),
+cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+        FROM rate, range(0, 160) r(k) WHERE rate > 0),
+drawn AS (SELECT d.doc_id, d.source, d.text, r.rate,
+                 (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source
+                  AND c.cdf <= ('0x' || substr(md5('7:' || d.doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0) AS n
+          FROM documents d JOIN rate r ON r.source IS NOT DISTINCT FROM d.source),
+copies AS (SELECT *, unnest(range(1, n + 1))::INT AS copy FROM drawn)
+SELECT doc_id, source, copy, round(rate, 9) AS rate,
+       ('0x' || substr(md5('7:order:' || doc_id || ':' || copy), 1, 13))::BIGINT AS order_key, text FROM copies
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with source shares evened out by their square root, as replicated and shuffled documents."""
+    from kinelake.llm.mixing import replicate
+
+    mixed = replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), seed=7, power=0.5)
+    return mixed.select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"), "order_key", "text")
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+win AS (SELECT doc_id, s, l[s:s + 2] AS w FROM (SELECT *, unnest(range(1, len(l) - 1)) AS s FROM lines)),
+late AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS i FROM late),
+each AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines)
+SELECT e.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+       sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM each e LEFT JOIN gone g USING (doc_id, i) GROUP BY e.doc_id
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of each document once repeated runs of three lines or more are deleted."""
+    from kinelake.llm.lines import remove_repeated_lines
+
+    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
