@@ -126,3 +126,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, and all spans."""
+    from kinelake.llm.secrets import find_secrets, span_names
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(kind: int, name: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(name)
+
+    counts = [count(k, n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(span_names(base), 256).alias("base_sha256"), span_names(F.col("spans")).alias("spans"))
