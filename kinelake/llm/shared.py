@@ -1,8 +1,8 @@
 """Which hashes occur under more than one owner: packed batches out, packed answers back.
 
 A batch is a bounded run of owners (documents, classes of equal sets). It sends every distinct hash
-once, to the bucket named by the hash's top bits, as arrays: 8 bytes a hash, 4 bytes of place, and one
-entry for each run of hashes of the same owner. A hash that many owners of a batch share is therefore
+once, to the bucket named by the hash's top bits, as arrays: 8 bytes a hash, mostly one byte of place
+(the distance from the one before), and one entry for each run of hashes of the same owner. A hash that many owners of a batch share is therefore
 sent once per batch, however hot it is, and a bucket answers with the places of the hashes that other
 owners hold. Repeats inside a batch travel beside this as runs that point to the first place.
 """
@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from kinelake.llm.words import run_lengths, spans
 
 #: Batches hold about this many hashes.
-BATCH_HASHES = 1 << 22
+BATCH_HASHES = 1 << 21
 
-#: bucket row: hashes, places, owners, runs. base row (``body`` set): what the batch keeps about itself.
-PACKED = "bucket int, batch string, hashes binary, places binary, owners binary, runs binary, body binary"
+#: bucket row: hashes, places, owners, runs, weights. base row (``body`` set): what the batch keeps about itself.
+PACKED = "bucket int, batch string, hashes binary, places binary, owners binary, runs binary, weights binary, body binary"
 PACKED_ARROW = pa.schema(
-    [("bucket", pa.int32()), ("batch", pa.string())] + [(n, pa.binary()) for n in ("hashes", "places", "owners", "runs", "body")]
+    [("bucket", pa.int32()), ("batch", pa.string())] + [(n, pa.binary()) for n in ("hashes", "places", "owners", "runs", "weights", "body")]
 )
 
 
@@ -56,19 +56,20 @@ def distinct(hashes: np.ndarray) -> Distinct:
     return Distinct(first, later[by_place], repeats[by_place])
 
 
-def packed_rows(batch: str, hashes: np.ndarray, owners: np.ndarray, places: np.ndarray, bits: int, body: bytes) -> pa.RecordBatch:
+def packed_rows(batch: str, hashes: np.ndarray, owners: np.ndarray, places: np.ndarray, bits: int, body: bytes, weights: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of one batch: one for each bucket, and the base row."""
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     order = np.lexsort((places, bucket))
-    bucket, hashes, owners, places = bucket[order], hashes[order], owners[order], places[order].astype(np.uint32)
+    bucket, hashes, owners, places = bucket[order], hashes[order], owners[order], places[order]
+    weights = None if weights is None else weights[order]
     at, n = run_lengths(bucket)
     cols: dict[str, list] = {k: [] for k in PACKED_ARROW.names}
     for a, b in zip(at, at + n):
         run_at, run_n = run_lengths(owners[a:b])
-        row = (int(bucket[a]), batch, hashes[a:b].tobytes(), places[a:b].tobytes(), owners[a:b][run_at].tobytes(), run_n.astype(np.uint32).tobytes(), None)
+        row = (int(bucket[a]), batch, hashes[a:b].tobytes(), small(np.diff(places[a:b], prepend=0)), owners[a:b][run_at].tobytes(), small(run_n), None if weights is None else small(weights[a:b]), None)
         for k, v in zip(cols, row):
             cols[k].append(v)
-    for k, v in zip(cols, (hash_bucket(batch, bits), batch, None, None, None, None, body)):
+    for k, v in zip(cols, (hash_bucket(batch, bits), batch, None, None, None, None, None, body)):
         cols[k].append(v)
     return pa.RecordBatch.from_pydict(cols, PACKED_ARROW)
 
@@ -78,10 +79,35 @@ def hash_bucket(name: str, bits: int) -> int:
     return sum(name.encode()) % (1 << bits)
 
 
+def packed_body(**columns: bytes) -> bytes:
+    row = pa.record_batch([pa.array([v], pa.binary()) for v in columns.values()], list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def opened_body(rows: list[dict]) -> dict[str, bytes]:
+    body = next(r["body"] for r in rows if r["body"] is not None)
+    return pa.ipc.open_stream(body).read_all().to_pylist()[0]
+
+
 def array(value: bytes | memoryview, dtype) -> np.ndarray:
     return np.frombuffer(value, dtype)
 
 
+def small(values: np.ndarray) -> bytes:
+    """Mostly small integers: a byte each; 255 stands for the next of the four-byte values at the end."""
+    low = np.minimum(values, 255).astype(np.uint8)
+    return low.tobytes() + values[values >= 255].astype(np.uint32).tobytes()
+
+
+def opened_small(value: bytes, n: int) -> np.ndarray:
+    out = array(value[:n], np.uint8).astype(np.int64)
+    out[out == 255] = array(value[n:], np.uint32)
+    return out
+
+
 @dataclass
 class Bucket:
     """All hashes of one bucket, with owner, row of the packed table, and place."""
@@ -100,9 +126,9 @@ def opened(rows: list[dict]) -> Bucket:
     return Bucket(
         rows,
         join((array(r["hashes"], np.uint64) for r in rows), np.uint64),
-        join((np.repeat(array(r["owners"], np.int64), array(r["runs"], np.uint32)) for r in rows), np.int64),
+        join((np.repeat(own := array(r["owners"], np.int64), opened_small(r["runs"], len(own))) for r in rows), np.int64),
         np.repeat(np.arange(len(rows)), counts),
-        join((array(r["places"], np.uint32) for r in rows), np.uint32),
+        join((np.cumsum(opened_small(r["places"], n)) for r, n in zip(rows, counts)), np.int64),
     )
 
 

@@ -37,15 +37,9 @@ def _packer(n: int, bits: int):
         ids, keys, n_words = ids[order], keys[order], n_words[order]
         owners = np.repeat(ids, counts[order])
         found = shared.distinct(hashes)
-        body = pa.record_batch(
-            [pa.array([v], pa.binary()) for v in (ids.tobytes(), keys.tobytes(), n_words.tobytes(), shared.packed_runs(found.later, found.repeats))],
-            ["ids", "keys", "n_words", "repeats"],
-        )
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, body.schema) as out:
-            out.write_batch(body)
+        body = shared.packed_body(ids=ids.tobytes(), keys=keys.tobytes(), n_words=n_words.tobytes(), repeats=shared.packed_runs(found.later, found.repeats))
         first = found.first
-        return shared.packed_rows(batch, hashes[first], owners[first], first, bits, sink.getvalue().to_pybytes())
+        return shared.packed_rows(batch, hashes[first], owners[first], first, bits, body)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, held, size, names = words.alphabet(), ([], [], [], []), 0, shared.batch_names()
@@ -87,7 +81,7 @@ def _earlier(table: pa.Table) -> pa.Table:
 def _merger(n: int):
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        body = pa.ipc.open_stream(next(r["body"] for r in rows if r["body"] is not None)).read_all().to_pylist()[0]
+        body = shared.opened_body(rows)
         ids, keys, n_words = (shared.array(body[k], np.int64) for k in ("ids", "keys", "n_words"))
         counts = np.maximum(n_words - n + 1, 0)
         late = np.zeros(counts.sum(), bool)
@@ -131,7 +125,7 @@ def repeated_spans(documents: DataFrame, n: int = 50, doc_id: str = "doc_id", te
     comes after all others; rows with equal ids never remove each other's words; other columns do not
     matter; an empty table gives an empty result. ``documents`` must read the same when read again.
     """
-    bits = max(6, (4 * partitions(documents) - 1).bit_length())
+    bits = max(4, (partitions(documents) - 1).bit_length())
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     return (
         documents.select(own.alias("owner"), text_key(F.col(text)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
