@@ -141,3 +141,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k, n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(span_names(base), 256).alias("base_sha256"), span_names(F.col("spans")).alias("spans"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id among its near duplicates."""
+    from kinelake.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
