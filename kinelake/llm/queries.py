@@ -149,3 +149,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinelake.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=80)
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    from kinelake.llm.classifier import fit, held_out, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+    return score(documents, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
