@@ -161,3 +161,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of those that are not held out."""
+    from kinelake.llm.ngram_lm import score, train
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    model = train(documents.where(~held_out), order=2)
+    return score(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.orders[1].tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
