@@ -51,15 +51,16 @@ _SPAN = "array<struct<start: int, end: int, kind: int, token: string>>"
 
 def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Leftmost non-overlapping matches with their places in code points; those with a shorter group are dropped."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    parts = F.transform(hits, lambda h, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(h).alias("long"), F.char_length(F.get(held, i)).alias("counted"), h.alias("token")))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), held.alias("held"))  # the last gap has no hit
     none = F.array().cast(_SPAN)
 
     def place(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        span = F.struct(start.alias("start"), (start + p["long"]).alias("end"), F.lit(kind).alias("kind"), p["token"].alias("token"))
-        return F.struct((start + p["long"]).alias("at"), F.when(p["counted"] >= least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+        start = s["at"] + F.char_length(p["gap"])
+        end = start + F.char_length(p["hit"])
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("token"))
+        return F.struct(end.alias("at"), F.when(F.char_length(p["held"]) >= least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda s: s["out"])
 
