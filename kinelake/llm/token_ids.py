@@ -4,8 +4,8 @@ Ids are integers under ORC's run-length encoding; files carry row indexes and a
 document id, so a look-up by id prunes files, stripes and row groups, and a full read splits by stripe.
 
 The tokenizer runs on pieces of a text that it would never join: white-space-separated chunks, cut once
-more between an ASCII or Latin-1 letter and ASCII punctuation. Each distinct chunk of a task goes through
-``encode_batch`` once and is then copied; the ids equal those of encoding the whole text at once, because
+more between an ASCII or Latin-1 letter and ASCII punctuation. A worker encodes each
+distinct chunk once and then copies its ids; the ids equal those of encoding the whole text at once, because
 normalisation and pre-tokenisation never reach over such a cut.
 """
 
@@ -23,8 +23,11 @@ from kinelake.llm import words
 from kinelake.llm.frames import text_key
 from kinelake.session import shared_path
 
-#: Distinct chunks that a worker remembers; beyond that it starts again (about 150 bytes each).
-KNOWN_CHUNKS = 600_000
+#: Distinct chunks that a worker remembers; beyond that it starts again (about 180 bytes each).
+KNOWN_CHUNKS = 300_000
+
+#: New chunks that go through the tokenizer as one text.
+CHUNKS_AT_ONCE = 500
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -68,16 +71,22 @@ class Encoder:
         self.at = np.zeros(1 << 16, np.int64)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        have, used = len(self.known), self.at[len(self.known)]
-        found = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
-        ends = used + np.cumsum([len(f) for f in found])
-        if have + len(found) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(found) + 1), np.int64)])
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1])), np.int32)])
-        self.at[have + 1 : have + 1 + len(found)] = ends
-        self.ids[used : ends[-1]] = np.fromiter((i for f in found for i in f), np.int32, int(ends[-1] - used))
-        self.known.update(zip(chunks, range(have, have + len(found))))
+        """Encodes chunks, many to a text with spaces between, and parts their ids by the places in that text."""
+        have = len(self.known)
+        if have + len(chunks) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(chunks) + 1), np.int64)])
+        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
+            some = [c.decode() for c in chunks[i : i + CHUNKS_AT_ONCE]]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(c) + 1 for c in some)])
+            place = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
+            first = have + i
+            used = int(self.at[first])
+            self.at[first + 1 : first + 1 + len(some)] = used + np.searchsorted(place, begin[1:])
+            if used + len(place) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(place)), np.int32)])
+            self.ids[used : used + len(place)] = found.ids
+        self.known.update(zip(chunks, range(have, have + len(chunks))))
 
     def _chunks(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
