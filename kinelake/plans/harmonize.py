@@ -90,8 +90,7 @@ def run_harmonization(
     verdicts = _settle(verdicts, "verdicts")
     tables.write_harmonized(harmonized, verdicts, f"{store}/samples", dataset)
     records = tables.provenance(trials, calibrations, verdicts, asdict(c))
-    writer = records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("dataset").parquet(f"{store}/provenance")
+    tables.upsert(records, f"{store}/provenance")
     manifest = manifest_rows(verdicts, calibrations, store, c.target_rate_hz)
     if manifest_path is not None:
         tables.write_manifest(manifest, manifest_path)
@@ -107,13 +106,13 @@ def _settle(df: DataFrame, name: str) -> DataFrame:
 def manifest_rows(verdicts: DataFrame, calibrations: DataFrame, store: str, rate_hz: float) -> DataFrame:
     """Catalogue rows of validated trials."""
     rows = verdicts.join(calibrations.select(*SUBJECT_KEYS, F.col("source").alias("calibration_source")), SUBJECT_KEYS)
-    folder = F.concat(F.lit("dataset="), F.col("dataset"), F.lit("/accepted="), F.col("accepted").cast("string"))
-    place = F.concat_ws("/", F.lit(store), F.lit("samples"), folder)
+    # The folder that holds the trial, beside others; its rows are told by the trial's key.
+    place = F.concat(F.lit(f"{store}/samples/dataset="), F.col("dataset"), F.lit("/bucket="), tables.bucket().cast("string"))
     return rows.withColumns(
         {
             "duration_s": F.col("n_frames") / F.lit(rate_hz),
             "sample_rate_hz": F.lit(rate_hz),
-            "harmonized_path": F.concat_ws("/", place, *TRIAL_KEYS[1:]),
+            "harmonized_path": place,
         }
     ).select(*MANIFEST_COLUMNS)
 

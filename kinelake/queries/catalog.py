@@ -304,12 +304,13 @@ SELECT dataset, accepted, count(*) AS n_samples, count(DISTINCT trial) AS n_tria
 FROM s JOIN c USING (trial) GROUP BY dataset, accepted""",
 )
 def harmonized_store(spark, sf_dir):
-    """Samples written accepted and quarantined apart, and read back by partition."""
+    """Samples written in two batches per dataset, the second repeating a part of the first, and read back."""
     trials = catalog(spark, sf_dir).select(*sensors.TRIAL_KEYS, "trial", "accepted")
     rows = samples(spark, sf_dir).join(trials.drop("accepted"), "trial").drop("trial")
     path = shared_path(spark, "store")
     for dataset in ("kfall", "sisfall"):
-        tables.write_harmonized(rows, trials, path, dataset)
+        for part in ("trial % 3 <> 1", "trial % 3 <> 2"):
+            tables.write_harmonized(rows, trials.filter(part), path, dataset)
     both = [tables.read_harmonized(spark, path, flag, ["acc_x"]).withColumn("accepted", F.lit(flag)) for flag in (True, False)]
     per_trial = both[0].unionByName(both[1]).groupBy("dataset", "accepted", "trial_id").agg(
         F.count("*").alias("n"), F.sum("acc_x").alias("s")
@@ -361,11 +362,13 @@ def run_tables(spark, sf_dir):
     f"""WITH {CATALOG_SQL} SELECT dataset, count(*) AS n, round(sum(duration_s), 6) AS seconds FROM c GROUP BY dataset""",
 )
 def feature_cache(spark, sf_dir):
-    """One dataset computed and kept, the other added on the second request."""
+    """One dataset computed and kept, the other added on the second request; a third asks for one alone."""
     path = shared_path(spark, "features")
     rows = catalog(spark, sf_dir).select("duration_s", "trial_id", "dataset")
     tables.cache_features(rows.filter("dataset = 'kfall'"), path)
-    held = tables.cache_features(rows, path)
+    both = tables.cache_features(rows, path)
+    alone = tables.cache_features(rows.filter("dataset = 'sisfall'"), path)
+    held = both.filter("dataset = 'kfall'").unionByName(alone)
     return held.groupBy("dataset").agg(F.count("*").alias("n"), F.round(F.sum("duration_s"), 6).alias("seconds"))
 
 

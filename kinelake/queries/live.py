@@ -28,7 +28,7 @@ def mean_scorer(batch: np.ndarray) -> np.ndarray:
 
 
 _LIVE_SQL = f"""WITH RECURSIVE s AS (
-  SELECT user_id AS device, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame,
+  SELECT user_id AS device, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame,
          {", ".join(f"{e.replace('D', '::DOUBLE')} AS {c}" for c, e in _CHANNEL_EXPR.items())} FROM events),
 m AS (SELECT *, sqrt(acc_x*acc_x + acc_y*acc_y + acc_z*acc_z) AS mag FROM s),
 n AS (SELECT device, count(*) AS n FROM s GROUP BY device),
@@ -50,72 +50,118 @@ p AS (
 {smoother_sql("p", "device")}"""
 
 
-def _stream(spark, sf_dir):
+#: Event numbers that a sample may lag behind the newest of its user.
+LATENESS = 10_000_000
+
+
+def _stream(spark, sf_dir, ends: str):
+    """Events as samples, and the end marks of their sessions, which come in a folder of their own."""
     live.use_rocksdb(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # The glob takes the table as one file or as a folder of files, a bounded number per batch.
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
-    events = source.parquet(f"{sf_dir}/events.parque[t]")
+    # The glob takes the table as one file or as a folder of files.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     samples = events.select(
         F.col("user_id").alias("device"),
         F.col("event_id").alias("seq"),
         *[F.expr(e).cast("double").alias(c) for c, e in _CHANNEL_EXPR.items()],
+        F.lit(False).alias("ends"),
     )
-    return live.score_stream(samples, mean_scorer, LENGTH, STRIDE, 100.0)
+    marks = spark.readStream.schema(samples.schema).parquet(ends)
+    return live.score_stream(samples.unionByName(marks), mean_scorer, LENGTH, STRIDE, 100.0, lateness=LATENESS)
+
+
+def _mark_ends(spark, sf_dir, ends: str, write: bool = True) -> None:
+    """Writes one end mark per user, after the last of its events; or only makes the folder."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("device")).agg((F.max("event_id") + 1).alias("seq"))
+    rows = users.select("device", "seq", *[F.lit(None).cast("double").alias(c) for c in _CHANNEL_EXPR], F.lit(True).alias("ends"))
+    (rows if write else rows.limit(0)).write.mode("append").parquet(ends)
 
 
 @query(
     "live_scores",
     f"""{_LIVE_SQL}
-SELECT al.device, al.window_index::BIGINT AS window_index, round(p0, 6) AS p_non_fall, round(p1, 6) AS p_pre_impact,
-       round(p2, 6) AS p_fall, CASE least(code, 2) WHEN 0 THEN 'calm' WHEN 1 THEN 'pre_impact' ELSE 'fall' END AS state,
+SELECT al.device, al.window_index::BIGINT AS window_index, s.seq, {LENGTH}::BIGINT AS buffered_samples, round(p0, 6) AS p_non_fall,
+       round(p1, 6) AS p_pre_impact, round(p2, 6) AS p_fall,
+       CASE least(code, 2) WHEN 0 THEN 'calm' WHEN 1 THEN 'pre_impact' ELSE 'fall' END AS state,
        true AS window_ready, {LENGTH}::BIGINT AS needed_samples
 FROM al JOIN p ON p.device = al.device AND p.window_index = al.window_index
+JOIN s ON s.device = al.device AND s.frame = al.window_index * {STRIDE} + {LENGTH - 1}
 UNION ALL
-SELECT device, NULL, NULL, NULL, NULL, 'buffering', false, {LENGTH} FROM n WHERE n < {LENGTH}""",
+SELECT device, NULL, seq, frame + 1, NULL, NULL, NULL, 'buffering', false, {LENGTH} FROM s WHERE frame < {LENGTH - 1}""",
 )
 def live_scores(spark, sf_dir):
-    """Every event streamed through per-user buffers, scored and smoothed."""
-    table = live.run_to_table(_stream(spark, sf_dir), shared_path(spark, "live"), shared_path(spark, "live-checkpoint"))
+    """Every event streamed through per-user buffers, scored and smoothed; then all sessions are ended."""
+    out, checkpoint, ends = (shared_path(spark, n) for n in ("live", "live-checkpoint", "live-ends"))
+    for last in (False, True):
+        _mark_ends(spark, sf_dir, ends, write=last)
+        table = live.run_to_table(_stream(spark, sf_dir, ends), out, checkpoint)
     probs = [F.round(c, 6).alias(c) for c in ("p_non_fall", "p_pre_impact", "p_fall")]
-    return table.select("device", "window_index", *probs, "state", "window_ready", "needed_samples")
+    return table.select("device", "window_index", "seq", "buffered_samples", *probs, "state", "window_ready", "needed_samples")
 
 
 @query(
     "live_state",
     f"""{_LIVE_SQL}
-SELECT n.device, max(window_index)::BIGINT AS window_index,
+SELECT n.device, max(window_index)::BIGINT AS window_index, CASE WHEN any_value(n) < {LENGTH} THEN any_value(n) ELSE {LENGTH} END::BIGINT AS buffered_samples,
        CASE WHEN any_value(n) < {LENGTH} THEN 'buffering' ELSE
          CASE least(arg_max(code, window_index), 2) WHEN 0 THEN 'calm' WHEN 1 THEN 'pre_impact' ELSE 'fall' END END AS state
 FROM n LEFT JOIN al USING (device) GROUP BY n.device""",
 )
 def live_state(spark, sf_dir):
     """The current state per user, rewritten batch by batch."""
-    path = shared_path(spark, "live-state")
-    stream = _stream(spark, sf_dir)
-    live.write_state(stream, path, shared_path(spark, "live-checkpoint"), availableNow=True).awaitTermination()
-    return live.read_state(spark, path).select("device", "window_index", "state")
+    path, checkpoint, ends = (shared_path(spark, n) for n in ("live-state", "live-checkpoint", "live-ends"))
+    for last in (False, True):
+        _mark_ends(spark, sf_dir, ends, write=last)
+        live.write_state(_stream(spark, sf_dir, ends), path, checkpoint, availableNow=True).awaitTermination()
+    return live.read_state(spark, path).select("device", "window_index", "buffered_samples", "state")
+
+
+def _json_files(spark, sf_dir) -> str:
+    """Events as JSON files with arrays of samples: some lack a channel, hold text for a number, or are no object;
+    some files are no JSON. Numbers of every third event are strings."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = {c: F.expr(e).cast("double") for c, e in _CHANNEL_EXPR.items()}
+    rest = [v.alias(c) for c, v in number.items() if c not in ("gyro_z", "gyro_y")]
+    gyro_z = F.when(F.col("event_type") != "error", number["gyro_z"]).alias("gyro_z")
+
+    def sample(gyro_y):
+        return F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("device"), F.col("event_id").alias("seq"), *rest, gyro_y.alias("gyro_y"), gyro_z))
+
+    text = F.when(F.col("event_id") % 3 == 0, sample(number["gyro_y"].cast("string"))).otherwise(sample(number["gyro_y"]))
+    text = F.when(F.col("event_id") % 101 == 0, sample(F.lit("high"))).otherwise(text)
+    element = F.when(F.col("event_id") % 97 == 0, F.lit("7")).otherwise(text)
+    part = F.floor(F.col("event_id") / 50).alias("part")
+    files = events.groupBy(part).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ","), F.lit("]")).alias("value"))
+    broken = F.when(F.col("part") % 41 == 0, F.lit("[{not json")).otherwise(F.col("value"))
+    folder = shared_path(spark, "json")
+    files.select(broken.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)  # one array per file
+    return folder
 
 
+_JSON_STATE = """SELECT *, CASE WHEN event_id // 50 % 41 = 0 THEN 'unreadable file' WHEN event_id % 97 = 0 THEN 'not an object'
+  WHEN event_id % 101 = 0 AND event_type = 'error' THEN 'gyro_y,gyro_z' WHEN event_id % 101 = 0 THEN 'gyro_y'
+  WHEN event_type = 'error' THEN 'gyro_z' END AS problem FROM events"""
 
 
 @query(
     "json_samples",
     f"""SELECT 'u' || user_id AS device, event_id AS seq, {", ".join(f"{e.replace('D', '::DOUBLE')} AS {c}" for c, e in _CHANNEL_EXPR.items())}
-FROM events WHERE event_type <> 'error'""",
+FROM ({_JSON_STATE}) WHERE problem IS NULL""",
 )
 def json_samples(spark, sf_dir):
-    """Events as JSON files holding arrays of samples, streamed back; samples lacking a channel are dropped."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sample = F.struct(
-        F.concat(F.lit("u"), "user_id").alias("device"),
-        F.col("event_id").alias("seq"),
-        *[F.expr(e).cast("double").alias(c) for c, e in _CHANNEL_EXPR.items() if c != "gyro_z"],
-        F.when(F.col("event_type") != "error", F.expr(_CHANNEL_EXPR["gyro_z"]).cast("double")).alias("gyro_z"),
-    )
-    files = events.groupBy(F.floor(F.col("event_id") / 50_000).alias("part")).agg(F.to_json(F.collect_list(sample)).alias("value"))
-    folder = shared_path(spark, "json")
-    files.select("value").write.option("maxRecordsPerFile", 1).text(folder)  # one array per file
-    stream = live.well_formed(live.read_sample_stream(spark, folder))
+    """Samples streamed back from JSON files; the good ones of a file stay beside bad ones."""
+    stream = live.well_formed(live.read_sample_stream(spark, _json_files(spark, sf_dir)))
     columns = ["device", "seq", *_CHANNEL_EXPR]
     return live.run_to_table(stream, shared_path(spark, "samples"), shared_path(spark, "samples-checkpoint"), columns)
+
+
+@query(
+    "json_rejects",
+    f"""SELECT problem, CASE problem WHEN 'unreadable file' THEN count(DISTINCT event_id // 50) ELSE count(*) END AS n
+FROM ({_JSON_STATE}) WHERE problem IS NOT NULL GROUP BY problem""",
+)
+def json_rejects(spark, sf_dir):
+    """Rejected samples and files by reason."""
+    stream = live.rejects(live.read_sample_stream(spark, _json_files(spark, sf_dir)))
+    found = live.run_to_table(stream, shared_path(spark, "rejects"), shared_path(spark, "rejects-checkpoint"), ["problem"])
+    return found.groupBy("problem").agg(F.count("*").alias("n"))

@@ -5,27 +5,58 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions.channels import CHANNELS
 from kinelake.operators.catalog import MANIFEST_COLUMNS, MANIFEST_KEY, upsert_manifest
+from kinelake.session import shared_path
 from kinelake.sources.sensors import TRIAL_KEYS
+from kinelake.sources.versions import drop_versions, versions
+
+
+#: Subjects of a dataset are spread over so many folders of the store.
+BUCKETS = 64
+
+
+def bucket(subject: str = "subject_id") -> Column:
+    """The folder of a subject within its dataset."""
+    return F.pmod(F.xxhash64(subject), F.lit(BUCKETS)).cast("int")
+
+
+def upsert(rows: DataFrame, path: str, keys: Sequence[str] = TRIAL_KEYS, order: Sequence[str] = ()) -> None:
+    """Writes trials beside those stored; what was stored of the same trials is replaced, all else stays.
+
+    Only folders (dataset, bucket) that get rows are written again: what they held is read without the
+    given trials, put together with the new rows in the shared folder, and then takes the folders' place.
+    """
+    spark, keys = rows.sparkSession, list(keys)
+    placed = rows.withColumn("bucket", bucket())
+    before = _existing(spark, path)
+    if before is not None:
+        new = placed.select(*keys, "bucket").distinct()
+        touched = before.join(new.select("dataset", "bucket").distinct(), ["dataset", "bucket"], "left_semi")
+        kept = touched.join(new.select(*keys), keys, "left_anti")
+        stage = shared_path(spark, "upsert")
+        placed.unionByName(kept.select(*placed.columns)).write.parquet(stage)
+        placed = spark.read.schema(placed.schema).parquet(stage)
+    parted = placed.hint("rebalance", F.col("dataset"), F.col("bucket"))  # a long subject may fill several files
+    writer = parted.sortWithinPartitions("dataset", "bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset", "bucket").parquet(path)
 
 
 def write_harmonized(
     samples: DataFrame, verdicts: DataFrame, root: str, dataset: str, keys: Sequence[str] = TRIAL_KEYS
 ) -> None:
-    """Write one dataset's samples in one pass, accepted and quarantined ones apart (``accepted``).
+    """Adds trials of one dataset to the store, accepted and quarantined ones told apart by ``accepted``.
 
-    Replaces all that was stored of the dataset, so a trial is never left in both places.
+    A trial stored before is replaced, so it is never in both states; other trials stay. Only trials with a
+    verdict are written.
     """
     keys = list(keys)
     own = verdicts.filter(F.col("dataset") == dataset).select(*keys, "accepted")
-    routed = samples.filter(F.col("dataset") == dataset).join(own, keys).drop("dataset")
-    order = [k for k in keys if k != "dataset"]
-    writer = routed.sortWithinPartitions("accepted", *order, "frame").write.mode("overwrite")
-    writer.partitionBy("accepted").parquet(f"{root}/dataset={dataset}")
+    routed = samples.filter(F.col("dataset") == dataset).join(own, keys)
+    upsert(routed, root, keys, ["accepted", *[k for k in keys if k != "dataset"], "frame"])
 
 
 def read_harmonized(spark: SparkSession, root: str, accepted: bool = True, columns: Sequence[str] = CHANNELS) -> DataFrame:
@@ -61,25 +92,23 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of the catalogue."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    return spark.read.parquet(f"{path}/version={versions(spark, path, 'version')[-1]}")
 
 
 def write_manifest(new: DataFrame, path: str, keys: Sequence[str] = MANIFEST_KEY) -> None:
-    """Upsert rows by key. Each write adds a whole version, so readers never see half of one."""
+    """Upsert rows by key. Each write makes a whole version, so readers never see half of one; two are kept."""
     spark = new.sparkSession
-    before = _existing(spark, path)
+    held = versions(spark, path, "version")
     rows, version = new, 0
-    if before is not None:
-        version = before.agg(F.max("version")).first()[0] + 1
+    if held:
+        version = held[-1] + 1
         rows = upsert_manifest(load_manifest(spark, path), new.select(*MANIFEST_COLUMNS), keys)
-    rows = rows.select(*MANIFEST_COLUMNS).orderBy(*keys).withColumn("version", F.lit(version))
-    rows.write.mode("append").partitionBy("version").parquet(path)
+    rows.select(*MANIFEST_COLUMNS).orderBy(*keys).write.mode("overwrite").parquet(f"{path}/version={version}")
+    drop_versions(spark, path, "version", held[:-1])
 
 
 def cache_features(features: DataFrame, path: str, recompute: bool = False) -> DataFrame:
-    """Features from the table at ``path``, computed and added for datasets it does not hold.
+    """Features of the given datasets from the table at ``path``, computed and added where it lacks them.
 
     With ``recompute`` the given datasets are replaced. The cache is partitioned by dataset, so
     choosing datasets is a partition filter.
@@ -92,7 +121,8 @@ def cache_features(features: DataFrame, path: str, recompute: bool = False) -> D
         todo = features.filter(~F.col("dataset").isin(names))
     writer = todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dataset").parquet(path)
-    return spark.read.schema(features.schema).parquet(path)
+    asked = [r[0] for r in features.select("dataset").distinct().collect()]  # one row per dataset
+    return spark.read.schema(features.schema).parquet(path).filter(F.col("dataset").isin(asked))
 
 
 def append_run(report: DataFrame, path: str, model: str, run_id: str) -> None:

@@ -1,9 +1,9 @@
-"""Live scoring: a ring buffer, a scorer and alert smoothing per device.
+"""Live scoring: a reorder buffer, a ring buffer, a scorer and alert smoothing per device.
 
-A device's samples are scored in sequence order, one score for every ``stride`` new samples once
-the buffer is full. Trigger timing does not matter, so a replay gives the same alerts, equal to
-those of the batch operators. Samples at or before the last one seen are dropped. One batch of one
-device is sorted in memory, so bound the batch (files or bytes per trigger) for fast devices.
+Samples of a device are held in keyed state until one arrives that is more than ``lateness`` ahead in
+``seq``, or the session ends; then they are scored in sequence order, one score for every ``stride`` new
+samples once the window is full. Output depends on the samples alone, not on how files fall into batches:
+what arrives later than that, or twice, comes out as a counted "rejected" row.
 """
 
 from __future__ import annotations
@@ -20,46 +20,86 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from kinelake.functions.channels import CHANNELS
 from kinelake.operators.alerts import CALM, FALL, STATES, SmootherConfig, next_code
 from kinelake.operators.windows import LABEL_IDS
+from kinelake.sources.versions import drop_versions, versions
 
 SAMPLE_SCHEMA = T.StructType(
     [
         T.StructField("device", T.StringType()),
         T.StructField("seq", T.LongType()),
         *[T.StructField(c, T.DoubleType()) for c in CHANNELS],
-        T.StructField("_corrupt_record", T.StringType()),
+        T.StructField("ends", T.BooleanType()),
+        T.StructField("problem", T.StringType()),
+        T.StructField("source_file", T.StringType()),
+        T.StructField("place", T.IntegerType()),
     ]
 )
-_STATE = "seq long, seen long, buffer array<double>, average array<double>, code int"
+_STATE = "seq long, newest long, seen long, buffer array<double>, average array<double>, code int"
+_HELD = "rows binary"
+NEVER = -(1 << 63)
 
+#: Samples in one entry of the held list, and windows scored at once.
+HELD_ROWS, SCORED_AT_ONCE = 4096, 1024
 
-def read_sample_stream(spark: SparkSession, folder: str, delete: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Samples from JSON files, one object or an array of them per file.
+#: Samples that one file may hold when it brings no sequence numbers of its own.
+FILE_SEQ = 1 << 20
+
+
+def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
+    """Samples from rows (value, source_file, modified): the text of a file, its name and its time.
 
-    Files are taken in the order they were written; within a batch, ``seq`` decides. A file that
-    cannot be parsed leaves one row with ``_corrupt_record``. ``delete`` removes files once done.
+    A file is one JSON object or an array of them. Each element is judged alone: numbers may be strings,
+    further keys are ignored, and a bad one gets a ``problem`` ("unreadable file" for text that is no JSON,
+    "not an object", or the names of missing or non-numeric channels) while its neighbours stay. Without
+    ``device`` the name is "default"; without ``seq`` the order is that of the files (by the digits of their
+    names, or their time if there are none) and then the place in the array. ``"end": true`` ends a session.
     """
-    reader = spark.readStream.schema(SAMPLE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+    text = F.trim("value")
+    array = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
+    elements = files.withColumn("elements", array)
+    unreadable = F.col("elements").isNull() | (F.size("elements") == 1) & F.get("elements", F.lit(0)).isNull()
+    rows = elements.select(
+        "source_file", "modified", F.posexplode_outer(F.when(~unreadable, F.col("elements"))).alias("place", "element"), unreadable.alias("unreadable")
+    )
+    item = F.from_json("element", "map<string,string>")
+    rows = rows.withColumn("item", F.when(F.trim("element").startswith("{"), item))
+    named = F.regexp_replace("source_file", "[^0-9]", "")
+    file_no = F.coalesce(F.expr("try_cast(substr(regexp_replace(source_file, '[^0-9]', ''), -12) AS BIGINT)"), F.unix_millis("modified"))
+    number = {c: F.expr(f"try_cast(item['{c}'] AS DOUBLE)") for c in CHANNELS}
+    ends = F.coalesce(F.expr("try_cast(item['end'] AS BOOLEAN)"), F.lit(False))
+    missing = F.array_compact(F.array(*(F.when(v.isNull(), F.lit(c)) for c, v in number.items())))
+    problem = (
+        F.when(F.col("unreadable"), F.lit("unreadable file"))
+        .when(F.col("item").isNull(), F.lit("not an object"))
+        .when(~ends & (F.size(missing) > 0), F.array_join(missing, ","))
+    )
+    own_seq = F.when(named != "", file_no).otherwise(F.unix_millis("modified")) * FILE_SEQ + F.coalesce("place", F.lit(0))
+    return rows.select(
+        F.coalesce(F.col("item")[device], F.lit("default")).alias("device"),
+        F.coalesce(F.expr("try_cast(item['seq'] AS BIGINT)"), own_seq).alias("seq"),
+        *[v.alias(c) for c, v in number.items()],
+        ends.alias("ends"), problem.alias("problem"), "source_file", "place",
+    )
+
+
+def read_sample_stream(spark: SparkSession, folder: str, delete: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+    """Samples from JSON files; see ``parse_samples``. ``delete`` removes files once done."""
+    reader = spark.readStream.option("wholetext", True)
     if delete:
         reader = reader.option("cleanSource", "delete")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(folder).withColumn("source_file", F.col("_metadata.file_name"))
+    place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
+    return parse_samples(reader.text(folder).withColumns(place))
 
 
 def well_formed(samples: DataFrame) -> DataFrame:
-    """Samples with every channel and a sequence number."""
-    complete = F.col("_corrupt_record").isNull() if "_corrupt_record" in samples.columns else F.lit(True)
-    for c in ["seq", *CHANNELS]:
-        complete = complete & F.col(c).isNotNull()
-    return samples.filter(complete).drop("_corrupt_record")
+    """Samples without a problem."""
+    return samples.filter(F.col("problem").isNull()).drop("problem")
 
 
 def rejects(samples: DataFrame) -> DataFrame:
-    """What ``well_formed`` leaves out."""
-    bad = F.col("_corrupt_record").isNotNull()
-    for c in ["seq", *CHANNELS]:
-        bad = bad | F.col(c).isNull()
-    return samples.filter(bad)
+    """What ``well_formed`` leaves out, with the reason."""
+    return samples.filter(F.col("problem").isNotNull())
 
 
 def augment(window: np.ndarray, rate_hz: float) -> np.ndarray:
@@ -76,7 +116,7 @@ def softmax_rows(logits: np.ndarray) -> np.ndarray:
 
 
 class LiveScorer(StatefulProcessor):
-    """Per device: the last ``length`` samples, the moving average and the alert state."""
+    """Per device: samples held back, the last ``length`` ones, the moving average and the alert state."""
 
     def __init__(
         self,
@@ -86,55 +126,97 @@ class LiveScorer(StatefulProcessor):
         stride: int,
         rate_hz: float,
         config: SmootherConfig,
+        lateness: int,
+        ttl_ms: int | None,
     ) -> None:
         self.scorer, self.key, self.length, self.stride = scorer, key, length, stride
-        self.rate_hz, self.config = rate_hz, config
+        self.rate_hz, self.config, self.lateness, self.ttl_ms = rate_hz, config, lateness, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("device", _STATE)
+        self.state = handle.getValueState("device", _STATE, self.ttl_ms)
+        self.held = handle.getListState("held", _HELD, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        width = len(CHANNELS)
         if self.state.exists():
-            last, seen, flat, average, code = self.state.get()
-            buffer = np.array(flat).reshape(-1, width)
-            average = np.array(average) if average else None
+            last, newest, seen, flat, average, code = self.state.get()
+            window = (seen, np.array(flat).reshape(-1, len(CHANNELS)), np.array(average) if average else None, code)
         else:
-            last, seen, buffer, average, code = -1, 0, np.empty((0, width)), None, CALM
-        new = pd.concat(list(rows)).sort_values("seq").drop_duplicates("seq")
-        new = new[new["seq"] > last]
+            last, newest, window = NEVER, NEVER, self.fresh()
+        parts = [self._rows(c) for c in self.held.get()]
+        held = sum(map(len, parts))
         out = []
-        if len(new):
-            series = np.vstack([buffer, new[CHANNELS].to_numpy(float)])
-            first = seen - len(buffer)  # position of series[0]
-            total = seen + len(new)
-            # Windows end at length, length + stride, ...; those not yet scored end after ``seen``.
-            begin = max(0, -(-(seen + 1 - self.length) // self.stride))
-            starts = range(begin * self.stride, total - self.length + 1, self.stride)
-            if len(starts):
-                views = [augment(series[s - first : s - first + self.length], self.rate_hz) for s in starts]
-                probs = softmax_rows(np.asarray(self.scorer(np.stack(views)), dtype=float))
-                a = self.config.ema_alpha
-                for s, row in zip(starts, probs):
-                    average = row if average is None else a * row + (1 - a) * average
-                    code = next_code(code, average[1], average[2], self.config)
-                    out.append((s // self.stride, total, True, STATES[min(code, FALL)], *row))
-            last, seen = int(new["seq"].iloc[-1]), total
-            buffer = series[-self.length :]
-            self.state.update((last, seen, buffer.ravel().tolist(), [] if average is None else average.tolist(), code))
-        if seen < self.length:
-            out.append((None, seen, False, "buffering", None, None, None))
+        for frame in rows:
+            parts.append(np.column_stack([frame["seq"].to_numpy(np.int64).view(np.float64), frame[CHANNELS].to_numpy(float), frame["ends"].to_numpy(float)]))
+        new = np.vstack(parts)
+        seq = np.ascontiguousarray(new[:, 0]).view(np.int64)
+        order = np.argsort(seq, kind="stable")
+        new, seq = new[order], seq[order]
+        again = np.concatenate([[False], seq[1:] == seq[:-1]])
+        late = (seq <= last) | again
+        out += [(None, int(s), None, False, "rejected", None, None, None) for s in seq[late]]
+        new, seq = new[~late], seq[~late]
+        ended = np.flatnonzero(new[:, -1] > 0)
+        newest = max([newest, *seq[-1:].tolist()])
+        ready = int(np.searchsorted(seq, newest - self.lateness, "right"))
+        if len(ended):  # a session is over up to its end mark, however late others may be
+            ready = max(ready, int(ended[-1]) + 1)
+        begin = 0
+        for stop in [*(ended[ended < ready] + 1).tolist(), ready]:
+            mark = stop > begin and new[stop - 1, -1] > 0
+            window = self.scored(window, seq[begin:stop - 1 if mark else stop], new[begin:stop - 1 if mark else stop, 1:-1], out)
+            if mark:
+                window = self.fresh()
+            begin = stop
+        if ready:
+            last = int(seq[ready - 1])
+        seen, buffer, average, code = window
+        self.state.update((last, newest, seen, buffer.ravel().tolist(), [] if average is None else average.tolist(), code))
+        if ready or held != len(new):
+            rest = new[ready:]
+            chunks = [(rest[i : i + HELD_ROWS].tobytes(),) for i in range(0, len(rest), HELD_ROWS)]
+            self.held.put(chunks) if chunks else self.held.clear()
         if out:
             frame = pd.DataFrame(out, columns=OUTPUT_NAMES)
             frame.insert(0, self.key, key[0])
             frame["needed_samples"] = self.length
-            yield frame.astype({"window_index": "Int64"})
+            yield frame.astype({"window_index": "Int64", "buffered_samples": "Int64"})
+
+    @staticmethod
+    def fresh() -> tuple:
+        return 0, np.empty((0, len(CHANNELS))), None, CALM
+
+    @staticmethod
+    def _rows(chunk) -> np.ndarray:
+        return np.frombuffer(chunk[0], np.float64).reshape(-1, len(CHANNELS) + 2)
+
+    def scored(self, window: tuple, seq: np.ndarray, values: np.ndarray, out: list) -> tuple:
+        """Feeds samples that are in order; adds a row for each while the window fills, then one per stride."""
+        seen, buffer, average, code = window
+        if not len(seq):
+            return window
+        filling = min(len(seq), max(0, self.length - 1 - seen))
+        out += [(None, int(s), seen + k + 1, False, "buffering", None, None, None) for k, s in enumerate(seq[:filling])]
+        series = np.vstack([buffer, values])
+        first, total = seen - len(buffer), seen + len(seq)  # position of series[0]; samples by now
+        # Windows end at length, length + stride, ...; those not yet scored end after ``seen``.
+        begin = max(0, -(-(seen + 1 - self.length) // self.stride))
+        starts = range(begin * self.stride, total - self.length + 1, self.stride)
+        for lot in (starts[i : i + SCORED_AT_ONCE] for i in range(0, len(starts), SCORED_AT_ONCE)):
+            views = [augment(series[s - first : s - first + self.length], self.rate_hz) for s in lot]
+            probs = softmax_rows(np.asarray(self.scorer(np.stack(views)), dtype=float))
+            a = self.config.ema_alpha
+            for s, row in zip(lot, probs):
+                average = row if average is None else a * row + (1 - a) * average
+                code = next_code(code, average[1], average[2], self.config)
+                ends = int(seq[s + self.length - 1 - seen])
+                out.append((s // self.stride, ends, self.length, True, STATES[min(code, FALL)], *row))
+        return total, series[-self.length :], average, code
 
     def close(self) -> None:
         pass
 
 
-OUTPUT_NAMES = ["window_index", "buffered_samples", "window_ready", "state", *[f"p_{n}" for n in LABEL_IDS]]
+OUTPUT_NAMES = ["window_index", "seq", "buffered_samples", "window_ready", "state", *[f"p_{n}" for n in LABEL_IDS]]
 
 
 def output_schema(key: T.StructField) -> T.StructType:
@@ -142,6 +224,7 @@ def output_schema(key: T.StructField) -> T.StructType:
         [
             key,
             T.StructField("window_index", T.LongType()),
+            T.StructField("seq", T.LongType()),
             T.StructField("buffered_samples", T.LongType()),
             T.StructField("window_ready", T.BooleanType()),
             T.StructField("state", T.StringType()),
@@ -159,16 +242,26 @@ def score_stream(
     rate_hz: float = 100.0,
     key: str = "device",
     config: SmootherConfig | None = None,
+    lateness: int = 0,
+    state_ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Scores and alert states per device; while a buffer fills, one "buffering" row per batch.
-
-    State is a buffer of ``length`` samples per device, in the RocksDB state store. A new session
-    is a new key.
+    """Scores and alert states per device.
+
+    One row per scored window (``seq`` is that of its last sample), one "buffering" row for each sample that
+    does not yet fill the window (with the fill level), and one "rejected" row for each sample that came after
+    a sample more than ``lateness`` ahead had been scored, or whose ``seq`` came before. A sample with ``ends``
+    closes the session: what is held is scored and the device starts afresh. State (held samples, one window,
+    average and alert) lies in the RocksDB store; ``state_ttl_ms`` lets that of silent devices
+    expire, by processing time, so such a stream always has another batch: run it continuously, not to an end.
     """
-    processor = LiveScorer(scorer, key, length, stride, rate_hz, config or SmootherConfig())
-    rows = samples.select(key, "seq", *CHANNELS)
+    processor = LiveScorer(scorer, key, length, stride, rate_hz, config or SmootherConfig(), lateness, state_ttl_ms)
+    ends = F.coalesce("ends", F.lit(False)) if "ends" in samples.columns else F.lit(False)
+    rows = samples.select(key, "seq", *CHANNELS, ends.alias("ends"))
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=output_schema(samples.schema[key]), outputMode="Append", timeMode="None"
+        statefulProcessor=processor,
+        outputStructType=output_schema(samples.schema[key]),
+        outputMode="Append",
+        timeMode="None" if state_ttl_ms is None else "ProcessingTime",
     )
 
 
@@ -181,14 +274,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def latest_state(rows: DataFrame, key: str) -> DataFrame:
-    """The newest row per device: the highest window, or the fullest buffer."""
+    """The newest row per device by ``seq``; rejected samples do not count."""
     rest = [c for c in rows.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.struct(F.coalesce("window_index", F.lit(-1)).alias("w"), F.col("buffered_samples").alias("b")))
-    return rows.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
+    newest = F.max_by(F.struct(*rest), F.col("seq"))
+    return rows.filter("state <> 'rejected'").groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
 
 
 def write_state(stream: DataFrame, path: str, checkpoint: str, key: str = "device", **trigger) -> StreamingQuery:
-    """Keep the current state of every device below ``path``, one version per batch.
+    """Keep the current state of every device below ``path``, one version per batch, the last two of them.
 
     Batch n is written over version n alone, so a repeated batch leaves the same result. Read with
     ``read_state``.
@@ -197,10 +290,11 @@ def write_state(stream: DataFrame, path: str, checkpoint: str, key: str = "devic
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = latest_state(batch, key)
-        if batch_id > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}")
-            newest = latest_state(before.unionByName(newest), key)
+        before = [v for v in versions(spark, path, "batch") if v < batch_id]
+        if before:
+            newest = latest_state(spark.read.schema(batch.schema).parquet(f"{path}/batch={before[-1]}").unionByName(newest), key)
         newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        drop_versions(spark, path, "batch", before[:-1])
 
     writer = stream.writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
@@ -208,9 +302,7 @@ def write_state(stream: DataFrame, path: str, checkpoint: str, key: str = "devic
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of the current state."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("batch")).first()[0]
-    return versions.filter(F.col("batch") == newest).drop("batch")
+    return spark.read.parquet(f"{path}/batch={versions(spark, path, 'batch')[-1]}")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, columns: Sequence[str] | None = None) -> DataFrame:

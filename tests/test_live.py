@@ -57,7 +57,7 @@ def expected(spark, data):
     return {(r.device, r.window_index): (r.state, r.p_fall) for r in alerts.smooth_alerts(df, ["device"]).collect()}
 
 
-@pytest.mark.parametrize("files", [1, 100])
+@pytest.mark.parametrize("files", [3, 100])
 def test_stream_equals_batch(spark, recorded, tmp_path, files):
     folder, data = recorded
     live.use_rocksdb(spark)
@@ -70,15 +70,75 @@ def test_stream_equals_batch(spark, recorded, tmp_path, files):
     assert set(got) == set(want)
     for k in want:
         assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1])
-    waiting = [r for r in rows if not r.window_ready]
-    assert all(r.state == "buffering" and r.buffered_samples < LENGTH == r.needed_samples for r in waiting)
-    assert max(r.buffered_samples for r in waiting if r.device == "w3") == 7
+    for d, x in data.items():
+        filling = [(r.seq, r.buffered_samples) for r in rows if r.device == d and r.state == "buffering"]
+        assert sorted(filling) == [(i, i + 1) for i in range(min(len(x), LENGTH - 1))]
+    assert all(r.buffered_samples == LENGTH for r in rows if r.window_ready)
+    assert sorted((r.device, r.seq) for r in rows if r.state == "rejected") == [("w1", 0), ("w2", 30), ("w3", 6)]
+
+
+def test_any_order_of_files_gives_the_same(spark, recorded, tmp_path):
+    """Files in shuffled order, one per batch: held back, scored in order, closed by end marks."""
+    folder, data = recorded
+    live.use_rocksdb(spark)
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    files = sorted(folder.iterdir())
+    np.random.default_rng(5).shuffle(files)
+    for age, f in enumerate(files):
+        (incoming / f.name).write_text(f.read_text())
+        os.utime(incoming / f.name, (1_700_000_000 + age, 1_700_000_000 + age))
+
+    def run():
+        stream = live.well_formed(live.read_sample_stream(spark, str(incoming), files_per_trigger=4))
+        return live.run_to_table(live.score_stream(stream, scorer, LENGTH, STRIDE, lateness=1000), str(tmp_path / "out"), str(tmp_path / "cp"))
+
+    assert run().filter("window_ready").count() == 0  # all within the lateness
+    (incoming / "zend.json").write_text(json.dumps([{"device": d, "seq": len(x), "end": True} for d, x in data.items()]))
+    rows = run().collect()
+    got = {(r.device, r.window_index): r.state for r in rows if r.window_ready}
+    assert got == {k: v[0] for k, v in expected(spark, data).items()}
+    assert sorted((r.device, r.seq) for r in rows if r.state == "rejected") == [("w1", 0), ("w2", 30), ("w3", 6)]
+    (incoming / "zlate.json").write_text(json.dumps([{"device": "w1", "seq": 40.5, **dict.fromkeys(CHANNELS, 1)}, {"device": "w1", "seq": -7, **dict.fromkeys(CHANNELS, 1)}]))
+    late = [r for r in run().collect() if r.state == "rejected" and r.seq == -7]
+    assert len(late) == 1
+
+
+def test_end_mark_starts_afresh(spark, tmp_path):
+    """Samples after an end mark fill a new window: neither buffer nor average leaks over."""
+    live.use_rocksdb(spark)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    one = [{"device": "d", "seq": i, **dict(zip(CHANNELS, map(float, v)))} for i, v in enumerate(x)]
+    items = one[:30] + [{"device": "d", "seq": 30, "end": True}] + [{**s, "seq": s["seq"] + 1} for s in one[30:]]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(items))
+    stream = live.well_formed(live.read_sample_stream(spark, str(tmp_path / "in")))
+    scored = live.score_stream(stream, scorer, LENGTH, STRIDE)
+    rows = live.run_to_table(scored, str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    got = sorted((r.seq, r.p_fall) for r in rows if r.window_ready)
+    want = [(k + s + LENGTH - 1 + (k > 0), live.softmax_rows(scorer(live.augment(x[k + s : k + s + LENGTH], 100.0)[None]))[0, 2]) for k in (0, 30) for s in (0, 5, 10)]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def test_samples_without_device_and_number(spark, tmp_path):
+    """Six channels alone: order by file name and place, numbers as text, bad neighbours rejected one by one."""
+    good = dict(zip(CHANNELS, (1, "2.5", -3, 0.0, "4e-1", 7)))
+    (tmp_path / "sample_00002.json").write_text(json.dumps([good, {**good, "acc_y": None}, 5, {**good, "acc_x": "up"}, {**good, "acc_x": 9}]))
+    (tmp_path / "sample_00010.json").write_text(json.dumps({**good, "acc_x": 10}))
+    (tmp_path / "sample_00011.json").write_text("[]")
+    (tmp_path / "sample_00012.json").write_text("")
+    place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
+    rows = live.parse_samples(spark.read.option("wholetext", True).text(str(tmp_path)).withColumns(place))
+    kept = live.well_formed(rows).orderBy("seq").collect()
+    assert [r.acc_x for r in kept] == [1.0, 9.0, 10.0] and {r.device for r in kept} == {"default"} and kept[0].acc_y == 2.5
+    assert sorted(r.problem for r in live.rejects(rows).collect() if r.source_file == "sample_00002.json") == ["acc_x", "acc_y", "not an object"]
 
 
 def test_current_state(spark, recorded, tmp_path):
     folder, data = recorded
     live.use_rocksdb(spark)
-    stream = live.well_formed(live.read_sample_stream(spark, str(folder), files_per_trigger=2))
+    stream = live.well_formed(live.read_sample_stream(spark, str(folder), files_per_trigger=4))
     scored = live.score_stream(stream, scorer, LENGTH, STRIDE)
     live.write_state(scored, str(tmp_path / "state"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
     got = {r.device: r for r in live.read_state(spark, str(tmp_path / "state")).collect()}
@@ -91,7 +151,8 @@ def test_current_state(spark, recorded, tmp_path):
 
 def test_rejects(spark, recorded):
     folder, _ = recorded
-    rows = spark.read.schema(live.SAMPLE_SCHEMA).option("multiLine", True).json(str(folder)).cache()
-    bad = live.rejects(rows).collect()
-    assert len(bad) == 2 and sum(r["_corrupt_record"] is not None for r in bad) == 1
+    place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
+    rows = live.parse_samples(spark.read.option("wholetext", True).text(str(folder)).withColumns(place))
+    bad = [(r.source_file, r.problem) for r in live.rejects(rows).collect()]
+    assert sorted(bad) == [("s002.json", ",".join(CHANNELS[1:])), ("s003b.json", "unreadable file")]
     assert live.well_formed(rows).filter(F.col("seq") == 500).count() == 0

@@ -77,7 +77,7 @@ def main():
             else:
                 status = f"rows only: {df.count()}"
         except Exception as exc:  # report and go on
-            status = f"ERROR {str(exc)[-1200:]}"
+            status = f"ERROR {(str(exc)[:500] + str(exc)[-700:])}"
             failed += 1
         print(f"{name:28s} {time.time() - t:6.1f}s {status}", flush=True)
     print(f"{failed} failed of {len(names)}")
