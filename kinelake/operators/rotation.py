@@ -79,10 +79,11 @@ def apply_rotation(samples: DataFrame) -> DataFrame:
 def rotate(samples: DataFrame, calibrations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rotate each sample by its subject's calibration.
 
-    There is one calibration row per subject. Spark broadcasts it when its size allows and
+    There is one calibration row per subject; samples of a subject without one keep their place, with
+    channels missing, so that validation can name them. Spark broadcasts it when its size allows and
     otherwise splits large subjects in the sort-merge join (adaptive skew join).
     """
-    joined = samples.join(calibrations.select(*keys, *ROTATION), list(keys))
+    joined = samples.join(calibrations.select(*keys, *ROTATION), list(keys), "left")
     return apply_rotation(joined).select(*samples.columns)
 
 

@@ -80,11 +80,13 @@ def assert_no_leakage(df: DataFrame, subject: str = SUBJECT, split: str = "split
 
 
 def loso_folds(df: DataFrame, subject: str = SUBJECT, split: Column | None = None) -> DataFrame:
-    """One fold per subject in name order: fold_id and test_subject."""
+    """One fold per subject in name order: fold_id and test_subject. Fewer than 2 subjects are an error."""
     subjects = df.select(F.col(subject).alias("test_subject")).distinct()
     slices = F.substring("test_subject", 1, 10) if split is None else split
     folds = number_rows(subjects, [], ["test_subject"], slices, "fold_id")
-    return folds.select("fold_id", "test_subject")
+    count = subjects.agg(F.count("*").alias("_subjects"))  # one row
+    few = F.when(F.col("_subjects") < 2, _error("leave-one-subject-out needs at least 2 subjects")).otherwise(F.col("fold_id"))
+    return folds.join(F.broadcast(count)).select(few.alias("fold_id"), "test_subject")
 
 
 def with_fold_role(df: DataFrame, test_subject: str, subject: str = SUBJECT) -> DataFrame:

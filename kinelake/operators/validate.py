@@ -155,12 +155,13 @@ def validate(
     frame: str = "frame",
     size: int = BLOCK_FRAMES,
 ) -> DataFrame:
-    """Trials with ``issues`` (messages), ``issue_codes``, ``accepted`` and ``n_frames``.
+    """Trials with ``issues`` (messages), ``issue_codes``, ``accepted`` and ``n_frames``, also those without samples
+    or without a calibration of their subject.
 
     ``duration_ranges`` optionally gives ``activity_code``, ``min_s``, ``max_s``.
     """
     stats = signal_statistics(samples, keys, rate_hz, frame, size)
-    checked = trials.drop("n_frames").join(stats, list(keys))
+    checked = trials.drop("n_frames").join(stats, list(keys), "left")
     gravity = rotated_gravity(calibrations).select(*subject, "v_x", "v_y", "v_z")
     checked = checked.join(gravity, list(subject), "left")
     if duration_ranges is None:
@@ -168,12 +169,16 @@ def validate(
     else:
         checked = checked.join(duration_ranges, ["activity_code"], "left")
     n = F.col("n_frames")
-    issues = signal_issues(samples.columns, rate_hz) + calibration_issues()
+    absent = [
+        _issue("no_samples", n.isNull(), "the trial has no samples"),
+        _issue("no_calibration", F.col("v_x").isNull() | F.col("v_y").isNull() | F.col("v_z").isNull(), "the subject has no calibration"),
+    ]
+    issues = absent + signal_issues(samples.columns, rate_hz) + calibration_issues()
     issues += [duration_issue(n, rate_hz, "min_s", "max_s")] + label_issues(n)
     checked = checked.withColumn("_issues", F.array_compact(F.array(*issues)))
     return checked.select(
         *trials.drop("n_frames").columns,
-        "n_frames",
+        F.coalesce("n_frames", F.lit(0)).alias("n_frames"),
         F.col("_issues.message").alias("issues"),
         F.col("_issues.code").alias("issue_codes"),
         (F.size("_issues") == 0).alias("accepted"),

@@ -212,3 +212,14 @@ def test_each_validation_rule(spark):
         assert {r["k"] for r in found if r["accepted"]} == {10}
     short = validate.validate(df.drop("gyro_z"), trials, cal, ["k"], ["s"], 100.0).filter("k = 10").first()
     assert short["issue_codes"] == ["schema"]
+    more = trials.union(spark.createDataFrame([(77, 10, "T01", "adl", None, None)], trials.schema))
+    lost = validate.validate(df, more, cal.filter("s <> 11"), ["k"], ["s"], 100.0).collect()
+    codes = {r["k"]: (r["issue_codes"], r["accepted"], r["n_frames"]) for r in lost}
+    assert codes[77] == (["no_samples"], False, 0) and codes[11][:2] == (["no_calibration"], False) and codes[10][1]
+
+
+def test_samples_without_calibration_stay(spark):
+    cal = rotation.gravity_rotation(spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "s long, g_x double, g_y double, g_z double"), "g_x", "g_y", "g_z")
+    rows = spark.createDataFrame([(k, float(k), 1.0, 2.0, 3.0, 4.0, 5.0) for k in (1, 2)], "s long, acc_x double, acc_y double, acc_z double, gyro_x double, gyro_y double, gyro_z double")
+    got = {r["s"]: r["acc_z"] for r in rotation.rotate(rows, cal, ["s"]).collect()}
+    assert got[1] == 2.0 and got[2] is None

@@ -256,3 +256,26 @@ def test_cache_recompute(spark, tmp_path):
 
 def test_window_config():
     assert pd.Series([WindowConfig(1.0, 0.1).stride]).tolist() == [10]
+
+
+def test_store_adds_beside_what_is_stored(spark, tmp_path):
+    """A second batch of a dataset leaves the first; a trial that comes again is replaced, accepted or not."""
+    schema = "dataset string, subject_id string, activity_code string, trial_id string, frame long, acc_x double"
+    def batch(subject, trial, value, n=3):
+        return spark.createDataFrame([("kfall", subject, "T01", trial, i, value) for i in range(n)], schema)
+
+    def verdict(rows, accepted):
+        return rows.select(*tables.TRIAL_KEYS).distinct().withColumn("accepted", F.lit(accepted))
+
+    root = str(tmp_path / "samples")
+    for rows, accepted in ((batch("SA06", "R01", 1.0), False), (batch("SA07", "R01", 2.0), True), (batch("SA06", "R02", 3.0), True), (batch("SA06", "R01", 4.0, 2), True)):
+        tables.write_harmonized(rows, verdict(rows, accepted), root, "kfall")
+    held = {(r.subject_id, r.trial_id): (r.n, r.v) for r in tables.read_harmonized(spark, root, True, ["acc_x"]).groupBy("subject_id", "trial_id").agg(F.count("*").alias("n"), F.max("acc_x").alias("v")).collect()}
+    assert held == {("SA06", "R01"): (2, 4.0), ("SA06", "R02"): (3, 3.0), ("SA07", "R01"): (3, 2.0)}
+    assert tables.read_harmonized(spark, root, False, ["acc_x"]).count() == 0
+
+
+def test_cache_returns_what_was_asked(spark, tmp_path):
+    rows = spark.createDataFrame([("kfall", 1.0), ("sisfall", 2.0)], "dataset string, x double").select("x", "dataset")
+    tables.cache_features(rows, str(tmp_path / "cache"))
+    assert [r.dataset for r in tables.cache_features(rows.filter("dataset = 'kfall'"), str(tmp_path / "cache")).collect()] == ["kfall"]
