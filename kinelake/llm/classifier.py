@@ -3,8 +3,8 @@
 Tokens are runs of letters, of digits, or of other symbols. A token's index vector has a few random signs;
 its word vector is the sum of the index vectors of its neighbours over the whole corpus, counted in integers
 (so that the sum does not depend on the order of tasks) in ``buckets`` hashed rows. A document is the mean of
-its word vectors, with the share of each letter-case and symbol shape and the chance that two of its tokens
-agree. The network learns from at most ``sample`` labelled rows, those with the smallest hash of their id; a
+its word vectors, with the share of each letter-case and symbol shape and the chances that two of its words, or
+two neighbouring ones, agree. The network learns from at most ``sample`` labelled rows, those with the smallest hash of their id; a
 fifth of them sets the temperature that calibrates its probabilities.
 """
 
@@ -34,7 +34,7 @@ class Settings:
     reach: int = 2
     sample: int = 20_000
     hidden: int = 24
-    steps: int = 600
+    steps: int = 300
     seed: int = 11
 
 
@@ -126,22 +126,32 @@ def word_vectors(documents: DataFrame, s: Settings, text: str = "text") -> np.nd
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+#: Beside the mean word vector and the shapes: agreement of any two and of neighbouring word tokens, length of the
+#: mean vector, logarithm of the number of tokens.
+_MORE = 4
+
+
 def features(data: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """One row per text: mean word vector and its length, shares of shapes, chance that two tokens agree."""
+    """One row per text: mean word vector, shares of shapes, and the four of ``_MORE``."""
     hashes, shape, first = tokens(data, at)
     counts = np.diff(first)
     n, dims = len(counts), vectors.shape[1]
-    out = np.zeros((n, dims + SHAPES + 2), np.float32)
+    out = np.zeros((n, dims + SHAPES + _MORE), np.float32)
     full = counts > 0
     if full.any():
         bucket = (hashes % np.uint64(len(vectors))).astype(np.int64)
         doc = np.repeat(np.arange(n), counts)
-        of = counts[full][:, None]
-        out[full, :dims] = np.add.reduceat(vectors[bucket], first[:-1][full]) / of
+        out[full, :dims] = np.add.reduceat(vectors[bucket], first[:-1][full]) / counts[full][:, None]
         out[:, dims : dims + SHAPES] = np.bincount(doc * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES) / np.maximum(counts, 1)[:, None]
+        word = shape < 4
+        doc, hashes = doc[word], hashes[word]
         own = np.bincount(doc * _AGREE + (hashes >> np.uint64(56)).astype(np.int64), minlength=n * _AGREE).reshape(n, _AGREE)
-        out[full, -2] = np.log(np.square(own[full] / of).sum(1))
-        out[full, -1] = np.linalg.norm(out[full, :dims], axis=1)
+        total = own.sum(1)
+        out[:, -4] = np.sqrt((np.square(own).sum(1) - total) / np.maximum(total * (total - 1.0), 1.0))
+        near = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+        out[:, -3] = np.bincount(doc[1:], near, minlength=n) / np.maximum(total - 1.0, 1.0)
+        out[full, -2] = np.linalg.norm(out[full, :dims], axis=1)
+        out[:, -1] = np.log1p(counts)
     return out
 
 
@@ -211,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_i
     kind = documents.schema[doc_id].dataType.simpleString()
     got = rows.mapInArrow(_vectorised(shared), f"id {kind}, y int, x binary").dropDuplicates(["id"]).toArrow().sort_by("id")
     y = got.column("y").to_numpy().astype(np.float64)
-    width = s.dims + SHAPES + 2
+    width = s.dims + SHAPES + _MORE
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width)
     share = float(y.mean()) if len(y) else 0.5
     if not 0 < share < 1 or len(y) < 10:
