@@ -88,13 +88,17 @@ def subject_split(spark, sf_dir):
 
 @query(
     "split_leakage",
-    f"""WITH {_SUBJECTS_SQL},
+    f"""WITH {_SUBJECTS_SQL.replace("s_suppkey % 4 = 0", "s_suppkey % 3 = 0")},
 bad AS (SELECT subject_id, split FROM c JOIN sp ON sp.global_subject_id = c.dataset || '_' || subject_id)
 SELECT subject_id, count(DISTINCT split) AS n_splits FROM bad GROUP BY subject_id HAVING count(DISTINCT split) > 1""",
 )
 def split_leakage(spark, sf_dir):
-    """Grouping by the bare subject id leaks, because ids repeat across datasets; this finds where."""
-    rows = splits.split_by_subject(_subject_catalog(spark, sf_dir))
+    """Grouping by the bare subject id leaks, because ids repeat across datasets; this finds where.
+
+    Trials are dealt to datasets such that a subject id has trials in both.
+    """
+    trials = catalog(spark, sf_dir).withColumn("dataset", F.when(F.col("trial") % 3 == 0, "sisfall").otherwise("kfall"))
+    rows = splits.split_by_subject(trials.withColumn("global_subject_id", windows.global_subject()))
     return splits.leaking_subjects(rows, "subject_id")
 
 

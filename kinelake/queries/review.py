@@ -120,7 +120,7 @@ al({keys}, window_index, e0, e1, e2, code) AS (
 
 # A rising and falling risk along each trial, with some jitter, so that every state occurs.
 _RISK = {
-    "p_pre_impact": "least(0.9, greatest(0.05, 0.9 - abs(start_frame - coalesce(fall_onset_frame, 120)) / 173 + (window_index * 7 + trial) % 11 / 97))",
+    "p_pre_impact": "least(0.9, greatest(0.05, 0.9 - abs(start_frame - coalesce(fall_onset_frame, 120)) / CASE WHEN trial % 2 = 0 THEN 43 ELSE 173 END + (window_index * 7 + trial) % 11 / 97))",
     "p_fall": "CASE WHEN start_frame >= coalesce(fall_impact_frame, 90000) - 20 AND (window_index + trial) % 5 <> 0 THEN 0.75 ELSE 0.03 END",
 }
 _RISK_SQL = f"""risk AS (SELECT *, {", ".join(f"({e})::DOUBLE AS r_{n}" for n, e in _RISK.items())} FROM pr),
