@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.frames import unused
+from kinelake.llm.frames import settled, unused
 
 #: Hexadecimal digits of a hash that become a number: 52 bits, exact in double precision.
 DIGITS = 13
 
+#: Up to this many sources (about a kilobyte each), their rates are broadcast; beyond, the join shuffles.
+BROADCAST_SOURCES = 10_000
+
 #: Larger rates are drawn as a sum of equal parts of at most this rate, each inverted by itself.
 PART_RATE = 64.0
 
@@ -77,7 +80,9 @@ def replicate(documents: DataFrame, weights: DataFrame | None = None, seed: int
     held = held_by_source(documents, source, text)
     rates = repetition_rates(held, tempered_weights(held, power) if weights is None else weights, total)
     named, steps, count = unused(base, "named", "steps", "count")
-    rates = rates.select(F.col("source").alias(named), "rate", _steps(F.col("rate")).alias(steps))
+    rates = settled(rates.select(F.col("source").alias(named), "rate", _steps(F.col("rate")).alias(steps)), "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     own = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
     def part(total_: Column, i: Column) -> Column:
