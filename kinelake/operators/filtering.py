@@ -90,7 +90,11 @@ def bandpass(
     frame: str = "frame",
     size: int = BLOCK_FRAMES,
 ) -> DataFrame:
-    """Zero-phase Butterworth band-pass of ``channels``; other columns pass through."""
+    """Zero-phase Butterworth band-pass of ``channels``; other columns pass through.
+
+    A series too short to be mirrored at its ends (27 samples at order 4) gets NaN channels, so that
+    validation quarantines it and the others go on.
+    """
     impulse, settle = filters.responses(order, low, high, rate_hz)
     pad = filters.edge_length(order)
     keys, channels = list(keys), list(channels)
@@ -102,7 +106,9 @@ def bandpass(
         for pdf, groups in whole_groups(batches, [*keys, "block"]):
             core, signal = pdf["core"].to_numpy(), pdf[channels].to_numpy(float)
             for i, j in groups:
-                if core[i:j].any():  # else context past the end of the series
+                if j - i <= pad:
+                    signal[i:j] = np.nan
+                elif core[i:j].any():  # else context past the end of the series
                     signal[i:j] = filters.zero_phase(signal[i:j], impulse, settle, pad)
             out = pdf.loc[core, schema.names]
             yield out.assign(**{c: signal[core, k] for k, c in enumerate(channels)})

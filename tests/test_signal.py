@@ -223,3 +223,9 @@ def test_samples_without_calibration_stay(spark):
     rows = spark.createDataFrame([(k, float(k), 1.0, 2.0, 3.0, 4.0, 5.0) for k in (1, 2)], "s long, acc_x double, acc_y double, acc_z double, gyro_x double, gyro_y double, gyro_z double")
     got = {r["s"]: r["acc_z"] for r in rotation.rotate(rows, cal, ["s"]).collect()}
     assert got[1] == 2.0 and got[2] is None
+
+
+def test_short_series_does_not_end_the_run(spark):
+    rows = [(k, i, float(i % 7)) for k, n in ((1, 27), (2, 200)) for i in range(n)]
+    got = filtering.bandpass(spark.createDataFrame(rows, "k long, frame long, acc_x double"), ["k"], ["acc_x"], 100.0).collect()
+    assert len(got) == 227 and all(np.isnan(r["acc_x"]) == (r["k"] == 1) for r in got)
