@@ -92,7 +92,7 @@ def bandpass(
 ) -> DataFrame:
     """Zero-phase Butterworth band-pass of ``channels``; other columns pass through.
 
-    A series too short to be mirrored at its ends (27 samples at order 4) gets NaN channels, so that
+    A series too short to be mirrored at its ends (27 samples at order 4) gets missing channels, so that
     validation quarantines it and the others go on.
     """
     impulse, settle = filters.responses(order, low, high, rate_hz)
