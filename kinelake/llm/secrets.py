@@ -26,8 +26,9 @@ BASE = (
 #: Cheap necessary conditions, so that most texts are never cut up.
 NEEDS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
 
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-TOKEN_NEEDS = r"[A-Za-z0-9+/_-]{20}"
+#: A whole run of 20 symbols or more with a digit among them; mid-run starts fail at once, so runs cost their length.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
+TOKEN_NEEDS = TOKEN
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -139,7 +140,7 @@ def scanned(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     none = F.array().cast(_SPAN)
     found = [F.when(F.col("body").rlike(NEEDS[k]), spans_of(F.col("body"), p, i, g, least)).otherwise(none) for i, (k, p, g, least) in enumerate(BASE)]
     tokens = F.when(F.col("body").rlike(TOKEN_NEEDS), spans_of(F.col("body"), TOKEN, len(BASE))).otherwise(none)
-    mixed = F.filter(tokens, lambda t: t["token"].rlike("[0-9]") & t["token"].rlike("[A-Za-z]"))
+    mixed = F.filter(tokens, lambda t: t["token"].rlike("[A-Za-z]"))
     return rows.select("id", F.concat(*found).alias("base"), mixed.alias("mixed")).select(
         "id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"),
         F.transform("mixed", _classed).alias("tokens"),
