@@ -4,13 +4,18 @@ Three patterns give the base spans. Beside them every long token that mixes lett
 a battery of randomness tests in the smallest encoding that holds it (hex, base 32, base 36, base 62, base
 64): chi-squared uniformity over the encoding's alphabet, runs above and below its middle, and lag-one serial
 correlation. A token stays a candidate unless randomness is rejected. Whether candidates are secrets is then
-settled by controlling false discoveries: the p-value of a token is the chance that text of its length,
-where two letters agree as often as in written language, is as free of repeats; tokens are classed by length
-(doubling classes) and each class is cut by the step-up rule at rate ``fdr``, since short tokens prove less.
+settled by controlling false discoveries: the p-value of a token is the chance that ordinary text of its
+length, confined to its encoding, is as free of repeats, where two letters agree as often as in written
+language (in hex, as often as its letters a to f and the token's own share of digits). In the encodings of one
+case it is joined by Fisher's rule with the chance that text turns as often from letters to digits or back.
+Tokens are classed by length (doubling classes) and each class is cut by the step-up rule at rate ``fdr``, since
+short tokens prove less.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +49,15 @@ ENCODINGS = (
 #: Chances that two and three letters of written language agree.
 TEXT_PAIR, TEXT_TRIPLE = 0.065, 0.0055
 
+#: The same among the letters a to f of written language alone, and among digits.
+HEX_PAIR, HEX_TRIPLE, DIGIT_PAIR, DIGIT_TRIPLE = 0.261, 0.0855, 0.1, 0.01
+
+#: Chance that text with digits in it turns from letters to digits, or back, at a symbol: one number in 20 symbols.
+TEXT_TURN = 0.1
+
+#: The first encodings are of one case and hold no signs.
+PLAIN_ENCODINGS = 3
+
 #: p-values are counted in classes of a quarter of a power of ten, down to 10**-75.
 P_STEPS, P_CLASSES = 4, 300
 
@@ -74,17 +88,35 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1.0 - upper)
 
 
+def _turns_tail(n: Column, k: Column) -> Column:
+    """Bound on the chance of k turns or more at n places: the binomial term at k, and a geometric series for those above."""
+    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log((n - i + 1.0) / i))
+    ratio = (n - k) * TEXT_TURN / ((k + 1.0) * (1.0 - TEXT_TURN))
+    term = F.exp(terms + k * math.log(TEXT_TURN) + (n - k) * math.log(1.0 - TEXT_TURN))
+    return F.when(k > n * TEXT_TURN + 1.0, F.least(F.lit(1.0), term / (1.0 - ratio))).otherwise(F.lit(1.0))
+
+
+def _both(p: Column, q: Column) -> Column:
+    """Fisher's joint chance of two independent ones."""
+    product = F.greatest(p * q, F.lit(1e-300))
+    return product * (1.0 - F.log(product))
+
+
 def _battery(token: Column) -> Column:
-    """(n, p_random, p_text) of a token of two symbols or more."""
-    alphabet = own = None
-    for pattern, letters, fold in reversed(ENCODINGS):
+    """(n, p_random, p_text, p_own) of a token of two symbols or more: p_text for free text, p_own for text confined to the encoding."""
+    alphabet = own = code = None
+    for k, (pattern, letters, fold) in reversed(list(enumerate(ENCODINGS))):
         plain = F.lower(token) if fold else F.translate(token, "-_", "+/")
         fits = token.rlike(pattern)
         alphabet = F.lit(letters) if alphabet is None else F.when(fits, F.lit(letters)).otherwise(alphabet)
         own = plain if own is None else F.when(fits, plain).otherwise(own)
-    start = F.struct(own.alias("own"), alphabet.alias("alphabet"))
+        code = F.lit(k) if code is None else F.when(fits, F.lit(k)).otherwise(code)
+    runs_of = lambda pattern: F.size(F.regexp_extract_all(token, F.lit(pattern), F.lit(0)))
+    digits = F.char_length(F.regexp_replace(token, "[^0-9]+", ""))
+    turned = F.greatest(F.lit(0), runs_of("[0-9]+") + runs_of("[^0-9]+") - 1)
+    start = F.struct(own.alias("own"), alphabet.alias("alphabet"), code.alias("code"), digits.alias("digits"), turned.alias("turned"))
     symbols = F.transform(F.array(start), lambda e: F.struct(
-        F.char_length(e["alphabet"]).cast("double").alias("m"),
+        F.char_length(e["alphabet"]).cast("double").alias("m"), e["code"].alias("code"), e["digits"].alias("digits"), e["turned"].alias("turned"),
         F.transform(F.sequence(F.lit(1), F.char_length(e["own"])), lambda i: F.position(F.substr(e["own"], i, F.lit(1)), e["alphabet"]) - 1).alias("v"),
     ))
 
@@ -93,7 +125,7 @@ def _battery(token: Column) -> Column:
         n = F.size(v).cast("double")
         zero = F.lit(0.0)
         same = F.aggregate(F.array_distinct(v), zero, lambda a, x: a + F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), F.lit(2.0)))
-        return F.struct(v.alias("v"), m.alias("m"), n.alias("n"), same.alias("same"), (F.aggregate(v, zero, lambda a, x: a + x) / n).alias("mean"))
+        return F.struct(e["code"].alias("code"), e["digits"].alias("digits"), e["turned"].alias("turned"), v.alias("v"), m.alias("m"), n.alias("n"), same.alias("same"), (F.aggregate(v, zero, lambda a, x: a + x) / n).alias("mean"))
 
     def counts(e: Column) -> Column:
         v, half, mean = e["v"], e["m"] / 2.0, e["mean"]
@@ -102,7 +134,7 @@ def _battery(token: Column) -> Column:
         high = F.size(F.filter(v, lambda x: x >= half)).cast("double")
         lag = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        return F.struct(e["m"].alias("m"), e["n"].alias("n"), e["same"].alias("same"), turns.alias("turns"), high.alias("high"), lag.alias("lag"), spread.alias("spread"))
+        return F.struct(e["code"].alias("code"), e["digits"].alias("digits"), e["turned"].alias("turned"), e["m"].alias("m"), e["n"].alias("n"), e["same"].alias("same"), turns.alias("turns"), high.alias("high"), lag.alias("lag"), spread.alias("spread"))
 
     def chances(e: Column) -> Column:
         m, n = e["m"], e["n"]
@@ -112,11 +144,20 @@ def _battery(token: Column) -> Column:
         serial = (e["lag"] / e["spread"] + 1.0 / n) * F.sqrt(n)
         least = F.least(_normal_tail(uneven), 2.0 * _normal_tail(F.abs(runs)), 2.0 * _normal_tail(F.abs(serial)))
         varied = (mean > 2.0) & (e["spread"] > 0.0)
-        pair, triple = TEXT_PAIR, TEXT_TRIPLE
-        deviation = F.sqrt((2.0 * (pair - pair**2) + 4.0 * (n - 2.0) * (triple - pair**2)) / (n * (n - 1.0)))
         agree = (e["same"] - n) / (n * (n - 1.0))
-        text = _normal_tail((pair - agree) / deviation)
-        return F.struct(n.alias("n"), F.when(varied, F.least(F.lit(1.0), 3.0 * least)).otherwise(F.lit(0.0)).alias("p_random"), text.alias("p_text"))
+
+        def freedom(pair, triple) -> Column:
+            deviation = F.sqrt((2.0 * (pair - pair * pair) + 4.0 * (n - 2.0) * (triple - pair * pair)) / (n * (n - 1.0)))
+            return _normal_tail((pair - agree) / deviation)
+
+        text = freedom(TEXT_PAIR, TEXT_TRIPLE)
+        d = e["digits"] / n
+        hexed = freedom(
+            (1.0 - d) * (1.0 - d) * HEX_PAIR + d * d * DIGIT_PAIR, (1.0 - d) * (1.0 - d) * (1.0 - d) * HEX_TRIPLE + d * d * d * DIGIT_TRIPLE
+        )
+        own = F.when(e["code"] < PLAIN_ENCODINGS, _both(F.when(e["code"] == 0, hexed).otherwise(text), _turns_tail(n - 1.0, e["turned"]))).otherwise(text)
+        random = F.when(varied, F.least(F.lit(1.0), 3.0 * least)).otherwise(F.lit(0.0))
+        return F.struct(n.alias("n"), random.alias("p_random"), text.alias("p_text"), own.alias("p_own"))
 
     return F.get(F.transform(F.transform(F.transform(symbols, sums), counts), chances), F.lit(0))
 
@@ -127,7 +168,7 @@ def _classed(token: Column) -> Column:
     one = F.transform(F.array(test), lambda t: F.struct(
         token["start"].alias("start"), token["end"].alias("end"),
         F.floor(F.log2(t["n"] / 20.0)).cast("int").alias("size"),
-        F.least(F.lit(P_CLASSES), F.floor(-F.log10(F.greatest(t["p_text"], F.lit(1e-80))) * P_STEPS)).cast("int").alias("step"),
+        F.least(F.lit(P_CLASSES), F.floor(-F.log10(F.greatest(t["p_own"], F.lit(1e-80))) * P_STEPS)).cast("int").alias("step"),
         t["p_random"].alias("p_random"),
     ))
     return F.get(one, F.lit(0))

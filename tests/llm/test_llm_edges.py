@@ -284,6 +284,42 @@ def test_battery_agrees_with_plain_loops(spark):
         assert math.isclose(r["b"]["p_text"], want[1], rel_tol=1e-3, abs_tol=1e-6), r
 
 
+def ordinary_tokens(rng, n):
+    """Words run together with a number or a date among them, in the case styles of names; long numbers and runs of a few hex words."""
+    syllables = [a + b for a in ("", *"bcdfghlmnprstvw", "st", "th", "pr") for b in ("a", "e", "i", "o", "er", "en", "an", "on", "al", "es", "ing", "ed")]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    number = lambda: str(rng.choice([rng.randint(1, 99), rng.randint(1990, 2030), 20_000_101 + rng.randint(0, 99_999)]))
+    out = []
+    for k in range(n):
+        size = rng.choice([22, 30, 40, 50, 64, 70])
+        if k % 5 == 4:  # hex only: numbers with a mark, or hex words with a number
+            t = rng.choice(["".join(rng.choices("0123456789", k=size)) + rng.choice("abcdef"), "".join(rng.choices(["dead", "beef", "face", "cafe", "bad", "feed", "ace", "decade"], k=12))[:size] + number()])
+        else:
+            t = ""
+            while len(t) < size:
+                t += word() + (number() if rng.random() < 0.15 else "")
+            t += "7"
+        out.append(t.upper() if k % 2 else t)
+    return out
+
+
+def test_secrets_of_every_encoding_among_ordinary_tokens(spark):
+    from kinelake.llm.secrets import find_secrets
+
+    rng = random.Random(11)
+    kinds = {"HEX40": ("0123456789ABCDEF", 40), "HEX64": ("0123456789ABCDEF", 64), "hex24": ("0123456789abcdef", 24), "BASE32": (string.ascii_uppercase + "234567", 40)}
+    keys = {k: ["".join(rng.choices(s, k=n)) for _ in range(60)] for k, (s, n) in kinds.items()}
+    plain = ordinary_tokens(rng, 1500)
+    named = [(k, t) for k, own in keys.items() for t in own] + [("", t) for t in plain]
+    frame = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(named)], "doc_id long, text string").repartition(8)
+    got = {r["id"]: any(s[1] == 3 and (s[0], s[2]) == (4, 4 + len(named[r["id"]][1])) for s in r["spans"]) for r in find_secrets(frame).collect()}
+    share = {k: sum(got[i] for i, (x, _) in enumerate(named) if x == k) / len(own) for k, own in keys.items()}
+    wrong = sum(got[i] for i, (x, _) in enumerate(named) if not x)
+    print("recall", share, "of ordinary", wrong, "of", len(plain))
+    assert share["HEX40"] >= 0.95 and share["HEX64"] >= 0.95 and share["hex24"] >= 0.5 and share["BASE32"] >= 0.7, share
+    assert wrong <= 0.03 * sum(got.values()), wrong
+
+
 def test_token_ids(spark, docs, none, rows):
     from tokenizers import Tokenizer
 
