@@ -155,6 +155,36 @@ def test_lines(docs, none, rows):
     assert remove_repeated_lines(none).count() == 0
 
 
+def test_lines_bounded_by_words(spark, docs, none, rows):
+    from kinelake.llm.lines import remove_repeated_lines
+
+    long, half, brief = prose(40, 60), prose(41, 30), prose(42, 49)
+    extra = [
+        (30, f"a\n{long}\nb\n{brief}\nc\n{half}\n{half} x"), (31, f"d\n{long}\ne"), (32, f"f\n{brief}\ng"), (33, f"h\n{half}\n{half} x\ni"), (34, f"j\n{half}\nk"),
+        (35, "two\nlines"), (36, "two\nlines"), (37, "two\nlines\nmore"), (38, long), (39, f"l\n{long}\nm\n{long}"), (40, "\n"), (41, "\n"), (42, brief), (43, brief),
+    ]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).repartition(3)
+    own_pairs = [*pairs(rows), *extra]
+    seen, want = set(), {}
+    for no_id, i, text in sorted({(i is None, i or 0, t or "") for i, t in own_pairs}):
+        own, gone = text.split("\n"), set()
+        for k in range(len(own)):
+            for n in (1, 2, 3):
+                w = tuple(own[k : k + n])
+                words = sum(len(brute.split(x)) for x in w)
+                if len(w) == n and (n == 3 or words >= 50 or (n == len(own) and words)):
+                    if w in seen:
+                        gone.update(range(k, k + n))
+                    seen.add(w)
+        want[None if no_id else i] = (len(own), len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone))
+    single = {i for i, n in counted(i for i, _ in own_pairs).items() if n == 1}
+    got = remove_repeated_lines(frame, window=3, passage=50)
+    kept = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in got.collect() if r["doc_id"] in single}
+    assert kept == {i: want[i] for i in single} and got.count() == len(own_pairs)
+    assert [kept[i][1] for i in (20, 31, 32, 33, 34, 36, 37, 38, 39, 41, 43)] == [1, 1, 0, 2, 0, 2, 0, 1, 2, 0, 1]
+    assert remove_repeated_lines(none, passage=50).count() == 0
+
+
 def test_near_duplicates(docs, none, rows):
     from kinelake.llm.jaccard import keep_one, near_duplicates
 
