@@ -186,14 +186,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_lm_scoring")
-def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document under a model of those that are not held out."""
+def _lm_scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     from kinelake.llm.ngram_lm import score, train
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    model = train(documents.where(~held_out), order=2)
+    model = train(documents.where(~held_out), order=order)
     return score(documents, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.orders[1].tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a bigram model of those that are not held out."""
+    return _lm_scores(spark, sf_dir, 2)
+
+
+@query("op2_lm_scoring_trigram")
+def op2_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a trigram model of those that are not held out."""
+    return _lm_scores(spark, sf_dir, 3)

@@ -50,6 +50,16 @@ def test_lm(spark, sf_dir, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_of_trigrams(spark, sf_dir, docs):
+    from kinelake.llm.ngram_lm import discounts
+
+    got = rows(spark, sf_dir, "op2_lm_scoring_trigram")
+    train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    for (i, _), (n, known, score, base) in zip(docs, brute.lm(docs, train, 3, discounts)):
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known)
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9) and math.isclose(got[i]["base_score"], base, rel_tol=1e-9)
+
+
 def test_secrets(spark, sf_dir, docs):
     got = rows(spark, sf_dir, "op5_secret_scan")
     names = ("assign", "access", "hex")
