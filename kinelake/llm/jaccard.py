@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import shared, words
 from kinelake.llm.components import components
-from kinelake.llm.frames import partitions, settled
+from kinelake.llm.frames import partitions, settled, text_key, unused
 
 #: Owner of a hash that several classes of a batch hold.
 MANY = -1
@@ -316,7 +316,21 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, doc_
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that are linked to one of smaller id. Columns stay; rows of null id stay."""
-    found = near_duplicates(documents, size, percent, doc_id, text)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return documents.join(gone, doc_id, "left_anti").select(*documents.columns)
+    """One document of each group of near duplicates, and every text without a shingle. Columns stay.
+
+    Of a group the row of the smallest id stays, of equal ids that of the smallest hash of the text, and of
+    rows equal in id and text any one. A null id comes last, so it stays only where all ids of its group are
+    null. Rows are told apart by 64 bits of (id, text): other rows of an id that goes are not touched.
+    """
+    mark, salt, named = unused(documents, "mark", "salt", "named")
+    key = text_key(F.col(text))
+    row = documents.withColumn(mark, F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), key))
+    found = near_duplicates(row.select(mark, text), size, percent, mark, text).where("n_shingles > 0")
+    groups = settled(found.select(F.col("doc_id").alias(mark), F.col("component_id").alias("group")).distinct(), "near-groups")
+    order = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), key.alias("key"), F.col(mark).alias("mark"))
+    best = row.select(mark, order.alias(named)).join(groups, mark).groupBy("group").agg(F.min(named)["mark"].alias("best"))
+    gone = groups.join(best, "group").where(F.col(mark) != F.col("best")).select(mark)
+    # texts without a word are in no group, so their equal rows stay
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = row.join(gone, mark, "left_anti").withColumn(salt, F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return left.dropDuplicates([mark, salt]).select(*documents.columns)

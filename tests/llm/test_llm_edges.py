@@ -194,6 +194,18 @@ def test_near_duplicates(docs, none, rows):
     assert near_duplicates(none).count() == 0 and keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_decides_by_row(spark):
+    from kinelake.llm.jaccard import keep_one
+
+    a, b, c, d = (prose(s, 100) for s in (50, 51, 52, 53))
+    rows = [(7, a), (7, a), (3, a + " tail"), (7, b), (None, c), (None, c), (None, d), (9, d), (None, None), (None, None), (8, " "), (8, " "), (10, c + " more"), (11, prose(54, 90))]
+    rows += [(None, prose(55, 90)), (None, prose(55, 90) + " end")]
+    kept = counted(map(tuple, keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    last = [k for k in kept if k[0] is None and k[1] and k[1].startswith(prose(55, 90))]
+    assert len(last) == 1 and kept.pop(last[0]) == 1
+    assert kept == counted([(3, a + " tail"), (7, b), (10, c + " more"), (9, d), (None, None), (None, None), (8, " "), (8, " "), (11, prose(54, 90))])
+
+
 def test_search_finds_every_link():
     import numpy as np
 
