@@ -4,8 +4,9 @@ The key of a text is a 64-bit hash of its normalised form. Equal texts meet by (
 on the bytes themselves, so texts that merely share a key form a chain of separate entries, and copies
 collapse on the map side before the shuffle. The entries are stored in shared files, one folder per bucket;
 a bucket is a range of keys with a common bit prefix. The directory starts with one bucket, and every
-doubling splits the overfull ones, until a bucket holds at most ``capacity`` different keys. Documents then
-look up their entry by (bucket, key, digest).
+doubling splits the overfull ones, until a bucket holds at most ``capacity`` different keys. The grouping alone
+decides which copy stays; the index is only stored, and documents meet its entries in an ordinary join on
+(key, digest) that uses neither bucket nor directory.
 """
 
 from __future__ import annotations
