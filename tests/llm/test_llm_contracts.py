@@ -125,3 +125,11 @@ def test_pipeline(spark, con, sf_dir, docs):
     assert sorted(r["doc_id"] for r in stored) == mixed
     ends = sorted((r["start"], r["start"] + r["n_tokens"], r["doc_id"]) for r in stored)
     assert ends[0][0] == 0 and all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(ends, ends[1:]))
+
+
+def test_quality_stage_drops_bad_documents(spark, con, sf_dir):
+    import corpus_pipeline as p
+
+    kept = {r["doc_id"] for r in p.quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).select("doc_id").collect()}
+    bad = {i for i, q in con.execute("SELECT doc_id, quality FROM labels").fetchall() if q == 0}
+    assert bad and len(bad & kept) <= 0.05 * len(bad)
