@@ -207,3 +207,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a trigram model of those that are not held out."""
     return _lm_scores(spark, sf_dir, 3)
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op12_phrase_collocations",
+    rf"""
+WITH doc AS (SELECT row_number() OVER () AS did, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER_SQL}, '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+piece AS (SELECT did, lang, unnest(p) AS piece, generate_subscripts(p, 1) AS pid FROM doc),
+listed AS (SELECT did, lang, pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w)) AS n FROM listed GROUP BY 1),
+gram AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+         FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM listed, (VALUES (1), (2), (3), (4)) v(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+part AS (SELECT *, array_to_string(w[1:j], ' ') AS p1, array_to_string(w[j + 1:], ' ') AS p2
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+cut AS (SELECT c.lang, c.phrase, c.k, c.a, c.j, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f) AS score
+        FROM part c JOIN f x ON x.lang = c.lang AND x.phrase = c.p1 AND x.k = c.j JOIN f y ON y.lang = c.lang AND y.phrase = c.p2 AND y.k = c.k - c.j),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT lang, k, a, m, array_to_string(w[s:s + m - 1], ' ') AS part
+         FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM cand, (VALUES (2), (3)) v(m) WHERE m < k)),
+most AS (SELECT lang, part, max(a) AS most FROM held GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN most ON most.lang = low.lang AND most.part = low.phrase
+         WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang)
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    from kinelake.llm.phrases import collocations
+
+    documents = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations(documents, least=30, longest=4, absorb=80, top=2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -108,20 +108,27 @@ def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int
         begin = end
 
 
-def words_of(data: np.ndarray, at: np.ndarray, kind: Alphabet) -> Words:
-    """Words of the texts ``data[at[d]:at[d + 1]]``."""
-    n = len(data)
+def word_bounds(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of word bytes, which never run over a text's bounds."""
+    n = len(word)
     if not n:
-        none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(at), np.int64), none.astype(np.uint64))
-    word = kind.is_word[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     fresh = np.zeros(n + 1, bool)
     fresh[at] = True
     opens = word.copy()
     opens[1:] &= ~word[:-1] | fresh[1:n]
     closes = word.copy()
     closes[:-1] &= ~word[1:] | fresh[1:n]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def words_of(data: np.ndarray, at: np.ndarray, kind: Alphabet) -> Words:
+    """Words of the texts ``data[at[d]:at[d + 1]]``."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Words(data, none, none, np.zeros(len(at), np.int64), none.astype(np.uint64))
+    starts, ends = word_bounds(kind.is_word[data], at)
     first = np.searchsorted(starts, at)
     up, down = powers(BYTE_BASE, n + 1)
     sums = np.zeros(n + 1, np.uint64)
