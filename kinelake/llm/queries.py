@@ -243,3 +243,28 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("text", "lang")
     return collocations(documents, least=30, longest=4, absorb=80, top=2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query(
+    "op13_ranked_search",
+    rf"""
+WITH word AS (SELECT doc_id, row_number() OVER () AS did, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+size AS (SELECT did, any_value(doc_id) AS doc_id, len(any_value(w)) AS n FROM word GROUP BY did),
+whole AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n) AS total FROM size),
+tf AS (SELECT did, term, count(*) AS tf FROM (SELECT did, unnest(w) AS term FROM word) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term),
+asked AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+term AS (SELECT item_id, q, term, count(*) AS again FROM (SELECT item_id, q, unnest(w) AS term FROM asked) GROUP BY ALL),
+scored AS (SELECT term.item_id, q, tf.did, any_value(size.doc_id) AS doc_id,
+                  sum(again * weight.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs)::BIGINT // total::BIGINT))))::BIGINT AS score
+           FROM term JOIN weight USING (term) JOIN tf USING (term) JOIN size ON size.did = tf.did, whole GROUP BY term.item_id, q, tf.did),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    from kinelake.llm.ranked import ranked_search
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20).select("item_id", "rank", "doc_id", "score")

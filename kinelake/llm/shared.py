@@ -15,6 +15,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 
 from kinelake.llm.words import run_lengths, spans
@@ -108,6 +109,16 @@ def opened_small(value: bytes, n: int) -> np.ndarray:
     return out
 
 
+def packed_ints(values: np.ndarray) -> bytes:
+    """Integers by their bytes, low ones first, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def opened_ints(value: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(value), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 @dataclass
 class Bucket:
     """All hashes of one bucket, with owner, row of the packed table, and place."""
