@@ -268,3 +268,20 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ranked_search(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20).select("item_id", "rank", "doc_id", "score")
+
+
+@query(
+    "op11_exact_top_k",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of largest inner product for every fiftieth one."""
+    from kinelake.llm.metric_tree import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50).select("query_id", "rank", "vec_id", "score")
