@@ -51,7 +51,10 @@ p AS (
 
 
 #: Event numbers that a sample may lag behind the newest of its user.
-LATENESS = 10_000_000
+LATENESS = 500
+
+#: How far the watermark lies behind the newest event, in milliseconds.
+DELAY_MS = 3_600_000
 
 
 def _stream(spark, sf_dir, ends: str):
@@ -99,6 +102,37 @@ def live_scores(spark, sf_dir):
     return table.select("device", "window_index", "seq", "buffered_samples", *probs, "state", "window_ready", "needed_samples")
 
 
+_DUE_SQL = f"""SELECT *, epoch_ms(ts) AS ms FROM events
+  WHERE epoch_ms(ts) // {live.SLICE_MS} < ((SELECT max(epoch_ms(ts)) FROM events) - {DELAY_MS}) // {live.SLICE_MS}"""
+_WATERMARK_SQL = _LIVE_SQL.replace("(PARTITION BY user_id ORDER BY event_id)", "(PARTITION BY user_id ORDER BY ms, event_id)").replace("FROM events)", f"FROM ({_DUE_SQL}))")
+
+
+@query(
+    "live_watermark",
+    f"""{_WATERMARK_SQL}
+SELECT al.device, al.window_index::BIGINT AS window_index, s.seq, round(p_fall, 6) AS p_fall,
+       CASE least(code, 2) WHEN 0 THEN 'calm' WHEN 1 THEN 'pre_impact' ELSE 'fall' END AS state
+FROM al JOIN (SELECT device, window_index, p2 AS p_fall FROM p) p ON p.device = al.device AND p.window_index = al.window_index
+JOIN s ON s.device = al.device AND s.frame = al.window_index * {STRIDE} + {LENGTH - 1}
+UNION ALL
+SELECT device, NULL, seq, NULL, 'buffering' FROM s WHERE frame < {LENGTH - 1}""",
+)
+def live_watermark(spark, sf_dir):
+    """Events in the order of their times, each scored once the watermark has passed its minute; no end marks."""
+    live.use_rocksdb(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    samples = events.select(
+        F.col("user_id").alias("device"),
+        F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        *[F.expr(e).cast("double").alias(c) for c, e in _CHANNEL_EXPR.items()],
+    )
+    scored = live.score_stream(samples, mean_scorer, LENGTH, STRIDE, 100.0, time="ts", delay=f"{DELAY_MS} milliseconds")
+    table = live.run_to_table(scored, shared_path(spark, "live-watermark"), shared_path(spark, "live-checkpoint"))
+    return table.select("device", "window_index", "seq", F.round("p_fall", 6).alias("p_fall"), "state")
+
+
 @query(
     "live_state",
     f"""{_LIVE_SQL}
@@ -155,6 +189,39 @@ def json_samples(spark, sf_dir):
     return live.run_to_table(stream, shared_path(spark, "samples"), shared_path(spark, "samples-checkpoint"), columns)
 
 
+def last_sample(batch: np.ndarray) -> np.ndarray:
+    """Logits that tell which sample came last."""
+    return np.column_stack([batch[:, -1, 0], batch[:, -1, 1], np.zeros(len(batch))])
+
+
+@query(
+    "json_order",
+    """WITH s AS (
+  SELECT user_id % 3 || '' AS device, event_id % 97 / 50.0 AS a, event_id % 89 / 60.0 AS b,
+         row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id // 100 % 7, event_id // 100, event_id) - 1 AS seq FROM events)
+SELECT device, seq, CASE WHEN seq > 0 THEN round(exp(a) / (exp(a) + exp(b) + 1), 6) END AS p_non_fall,
+       CASE WHEN seq > 0 THEN round(exp(b) / (exp(a) + exp(b) + 1), 6) END AS p_pre_impact FROM s""",
+)
+def json_order(spark, sf_dir):
+    """Samples without numbers, from arrays in files whose order only their whole names tell: a letter, then digits."""
+    value = {"acc_x": F.col("event_id") % 97 / 50.0, "acc_y": F.col("event_id") % 89 / 60.0}
+    channels = [value.get(c, F.lit(1.0)).cast("double").alias(c) for c in _CHANNEL_EXPR]
+    sample = F.struct("event_id", F.struct((F.col("user_id") % 3).cast("string").alias("device"), *channels).alias("sample"))
+    part = F.floor(F.col("event_id") / 100).alias("part")
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(part).agg(F.array_sort(F.collect_list(sample)).alias("all"))
+    letter = F.substring(F.lit("abcdefg"), (F.col("part") % 7 + 1).cast("int"), F.lit(1))
+    named = files.select(
+        F.to_json(F.col("all.sample")).alias("value"), F.concat_ws("_", letter, F.lpad("part", 12, "0")).alias("source_file"), F.lit(None).cast("timestamp").alias("modified")
+    )
+    folder = shared_path(spark, "json-order")
+    live.well_formed(live.parse_samples(named)).write.parquet(folder)
+    live.use_rocksdb(spark)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    scored = live.score_stream(stream, last_sample, 2, 1)
+    table = live.run_to_table(scored, shared_path(spark, "json-numbers"), shared_path(spark, "live-checkpoint"))
+    return table.select("device", "seq", *[F.round(c, 6).alias(c) for c in ("p_non_fall", "p_pre_impact")])
+
+
 @query(
     "json_rejects",
     f"""SELECT problem, CASE problem WHEN 'unreadable file' THEN count(DISTINCT event_id // 50) ELSE count(*) END AS n

@@ -1,9 +1,11 @@
 """Live scoring: a reorder buffer, a ring buffer, a scorer and alert smoothing per device.
 
-Samples of a device are held in keyed state until one arrives that is more than ``lateness`` ahead in
-``seq``, or the session ends; then they are scored in sequence order, one score for every ``stride`` new
-samples once the window is full. Output depends on the samples alone, not on how files fall into batches:
-what arrives later than that, or twice, comes out as a counted "rejected" row.
+Samples wait in keyed state, in slices of their order, until they are due; then they are scored in order, one score
+for every ``stride`` new samples once the window is full. They are due when a sample of their device is more than
+``lateness`` ahead in ``seq``, or, with event times, when the stream's watermark has passed their slice; an end mark
+makes all before it due. A call holds a bounded number of rows and one slice in memory, however long a session is or
+however much arrives at once; the rest lies in the state store. Output depends on the samples alone, not on how files
+fall into batches: what arrives later than that, or twice, comes out as a counted "rejected" row.
 """
 
 from __future__ import annotations
@@ -30,18 +32,21 @@ SAMPLE_SCHEMA = T.StructType(
         T.StructField("ends", T.BooleanType()),
         T.StructField("problem", T.StringType()),
         T.StructField("source_file", T.StringType()),
-        T.StructField("place", T.IntegerType()),
+        T.StructField("place", T.LongType()),
     ]
 )
-_STATE = "seq long, newest long, seen long, buffer array<double>, average array<double>, code int"
-_HELD = "rows binary"
+_STATE = (
+    "at long, seq long, newest long, newest_seq long, seen long, buffer array<double>, average array<double>, code int, "
+    "near binary, slices array<long>, held long, timer long"
+)
 NEVER = -(1 << 63)
 
-#: Samples in one entry of the held list, and windows scored at once.
-HELD_ROWS, SCORED_AT_ONCE = 4096, 1024
+#: Width of a slice in ``seq``, and in milliseconds of event time.
+SLICE_SEQ, SLICE_MS = 4096, 60_000
 
-#: Samples that one file may hold when it brings no sequence numbers of its own.
-FILE_SEQ = 1 << 20
+#: Rows that one call keeps in memory before it moves them to map state, rows that stay beside the device's own state
+#: between calls (few rows are cheaper there than slices of their own), and windows scored at once.
+ROWS_AT_ONCE, ROWS_NEAR, SCORED_AT_ONCE = 65_536, 1024, 1024
 
 
 def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
@@ -50,8 +55,8 @@ def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
     A file is one JSON object or an array of them. Each element is judged alone: numbers may be strings,
     further keys are ignored, and a bad one gets a ``problem`` ("unreadable file" for text that is no JSON,
     "not an object", or the names of missing or non-numeric channels) while its neighbours stay. Without
-    ``device`` the name is "default"; without ``seq`` the order is that of the files (by the digits of their
-    names, or their time if there are none) and then the place in the array. ``"end": true`` ends a session.
+    ``device`` the name is "default". Without ``seq`` it is null: such samples follow what came in earlier batches, in
+    the order of the files' whole names and then of their places in the array. ``"end": true`` ends a session.
     """
     text = F.trim("value")
     array = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
@@ -62,8 +67,6 @@ def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
     )
     item = F.from_json("element", "map<string,string>")
     rows = rows.withColumn("item", F.when(F.trim("element").startswith("{"), item))
-    named = F.regexp_replace("source_file", "[^0-9]", "")
-    file_no = F.coalesce(F.expr("try_cast(substr(regexp_replace(source_file, '[^0-9]', ''), -12) AS BIGINT)"), F.unix_millis("modified"))
     number = {c: F.expr(f"try_cast(item['{c}'] AS DOUBLE)") for c in CHANNELS}
     ends = F.coalesce(F.expr("try_cast(item['end'] AS BOOLEAN)"), F.lit(False))
     missing = F.array_compact(F.array(*(F.when(v.isNull(), F.lit(c)) for c, v in number.items())))
@@ -72,12 +75,11 @@ def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
         .when(F.col("item").isNull(), F.lit("not an object"))
         .when(~ends & (F.size(missing) > 0), F.array_join(missing, ","))
     )
-    own_seq = F.when(named != "", file_no).otherwise(F.unix_millis("modified")) * FILE_SEQ + F.coalesce("place", F.lit(0))
     return rows.select(
         F.coalesce(F.col("item")[device], F.lit("default")).alias("device"),
-        F.coalesce(F.expr("try_cast(item['seq'] AS BIGINT)"), own_seq).alias("seq"),
+        F.expr("try_cast(item['seq'] AS BIGINT)").alias("seq"),
         *[v.alias(c) for c, v in number.items()],
-        ends.alias("ends"), problem.alias("problem"), "source_file", "place",
+        ends.alias("ends"), problem.alias("problem"), "source_file", F.col("place").cast("long").alias("place"),
     )
 
 
@@ -115,8 +117,73 @@ def softmax_rows(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
+class Held:
+    """Rows of one device that wait, by slice: a bounded number in memory, the rest in map state, an entry per slice.
+
+    A row is order (event time or ``seq``), ``seq``, the channels, and whether it ends the session.
+    """
+
+    WIDTH = len(CHANNELS) + 3
+
+    def __init__(self, store, stored: Sequence[int], width: int, rows_at_once: int, near: bytes = b""):
+        self.store, self.stored, self.width, self.limit = store, set(stored), width, rows_at_once
+        self.near: dict[int, list[np.ndarray]] = {}
+        self.count = 0
+        self.put(np.frombuffer(near, np.float64).reshape(-1, self.WIDTH))
+
+    def put(self, rows: np.ndarray) -> None:
+        number = self.orders(rows) // self.width
+        by_slice = np.argsort(number, kind="stable")
+        number, rows = number[by_slice], rows[by_slice]
+        at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else []
+        for i, part in zip(at, np.split(rows, at[1:])):
+            self.near.setdefault(int(number[i]), []).append(part)
+        self.count += len(rows)
+        if self.count > self.limit:
+            self.settle()
+
+    def settle(self) -> None:
+        """Moves what is in memory to the state store."""
+        for number, parts in self.near.items():
+            earlier = [self._stored(number)] if number in self.stored else []
+            self.store.updateValue((number,), (np.vstack([*earlier, *parts]).tobytes(),))
+            self.stored.add(number)
+        self.near, self.count = {}, 0
+
+    def packed(self) -> bytes:
+        """What stays beside the device's state: all rows in memory if they are few, else none."""
+        if self.count > ROWS_NEAR:
+            self.settle()
+        return np.vstack([np.empty((0, self.WIDTH)), *(p for parts in self.near.values() for p in parts)]).tobytes()
+
+    def slices(self) -> list[int]:
+        return sorted(self.stored.union(self.near))
+
+    def take(self, number: int) -> np.ndarray:
+        """The rows of one slice in order, the first to come of equal ones first; they are no longer held."""
+        parts = self.near.pop(number, [])
+        self.count -= sum(map(len, parts))
+        if number in self.stored:
+            parts = [self._stored(number), *parts]
+            self.store.removeKey((number,))
+            self.stored.discard(number)
+        rows = np.vstack(parts)
+        return rows[np.lexsort((self.numbers(rows), self.orders(rows)))]
+
+    def _stored(self, number: int) -> np.ndarray:
+        return np.frombuffer(self.store.getValue((number,))[0], np.float64).reshape(-1, self.WIDTH)
+
+    @staticmethod
+    def orders(rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows[:, 0]).view(np.int64)
+
+    @staticmethod
+    def numbers(rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows[:, 1]).view(np.int64)
+
+
 class LiveScorer(StatefulProcessor):
-    """Per device: samples held back, the last ``length`` ones, the moving average and the alert state."""
+    """Per device: samples that wait, the last ``length`` ones, the moving average and the alert state."""
 
     def __init__(
         self,
@@ -128,53 +195,124 @@ class LiveScorer(StatefulProcessor):
         config: SmootherConfig,
         lateness: int,
         ttl_ms: int | None,
+        timed: bool = False,
+        report: bool = False,
     ) -> None:
         self.scorer, self.key, self.length, self.stride = scorer, key, length, stride
         self.rate_hz, self.config, self.lateness, self.ttl_ms = rate_hz, config, lateness, ttl_ms
+        self.timed, self.report, self.width = timed, report, SLICE_MS if timed else SLICE_SEQ
+        self.rows_at_once = ROWS_AT_ONCE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("device", _STATE, self.ttl_ms)
-        self.held = handle.getListState("held", _HELD, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            last, newest, seen, flat, average, code = self.state.get()
-            window = (seen, np.array(flat).reshape(-1, len(CHANNELS)), np.array(average) if average else None, code)
-        else:
-            last, newest, window = NEVER, NEVER, self.fresh()
-        parts = [self._rows(c) for c in self.held.get()]
-        held = sum(map(len, parts))
-        out = []
+        self.held = handle.getMapState("held", "slice long", "rows binary", self.ttl_ms)
+
+    def _load(self) -> dict:
+        if not self.state.exists():
+            return dict(last=(NEVER, NEVER), newest=NEVER, newest_seq=-1, window=self.fresh(), near=b"", slices=[], held=0, timer=0)
+        at, seq, newest, newest_seq, seen, flat, average, code, near, slices, held, timer = self.state.get()
+        window = (seen, np.array(flat).reshape(-1, len(CHANNELS)), np.array(average) if average else None, code)
+        return dict(last=(at, seq), newest=newest, newest_seq=newest_seq, window=window, near=near, slices=slices, held=held, timer=timer)
+
+    def _save(self, device: dict, held: Held) -> None:
+        near = held.packed()
+        if self.timed and (waiting := held.slices()):
+            due = (waiting[0] + 1) * self.width
+            if due != device["timer"]:
+                self.handle.registerTimer(due)
+                device["timer"] = due
+        seen, buffer, average, code = device["window"]
+        self.state.update(
+            (*device["last"], device["newest"], device["newest_seq"], seen, buffer.ravel().tolist(), [] if average is None else average.tolist(), code,
+             near, sorted(held.stored), device["held"], device["timer"])
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        device = self._load()
+        held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
+        until = NEVER  # an end mark makes due all up to it, however late others may be
+        unnumbered = []
         for frame in rows:
-            parts.append(np.column_stack([frame["seq"].to_numpy(np.int64).view(np.float64), frame[CHANNELS].to_numpy(float), frame["ends"].to_numpy(float)]))
-        new = np.vstack(parts)
-        seq = np.ascontiguousarray(new[:, 0]).view(np.int64)
-        order = np.argsort(seq, kind="stable")
-        new, seq = new[order], seq[order]
-        again = np.concatenate([[False], seq[1:] == seq[:-1]])
-        late = (seq <= last) | again
-        out += [(None, int(s), None, False, "rejected", None, None, None) for s in seq[late]]
-        new, seq = new[~late], seq[~late]
-        ended = np.flatnonzero(new[:, -1] > 0)
-        newest = max([newest, *seq[-1:].tolist()])
-        ready = int(np.searchsorted(seq, newest - self.lateness, "right"))
-        if len(ended):  # a session is over up to its end mark, however late others may be
-            ready = max(ready, int(ended[-1]) + 1)
+            if frame["seq"].isna().any():
+                unnumbered.append(frame[frame["seq"].isna()])
+                frame = frame[frame["seq"].notna()]
+            until, out = self._wait(device, held, frame, until)
+            yield from self._frames(key, out)
+        if unnumbered:
+            # Order of arrival: batch by batch, then by whole file name and place.
+            frame = pd.concat(unnumbered).sort_values(["source_file", "place"], kind="stable")
+            frame["seq"] = device["newest_seq"] + 1 + np.arange(len(frame))
+            until, out = self._wait(device, held, frame, until)
+            yield from self._frames(key, out)
+        bound = until if self.timed else max(until, device["newest"] - self.lateness)
+        yield from self._release(key, device, held, bound)
+        self._save(device, held)
+        if self.report:
+            yield from self._frames(key, [(None, device["newest_seq"], device["held"], False, "held", None, None, None)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed a slice: it is due, with all before it."""
+        device = self._load()
+        held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
+        bound = timerValues.getCurrentWatermarkInMs() // self.width * self.width - 1
+        yield from self._release(key, device, held, bound)
+        self._save(device, held)
+
+    def _wait(self, device: dict, held: Held, frame: pd.DataFrame, until: int) -> tuple[int, list]:
+        """Puts samples into their slices; those before what is scored come back as rejected."""
+        if not len(frame):
+            return until, []
+        seq = frame["seq"].to_numpy(np.int64)
+        at = frame["at"].to_numpy(np.int64) if self.timed else seq
+        late = (at < device["last"][0]) | (at == device["last"][0]) & (seq <= device["last"][1])
+        ends = frame["ends"].to_numpy(float)
+        new = np.column_stack([at.view(np.float64), seq.view(np.float64), frame[CHANNELS].to_numpy(float), ends])[~late]
+        if len(new):
+            device["newest"] = max(device["newest"], int(at[~late].max()))
+            device["newest_seq"] = max(device["newest_seq"], int(seq[~late].max()))
+            device["held"] += len(new)
+            held.put(new)
+            if (ends[~late] > 0).any():
+                until = max(until, int(at[~late][ends[~late] > 0].max()))
+        return until, [(None, int(s), None, False, "rejected", None, None, None) for s in seq[late]]
+
+    def _release(self, key, device: dict, held: Held, bound: int) -> Iterator[pd.DataFrame]:
+        """Scores all samples up to ``bound``, one slice or a run of small ones at a time."""
+        run, size = [], 0
+        for number in held.slices():
+            if number * self.width > bound:
+                break
+            rows = held.take(number)
+            ready = int(np.searchsorted(Held.orders(rows), bound, "right"))
+            if ready < len(rows):
+                held.put(rows[ready:])
+            run.append(rows[:ready])
+            size += ready
+            if size >= ROWS_NEAR:
+                yield from self._due(key, device, np.vstack(run))
+                run, size = [], 0
+        if size:
+            yield from self._due(key, device, np.vstack(run))
+
+    def _due(self, key, device: dict, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Scores rows that are in order."""
+        device["held"] -= len(rows)
+        at, seq, out = Held.orders(rows), Held.numbers(rows), []
+        again = np.zeros(len(rows), bool)
+        again[1:] = (at[1:] == at[:-1]) & (seq[1:] == seq[:-1])
+        device["last"] = (int(at[-1]), int(seq[-1]))
+        out += [(None, int(s), None, False, "rejected", None, None, None) for s in seq[again]]
+        rows, seq = rows[~again], seq[~again]
         begin = 0
-        for stop in [*(ended[ended < ready] + 1).tolist(), ready]:
-            mark = stop > begin and new[stop - 1, -1] > 0
-            window = self.scored(window, seq[begin:stop - 1 if mark else stop], new[begin:stop - 1 if mark else stop, 1:-1], out)
-            if mark:
-                window = self.fresh()
-            begin = stop
-        if ready:
-            last = int(seq[ready - 1])
-        seen, buffer, average, code = window
-        self.state.update((last, newest, seen, buffer.ravel().tolist(), [] if average is None else average.tolist(), code))
-        if ready or held != len(new):
-            rest = new[ready:]
-            chunks = [(rest[i : i + HELD_ROWS].tobytes(),) for i in range(0, len(rest), HELD_ROWS)]
-            self.held.put(chunks) if chunks else self.held.clear()
+        for stop in [*np.flatnonzero(rows[:, -1] > 0).tolist(), len(rows)]:
+            device["window"] = self.scored(device["window"], seq[begin:stop], rows[begin:stop, 2:-1], out)
+            if stop < len(rows):
+                device["window"] = self.fresh()
+            begin = stop + 1
+        yield from self._frames(key, out)
+
+    def _frames(self, key, out: list) -> Iterator[pd.DataFrame]:
         if out:
             frame = pd.DataFrame(out, columns=OUTPUT_NAMES)
             frame.insert(0, self.key, key[0])
@@ -185,10 +323,6 @@ class LiveScorer(StatefulProcessor):
     def fresh() -> tuple:
         return 0, np.empty((0, len(CHANNELS))), None, CALM
 
-    @staticmethod
-    def _rows(chunk) -> np.ndarray:
-        return np.frombuffer(chunk[0], np.float64).reshape(-1, len(CHANNELS) + 2)
-
     def scored(self, window: tuple, seq: np.ndarray, values: np.ndarray, out: list) -> tuple:
         """Feeds samples that are in order; adds a row for each while the window fills, then one per stride."""
         seen, buffer, average, code = window
@@ -244,24 +378,40 @@ def score_stream(
     config: SmootherConfig | None = None,
     lateness: int = 0,
     state_ttl_ms: int | None = None,
+    time: str | None = None,
+    delay: str = "10 seconds",
+    report: bool = False,
 ) -> DataFrame:
     """Scores and alert states per device.
 
     One row per scored window (``seq`` is that of its last sample), one "buffering" row for each sample that
     does not yet fill the window (with the fill level), and one "rejected" row for each sample that came after
     a sample more than ``lateness`` ahead had been scored, or whose ``seq`` came before. A sample with ``ends``
-    closes the session: what is held is scored and the device starts afresh. State (held samples, one window,
-    average and alert) lies in the RocksDB store; ``state_ttl_ms`` lets that of silent devices
-    expire, by processing time, so such a stream always has another batch: run it continuously, not to an end.
+    closes the session: what waits up to it is scored and the device starts afresh. Samples without ``seq`` are
+    numbered as they come: batch by batch, by ``source_file`` and ``place`` inside a batch.
+
+    With ``time``, a timestamp column, order is by it and then ``seq``, and samples wait until the stream's watermark,
+    ``delay`` behind the newest time of any device, has passed their minute; so a silent device is scored to its end.
+    Samples behind the watermark are dropped by Spark, which counts them in the query's progress.
+
+    State (waiting samples, one window, average and alert) lies in the RocksDB store; ``state_ttl_ms`` lets that of
+    silent devices expire, by processing time (not together with ``time``), so such a stream always has another
+    batch: run it continuously, not to an end. ``report`` adds a "held" row per device and batch with the number of
+    samples that go on waiting.
     """
-    processor = LiveScorer(scorer, key, length, stride, rate_hz, config or SmootherConfig(), lateness, state_ttl_ms)
+    if time is not None and state_ttl_ms is not None:
+        raise ValueError("state expires by processing time, which event times exclude")
+    processor = LiveScorer(scorer, key, length, stride, rate_hz, config or SmootherConfig(), lateness, state_ttl_ms, time is not None, report)
     ends = F.coalesce("ends", F.lit(False)) if "ends" in samples.columns else F.lit(False)
-    rows = samples.select(key, "seq", *CHANNELS, ends.alias("ends"))
+    named = [F.col(c) if c in samples.columns else F.lit(None).cast(t).alias(c) for c, t in (("source_file", "string"), ("place", "long"))]
+    when = [] if time is None else [F.col(time).alias("event_time"), F.unix_millis(F.col(time).cast("timestamp")).alias("at")]
+    rows = samples if time is None else samples.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    rows = rows.select(key, "seq", *CHANNELS, ends.alias("ends"), *named, *when)
     return rows.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=output_schema(samples.schema[key]),
         outputMode="Append",
-        timeMode="None" if state_ttl_ms is None else "ProcessingTime",
+        timeMode="EventTime" if time is not None else "None" if state_ttl_ms is None else "ProcessingTime",
     )
 
 
@@ -274,10 +424,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def latest_state(rows: DataFrame, key: str) -> DataFrame:
-    """The newest row per device by ``seq``; rejected samples do not count."""
+    """The newest row per device by ``seq``; rejected samples and reports do not count."""
     rest = [c for c in rows.columns if c != key]
     newest = F.max_by(F.struct(*rest), F.col("seq"))
-    return rows.filter("state <> 'rejected'").groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
+    return rows.filter("state NOT IN ('rejected', 'held')").groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
 
 
 def write_state(stream: DataFrame, path: str, checkpoint: str, key: str = "device", **trigger) -> StreamingQuery:

@@ -130,11 +130,67 @@ def test_samples_without_device_and_number(spark, tmp_path):
     (tmp_path / "sample_00012.json").write_text("")
     place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
     rows = live.parse_samples(spark.read.option("wholetext", True).text(str(tmp_path)).withColumns(place))
-    kept = live.well_formed(rows).orderBy("seq").collect()
+    kept = live.well_formed(rows).orderBy("source_file", "place").collect()
     assert [r.acc_x for r in kept] == [1.0, 9.0, 10.0] and {r.device for r in kept} == {"default"} and kept[0].acc_y == 2.5
     assert sorted(r.problem for r in live.rejects(rows).collect() if r.source_file == "sample_00002.json") == ["acc_x", "acc_y", "not an object"]
 
 
+def test_places_of_a_long_array(spark):
+    """An array beyond 2**20 elements keeps its places; numbers are no longer packed with the file's."""
+    n = (1 << 20) + 5
+    files = spark.createDataFrame([("[" + ",".join(["7"] * n) + "]", "a.json", None)], "value string, source_file string, modified timestamp")
+    rows = live.parse_samples(files).agg(F.count("*"), F.max("place"), F.countDistinct("place"), F.max("seq")).first()
+    assert tuple(rows) == (n, n - 1, n, None)
+
+
+@pytest.mark.parametrize("at_once", [500, 100])
+def test_waiting_is_bounded_and_batches_do_not_matter(spark, tmp_path, at_once):
+    """A session of 40 slices in 500 files: the same rows, and few samples held, however the files are taken."""
+    live.use_rocksdb(spark)
+    rng, lateness = np.random.default_rng(8), 300
+    n = 5000
+    seq = np.argsort(np.arange(n) + rng.integers(0, lateness // 2, n), kind="stable")  # displaced by less than the lateness
+    x = rng.normal(size=(n, 6))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for f in range(500):
+        items = [{"device": "d", "seq": 40 * int(i), **dict(zip(CHANNELS, map(float, x[i])))} for i in seq[f * 10 : f * 10 + 10]]
+        (folder / f"f{f:04d}.json").write_text(json.dumps(items))
+        os.utime(folder / f"f{f:04d}.json", (1_700_000_000 + f, 1_700_000_000 + f))
+    stream = live.well_formed(live.read_sample_stream(spark, str(folder), files_per_trigger=at_once))
+    scored = live.score_stream(stream, scorer, LENGTH, STRIDE, lateness=40 * lateness, report=True)
+    rows = live.run_to_table(scored, str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    waiting = [r.buffered_samples for r in rows if r.state == "held"]
+    assert len(waiting) == 500 // at_once and max(waiting) <= lateness + 1
+    assert not [r for r in rows if r.state == "rejected"]
+    got = sorted((r.window_index, r.seq, r.p_fall) for r in rows if r.window_ready)
+    due = n - 1 - lateness
+    starts = range(0, due + 2 - LENGTH, STRIDE)
+    views = np.stack([live.augment(x[s : s + LENGTH], 100.0) for s in starts])
+    want = live.softmax_rows(scorer(views))[:, 2]
+    assert [g[:2] for g in got] == [(i, 40 * (s + LENGTH - 1)) for i, s in enumerate(starts)]
+    assert np.allclose([g[2] for g in got], want)
+
+
+def test_memory_of_one_call_is_bounded(monkeypatch):
+    """Rows beyond the limit move to the store while they come, and come back slice by slice, in order."""
+
+    class Store(dict):
+        updateValue = dict.__setitem__
+        getValue = dict.__getitem__
+        removeKey = dict.__delitem__
+
+    store = Store()
+    held = live.Held(store, [], 100, 64)
+    order = np.random.default_rng(2).permutation(1000).astype(np.int64)
+    for part in np.array_split(order, 50):
+        held.put(np.column_stack([part.view(np.float64), part.view(np.float64), np.zeros((len(part), 7))]))
+        assert held.count <= 64 + len(part)
+    assert held.slices() == list(range(10)) and len(store) == 10
+    taken = [live.Held.orders(held.take(s)) for s in held.slices()]
+    assert np.array_equal(np.concatenate(taken), np.arange(1000)) and not store and held.count == 0
+
+
 def test_current_state(spark, recorded, tmp_path):
     folder, data = recorded
     live.use_rocksdb(spark)
