@@ -62,10 +62,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     edges = np.flatnonzero(cut)
     full = kind[edges[:-1]] > 0
     starts, ends = edges[:-1][full], edges[1:][full]
-    up, down = words.powers(words.BYTE_BASE, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.alphabet(lower=True).values[data] * up[:n], out=sums[1:])
-    hashes = words.mix((sums[ends] - sums[starts]) * down[starts])
+    hashes = words.span_hashes(data, starts, ends, words.alphabet(lower=True))
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     caps, of = upper[ends] - upper[starts], kind[starts]
     shape = np.select([of == 2, of == 3, caps == 0, (caps == ends - starts) & (caps > 1), (caps == 1) & (upper[starts + 1] > upper[starts])], [4, 5, 0, 2, 1], 3)

@@ -4,8 +4,8 @@ Ids are integers under ORC's run-length encoding; files carry row indexes and a
 document id, so a look-up by id prunes files, stripes and row groups, and a full read splits by stripe.
 
 The tokenizer runs on pieces of a text that it would never join: white-space-separated chunks, cut once
-more between an ASCII or Latin-1 letter and ASCII punctuation. A worker encodes each
-distinct chunk once and then copies its ids; the ids equal those of encoding the whole text at once, because
+more between an ASCII or Latin-1 letter and ASCII punctuation. A worker encodes a distinct chunk (told apart by its
+bytes) once and then copies its ids, as long as the chunk comes up again within two generations of the cache; the ids equal those of encoding the whole text at once, because
 normalisation and pre-tokenisation never reach over such a cut.
 """
 
@@ -23,8 +23,8 @@ from kinelake.llm import words
 from kinelake.llm.frames import text_key
 from kinelake.session import shared_path
 
-#: Distinct chunks that a worker remembers; beyond that it starts again (about 180 bytes each).
-KNOWN_CHUNKS = 300_000
+#: Chunks in each of the two generations that a worker remembers (about 300 bytes each).
+KNOWN_CHUNKS = 120_000
 
 #: New chunks that go through the tokenizer as one text.
 CHUNKS_AT_ONCE = 500
@@ -55,38 +55,54 @@ def _classes() -> np.ndarray:
     return kind
 
 
+class Generation:
+    """Chunks by number, and their ids one after another."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.ids, self.at = np.zeros(1 << 18, np.int32), np.zeros(1 << 14, np.int64)
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        have, more = len(self.known), len(chunks)
+        used = int(self.at[have])
+        if have + more + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), more + 1), np.int64)])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.at[have + 1 : have + 1 + more] = used + np.cumsum(counts)
+        self.ids[used : used + len(ids)] = ids
+        self.known.update(zip(chunks, range(have, have + more)))
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered chunks one after another, and how many each has."""
+        begin = self.at[numbers]
+        count = self.at[numbers + 1] - begin
+        return self.ids[np.repeat(begin, count) + words.spans(count)], count
+
+
 class Encoder:
-    """Whole texts to ids, one worker's cache of chunks."""
+    """Whole texts to ids. A full generation of chunks gives way to a new one, which takes over what is asked for again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = _classes()
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.at = np.zeros(1 << 16, np.int64)
+        self.new, self.old = Generation(), Generation()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encodes chunks, many to a text with spaces between, and parts their ids by the places in that text."""
-        have = len(self.known)
-        if have + len(chunks) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(chunks) + 1), np.int64)])
-        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
-            some = [c.decode() for c in chunks[i : i + CHUNKS_AT_ONCE]]
+        """Takes chunks over from the last generation, or encodes them, many to a text with spaces between."""
+        again = [c for c in chunks if c in self.old.known]
+        if again:
+            self.new.add(again, *self.old.get(np.fromiter(map(self.old.known.__getitem__, again), np.int64, len(again))))
+        fresh = [c for c in chunks if c not in self.old.known]
+        for i in range(0, len(fresh), CHUNKS_AT_ONCE):
+            some = [c.decode() for c in fresh[i : i + CHUNKS_AT_ONCE]]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             begin = np.cumsum([0, *(len(c) + 1 for c in some)])
             place = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
-            first = have + i
-            used = int(self.at[first])
-            self.at[first + 1 : first + 1 + len(some)] = used + np.searchsorted(place, begin[1:])
-            if used + len(place) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(place)), np.int32)])
-            self.ids[used : used + len(place)] = found.ids
-        self.known.update(zip(chunks, range(have, have + len(chunks))))
+            counts = np.diff(np.searchsorted(place, begin))
+            self.new.add(fresh[i : i + CHUNKS_AT_ONCE], np.array(found.ids, np.int32), counts)
 
     def _chunks(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -108,24 +124,19 @@ class Encoder:
         """Ids of the texts ``data[at[d]:at[d + 1]]``, and how many each has."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
-        if len(self.known) > KNOWN_CHUNKS:
-            self.reset()
-        raw = data.tobytes()
-        exact = b"<|" in raw  # special tokens keep their case
-        values = words.alphabet(lower=not exact).values
+        if len(self.new.known) > KNOWN_CHUNKS:
+            self.new, self.old = Generation(), self.new
+        exact = b"<|" in data.tobytes()  # special tokens keep their case
+        data = data if exact else words.alphabet(lower=True).fold[data]
         starts, ends = self._chunks(data, at)
-        up, down = words.powers(words.BYTE_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-        hashes = words.mix((sums[ends] - sums[starts]) * down[starts])
-        _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = raw if exact else raw.lower()
-        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if new := [c for c in chunks if c not in self.known]:
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+        flat = data[self.kind[data] != _SPACE]  # chunks are all but the white space
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).dictionary_encode()
+        chunks = found.dictionary.to_pylist()
+        if new := [c for c in chunks if c not in self.new.known]:
             self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[where]
-        begin, count = self.at[number], self.at[number + 1] - self.at[number]
-        ids = self.ids[np.repeat(begin, count) + words.spans(count)]
+        known = np.fromiter(map(self.new.known.__getitem__, chunks), np.int64, len(chunks))
+        ids, count = self.new.get(known[found.indices.to_numpy()])
         total = np.concatenate([[0], np.cumsum(count)])
         return ids, np.diff(total[np.searchsorted(starts, at)])
 
@@ -157,6 +168,7 @@ def _encoder(path: str, end_id: int):
                     ["doc_id", "n_tokens", "first", "shard", "ids"],
                 )
                 first += int(ends[-1]) if len(ends) else 0
+        pa.default_memory_pool().release_unused()
 
     return encode
 

@@ -2,12 +2,14 @@
 
 Arrow string columns are read as one run of UTF-8 bytes. A word is a maximal run of word bytes inside
 one text; bytes of 0x80 and above always belong to words, so no character is ever cut. Hashes are
-polynomial (Rabin-Karp) modulo 2**64: a prefix sum of value times base**position gives the hash of any
-span by one subtraction and one multiplication with the inverse power.
+polynomial (Rabin-Karp) modulo 2**64 over at most ``SHORT`` terms; what is longer is hashed by BLAKE2b,
+because polynomials modulo a power of two collide on long patterned texts whatever the base. All arrays
+beside the text are made for a bounded run of words at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,6 +20,9 @@ import pyarrow as pa
 #: Texts are hashed in pieces of about this many bytes, so that the arrays of a piece stay small.
 PIECE_BYTES = 2_000_000
 
+#: Words of more bytes, and sequences of more words, are hashed by BLAKE2b. Words hashed at once.
+SHORT, WORDS_AT_ONCE = 64, 1 << 17
+
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 
@@ -30,21 +35,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse for i below n."""
+    out = ()
+    for b in (base, pow(base, -1, 1 << 64)):
+        run = np.full(n, b, np.uint64)
+        run[:1] = 1
+        out += (np.cumprod(run, dtype=np.uint64),)
+    return out
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse for i below n. The longest run so far is kept."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        have = ()
-        for b in (base, pow(base, -1, 1 << 64)):
-            run = np.full(size, b, np.uint64)
-            run[0] = 1
-            have += (np.cumprod(run, dtype=np.uint64),)
-        _POWERS[base] = have
-    return have[0][:n], have[1][:n]
+def long_hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,7 @@ class Alphabet:
 
     is_word: np.ndarray
     values: np.ndarray
+    fold: np.ndarray
 
 
 @lru_cache(maxsize=None)
@@ -64,9 +68,10 @@ def alphabet(alnum: bool = False, lower: bool = False) -> Alphabet:
     else:
         word = ~((code == 0x20) | ((code >= 9) & (code <= 13)))
     values = mix(code.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    fold = code.astype(np.uint8)
     if lower:
-        values[65:91] = values[97:123]
-    return Alphabet(word, values)
+        values[65:91], fold[65:91] = values[97:123], fold[97:123]
+    return Alphabet(word, values, fold)
 
 
 @dataclass
@@ -130,10 +135,24 @@ def words_of(data: np.ndarray, at: np.ndarray, kind: Alphabet) -> Words:
         return Words(data, none, none, np.zeros(len(at), np.int64), none.astype(np.uint64))
     starts, ends = word_bounds(kind.is_word[data], at)
     first = np.searchsorted(starts, at)
-    up, down = powers(BYTE_BASE, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(kind.values[data] * up[:n], out=sums[1:])
-    return Words(data, starts, ends, first, mix((sums[ends] - sums[starts]) * down[starts]))
+    return Words(data, starts, ends, first, span_hashes(data, starts, ends, kind))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: Alphabet) -> np.ndarray:
+    """One hash for each of the spans of bytes."""
+    out = np.zeros(len(starts), np.uint64)
+    up = powers(BYTE_BASE, SHORT)[0]
+    for i in range(0, len(starts), WORDS_AT_ONCE):
+        a, n = starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE] - starts[i : i + WORDS_AT_ONCE]
+        short = (n <= SHORT) & (n > 0)
+        a, n = a[short], n[short]
+        if len(a):
+            offset = spans(n)
+            terms = kind.values[data[np.repeat(a, n) + offset]] * up[offset]
+            out[i : i + WORDS_AT_ONCE][short] = np.add.reduceat(terms, np.cumsum(n) - n)
+    for i in np.flatnonzero(ends - starts > SHORT):
+        out[i] = long_hash(kind.fold[data[starts[i] : ends[i]]].tobytes())
+    return mix(out)
 
 
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,26 +160,36 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     total = len(words.hashes)
     if total < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(WORD_BASE, total)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(words.hashes * up, out=sums[1:])
     inside = np.ones(total - n + 1, bool)
     edges = words.first[1:-1]
     for back in range(1, n):  # windows that would run over the end of a text
         over = edges - back
         inside[over[(over >= 0) & (over < len(inside))]] = False
+    found = np.empty(len(inside), np.uint64)
+    up, down = powers(WORD_BASE, WORDS_AT_ONCE + n)
+    for i in range(0, len(inside), WORDS_AT_ONCE):
+        part = words.hashes[i : i + WORDS_AT_ONCE + n - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        k = len(part) - n + 1
+        found[i : i + k] = (sums[n:] - sums[:k]) * down[:k]
     place = np.flatnonzero(inside)
-    return mix((sums[place + n] - sums[place]) * down[place] + np.uint64(n)), place
+    return mix(found[place] + np.uint64(n)), place
 
 
 def sequence_hashes(words: Words) -> np.ndarray:
     """One hash for the whole word sequence of each text."""
-    total = len(words.hashes)
-    up, down = powers(WORD_BASE, total + 1)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(words.hashes * up[:total], out=sums[1:])
     a, b = words.first[:-1], words.first[1:]
-    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    n = b - a
+    out = np.zeros(len(a), np.uint64)
+    short = (n <= SHORT) & (n > 0)
+    if short.any():
+        offset = spans(n[short])
+        terms = words.hashes[np.repeat(a[short], n[short]) + offset] * powers(WORD_BASE, SHORT)[0][offset]
+        out[short] = np.add.reduceat(terms, np.cumsum(n[short]) - n[short])
+    for i in np.flatnonzero(n > SHORT):
+        out[i] = long_hash(words.hashes[a[i] : b[i]].tobytes())
+    return mix(out + n.astype(np.uint64))
 
 
 def spans(counts: np.ndarray) -> np.ndarray:

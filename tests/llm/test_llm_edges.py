@@ -4,6 +4,7 @@ import math
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,62 @@ def test_words_are_exact():
     assert len(h) == len(want) and len(set(h.tolist())) == len({g for _, g in want})
 
 
+def patterned(flip=0):
+    """Letters a and b in Thue-Morse order, or its complement: polynomials modulo 2**64 cannot tell the two apart."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024))
+
+
+def test_patterned_words_differ(spark):
+    import pyarrow as pa
+    from kinelake.llm.jaccard import near_duplicates
+    from kinelake.llm.substring import remove_repeats
+    from kinelake.llm.token_ids import Encoder
+    from tokenizers import Tokenizer
+
+    a, b = patterned(), patterned(1)
+    kind = words.alphabet(lower=True)
+    for texts in ([a, b, a.upper()], [" ".join(a), " ".join(b), " ".join(a).upper()]):
+        w = words.words_of(*words.text_bytes(pa.array(texts)), kind)
+        assert len(set(words.sequence_hashes(w).tolist())) == 2
+    plain, own = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    for t in (a, b):
+        assert own.encode(*words.text_bytes(pa.array([t])))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+    rest = " ".join(f"w{i}" for i in range(49))
+    frame = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, a), (4, b)], "doc_id long, text string")
+    assert {r.n_removed for r in remove_repeats(frame, n=50).collect()} == {0}
+    linked = {r.doc_id: r.component_id for r in near_duplicates(frame.where("doc_id > 2"), size=5, percent=80).collect()}
+    assert linked == {3: 3, 4: 4}
+
+
+def test_cache_of_two_generations(monkeypatch):
+    """Chunks that come up again outlive a full generation; ids stay those of the tokenizer."""
+    import pyarrow as pa
+    from kinelake.llm import token_ids
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_ids, "KNOWN_CHUNKS", 50)
+    plain, own = Tokenizer.from_file(tokenizer_path()), token_ids.Encoder(tokenizer_path())
+    for seed in range(12):
+        t = prose(seed, 40) + " the and of " + prose(1, 10)
+        assert own.encode(*words.text_bytes(pa.array([t])))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert len(own.new.known) <= 120 and len(own.old.known) <= 120
+
+
+def test_long_texts_take_little_memory():
+    """Beside a text of 20 MB: bounds of its words and hashes, and nothing that lasts."""
+    import tracemalloc
+
+    data = np.frombuffer(b"abcdefghi " * 2_000_000, np.uint8)
+    tracemalloc.start()
+    w = words.words_of(data, np.array([0, len(data)]), words.alphabet())
+    words.windows(w, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    del w
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert peak < 12 * len(data) and left < 20e6
+
+
 def test_substring(docs, none, rows):
     from kinelake.llm.substring import remove_repeats
 
