@@ -32,7 +32,7 @@ from kinelake.llm import shared
 from kinelake.llm.frames import settled
 
 #: Routing vectors of the root; entries of a page; vectors of a subtree, about; bytes of one block of queries.
-ROOTS, PAGE, SUBTREE, BLOCK_BYTES = 256, 64, 8192, 16 << 20
+ROOTS, PAGE, SUBTREE, BLOCK_BYTES = 256, 256, 8192, 16 << 20
 
 #: Stands for a missing id, so that it comes last.
 NO_ID = (1 << 63) - 1
@@ -112,18 +112,18 @@ def _assigner(space: Space, roots):
 class _Builder:
     """Pages of one subtree, loaded from the top: page 0 is its root."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, size: int):
+        self.points, self.size = points, size
         self.pages: list[tuple] = []
 
     def page(self, members: np.ndarray, far: np.ndarray) -> int:
         """A page for the members, given their distances to its routing vector."""
         number = len(self.pages)
         self.pages.append(())
-        if len(members) <= PAGE:
+        if len(members) <= self.size:
             self.pages[number] = (members, np.full(len(members), -1), far, np.zeros(len(members)))
             return number
-        seeds, nearest, away = self.seeds(members, min(PAGE, 2 * math.ceil(len(members) / PAGE)))
+        seeds, nearest, away = self.seeds(members, min(self.size, 2 * math.ceil(len(members) / self.size)))
         child, cover = [], []
         for s in range(len(seeds)):
             own = nearest == s
@@ -148,7 +148,7 @@ class _Builder:
         return np.array(chosen), nearest, away
 
 
-def _subtree(space: Space, roots):
+def _subtree(space: Space, roots, page: int):
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         root = rows["root"][0].as_py()
@@ -156,7 +156,7 @@ def _subtree(space: Space, roots):
         ids = rows["id"].combine_chunks().fill_null(NO_ID).to_numpy()
         points = space.lifted(v)
         far = distances(points, roots.value[root])
-        builder = _Builder(points)
+        builder = _Builder(points, page)
         builder.page(np.arange(len(v)), far)
         members, child, parent, cover = (np.concatenate(c) for c in zip(*builder.pages))
         first = np.cumsum([0, *(len(p[0]) for p in builder.pages)])
@@ -177,18 +177,18 @@ class MetricTree:
     root_ids: np.ndarray
 
 
-def build_tree(rows: DataFrame, space: Space, k: int) -> MetricTree:
+def build_tree(rows: DataFrame, space: Space, k: int, n_roots: int = ROOTS, page: int = PAGE, subtree: int = SUBTREE) -> MetricTree:
     """Writes the tree over ``rows`` (id, v) to the shared folder. Finds up to ``k`` neighbours exactly."""
     sc = rows.sparkSession.sparkContext
     same = Window.partitionBy("v").orderBy("id")
     few = settled(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 2).drop("copy"), "vectors")
-    sample = few.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(ROOTS).collect() or few.limit(1).collect()
+    sample = few.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(n_roots).collect() or few.limit(1).collect()
     roots = space.lifted(space.matrix([r["v"] for r in sample]))
-    sent = sc.broadcast(roots)  # at most ROOTS vectors
+    sent = sc.broadcast(roots)  # at most n_roots vectors
     placed = settled(few.mapInArrow(_assigner(space, sent), "id long, v array<long>, root int"), "placed")
-    parts = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SUBTREE).alias("parts"))  # at most ROOTS rows
+    parts = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / subtree).alias("parts"))  # at most n_roots rows
     dealt = placed.join(F.broadcast(parts), "root").withColumn("part", F.pmod(F.xxhash64("v", "id"), F.col("parts")))
-    trees = dealt.select("id", "v", "root", "part").groupBy("root", "part").applyInArrow(_subtree(space, sent), _TREE)
+    trees = dealt.select("id", "v", "root", "part").groupBy("root", "part").applyInArrow(_subtree(space, sent, page), _TREE)
     ids = np.array([NO_ID if r["id"] is None else r["id"] for r in sample], np.int64)
     return MetricTree(settled(trees, "metric-tree"), space, roots, ids)
 
@@ -200,20 +200,26 @@ class Best:
         self.own, self.square, self.k, self.floor = own, square, k, floor
         self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    @property
-    def reach(self) -> float:
-        least = int(self.scores[-1]) if len(self.scores) == self.k else self.floor
-        if self.floor is not None:
-            least = max(least, self.floor)
-        if least is None:
-            return math.inf
-        return math.sqrt(max(0.0, self.square - 2.0 * least)) * (1 + MARGIN) + MARGIN * (1 + math.sqrt(self.square))
+        self.bound()
+
+    def bound(self) -> None:
+        """Scores below ``least`` and distances above ``reach`` cannot enter any more."""
+        known = [x for x in (self.floor, int(self.scores[-1]) if len(self.scores) == self.k else None) if x is not None]
+        self.least, self.reach = max(known, default=None), math.inf
+        if known:
+            self.reach = math.sqrt(max(0.0, self.square - 2.0 * self.least)) * (1 + MARGIN) + MARGIN * (1 + math.sqrt(self.square))
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        if self.least is not None:
+            good = scores >= self.least
+            if not good.any():
+                return
+            ids, scores = ids[good], scores[good]
         other = ids != self.own
         ids, scores = np.append(self.ids, ids[other]), np.append(self.scores, scores[other])
         order = np.lexsort((ids, -scores))[: self.k]
         self.ids, self.scores = ids[order], scores[order]
+        self.bound()
 
 
 class Subtree:
