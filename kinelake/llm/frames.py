@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,19 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Written to the shared folder in ``n`` buckets of ``key`` and read back, so that work by key needs no shuffle.
+
+    The table is in the catalogue only until it has been looked up; its files stay like those of ``settled``.
+    """
+    spark = frame.sparkSession
+    passing = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    frame.write.bucketBy(n, key).option("path", shared_path(spark, name)).saveAsTable(passing)
+    found = spark.table(passing)
+    spark.sql(f"DROP TABLE {passing}")
+    return found
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share an id; rows that share id and text have the same result anyway."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

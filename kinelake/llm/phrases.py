@@ -28,23 +28,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm import shared, words
-from kinelake.llm.frames import partitions, settled
+from kinelake.llm.frames import bucketed, partitions, settled
 
 #: Words in one batch, about; a longer text is a batch of its own.
 BATCH_WORDS = 1 << 21
 
-_FIRST = "batch string, buckets array<int>, x array<string>, y array<string>, n array<int>, places binary, numbers binary"
+_FIRST = "batch string, buckets binary, codes binary, langs array<string>, words array<string>, n array<long>, places binary, numbers binary"
 _RELATION = "batch string, ids array<long>, places binary, numbers binary"
 _FIRST_ARROW = pa.schema(
-    [("batch", pa.string()), ("buckets", pa.list_(pa.int32())), ("x", pa.list_(pa.string())), ("y", pa.list_(pa.string()))]
-    + [("n", pa.list_(pa.int32())), ("places", pa.binary()), ("numbers", pa.binary())]
+    [("batch", pa.string()), ("buckets", pa.binary()), ("codes", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string()))]
+    + [("n", pa.list_(pa.int64())), ("places", pa.binary()), ("numbers", pa.binary())]
 )
 _RELATION_ARROW = pa.schema([("batch", pa.string()), ("ids", pa.list_(pa.int64())), ("places", pa.binary()), ("numbers", pa.binary())])
 
 
-def _sent(kind: str) -> str:
-    """Pairs on their way to a bucket; ``kind`` is string for words and long for ids."""
-    return f"bucket int, batch string, x array<{kind}>, y array<{kind}>, n array<int>"
+#: Pairs on their way to a bucket: packed ids, or words joined by spaces and runs of their languages.
+_SENT = "bucket int, batch string, langs array<string>, runs array<long>, x binary, y binary, n binary"
+_SENT_ARROW = pa.schema(
+    [("bucket", pa.int32()), ("batch", pa.string()), ("langs", pa.list_(pa.string())), ("runs", pa.list_(pa.int64()))]
+    + [(c, pa.binary()) for c in ("x", "y", "n")]
+)
 
 
 def _counted(kind: str) -> str:
@@ -62,16 +65,20 @@ _MARK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\v\f\r"])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
-def _pack(places: np.ndarray, numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending places as steps; numbers by their bytes, low ones first. Both compressed."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(shared.small(np.diff(places, prepend=0))), zstandard.compress(planes.tobytes())
+def _pack_places(places: np.ndarray) -> bytes:
+    return zstandard.compress(shared.small(np.diff(places, prepend=0)))
+
+
+def _open_places(value: bytes, n: int) -> np.ndarray:
+    return np.cumsum(shared.opened_small(zstandard.decompress(value), n))
 
 
-def _open(places: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(numbers), np.uint8).reshape(4, -1)
-    found = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-    return np.cumsum(shared.opened_small(zstandard.decompress(places), len(found))), found
+def _by_frequency(numbers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts frequent ones first, and the occurrences' numbers in that order: they compress better."""
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank[numbers]
 
 
 def _flat_words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -90,7 +97,7 @@ def _flat_words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray,
 
 
 def _first_row(batch: str, parts: list[tuple], buckets: int) -> pa.RecordBatch:
-    """One batch's words as the relation of level zero: its distinct (lang, word), sorted by bucket, and all occurrences."""
+    """One batch's words as the relation of level zero: its distinct (lang, word), frequent ones first, and all occurrences."""
     text = pa.chunked_array([p[0] for p in parts], pa.large_string()).combine_chunks().dictionary_encode()
     text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
     opens = np.concatenate([p[1] for p in parts])
@@ -98,13 +105,12 @@ def _first_row(batch: str, parts: list[tuple], buckets: int) -> pa.RecordBatch:
     names, known = lang.dictionary.to_pylist(), text.dictionary.to_pylist()
     of = np.repeat(lang.indices.to_numpy(), np.concatenate([p[3] for p in parts]))
     key, number, n = np.unique(text.indices.to_numpy().astype(np.int64) * len(names) + of, return_inverse=True, return_counts=True)
-    x, y = [names[i] for i in key % len(names)], [known[i] for i in key // len(names)]
-    bucket = np.array([zlib.crc32(b.encode(), zlib.crc32(a.encode())) % buckets for a, b in zip(x, y)], np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    places, numbers = _pack(np.arange(len(opens)) + np.cumsum(opens), rank[number])
-    row = {"batch": batch, "buckets": bucket[order], "x": [x[i] for i in order], "y": [y[i] for i in order], "n": n[order], "places": places, "numbers": numbers}
+    order, number = _by_frequency(number, n)
+    key, n = key[order], n[order]
+    langs, found = [names[i] for i in key % len(names)], [known[i] for i in key // len(names)]
+    bucket = np.array([zlib.crc32(w.encode(), zlib.crc32(x.encode())) % buckets for x, w in zip(langs, found)], np.int64)
+    row = {"batch": batch, "buckets": shared.packed_ints(bucket), "codes": shared.packed_ints(key % len(names)), "langs": langs, "words": found, "n": n}
+    row |= {"places": _pack_places(np.arange(len(opens)) + np.cumsum(opens)), "numbers": shared.packed_ints(number)}
     return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, _FIRST_ARROW)
 
 
@@ -129,7 +135,8 @@ def _occurrences(buckets: int):
 
 def _neighbours(row: dict, buckets: int) -> dict:
     """The merge join: pairs of phrases at neighbouring places, distinct ones sorted by bucket, and their occurrences."""
-    places, numbers = _open(row["places"], row["numbers"])
+    numbers = shared.opened_ints(row["numbers"])
+    places = _open_places(row["places"], len(numbers))
     ids = np.asarray(row["ids"], np.int64)
     at = np.flatnonzero(places[1:] == places[:-1] + 1)
     key, number, n = np.unique(numbers[at] * max(1, len(ids)) + numbers[at + 1], return_inverse=True, return_counts=True)
@@ -142,19 +149,34 @@ def _neighbours(row: dict, buckets: int) -> dict:
     return {"buckets": bucket[order], "x": x[order], "y": y[order], "n": n[order], "places": places[at], "numbers": rank[number]}
 
 
-def _sender(kind: str, buckets: int):
+def _sender(first: bool, buckets: int):
     """Each batch's distinct pairs and counts, one row per bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.string()), ("x", _arrow(kind)), ("y", _arrow(kind)), ("n", pa.list_(pa.int32()))])
+
+    def rows(row: dict) -> Iterator[dict]:
+        if not first:
+            row |= _neighbours(row, buckets)
+            at, n = words.run_lengths(row["buckets"])
+            for a, b in zip(at, at + n):
+                packed = {c: shared.packed_ints(row[c][a:b]) for c in ("x", "y")}
+                yield {"bucket": int(row["buckets"][a]), "langs": None, "runs": None, **packed, "n": zstandard.compress(shared.small(row["n"][a:b]))}
+            return
+        of, count = shared.opened_ints(row["buckets"]), np.asarray(row["n"], np.int64)
+        lang = shared.opened_ints(row["codes"])
+        order = np.lexsort((lang, of))
+        at, n = words.run_lengths(of[order])
+        for a, b in zip(at, at + n):
+            some = order[a:b]
+            begin, runs = words.run_lengths(lang[some])
+            yield {
+                "bucket": int(of[some[0]]), "langs": [row["langs"][some[i]] for i in begin], "runs": runs, "x": None,
+                "y": zstandard.compress(" ".join([row["words"][i] for i in some]).encode()), "n": zstandard.compress(shared.small(count[some])),
+            }
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0] if kind == "string" else _neighbours(batch.slice(i, 1).to_pylist()[0], buckets)
-                at, n = words.run_lengths(np.asarray(row["buckets"], np.int64))
-                bounds = np.append(at, len(row["buckets"])).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(row[c], t.value_type)) for c, t in (("x", _arrow(kind)), ("y", _arrow(kind)), ("n", pa.list_(pa.int32())))]
-                name = pa.array([batch.column("batch")[i].as_py()] * len(at), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(row["buckets"])[at], pa.int32()), name, *lists], schema=schema)
+            for row in batch.to_pylist():
+                if found := list(rows(row)):
+                    yield pa.RecordBatch.from_pylist([{"batch": row["batch"], **r} for r in found], _SENT_ARROW)
 
     return send
 
@@ -166,32 +188,39 @@ def _counter(kind: str, least: int, buckets: int):
         + [("x", _arrow(kind)), ("y", _arrow(kind)), ("n", pa.list_(pa.int64()))]
     )
 
-    def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-        flat = pa.chunked_array([c.flatten() for c in column.chunks], _arrow(kind).value_type).combine_chunks()
+    def opened(rows: list[dict]) -> tuple[pa.Array, pa.Array]:
         if kind != "string":
-            return flat.to_numpy(), flat
-        return flat.dictionary_encode().indices.to_numpy(), flat
-
-    def count(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("batch")
-        bucket = rows["bucket"][0].as_py()
-        (a, x), (b, y) = coded(rows["x"]), coded(rows["y"])
-        n = np.concatenate([c.flatten().to_numpy() for c in rows["n"].chunks]).astype(np.int64)
+            return tuple(pa.array(np.concatenate([shared.opened_ints(r[c]) for r in rows])) for c in ("x", "y"))
+        lang = pa.array([x for r in rows for x in r["langs"]], pa.string())
+        of = np.repeat(np.arange(len(lang)), [k for r in rows for k in r["runs"]])
+        return lang.take(pa.array(of)), pa.array([w for r in rows for w in zstandard.decompress(r["y"]).decode().split(" ")], pa.string())
+
+    def coded(values: pa.Array) -> np.ndarray:
+        return (values if kind != "string" else values.dictionary_encode().indices).to_numpy()
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("batch").to_pylist()
+        bucket = rows[0]["bucket"]
+        x, y = opened(rows)
+        parts = [zstandard.decompress(r["n"]) for r in rows]
+        sizes = [len(zstandard.decompress(r["x"])) // 8 if r["x"] is not None else sum(r["runs"]) for r in rows]
+        n = np.concatenate([shared.opened_small(p, k) for p, k in zip(parts, sizes)])
+        a, b = coded(x), coded(y)
         order = np.lexsort((b, a))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
         at = np.flatnonzero(fresh)
-        sums = np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(n[order], at)
         frequent = sums >= least
         ids = np.where(frequent, (np.cumsum(frequent) - 1) * buckets + bucket, -1)
         own = np.empty(len(order), np.int64)
         own[order] = np.repeat(ids, np.diff(np.append(at, len(order))))
-        first = order[at[frequent]]
+        first = pa.array(order[at[frequent]])
         out = {"batch": [None], "bucket": [bucket], "at": [None], "id": [ids[frequent]], "x": [x.take(first)], "y": [y.take(first)], "n": [sums[frequent]]}
-        ends = np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in rows["n"].chunks]))
-        for batch, begin, end in zip(rows["batch"].to_pylist(), np.append(0, ends[:-1]), ends):
+        ends = np.cumsum(sizes)
+        for row, begin, end in zip(rows, np.append(0, ends[:-1]), ends):
             hit = np.flatnonzero(own[begin:end] >= 0)
-            for c, v in zip(out, (batch, bucket, hit, own[begin:end][hit], None, None, None)):
+            for c, v in zip(out, (row["batch"], bucket, hit, own[begin:end][hit], None, None, None)):
                 out[c].append(v)
         return pa.Table.from_pydict(out, schema)
 
@@ -207,21 +236,26 @@ def _keeper(first: bool, buckets: int):
             return none
         row = relation.to_pylist()[0]
         if first:
-            row["places"], row["numbers"] = _open(row["places"], row["numbers"])
+            numbers = shared.opened_ints(row["numbers"])
+            of = shared.opened_ints(row["buckets"])
+            order = np.lexsort((shared.opened_ints(row["codes"]), of))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            row = {"batch": row["batch"], "buckets": of[order], "places": _open_places(row["places"], len(numbers)), "numbers": rank[numbers]}
         else:
             row |= _neighbours(row, buckets)
-        of = np.asarray(row["buckets"], np.int64)
-        known = np.full(len(of), -1, np.int64)
-        start = np.searchsorted(of, np.arange(buckets))
+        known = np.full(len(row["buckets"]), -1, np.int64)
+        start = np.searchsorted(row["buckets"], np.arange(buckets))
         for bucket, at, found in zip(*(answers[c].to_pylist() for c in ("bucket", "at", "id"))):
             known[start[bucket] + np.asarray(at, np.int64)] = found
         found = known[row["numbers"]]
         kept = found >= 0
         if not kept.any():
             return none
-        ids, numbers = np.unique(found[kept], return_inverse=True)
-        places, numbers = _pack(row["places"][kept], numbers)
-        return pa.Table.from_pydict({"batch": [row["batch"]], "ids": [ids], "places": [places], "numbers": [numbers]}, _RELATION_ARROW)
+        ids, numbers, n = np.unique(found[kept], return_inverse=True, return_counts=True)
+        order, numbers = _by_frequency(numbers, n)
+        packed = {"ids": [ids[order]], "places": [_pack_places(row["places"][kept])], "numbers": [shared.packed_ints(numbers)]}
+        return pa.Table.from_pydict({"batch": [row["batch"]], **packed}, _RELATION_ARROW)
 
     return keep
 
@@ -233,15 +267,15 @@ def _groups(counted: DataFrame) -> DataFrame:
 
 
 def _level(relation: DataFrame, kind: str, least: int, buckets: int) -> DataFrame:
-    sent = relation.mapInArrow(_sender(kind, buckets), _sent(kind))
+    sent = relation.mapInArrow(_sender(kind == "string", buckets), _SENT)
     return settled(sent.groupBy("bucket").applyInArrow(_counter(kind, least, buckets), _counted(kind)), "phrase-counts")
 
 
 def _next(relation: DataFrame, counted: DataFrame, kind: str, buckets: int) -> DataFrame:
-    slim = relation.select("batch", "buckets" if kind == "string" else "ids", "places", "numbers")
+    slim = relation.select("batch", *(["buckets", "codes"] if kind == "string" else ["ids"]), "places", "numbers")
     answers = counted.where(F.col("batch").isNotNull() & (F.size("at") > 0)).select("batch", "bucket", "at", "id")
     kept = slim.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_keeper(kind == "string", buckets), _RELATION)
-    return settled(kept, "phrase-relation")
+    return bucketed(kept, "phrase-relation", "batch", buckets)
 
 
 def _score(a: Column, parts: Column) -> Column:
@@ -262,7 +296,7 @@ def frequent_phrases(documents: DataFrame, least: int = 30, longest: int = 4, la
     buckets = max(1, partitions(documents))
     rows = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     relation, kind = settled(rows.mapInArrow(_occurrences(buckets), _FIRST), "phrase-words"), "string"
-    sizes = relation.select(F.explode(F.arrays_zip("x", "n")).alias("w")).groupBy(F.col("w.x").alias("lang")).agg(F.sum("w.n").alias("n"))
+    sizes = relation.select(F.explode(F.arrays_zip("langs", "n")).alias("w")).groupBy(F.col("w.langs").alias("lang")).agg(F.sum("w.n").alias("n"))
     counted = _level(relation, kind, least, buckets)
     # heads[i]: occurrences of the first i + 1 words; tails[i]: of all words from the one after those on.
     shorter = _groups(counted).select("id", F.col("x").alias("lang"), F.col("y").alias("phrase"), F.array("n").alias("heads"), F.array("n").alias("tails"))
