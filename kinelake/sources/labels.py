@@ -14,6 +14,9 @@ TASK_CODE = r"(?i)^T(\d+)$"
 FALL_CODE = r"(?i)^F(\d+)\s*\((\d+)\)$"
 FALL_TO_SHEET, SHEET_TO_TASK = 19, 2
 LABEL_FILE = r"(?i)([^/]+)_label\.csv$"
+SHEET_WORDS = ["task", "description", "trial", "onset", "impact"]
+#: Lines after which a sheet's carried cells are joined in rather than found in one ordered run.
+SHEET_LINES = 65_536
 LABEL_SCHEMA = "subject_id string, task_id int, repetition int, onset int, impact int, row_no long"
 
 
@@ -89,24 +92,49 @@ def standard_labels(filled: DataFrame, subject: str = "subject_id", order: str =
     )
 
 
-def read_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labels of all sheets ``<subject>_label.csv`` below ``root``, rows in file order.
+def parse_sheets(files: DataFrame) -> DataFrame:
+    """Rows of label sheets from (subject_id, value), the text of one sheet each; columns are found sheet by sheet.
 
-    Sheets share one header. Without a task column they label nothing.
+    Each sheet's first line names its columns, in any order and under any names that hold the words task, description,
+    trial, onset and impact (the first such column counts). Returns subject_id, row_no (the line's number), task,
+    description, trial, onset, impact as text, all null where a sheet lacks the column. Blank lines are left out.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "*_label.csv")
-    rows = reader.csv(root)
-    if _find([normal_name(c) for c in rows.columns], "task") is None:
-        return spark.createDataFrame([], LABEL_SCHEMA)
-    rows = rows.withColumns(
-        {
-            "subject_id": F.regexp_extract(F.col("_metadata.file_path"), LABEL_FILE, 1),
-            "_block": F.col("_metadata.file_block_start"),
-            "row_no": F.monotonically_increasing_id(),
-        }
-    )
-    filled = fill_labels(rows, ["subject_id"], ["_block", "row_no"], F.col("_block"))
-    return standard_labels(filled.drop("_block"))
+    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")
+    rows = files.select("subject_id", F.posexplode(lines).alias("row_no", "line"), F.get(lines, F.lit(0)).alias("head"))
+    rows = rows.filter((F.col("row_no") > 0) & (F.trim("line") != ""))
+    # Commas bound the number of fields, quoted ones included.
+    most = (files.agg(F.max(F.size(F.split(F.get(lines, F.lit(0)), ",")))).first()[0] or 1) + 1
+    schema = ", ".join(f"c{i} string" for i in range(most))
+
+    def fields(line: str) -> Column:
+        return F.array(*[F.from_csv(line, schema)[f"c{i}"] for i in range(most)])
+
+    rows = rows.withColumns({"names": fields("head"), "fields": fields("line")})
+    names = F.transform("names", lambda n: F.lower(F.regexp_replace(F.trim(n), " ", "_")))
+
+    def column(word: str) -> Column:
+        place = F.array_position(F.transform(names, lambda n: F.coalesce(n.contains(word), F.lit(False))), True)
+        return F.when(place > 0, F.get("fields", (place - 1).cast("int"))).alias(word)
+
+    return rows.select("subject_id", F.col("row_no").cast("long").alias("row_no"), *[column(w) for w in SHEET_WORDS], F.array_contains(
+        F.transform(names, lambda n: F.coalesce(n.contains("task"), F.lit(False))), True).alias("_has_task"))
+
+
+def sheet_labels(files: DataFrame) -> DataFrame:
+    """Labels from the texts of sheets (subject_id, value): see ``parse_sheets`` and ``fill_labels``.
+
+    A sheet without a task, trial, onset or impact column labels nothing.
+    """
+    rows = parse_sheets(files).filter("_has_task").drop("_has_task")
+    filled = fill_labels(rows, ["subject_id"], ["row_no"], F.floor(F.col("row_no") / SHEET_LINES))
+    found = standard_labels(filled)
+    return found.filter("repetition IS NOT NULL OR onset IS NOT NULL OR impact IS NOT NULL")
+
+
+def read_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of all sheets ``<subject>_label.csv`` below ``root``, rows by their line. See ``sheet_labels``."""
+    files = spark.read.option("pathGlobFilter", "*_label.csv").text(root, wholetext=True)
+    return sheet_labels(files.select(F.regexp_extract(F.col("_metadata.file_path"), LABEL_FILE, 1).alias("subject_id"), "value"))
 
 
 def repetition(trial_id: Column) -> Column:

@@ -85,13 +85,13 @@ def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
 
 def read_sample_stream(spark: SparkSession, folder: str, delete: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     """Samples from JSON files; see ``parse_samples``. ``delete`` removes files once done."""
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream
     if delete:
         reader = reader.option("cleanSource", "delete")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
-    return parse_samples(reader.text(folder).withColumns(place))
+    return parse_samples(reader.text(folder, wholetext=True).withColumns(place))
 
 
 def well_formed(samples: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def recorded(tmp_path_factory):
         (folder / f"s{number:03d}.json").write_text(json.dumps(items))
         number += 1
     (folder / "s003b.json").write_text("{not json")
-    (folder / "s004b.json").write_text(json.dumps(sample("w3", 6)))  # one object, seen before
+    (folder / "s004b.json").write_text(json.dumps(sample("w3", 6), indent=1))  # one object over many lines, seen before
     for age, path in enumerate(sorted(folder.iterdir())):
         os.utime(path, (1_700_000_000 + age, 1_700_000_000 + age))
     return folder, data
@@ -129,7 +129,7 @@ def test_samples_without_device_and_number(spark, tmp_path):
     (tmp_path / "sample_00011.json").write_text("[]")
     (tmp_path / "sample_00012.json").write_text("")
     place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
-    rows = live.parse_samples(spark.read.option("wholetext", True).text(str(tmp_path)).withColumns(place))
+    rows = live.parse_samples(spark.read.text(str(tmp_path), wholetext=True).withColumns(place))
     kept = live.well_formed(rows).orderBy("source_file", "place").collect()
     assert [r.acc_x for r in kept] == [1.0, 9.0, 10.0] and {r.device for r in kept} == {"default"} and kept[0].acc_y == 2.5
     assert sorted(r.problem for r in live.rejects(rows).collect() if r.source_file == "sample_00002.json") == ["acc_x", "acc_y", "not an object"]
@@ -208,7 +208,7 @@ def test_current_state(spark, recorded, tmp_path):
 def test_rejects(spark, recorded):
     folder, _ = recorded
     place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
-    rows = live.parse_samples(spark.read.option("wholetext", True).text(str(folder)).withColumns(place))
+    rows = live.parse_samples(spark.read.text(str(folder), wholetext=True).withColumns(place))
     bad = [(r.source_file, r.problem) for r in live.rejects(rows).collect()]
     assert sorted(bad) == [("s002.json", ",".join(CHANNELS[1:])), ("s003b.json", "unreadable file")]
     assert live.well_formed(rows).filter(F.col("seq") == 500).count() == 0

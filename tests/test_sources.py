@@ -85,6 +85,20 @@ def test_labels(spark, kfall):
     assert (quiet.fall_onset_frame, quiet.label, quiet.n_frames, quiet.native_rate_hz) == (None, "adl", 500, 100.0)
 
 
+def test_sheets_with_headers_of_their_own(spark, tmp_path):
+    """Columns in other orders and under other names, one sheet without onsets, quotes, blank cells and lines."""
+    (tmp_path / "SA06_label.csv").write_text("Task Code (Task ID),Description,Trial ID,Fall_onset_frame,Fall_impact_frame\nF01 (20),\"Forward, slip\",1,100,150\n,,2,110,161\n")
+    (tmp_path / "SA07_label.csv").write_text("Impact frame,Onset frame,Trial,TASK\r\n90,70,1,F02 (21)\r\n\r\n95,72,2,\r\n,,3,\r\n")
+    (tmp_path / "SA08_label.csv").write_text("note,Trial no,impact,Fall description,onset,My task,extra\nx,4,12,\"a, b\",7,T05,z\n")
+    (tmp_path / "SA09_label.csv").write_text("Task,Comment\nT01,no frames here\n")
+    (tmp_path / "SA10_label.csv").write_text("")
+    got = [tuple(r) for r in labels.read_labels(spark, str(tmp_path)).orderBy("subject_id", "row_no").select("subject_id", "task_id", "repetition", "onset", "impact", "row_no").collect()]
+    assert got == [
+        ("SA06", 22, 1, 100, 150, 1), ("SA06", 22, 2, 110, 161, 2),
+        ("SA07", 23, 1, 70, 90, 1), ("SA07", 23, 2, 72, 95, 3), ("SA07", 23, 3, None, None, 4), ("SA08", 5, 4, 7, 12, 1),
+    ]
+
+
 def test_sheets_without_the_columns_label_nothing(spark, tmp_path):
     (tmp_path / "SA06_label.csv").write_text("Name,Trial ID\nx,1\n")
     assert labels.read_labels(spark, str(tmp_path)).count() == 0
