@@ -66,10 +66,13 @@ def signal_statistics(
     return stepped.groupBy(*keys).agg(*stats)
 
 
-def signal_issues(columns: Sequence[str], rate_hz: float) -> list[Column]:
-    """Schema, missing or infinite values, timing, plausibility and flatline checks, in order."""
+def signal_issues(columns: Sequence[str], rate_hz: float, beside: Sequence[str] = ()) -> list[Column]:
+    """Schema, missing or infinite values, timing, plausibility and flatline checks, in order.
+
+    The schema is exact: all columns but those ``beside`` the signal (keys, frame), in their order.
+    """
     signal = [c for c in HARMONIZED_COLUMNS if c in columns]
-    found = [c for c in columns if c in HARMONIZED_COLUMNS]
+    found = [c for c in columns if c not in beside]
     issues = []
     if found != HARMONIZED_COLUMNS:
         issues.append(_issue("schema", F.lit(True), f"columns should be {HARMONIZED_COLUMNS}, got {found}"))
@@ -173,7 +176,7 @@ def validate(
         _issue("no_samples", n.isNull(), "the trial has no samples"),
         _issue("no_calibration", F.col("v_x").isNull() | F.col("v_y").isNull() | F.col("v_z").isNull(), "the subject has no calibration"),
     ]
-    issues = absent + signal_issues(samples.columns, rate_hz) + calibration_issues()
+    issues = absent + signal_issues(samples.columns, rate_hz, {*keys, *subject, frame}) + calibration_issues()
     issues += [duration_issue(n, rate_hz, "min_s", "max_s")] + label_issues(n)
     checked = checked.withColumn("_issues", F.array_compact(F.array(*issues)))
     return checked.select(

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kinelake.functions import filters, units
 from kinelake.functions.channels import CHANNELS
@@ -212,6 +213,10 @@ def test_each_validation_rule(spark):
         assert {r["k"] for r in found if r["accepted"]} == {10}
     short = validate.validate(df.drop("gyro_z"), trials, cal, ["k"], ["s"], 100.0).filter("k = 10").first()
     assert short["issue_codes"] == ["schema"]
+    wide = validate.validate(df.withColumn("euler_x", F.lit(0.0)), trials, cal, ["k"], ["s"], 100.0).filter("k = 10").first()
+    assert wide["issue_codes"] == ["schema"] and "euler_x" in wide["issues"][0]
+    mixed = df.select(*[c for c in df.columns if c != "acc_x"], "acc_x")
+    assert validate.validate(mixed, trials, cal, ["k"], ["s"], 100.0).filter("k = 10").first()["issue_codes"] == ["schema"]
     more = trials.union(spark.createDataFrame([(77, 10, "T01", "adl", None, None)], trials.schema))
     lost = validate.validate(df, more, cal.filter("s <> 11"), ["k"], ["s"], 100.0).collect()
     codes = {r["k"]: (r["issue_codes"], r["accepted"], r["n_frames"]) for r in lost}
