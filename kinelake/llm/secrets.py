@@ -61,23 +61,50 @@ PLAIN_ENCODINGS = 3
 #: p-values are counted in classes of a quarter of a power of ten, down to 10**-75.
 P_STEPS, P_CLASSES = 4, 300
 
+#: Places are summed up in blocks of this many matches.
+BLOCK = 128
+
 _SPAN = "array<struct<start: int, end: int, kind: int, token: string>>"
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _before(sizes: Column) -> Column:
+    """Sum of the sizes before each place. In blocks, since a fold that gathers a list copies it at every step."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    none = F.array().cast("array<array<int>>")
+    cut = F.when(F.size(sizes) == 0, none).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
+    )
+
+    def joined(e: Column) -> Column:
+        first = lambda block, b: F.transform(F.array(total(F.slice(e["sums"], 1, b))), lambda base: F.transform(block, lambda _, i: base + total(F.slice(block, 1, i))))
+        return F.flatten(F.flatten(F.transform(e["blocks"], first)))
+
+    return _let(cut, lambda blocks: _let(F.struct(blocks.alias("blocks"), F.transform(blocks, total).alias("sums")), joined))
+
+
 def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Leftmost non-overlapping matches with their places in code points; those with a shorter group are dropped."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), held.alias("held"))  # the last gap has no hit
-    none = F.array().cast(_SPAN)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), held.alias("held"))  # the last gap has no hit
+    parts = F.transform(F.filter(zipped, lambda p: p["hit"].isNotNull()), lambda p: F.struct(
+        F.char_length(p["gap"]).alias("gap"), F.char_length(p["hit"]).alias("size"), p["hit"].alias("hit"), F.char_length(p["held"]).alias("held")
+    ))
+
+    def placed(e: Column) -> Column:
+        def span(p: Column, i: Column) -> Column:
+            start = F.get(e["before"], i) + p["gap"]
+            return F.struct(start.alias("start"), (start + p["size"]).alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("token"), p["held"].alias("held"))
 
-    def place(s: Column, p: Column) -> Column:
-        start = s["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("token"))
-        return F.struct(end.alias("at"), F.when(F.char_length(p["held"]) >= least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+        long = F.filter(F.transform(e["parts"], span), lambda s: s["held"] >= least)
+        return F.transform(long, lambda s: F.struct(s["start"], s["end"], s["kind"], s["token"])).cast(_SPAN)
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda s: s["out"])
+    return _let(parts, lambda own: _let(F.struct(own.alias("parts"), _before(F.transform(own, lambda p: p["gap"] + p["size"])).alias("before")), placed))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -117,14 +144,16 @@ def _battery(token: Column) -> Column:
     start = F.struct(own.alias("own"), alphabet.alias("alphabet"), code.alias("code"), digits.alias("digits"), turned.alias("turned"))
     symbols = F.transform(F.array(start), lambda e: F.struct(
         F.char_length(e["alphabet"]).cast("double").alias("m"), e["code"].alias("code"), e["digits"].alias("digits"), e["turned"].alias("turned"),
-        F.transform(F.sequence(F.lit(1), F.char_length(e["own"])), lambda i: F.position(F.substr(e["own"], i, F.lit(1)), e["alphabet"]) - 1).alias("v"),
+        F.transform(F.filter(F.split(e["own"], ""), lambda c: c != ""), lambda c: F.position(c, e["alphabet"]) - 1).alias("v"),
+        # occurrences of each symbol of the alphabet, by what is left without it
+        F.transform(F.filter(F.split(e["alphabet"], ""), lambda c: c != ""), lambda c: F.char_length(e["own"]) - F.char_length(F.replace(e["own"], c, F.lit("")))).alias("each"),
     ))
 
     def sums(e: Column) -> Column:
         v, m = e["v"], e["m"]
         n = F.size(v).cast("double")
         zero = F.lit(0.0)
-        same = F.aggregate(F.array_distinct(v), zero, lambda a, x: a + F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), F.lit(2.0)))
+        same = F.aggregate(e["each"], zero, lambda a, x: a + x.cast("double") * x.cast("double"))
         return F.struct(e["code"].alias("code"), e["digits"].alias("digits"), e["turned"].alias("turned"), v.alias("v"), m.alias("m"), n.alias("n"), same.alias("same"), (F.aggregate(v, zero, lambda a, x: a + x) / n).alias("mean"))
 
     def counts(e: Column) -> Column:
