@@ -177,6 +177,32 @@ def test_exact(docs, none, rows):
     assert exact_dedup(docs).columns == docs.columns and mark_duplicates(none).count() == 0
 
 
+def test_exact_with_shared_owners(spark, monkeypatch):
+    """Copies of one text, also of null id, in many shares: same groups as with one owner."""
+    from kinelake.llm import exact
+
+    texts = [(None if i % 7 == 0 else i, ("a b " if i % 3 else "x  y") + " " * (i % 5)) for i in range(200)] + [(500, "alone")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    want = counted(map(tuple, exact.mark_duplicates(frame).collect()))
+    monkeypatch.setattr(exact, "HOT_ROWS", 4)
+    assert counted(map(tuple, exact.mark_duplicates(frame, capacity=1).collect())) == want
+    groups = {}
+    for i, t in texts:
+        groups.setdefault("".join(brute.split(t)), []).append((-len(t), i is None, i or 0))
+    best = {k: (None if min(g)[1] else min(g)[2], len(g)) for k, g in groups.items()}
+    assert counted(tuple(r[2:4]) for r in want.elements()) == counted(best["".join(brute.split(t))] for _, t in texts)
+
+
+def test_exact_needs_its_directory(spark, monkeypatch):
+    from kinelake.llm import exact
+
+    frame = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    assert exact.mark_duplicates(frame).count() == 3
+    whole = exact.directory
+    monkeypatch.setattr(exact, "directory", lambda keys, capacity: whole(keys, capacity).limit(0))
+    assert exact.mark_duplicates(frame).count() == 0
+
+
 def test_directory_splits_only_overfull_buckets(spark):
     from kinelake.llm.exact import directory
 
@@ -370,6 +396,18 @@ def test_secrets(spark, docs, none, rows):
     assert find_secrets(docs).count() == len(rows) and find_secrets(none).count() == 0
 
 
+def test_secrets_of_long_tokens_and_many_matches(spark):
+    """A token of a megabyte and a text of 100,000 matches, more than one block of places."""
+    from kinelake.llm.secrets import find_secrets
+
+    rng = random.Random(3)
+    long = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    many = "é token=abcdefgh12 " * 100_000
+    got = {r["id"]: r["spans"] for r in find_secrets(spark.createDataFrame([(1, "see " + long), (2, many)], "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[1]] == [(4, 3, 1_000_004)]
+    assert [tuple(s) for s in got[2]] == [(19 * i + 2, 0, 19 * i + 18) for i in range(100_000)]
+
+
 def test_battery_agrees_with_plain_loops(spark):
     from kinelake.llm.secrets import _battery
 
