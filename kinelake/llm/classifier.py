@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,12 @@ def index_vectors(s: Settings) -> np.ndarray:
 
 _BLOCKS = 64
 
+#: Sums of a block are added in two steps, first those of the partitions that are alike modulo this.
+_SHARES = 256
+
+
+_SUMS = "block int, share int, sums binary"
+
 
 def _counter(s: Settings):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +109,28 @@ def _counter(s: Settings):
                         if len(at_):
                             total[one[order][at_]] += np.add.reduceat(index[other[order]] * n[order, None], at_)
         parts = total.reshape(_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "sums"])
+        share = pa.array(np.full(_BLOCKS, TaskContext.get().partitionId() % _SHARES, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), share, pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "share", "sums"])
 
     return count
 
 
-def _adder(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64) for b in table.column("sums").to_pylist())
-    return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sums of a (block, share), batch by batch: memory does not grow with their number."""
+    total, first = 0, None
+    for batch in batches:
+        first = first or batch.slice(0, 1)
+        for b in batch.column("sums"):
+            total = total + np.frombuffer(b.as_buffer(), np.int64)
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([first.column("block"), first.column("share"), pa.array([total.tobytes()], pa.binary())], ["block", "share", "sums"])
 
 
 def word_vectors(documents: DataFrame, s: Settings, text: str = "text") -> np.ndarray:
     """Unit word vectors by bucket, over all documents. What reaches the driver is ``buckets * dims`` numbers."""
-    parts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_counter(s), "block int, sums binary")
-    rows = parts.groupBy("block").applyInArrow(_adder, "block int, sums binary").collect()
+    parts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_counter(s), _SUMS)
+    shares = parts.groupBy("block", "share").applyInArrow(_adder, _SUMS)
+    rows = shares.withColumn("share", F.lit(0)).groupBy("block").applyInArrow(_adder, _SUMS).collect()
     total = np.zeros((_BLOCKS, s.buckets * s.dims // _BLOCKS))
     for r in rows:
         total[r["block"]] = np.frombuffer(r["sums"], np.int64)
@@ -205,7 +220,8 @@ def _vectorised(vectors):
 def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from documents with a label of 0 or 1; word vectors from all documents.
 
-    Rows of ``labels`` with a null id or label are left out; of several labels of one id the largest counts.
+    Rows of ``labels`` with a null id or label are left out; of several labels of one id the largest counts, of
+    several texts of one id the one with the least hash.
     With no usable label, or labels of one kind only, every score is the share of label 1 (a half if none).
     """
     spark = documents.sparkSession
@@ -214,9 +230,9 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_i
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(s.sample)
     rows = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(known), "id").select("id", "y", "text")  # ``sample`` rows at most
+    rows = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("text"))  # ``sample`` ids at most
     kind = documents.schema[doc_id].dataType.simpleString()
-    got = rows.mapInArrow(_vectorised(shared), f"id {kind}, y int, x binary").dropDuplicates(["id"]).toArrow().sort_by("id")
+    got = rows.mapInArrow(_vectorised(shared), f"id {kind}, y int, x binary").toArrow().sort_by("id")
     y = got.column("y").to_numpy().astype(np.float64)
     width = s.dims + SHAPES + _MORE
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width)

@@ -505,3 +505,25 @@ def test_classifier(spark, docs, none, rows):
     none_known = fit(docs, labels.limit(0), small)
     assert {round(r["score"], 6) for r in score(docs, none_known).collect()} == {0.5} and score(none, none_known).count() == 0
     assert score(none, fit(none, labels, small)).count() == 0
+
+
+def test_classifier_of_repeated_ids_does_not_depend_on_partitions(spark):
+    """Several texts of one id: the same model however rows are dealt, and sums of many partitions are whole."""
+    from kinelake.llm.classifier import Settings, fit, index_vectors, tokens, word_vectors
+
+    small = Settings(buckets=256, dims=8, steps=20)
+    frame = spark.createDataFrame([(k % 20, prose(100 + k, 30)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    one, many = (fit(f, labels, small) for f in (frame.coalesce(1), frame.repartition(13, "text")))
+    assert all(np.array_equal(a, b) for a, b in zip(one.layers, many.layers)) and one.temperature == many.temperature
+
+    index, total = index_vectors(small), np.zeros((small.buckets, small.dims))
+    for r in frame.collect():
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        own = (tokens(data, np.array([0, len(data)]))[0] % np.uint64(small.buckets)).astype(int)
+        for i, b in enumerate(own):
+            for j in range(max(0, i - small.reach), min(len(own), i + small.reach + 1)):
+                if j != i:
+                    total[b] += index[own[j]]
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(word_vectors(frame.repartition(9), small), want, atol=1e-6)
