@@ -111,9 +111,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op4_line_dedup",
     r"""
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-win AS (SELECT doc_id, s, l[s:s + 2] AS w FROM (SELECT *, unnest(range(1, len(l) - 1)) AS s FROM lines)),
-late AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS i FROM late),
+runs AS (SELECT doc_id, l, n, s, l[s:s + n - 1] AS w FROM (SELECT *, unnest(range(1, len(l) - n + 2)) AS s FROM lines, (VALUES (1), (2), (3)) v(n))),
+counted AS (SELECT *, len(regexp_extract_all(array_to_string(w, chr(10)), '[^\x20\x09-\x0D]+')) AS words FROM runs),
+win AS (SELECT doc_id, n, s, w FROM counted WHERE n = 3 OR words >= 50 OR n = len(l) AND words > 0),
+late AS (SELECT doc_id, n, s FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS i FROM late),
 each AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines)
 SELECT e.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
        sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (g.i IS NULL), '')) AS kept_sha256
@@ -121,33 +123,31 @@ FROM each e LEFT JOIN gone g USING (doc_id, i) GROUP BY e.doc_id
 """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines left of each document once repeated runs of three lines or more are deleted."""
+    """Lines left of each document once repeated runs of three lines, or of 50 words, or whole shorter texts are deleted."""
     from kinelake.llm.lines import remove_repeated_lines
 
-    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3)
+    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3, passage=50)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query(
-    "op4_line_passage_dedup",
+    "op4_line_run_dedup",
     r"""
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-runs AS (SELECT doc_id, l, n, s, l[s:s + n - 1] AS w FROM (SELECT *, unnest(range(1, len(l) - n + 2)) AS s FROM lines, (VALUES (1), (2), (3)) v(n))),
-counted AS (SELECT *, len(regexp_extract_all(array_to_string(w, chr(10)), '[^\x20\x09-\x0D]+')) AS words FROM runs),
-win AS (SELECT doc_id, n, s, w FROM counted WHERE n = 3 OR words >= 50 OR n = len(l) AND words > 0),
-late AS (SELECT doc_id, n, s FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS i FROM late),
+win AS (SELECT doc_id, s, l[s:s + 2] AS w FROM (SELECT *, unnest(range(1, len(l) - 1)) AS s FROM lines)),
+late AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS i FROM late),
 each AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM lines)
 SELECT e.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
        sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (g.i IS NULL), '')) AS kept_sha256
 FROM each e LEFT JOIN gone g USING (doc_id, i) GROUP BY e.doc_id
 """,
 )
-def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines left of each document once repeated runs of three lines, or of 50 words, or whole shorter texts are deleted."""
+def op4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrower rule alone: lines left once repeated runs of three lines or more are deleted."""
     from kinelake.llm.lines import remove_repeated_lines
 
-    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3, passage=50)
+    kept = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), window=3)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
