@@ -93,7 +93,9 @@ def time_features(
     return _time_aggregates(rows, keys, length, rate_hz)
 
 
-def _time_aggregates(rows: DataFrame, keys: Sequence[str], length: int, rate_hz: float) -> DataFrame:
+def _time_aggregates(
+    rows: DataFrame, keys: Sequence[str], length: int, rate_hz: float, window: Sequence[str] = ("window_index",)
+) -> DataFrame:
     counted = F.when(~F.col("is_pad") & (F.col("offset") > 0), F.abs("_step") * rate_hz)
     jerk = F.coalesce(counted, F.lit(0.0))
     stats: dict[str, Column] = {}
@@ -106,7 +108,7 @@ def _time_aggregates(rows: DataFrame, keys: Sequence[str], length: int, rate_hz:
     tilt = channel_stats("tilt")
     stats |= {k: tilt[k] for k in ("tilt_mean", "tilt_std", "tilt_range")}
     stats["sma"] = F.avg(sum((F.abs(c) for c in ACCEL), F.lit(0.0)))
-    return rows.groupBy(*keys, "window_index").agg(*[c.alias(name) for name, c in stats.items()])
+    return rows.groupBy(*keys, *window).agg(*[c.alias(name) for name, c in stats.items()])
 
 
 def window_arrays(rows: DataFrame, keys: Sequence[str], values: Sequence[str], order: str = "offset") -> DataFrame:
@@ -240,6 +242,40 @@ def features_batch(
     return features.select(*FEATURE_NAMES, *dict.fromkeys([*wanted, *trial_keys, "window_index"]))
 
 
+def array_features(windows: DataFrame, keys: Sequence[str], length: int, rate_hz: float = 100.0) -> DataFrame:
+    """All 54 features of windows given as rows of six channel arrays, e.g. one live window or a stored tensor.
+
+    Arrays of a row have one size, 1 to ``length`` samples; shorter ones are filled up with their last sample.
+    ``keys`` name a window. Its samples lie in one row until they fold, so one row of each goes to the shuffle.
+    """
+    ids = list(keys)
+    size = F.size(CHANNELS[0])
+    even = F.lit(True)
+    for c in CHANNELS:
+        even = even & (F.size(c) == size)
+    wrong = F.raise_error(F.lit(f"a window needs six arrays of one size, 1 to {length} samples"))
+    checked = F.when(even & size.between(1, length), F.col(CHANNELS[0])).otherwise(wrong.cast("array<double>"))
+    filled = windows.select(*ids, checked.alias(CHANNELS[0]), *CHANNELS[1:])
+    filled = filled.select(*ids, *[padded(c, length).alias(c) for c in CHANNELS])
+    squares = F.arrays_zip(*ACCEL)
+    mags = F.transform(squares, lambda s: F.sqrt(sum((s[a] * s[a] for a in ACCEL), F.lit(0.0))))
+    filled = filled.withColumn("accel_mag", mags)
+    spectral = spectral_columns("_power", F.lit(length), rate_hz)
+    filled = filled.withColumn("_power", power_spectrum(F.col("accel_mag"))).withColumns(spectral)
+    before = F.concat(F.slice("accel_mag", 1, 1), F.slice("accel_mag", 1, length - 1))
+    zipped = F.arrays_zip(*CHANNELS, "accel_mag", before.alias("_before"))
+    rows = filled.select(*ids, *spectral, F.posexplode(zipped).alias("offset", "_s")).select(*ids, *spectral, "offset", "_s.*")
+    rows = rows.withColumns(
+        {
+            "gyro_mag": gyro_magnitude(),
+            "tilt": tilt_degrees(F.col("accel_mag")),
+            "_step": F.col("accel_mag") - F.col("_before"),
+            "is_pad": F.lit(False),
+        }
+    )
+    return _time_aggregates(rows, ids, length, rate_hz, list(spectral)).select(*ids, *FEATURE_NAMES)
+
+
 def auxiliary_channels(
     rows: DataFrame, keys: Sequence[str], length: int, rate_hz: float = 100.0
 ) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.functions.channels import CHANNELS
 from kinelake.operators.catalog import detection_trials
-from kinelake.operators.features import FEATURE_NAMES, features_batch
+from kinelake.operators.features import FEATURE_NAMES, array_features, features_batch
 from kinelake.operators.splits import scale_pos_weight
 from kinelake.operators.windows import DETECTION_WINDOWS, WindowConfig, detection_windows
 from kinelake.sources.sensors import TRIAL_KEYS
@@ -77,23 +78,55 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def predict_features(model: PipelineModel, features: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Fall probability and decision per window; works for one window as for many, or none."""
+def model_features(model) -> list[str]:
+    """Feature columns that a model reads: those of its assembler, or all."""
+    for stage in getattr(model, "stages", [model]):
+        if isinstance(stage, VectorAssembler):
+            return stage.getInputCols()
+    return list(FEATURE_NAMES)
+
+
+def predict_features(model, features: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Fall probability and decision per window; works for one window as for many, or none.
+
+    ``model`` is anything with ``transform``: a fitted one adds ``probability``, a vector of two, a fixed rule
+    ``fall_probability`` itself. Columns that it needs and does not find are an error.
+    """
+    check_features(features, model_features(model))
     scored = model.transform(features)
-    scored = scored.withColumn("fall_probability", vector_to_array("probability")[1])
+    if "probability" in scored.columns:
+        scored = scored.withColumn("fall_probability", vector_to_array("probability")[1])
     scored = scored.withColumn("predicted", (F.col("fall_probability") >= threshold).cast("int"))
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
+def predict_windows(
+    model, windows: DataFrame, keys: Sequence[str], config: WindowConfig = DETECTION_WINDOWS, threshold: float = 0.5
+) -> DataFrame:
+    """Windows given as rows of six channel arrays, named by ``keys``, to scored windows."""
+    return predict_features(model, array_features(windows, keys, config.length, config.rate_hz), threshold)
+
+
+def predict_window(
+    spark: SparkSession, model, window: Sequence[Sequence[float]], config: WindowConfig = DETECTION_WINDOWS, threshold: float = 0.5
+) -> tuple[float, int]:
+    """Fall probability and decision of one window of (samples, six channels)."""
+    channels = [[float(row[i]) for row in window] for i in range(len(CHANNELS))]
+    one = spark.createDataFrame([(0, *channels)], "id int, " + ", ".join(f"{c} array<double>" for c in CHANNELS))
+    row = predict_windows(model, one, ["id"], config, threshold).first()
+    return row["fall_probability"], row["predicted"]
+
+
 def predict(
-    model: PipelineModel,
+    model,
     manifest: DataFrame,
     samples: DataFrame,
     config: WindowConfig = DETECTION_WINDOWS,
     datasets: Sequence[str] | None = None,
     keys: Sequence[str] = TRIAL_KEYS,
+    threshold: float = 0.5,
 ) -> DataFrame:
-    """Catalogue and samples to scored windows."""
+    """Catalogue and samples to scored windows of the accepted trials."""
     windows = detection_windows(detection_trials(manifest, datasets), config)
     features = features_batch(windows, samples, keys, config.length, config.rate_hz)
-    return predict_features(model, features)
+    return predict_features(model, features, threshold)

@@ -146,22 +146,94 @@ def spectral_features(spark, sf_dir):
     return rounded(features.spectral_features(_vectors(spark, sf_dir), ["vec_id"], "v", RATE), "vec_id")
 
 
-@query(
-    "features_all",
-    f"""WITH {SAMPLES_SQL}, {windows_sql(LENGTH, STRIDE)}, {window_samples_sql(LENGTH)}, {_DERIVED},
+_ALL_FEATURES = f"""WITH {SAMPLES_SQL}, {windows_sql(LENGTH, STRIDE)}, {window_samples_sql(LENGTH)}, {_DERIVED},
 v AS (SELECT trial, window_index, "offset" AS off, accel_mag AS v FROM d),
 {_spectrum_sql("v", "trial, window_index", LENGTH)},
-t AS ({_TIME_SELECT})
-SELECT t.*, round(dominant_freq_hz, 6) AS dominant_freq_hz, round(spectral_energy, 6) AS spectral_energy,
-       round(spectral_entropy, 6) AS spectral_entropy
-FROM t JOIN sp USING (trial, window_index)""",
-)
+t AS ({_TIME_SELECT})"""
+_SPECTRAL = ", ".join(f"round({c}, 6) AS {c}" for c in ("dominant_freq_hz", "spectral_energy", "spectral_entropy"))
+
+
+@query("features_all", f"{_ALL_FEATURES} SELECT t.*, {_SPECTRAL} FROM t JOIN sp USING (trial, window_index)")
 def features_all(spark, sf_dir):
     """All 54 features per window in one plan."""
     found = features.window_features(samples(spark, sf_dir), series(spark, sf_dir), ["trial"], LENGTH, STRIDE, RATE)
     return rounded(found, "trial", "window_index")
 
 
+def measured_catalog(spark, sf_dir):
+    """The catalogue with durations as sampled, and the samples under the keys of its trials."""
+    trials = catalog(spark, sf_dir).drop("duration_s").join(series(spark, sf_dir), "trial")
+    trials = trials.withColumn("duration_s", F.col("n_frames") / RATE).drop("n_frames")
+    ids = trials.select("trial", "dataset", "subject_id", "activity_code", "trial_id")
+    return trials, samples(spark, sf_dir).join(ids, "trial").drop("trial")
+
+
+@query(
+    "features_manifest",
+    f"""{_ALL_FEATURES}, {CATALOG_SQL}
+SELECT t.* EXCLUDE (trial), {_SPECTRAL}, (label = 'fall')::BIGINT AS label, dataset, subject_id,
+       dataset || '_' || subject_id AS global_subject_id, activity_code, trial_id
+FROM t JOIN sp USING (trial, window_index) JOIN c USING (trial) WHERE accepted""",
+)
+def features_manifest(spark, sf_dir):
+    """Features of all windows of a catalogue's accepted trials, with label and ids."""
+    from kinelake.operators.catalog import detection_trials
+    from kinelake.sources.sensors import TRIAL_KEYS
+
+    trials, rows = measured_catalog(spark, sf_dir)
+    specs = windows.detection_windows(detection_trials(trials))
+    found = features.features_batch(specs, rows, TRIAL_KEYS, LENGTH, RATE)
+    ids = [*TRIAL_KEYS, "global_subject_id", "window_index", "label"]
+    return rounded(found, *ids).withColumn("label", F.col("label").cast("long"))
+
+
+# A fixed rule in place of a fitted model, so that SQL can tell its scores.
+_RULE = "1 / (1 + exp(4 - accel_mag_std * 2 - tilt_std / 20 - jerk_mean_abs / 100 - dominant_freq_hz / 10 - spectral_entropy / 4))"
+_UNROUNDED = _ALL_FEATURES.replace("round(", "(").replace(", 6) AS", ") AS")
+_SCORED_SQL = f"""{_UNROUNDED}, {CATALOG_SQL},
+r AS (SELECT t.trial, t.window_index, {_RULE} AS p FROM t JOIN sp USING (trial, window_index))"""
+
+
+def rule():
+    """The fixed rule as a model."""
+    from pyspark.ml.feature import SQLTransformer
+
+    return SQLTransformer(statement=f"SELECT *, {_RULE} AS fall_probability FROM __THIS__")
+
+
+@query(
+    "predict_manifest",
+    f"""{_SCORED_SQL}
+SELECT dataset, subject_id, activity_code, trial_id, window_index, (label = 'fall')::BIGINT AS label,
+       round(p, 6) AS fall_probability, (p >= 0.5)::BIGINT AS predicted
+FROM r JOIN c USING (trial) WHERE accepted""",
+)
+def predict_manifest(spark, sf_dir):
+    """Catalogue and samples to scored windows in one call."""
+    from kinelake.plans.detection import predict
+
+    scored = predict(rule(), *measured_catalog(spark, sf_dir))
+    return scored.select(
+        "dataset", "subject_id", "activity_code", "trial_id", "window_index",
+        *longs("label", "predicted"), F.round("fall_probability", 6).alias("fall_probability"),
+    )
+
+
+@query(
+    "predict_windows",
+    f"""{_SCORED_SQL}
+SELECT trial, window_index, round(p, 6) AS fall_probability, (p >= 0.5)::BIGINT AS predicted FROM r""",
+)
+def predict_windows(spark, sf_dir):
+    """Windows that come as channel arrays, each by itself, short ones unpadded."""
+    from kinelake.plans.detection import predict_windows as predict
+
+    blocked = features.with_blocks(samples(spark, sf_dir), "frame", after=LENGTH - 1, size=features.SLICE_FRAMES)
+    arrays = features.slice_windows(blocked, series(spark, sf_dir), ["trial"], CHANNELS, LENGTH, STRIDE)
+    scored = predict(rule(), arrays, ["trial", "window_index"])
+    return scored.select("trial", *longs("window_index", "predicted"), F.round("fall_probability", 6).alias("fall_probability"))
+
+
 DENSE, STEP = 100, 10
 _AUX_SQL = f"""WITH {SAMPLES_SQL}, {windows_sql(DENSE, STEP)}, {window_samples_sql(DENSE)},
 m AS (SELECT *, sqrt(acc_x*acc_x + acc_y*acc_y + acc_z*acc_z) AS accel_mag FROM x),

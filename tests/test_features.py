@@ -117,3 +117,38 @@ def test_one_sample_windows_refused(trials):
     _, samples, series = trials
     with pytest.raises(ValueError):
         features.augmented_windows(samples, series, ["k"], 1, 1)
+
+
+def test_array_features_agree(trials):
+    _, samples, series = trials
+    rows = w.materialize_windows(w.window_specs(series, "n_frames", LENGTH, STRIDE).select("k", "window_index", "start_frame", "end_frame"), samples, ["k"], LENGTH)
+    arrays = features.window_arrays(rows.filter("not is_pad"), ["k", "window_index"], CHANNELS)
+    got = features.array_features(arrays, ["k", "window_index"], LENGTH, RATE).toPandas().sort_values(["k", "window_index"])
+    want = features.window_features(samples, series, ["k"], LENGTH, STRIDE, RATE).toPandas().sort_values(["k", "window_index"])
+    assert len(got) == len(want) and np.allclose(got[features.FEATURE_NAMES], want[features.FEATURE_NAMES], atol=1e-9)
+    assert features.array_features(arrays.limit(0), ["k", "window_index"], LENGTH, RATE).count() == 0
+
+
+@pytest.mark.parametrize("short", [0, LENGTH + 1])
+def test_array_features_refuse_other_sizes(trials, short):
+    spark = trials[1].sparkSession
+    bad = spark.createDataFrame([(None, *[[1.0] * short] * 6)], "k int, " + ", ".join(f"{c} array<double>" for c in CHANNELS))
+    with pytest.raises(Exception, match="six arrays of one size"):
+        features.array_features(bad, ["k"], LENGTH, RATE).collect()
+
+
+def test_one_window_is_scored(trials):
+    from pyspark.ml.feature import SQLTransformer
+
+    from kinelake.operators.windows import WindowConfig
+    from kinelake.plans import detection
+
+    spark = trials[1].sparkSession
+    rule = SQLTransformer(statement="SELECT *, 1 / (1 + exp(-acc_x_mean)) AS fall_probability FROM __THIS__")
+    config = WindowConfig(LENGTH / RATE, STRIDE / RATE, RATE)
+    p, decided = detection.predict_window(spark, rule, [[2.0, 0, 0, 0, 0, 0]] * 3 + [[4.0, 0, 0, 0, 0, 0]], config)
+    mean = (3 * 2.0 + 4.0 * (LENGTH - 3)) / LENGTH
+    assert p == pytest.approx(1 / (1 + np.exp(-mean))) and decided == 1
+    assert detection.predict_window(spark, rule, [[-1.0, 0, 0, 0, 0, 0]], config)[1] == 0
+    with pytest.raises(ValueError, match="missing feature columns"):
+        detection.predict_features(rule, trials[1])
