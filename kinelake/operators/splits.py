@@ -127,12 +127,15 @@ def inner_val_cuts(df: DataFrame, frac: float = 0.15, seed: int = 42, subject: s
     return folds.select(F.col(subject).alias("test_subject"), "rank", "n_train", "n_val", cut.alias("cut"))
 
 
+def inner_role(test_subject: str, cut: int, subject: str = SUBJECT, rank: str = "rank") -> Column:
+    """Train, val or test in one fold, from the subject and its place in the seeded order."""
+    return F.when(F.col(subject) == test_subject, "test").when(F.col(rank) < cut, "val").otherwise("train")
+
+
 def with_inner_role(df: DataFrame, ranked: DataFrame, test_subject: str, cut: int, subject: str = SUBJECT) -> DataFrame:
     """Train, val or test for the rows of one fold."""
-    role = (
-        F.when(F.col(subject) == test_subject, "test").when(F.col("rank") < cut, "val").otherwise("train")
-    )
-    return df.join(ranked.select(subject, "rank"), subject).withColumn("role", role).drop("rank")
+    joined = df.join(ranked.select(subject, "rank"), subject)
+    return joined.withColumn("role", inner_role(test_subject, cut, subject)).drop("rank")
 
 
 def _weights(counts: DataFrame, by: Sequence[str], label: str, boost: float) -> DataFrame:

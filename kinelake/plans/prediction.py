@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinelake.functions.channels import AUX_CHANNELS, CHANNELS
-from kinelake.operators.metrics import class_report, focal_loss, weighted_loss
+from kinelake.operators.metrics import class_report, early_stop, focal_loss, weighted_loss
 from kinelake.operators.review import lead_time, lead_time_summary
-from kinelake.operators.splits import class_weights, inner_val_cuts, ranked_subjects, with_inner_role
+from kinelake.operators.splits import class_weights, inner_role, inner_val_cuts, ranked_subjects, with_fold_role
 from kinelake.operators.windows import LABEL_IDS
+from kinelake.session import shared_path
 
 SUBJECT = "global_subject_id"
 CLASSES = list(LABEL_IDS)
@@ -28,7 +29,11 @@ Scorer = Callable[[np.ndarray], np.ndarray]
 
 @dataclass(frozen=True)
 class PredictorConfig:
-    trees: tuple[int, ...] = (20, 40, 80)
+    """Forest and its stages: one of every ``step`` trees. A stage takes the place of an epoch."""
+
+    trees: int = 40
+    step: int = 5
+    patience: int = 5
     max_depth: int = 8
     val_fraction: float = 0.15
     boost: float = 2.0
@@ -55,57 +60,101 @@ def score_windows(windows: DataFrame, scorer: Scorer, channels: Sequence[str] =
     return scored.select(*windows.columns, "_l.*")
 
 
-def train_fold(
-    features: DataFrame, names: Sequence[str], test_subject: str, config: PredictorConfig | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Fit one fold and score its held-out subject: (predictions, history of validation losses).
+def staged_scores(model: PipelineModel, rows: DataFrame, step: int) -> DataFrame:
+    """Add ``stages``: class probabilities of the first ``step``, 2 * ``step``, .. trees of a fitted forest.
 
-    Sizes of forest take the place of epochs: each is judged by focal loss on the inner
-    validation subjects, and the best one scores the test subject. Class weights come from all
-    training subjects of the fold.
+    A forest's probabilities are the mean of its trees', so every size is judged from one fit.
+    """
+    assembler, forest = model.stages
+    trees = forest.trees
+    scored = assembler.transform(rows)
+    for i, tree in enumerate(trees):
+        tree.setFeaturesCol("features").setProbabilityCol(f"_t{i}").setRawPredictionCol("").setPredictionCol("")
+        scored = tree.transform(scored)
+    votes = F.array(*[vector_to_array(f"_t{i}") for i in range(len(trees))]).alias("_votes")
+    scored = scored.select(*rows.columns, votes)
+
+    def share(i: int, n: Column) -> Column:
+        return F.aggregate(F.slice("_votes", 1, n), F.lit(0.0), lambda a, x: a + x[i]) / n
+
+    def stage(n: Column) -> Column:
+        return F.struct(n.alias("trees"), *[share(i, n).alias(f"p_{name}") for i, name in enumerate(CLASSES)])
+
+    sizes = F.array(*[F.lit(n) for n in range(step, len(trees) + 1, step)])
+    return scored.withColumn("stages", F.transform(sizes, stage)).drop("_votes")
+
+
+def fit_fold(rows: DataFrame, names: Sequence[str], config: PredictorConfig | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Forest of one fold and its history: validation loss after each stage.
+
+    ``rows`` have roles train, val and test. Loss is focal loss on the validation subjects; class weights come
+    from all training subjects of the fold, validation included.
     """
     c = config or PredictorConfig()
-    cut = inner_val_cuts(features, c.val_fraction, c.seed).filter(F.col("test_subject") == test_subject)
-    cut = cut.select("cut").first()
-    if cut is None:
-        raise ValueError(f"no rows of subject {test_subject}")
-    rows = with_inner_role(features, ranked_subjects(features, c.seed), test_subject, cut[0])
     weights = class_weights(rows.filter("role != 'test'"), boost=c.boost).first()
-    weight = None
-    for name in CLASSES:
-        test, value = F.col("label") == name, F.lit(float(weights[f"w_{name}"]))
-        weight = F.when(test, value) if weight is None else weight.when(test, value)
-    rows = rows.withColumns({"weight": weight, "label_id": F.col("label_id").cast("double")}).persist()
     alpha = [float(weights[f"w_{name}"]) for name in CLASSES]
+    weight = F.element_at(F.array(*[F.lit(a) for a in alpha]), F.col("label_id").cast("int") + 1)
+    weighed = rows.withColumns({"weight": weight, "label_id": F.col("label_id").cast("double")})
     assembler = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep")
-    best, history = None, []
-    for epoch, trees in enumerate(c.trees):
-        forest = RandomForestClassifier(
-            featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=c.max_depth, seed=c.seed
-        )
-        model = Pipeline(stages=[assembler, forest]).fit(rows.filter("role = 'train'"))
-        val = _scored(model.transform(rows.filter("role = 'val'")))
-        logs = [F.log(F.greatest(F.col(f"p_{name}"), F.lit(1e-12))) for name in CLASSES]
-        loss = focal_loss(logs, F.col("label_id"), alpha, c.gamma)
-        per_subject = val.groupBy(SUBJECT).agg(F.avg(loss).alias("loss"), F.count("*").alias("n"))
-        value = weighted_loss(per_subject).first()[0]
-        history.append((test_subject, epoch, trees, float(value)))
-        if best is None or value < best[0]:
-            best = (value, model)
-    preds = _scored(best[1].transform(rows.filter("role = 'test'")))
-    table = features.sparkSession.createDataFrame(history, "fold string, epoch int, trees int, val_loss double")
-    return preds.withColumn("fold", F.lit(test_subject)), table
-
-
-def _scored(df: DataFrame) -> DataFrame:
-    probs = vector_to_array("probability")
-    df = df.withColumns({f"p_{name}": probs[i] for i, name in enumerate(CLASSES)})
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=c.trees, maxDepth=c.max_depth, seed=c.seed
+    )
+    model = Pipeline(stages=[assembler, forest]).fit(weighed.filter("role = 'train'"))
+    val = staged_scores(model, weighed.filter("role = 'val'").select(SUBJECT, "label_id", *names), c.step)
+    each = val.select(SUBJECT, "label_id", F.posexplode("stages").alias("epoch", "_s")).select(SUBJECT, "label_id", "epoch", "_s.*")
+    logs = [F.log(F.greatest(F.col(f"p_{name}"), F.lit(1e-12))) for name in CLASSES]
+    loss = focal_loss(logs, F.col("label_id"), alpha, c.gamma)
+    per_subject = each.groupBy("epoch", "trees", SUBJECT).agg(F.avg(loss).alias("loss"), F.count("*").alias("n"))
+    return model, weighted_loss(per_subject, ["epoch", "trees"]).withColumnRenamed("loss", "val_loss")
+
+
+def train_loso(
+    features: DataFrame, names: Sequence[str], config: PredictorConfig | None = None, subjects: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leave-one-subject-out over all subjects (or the given ones): (predictions, history, stops).
+
+    Each fold is fitted once, early stopping picks the stage from its history, and that stage scores the subject
+    left out. Rows with their subject's place in the seeded order, history and predictions are written to the
+    shared folder, the last two fold by fold.
+    """
+    c = config or PredictorConfig()
+    spark = features.sparkSession
+    cuts = {r["test_subject"]: r["cut"] for r in inner_val_cuts(features, c.val_fraction, c.seed).collect()}  # one per subject
+    folds = sorted(cuts) if subjects is None else list(subjects)
+    absent = [s for s in folds if s not in cuts]
+    if absent:
+        raise ValueError(f"no rows of subjects {absent}")
+    placed = shared_path(spark, "loso-rows")
+    ranked = features.join(ranked_subjects(features, c.seed), SUBJECT)
+    ranked.write.parquet(placed)
+    ranked = spark.read.schema(ranked.schema).parquet(placed)
+    told, models = shared_path(spark, "loso-history"), {}
+    for fold in folds:
+        models[fold], losses = fit_fold(ranked.withColumn("role", inner_role(fold, cuts[fold])), names, c)
+        losses.select(F.lit(fold).alias("fold"), "epoch", "trees", "val_loss").write.mode("append").parquet(told)
+    history = spark.read.schema("fold string, epoch int, trees int, val_loss double").parquet(told)
+    stops = early_stop(history, ["fold"], c.patience)
+    best = {r["fold"]: r["best_epoch"] for r in stops.collect()}  # one per fold
+    scores = shared_path(spark, "loso-scores")
+    schema = None
+    for fold, model in models.items():
+        own = with_fold_role(ranked.drop("rank"), fold).filter("role = 'test'").drop("role")
+        staged = staged_scores(model, own, c.step)
+        chosen = staged.withColumn("_s", F.get("stages", F.lit(best[fold]))).drop("stages")
+        preds = _labelled(chosen.select(F.lit(fold).alias("fold"), *own.columns, F.col("_s.trees").alias("trees"), *[F.col(f"_s.p_{n}").alias(f"p_{n}") for n in CLASSES]))
+        preds.write.mode("append").parquet(scores)
+        schema = preds.schema
+    return spark.read.schema(schema).parquet(scores), history, stops
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    """The class of the highest probability, the first of equal ones."""
     best = F.greatest(*[F.col(f"p_{name}") for name in CLASSES])
     label = None
     for name in CLASSES:
         test = F.col(f"p_{name}") == best
         label = F.when(test, F.lit(name)) if label is None else label.when(test, F.lit(name))
-    return df.withColumn("predicted_label", label).drop("features", "rawPrediction", "probability", "prediction")
+    return df.withColumn("predicted_label", label)
 
 
 def loso_report(preds: DataFrame, stops: DataFrame, trial: Sequence[str], fold: str = "fold", rate_hz: float = 100.0) -> DataFrame:

@@ -58,14 +58,17 @@ def detector_metrics(spark, sf_dir):
     return counts.join(auc, "_all").drop("_all")
 
 
-@query("loso_training")
-def loso_training(spark, sf_dir):
-    """One fold trained and its held-out subject scored, per window."""
+def _loso(spark, sf_dir):
     rows = _labelled_features(spark, sf_dir).drop("label").withColumnRenamed("stage", "label")
     ids = F.when(F.col("label") == "non_fall", 0).when(F.col("label") == "pre_impact", 1).otherwise(2)
-    config = prediction.PredictorConfig(trees=(4, 8), max_depth=4)
-    preds, _ = prediction.train_fold(rows.withColumn("label_id", ids), FEATURE_NAMES, "kfall_SA03", config)
-    return preds.select("fold", "trial", "window_index", "label", "predicted_label", "p_non_fall", "p_pre_impact", "p_fall")
+    return prediction.train_loso(rows.withColumn("label_id", ids), FEATURE_NAMES)
+
+
+@query("loso_training")
+def loso_training(spark, sf_dir):
+    """Every fold trained and its held-out subject scored by the stage that early stopping picked, per window."""
+    preds, _, _ = _loso(spark, sf_dir)
+    return preds.select("fold", "trial", "window_index", "label", "trees", "predicted_label", "p_non_fall", "p_pre_impact", "p_fall")
 
 
 def mean_logits(batch: np.ndarray) -> np.ndarray:
