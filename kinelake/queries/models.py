@@ -42,7 +42,7 @@ def detector_scores(spark, sf_dir):
     """Boosted trees fitted on training subjects, stored, loaded, and applied to the test subjects."""
     rows = splits.split_by_subject(_labelled_features(spark, sf_dir))
     train, val, test = (rows.filter(F.col("split") == s) for s in ("train", "val", "test"))
-    config = detection.DetectorConfig(max_rounds=6, max_depth=3)
+    config = detection.DetectorConfig()
     path = shared_path(spark, "detector")
     detection.save_model(detection.train_detector(train, val, config), path)
     scored = detection.predict_features(detection.load_model(path), test)
