@@ -31,12 +31,14 @@ def spectral_columns(power: str, n_samples: Column, rate_hz: float) -> dict[str,
     """Dominant frequency, energy and entropy from a power array (element 0 is the mean, skipped)."""
     bins = F.slice(F.col(power), 2, F.greatest(F.size(power) - 1, F.lit(0)))
     total = F.aggregate(bins, F.lit(0.0), lambda a, p: a + p)
-    # The first of the highest bins: bins that differ by rounding alone count as equal.
+    # A lambda works out again, for each element, whatever it takes from outside; so the sum and the top enter as
+    # variables of a lambda of their own. The first of the highest bins: those that differ by rounding alone are equal.
     top = F.array_max(bins) * (1 - 1e-9)
-    peak = F.array_position(F.transform(bins, lambda p: p >= top), True)
-    entropy = F.aggregate(
-        bins, F.lit(0.0), lambda a, p: a - (p / total) * F.log2(p / total + F.lit(1e-12))
-    )
+    peak = F.transform(F.array(top), lambda t: F.array_position(F.transform(bins, lambda p: p >= t), True))[0]
+    entropy = F.transform(
+        F.array(total),
+        lambda t: F.aggregate(bins, F.lit(0.0), lambda a, p: a - (p / t) * F.log2(p / t + F.lit(1e-12))),
+    )[0]
     return {
         "dominant_freq_hz": F.when(total > 0, peak * F.lit(float(rate_hz)) / n_samples).otherwise(0.0),
         "spectral_energy": total,

@@ -18,7 +18,7 @@ from kinelake.functions.channels import (
 )
 from kinelake.functions.spectrum import power_spectrum, spectral_columns
 from kinelake.operators.blocks import BLOCK_FRAMES, join_series, with_blocks
-from kinelake.operators.windows import assign_windows, full_windows, last_full_end, materialize_windows
+from kinelake.operators.windows import assign_windows, full_windows, last_full_end, real_windows
 
 # Frames packed into one array when windows are cut from blocks.
 SLICE_FRAMES = 4096
@@ -223,23 +223,50 @@ def features_batch(
     rate_hz: float = 100.0,
     frame: str = "frame",
 ) -> DataFrame:
-    """Features for the windows of a windows manifest, with label and ids carried along."""
-    derived = samples.withColumns({"accel_mag": accel_magnitude(), "gyro_mag": gyro_magnitude()})
-    derived = derived.withColumn("tilt", tilt_degrees(F.col("accel_mag")))
-    blocked = with_blocks(derived, frame, before=1)
-    ordered = W.partitionBy(*trial_keys, "block").orderBy(frame)
-    stepped = blocked.withColumn("_step", F.col("accel_mag") - F.lag("accel_mag").over(ordered))
-    stepped = stepped.filter("core").drop("core", "block")
-    slim = windows.select(*trial_keys, "window_index", "start_frame", "end_frame")
-    rows = materialize_windows(slim, stepped, trial_keys, length, frame)
-    by_window = list(trial_keys) + ["window_index"]
-    timed = _time_aggregates(rows, trial_keys, length, rate_hz)
-    arrays = window_arrays(rows.select(*by_window, "offset", "accel_mag"), by_window, ["accel_mag"])
-    spectral = spectral_features(arrays, by_window, "accel_mag", rate_hz)
+    """Features for the windows of a windows manifest, with label and ids carried along.
+
+    Samples are packed into arrays by (trial, block of ``SLICE_FRAMES``), with one window of context; each window is cut
+    from the block it starts in and folds there, so samples go through one shuffle and windows through one.
+    """
+    keys, size = list(trial_keys), SLICE_FRAMES
+    part = [*keys, "block"]
     wanted = [c for c in ("label", "dataset", "global_subject_id", "activity_code", "trial_id") if c in windows.columns]
-    provenance = windows.select(*{*by_window, *wanted})
-    features = timed.join(spectral, by_window).join(provenance, by_window)
-    return features.select(*FEATURE_NAMES, *dict.fromkeys([*wanted, *trial_keys, "window_index"]))
+    carried = [c for c in wanted if c not in keys]
+    blocked = with_blocks(samples.select(*keys, frame, *CHANNELS), frame, before=1, after=length - 1, size=size)
+    blocked = blocked.drop("core").repartition(*[F.col(c) for c in part])  # derived channels stay out of the shuffle
+    derived = blocked.withColumns({"accel_mag": accel_magnitude(), "gyro_mag": gyro_magnitude()})
+    derived = derived.withColumn("tilt", tilt_degrees(F.col("accel_mag")))
+    ordered = W.partitionBy(*part).orderBy(frame)
+    stepped = derived.withColumn("_step", F.col("accel_mag") - F.lag("accel_mag").over(ordered))
+    values = [*CHANNELS, "accel_mag", "gyro_mag", "tilt", "_step"]
+    packed = stepped.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("_frame"), *values))).alias("_samples"))
+    start, end = F.col("start_frame"), F.col("end_frame")
+    slim = real_windows(windows).select(*keys, "window_index", start, end, *carried)
+    slim = slim.withColumn("block", F.floor(F.greatest(start, F.lit(0)) / size))
+    cut = cut_frames("_samples", start, F.least(end, start + length))
+    rows = packed.join(slim, part).select(*part, "window_index", start, end, *carried, cut.alias("_cut")).filter(F.size("_cut") > 0)
+    last = F.try_element_at("_cut", F.lit(-1))
+    pads = F.when(last["_frame"] == end - 1, F.greatest(F.lit(length) - (end - start), F.lit(0))).otherwise(0)
+    rows = rows.withColumn("_all", F.concat("_cut", F.array_repeat(last, pads.cast("int"))))
+    ids = [*part, "window_index", *carried]
+    rows = rows.select(*ids, start, F.size("_cut").alias("_real"), "_all", power_spectrum(F.col("_all.accel_mag")).alias("_power"))
+    spectral = spectral_columns("_power", F.size("_all"), rate_hz)
+    rows = rows.select(*ids, start, "_real", "_all", *[c.alias(n) for n, c in spectral.items()])
+    rows = rows.select(*ids, *spectral, start, "_real", F.posexplode("_all").alias("_pos", "_s")).select("*", "_s.*")
+    rows = rows.withColumns({"offset": F.col("_frame") - start, "is_pad": F.col("_pos") >= F.col("_real")})
+    found = _time_aggregates(rows, part, length, rate_hz, ["window_index", *carried, *spectral])
+    return found.select(*FEATURE_NAMES, *dict.fromkeys([*wanted, *keys, "window_index"]))
+
+
+def cut_frames(packed: str, start: Column, end: Column) -> Column:
+    """Those elements of an array, ordered by their field ``_frame``, with frames in [start, end)."""
+    rows = F.col(packed)
+    first, last = rows[0]["_frame"], F.element_at(rows, -1)["_frame"]
+    low = F.greatest(start, first)
+    count = F.greatest(F.least(end, last + 1) - low, F.lit(0))
+    whole = F.slice(rows, F.least(low - first, F.size(rows)).cast("int") + 1, count.cast("int"))
+    some = F.filter(rows, lambda s: (s["_frame"] >= start) & (s["_frame"] < end))
+    return F.when(last - first + 1 == F.size(rows), whole).otherwise(some)  # frames without gaps need no search
 
 
 def array_features(windows: DataFrame, keys: Sequence[str], length: int, rate_hz: float = 100.0) -> DataFrame:

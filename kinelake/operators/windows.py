@@ -176,6 +176,12 @@ def assign_windows(samples: DataFrame, n_col: str, length: int, stride: int, fra
     ).drop("_pos", "_real")
 
 
+def real_windows(windows: DataFrame) -> DataFrame:
+    """The windows; one that has no real samples is an error."""
+    empty = F.raise_error(F.lit("window without real samples")).cast("boolean")
+    return windows.filter(F.when(F.col("end_frame") <= F.col("start_frame"), empty).otherwise(F.lit(True)))
+
+
 def materialize_windows(
     windows: DataFrame, samples: DataFrame, keys: Sequence[str], length: int, frame: str = "frame"
 ) -> DataFrame:
@@ -184,9 +190,7 @@ def materialize_windows(
     Works for any set of windows. Both sides meet on (keys, cell of ``length`` frames): a window
     touches at most two cells, so the range condition never runs over a whole series.
     """
-    empty = F.raise_error(F.lit("window without real samples")).cast("boolean")
-    windows = windows.filter(F.when(F.col("end_frame") <= F.col("start_frame"), empty).otherwise(F.lit(True)))
-    spans = windows.withColumn("_used", F.least(F.col("end_frame"), F.col("start_frame") + length))
+    spans = real_windows(windows).withColumn("_used", F.least(F.col("end_frame"), F.col("start_frame") + length))
     joined = join_spans(samples, spans, keys, "start_frame", "_used", frame, length).drop("_used")
     copies = F.when(F.col(frame) == F.col("end_frame") - 1, F.lit(length) - (F.col("end_frame") - F.col("start_frame")) + 1)
     copies = F.greatest(F.coalesce(copies, F.lit(1)), F.lit(1)).cast("int")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -152,3 +154,34 @@ def test_one_window_is_scored(trials):
     assert detection.predict_window(spark, rule, [[-1.0, 0, 0, 0, 0, 0]], config)[1] == 0
     with pytest.raises(ValueError, match="missing feature columns"):
         detection.predict_features(rule, trials[1])
+
+
+def test_features_batch_shuffles_samples_once(trials, spark):
+    """One exchange of samples, and a window that misses frames, or its last one, folds those it has, without padding."""
+    _, samples, series = trials
+    specs = w.window_specs(series, "n_frames", LENGTH, STRIDE).select("k", "window_index", "start_frame", "end_frame")
+    holes = samples.filter("frame % 16 != 7 and not (k = 3 and frame between 40 and 89)")
+    found = features.features_batch(specs, holes, ["k"], LENGTH, RATE)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 5 and "ArrowEvalPython" in plan
+    got = found.toPandas().set_index(["k", "window_index"]).sort_index()
+    rows = w.materialize_windows(specs, holes, ["k"], LENGTH)
+    want = rows.groupBy("k", "window_index").agg(F.avg("acc_x").alias("acc_x_mean"), F.max("gyro_z").alias("gyro_z_max")).toPandas()
+    want = want.set_index(["k", "window_index"]).sort_index()
+    assert list(got.index) == list(want.index) and len(want) < specs.count()
+    assert np.allclose(got[want.columns], want, atol=1e-12)
+
+
+def test_spectrum_looks_at_its_total_once(spark):
+    """Sum and top of the bins are no part of what runs per bin."""
+    from kinelake.functions.spectrum import spectral_columns
+
+    one = spark.createDataFrame([([0.0, 1.0, 3.0, 0.0],)], "p array<double>")
+    cols = spectral_columns("p", F.lit(6), RATE)
+    row = one.select(*[c.alias(n) for n, c in cols.items()]).first()
+    assert row["dominant_freq_hz"] == pytest.approx(2 * RATE / 6) and row["spectral_energy"] == 4.0
+    assert row["spectral_entropy"] == pytest.approx(-(0.25 * np.log2(0.25) + 0.75 * np.log2(0.75)))
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_001)), lambda i: i * 1.0).alias("p"))
+    began = time.perf_counter()
+    assert long.select(*[c.alias(n) for n, c in cols.items()]).first()["spectral_energy"] == sum(range(2, 20_002))
+    assert time.perf_counter() - began < 20
