@@ -36,7 +36,7 @@ SAMPLE_SCHEMA = T.StructType(
     ]
 )
 _STATE = (
-    "at long, seq long, newest long, newest_seq long, seen long, buffer array<double>, average array<double>, code int, "
+    "at long, seq long, newest long, newest_seq long, seen long, buffer binary, average array<double>, code int, "
     "near binary, slices array<long>, held long, timer long"
 )
 NEVER = -(1 << 63)
@@ -48,8 +48,11 @@ SLICE_SEQ, SLICE_MS = 4096, 60_000
 #: between calls (few rows are cheaper there than slices of their own), and windows scored at once.
 ROWS_AT_ONCE, ROWS_NEAR, SCORED_AT_ONCE = 65_536, 1024, 1024
 
+#: Output rows that a call gathers before it gives them out.
+ROWS_OUT = 8192
 
-def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
+
+def parse_samples(files: DataFrame, device: str = "device", lines: bool = False) -> DataFrame:
     """Samples from rows (value, source_file, modified): the text of a file, its name and its time.
 
     A file is one JSON object or an array of them. Each element is judged alone: numbers may be strings,
@@ -57,13 +60,23 @@ def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
     "not an object", or the names of missing or non-numeric channels) while its neighbours stay. Without
     ``device`` the name is "default". Without ``seq`` it is null: such samples follow what came in earlier batches, in
     the order of the files' whole names and then of their places in the array. ``"end": true`` ends a session.
+
+    With ``lines`` each line that is not blank is such an object or array of its own, and is judged alone ("unreadable
+    file" then means a line): a recorder that packs many messages into a file spares the cost of a file for each.
+    Places then go by line and by place in its array.
     """
+    above = F.lit(0).cast("long")
+    if lines:
+        files = files.select("source_file", "modified", F.posexplode(F.split("value", "\r?\n")).alias("_line", "value"))
+        files = files.filter(F.trim("value") != "")
+        above = F.shiftleft(F.col("_line").cast("long"), 32)
+    files = files.withColumn("_above", above)
     text = F.trim("value")
     array = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
     elements = files.withColumn("elements", array)
     unreadable = F.col("elements").isNull() | (F.size("elements") == 1) & F.get("elements", F.lit(0)).isNull()
     rows = elements.select(
-        "source_file", "modified", F.posexplode_outer(F.when(~unreadable, F.col("elements"))).alias("place", "element"), unreadable.alias("unreadable")
+        "source_file", "modified", "_above", F.posexplode_outer(F.when(~unreadable, F.col("elements"))).alias("place", "element"), unreadable.alias("unreadable")
     )
     item = F.from_json("element", "map<string,string>")
     rows = rows.withColumn("item", F.when(F.trim("element").startswith("{"), item))
@@ -79,19 +92,19 @@ def parse_samples(files: DataFrame, device: str = "device") -> DataFrame:
         F.coalesce(F.col("item")[device], F.lit("default")).alias("device"),
         F.expr("try_cast(item['seq'] AS BIGINT)").alias("seq"),
         *[v.alias(c) for c, v in number.items()],
-        ends.alias("ends"), problem.alias("problem"), "source_file", F.col("place").cast("long").alias("place"),
+        ends.alias("ends"), problem.alias("problem"), "source_file", (F.col("_above") + F.col("place")).alias("place"),
     )
 
 
-def read_sample_stream(spark: SparkSession, folder: str, delete: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Samples from JSON files; see ``parse_samples``. ``delete`` removes files once done."""
+def read_sample_stream(spark: SparkSession, folder: str, delete: bool = False, files_per_trigger: int | None = None, lines: bool = False) -> DataFrame:
+    """Samples from JSON files, or files of JSON ``lines``; see ``parse_samples``. ``delete`` removes files once done."""
     reader = spark.readStream
     if delete:
         reader = reader.option("cleanSource", "delete")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     place = {"source_file": F.col("_metadata.file_name"), "modified": F.col("_metadata.file_modification_time")}
-    return parse_samples(reader.text(folder, wholetext=True).withColumns(place))
+    return parse_samples(reader.text(folder, wholetext=True).withColumns(place), lines=lines)
 
 
 def well_formed(samples: DataFrame) -> DataFrame:
@@ -105,11 +118,12 @@ def rejects(samples: DataFrame) -> DataFrame:
 
 
 def augment(window: np.ndarray, rate_hz: float) -> np.ndarray:
-    """Nine channels of one window of six."""
-    accel = window[:, :3]
-    mag = np.sqrt((accel**2).sum(axis=1))
-    cosine = np.clip(accel[:, 2] / np.where(mag == 0, 1e-8, mag), -1.0, 1.0)
-    return np.column_stack([window, mag, np.gradient(mag) * rate_hz, np.degrees(np.arccos(cosine))])
+    """Nine channels of one window of six, or of each of a stack of windows."""
+    accel = window[..., :3]
+    mag = np.sqrt((accel**2).sum(axis=-1))
+    cosine = np.clip(accel[..., 2] / np.where(mag == 0, 1e-8, mag), -1.0, 1.0)
+    added = np.stack([mag, np.gradient(mag, axis=-1) * rate_hz, np.degrees(np.arccos(cosine))], axis=-1)
+    return np.concatenate([window, added], axis=-1)
 
 
 def softmax_rows(logits: np.ndarray) -> np.ndarray:
@@ -182,6 +196,33 @@ class Held:
         return np.ascontiguousarray(rows[:, 1]).view(np.int64)
 
 
+class Rows:
+    """Output rows of one call as columns, given out a frame at a time; -1 stands for no number."""
+
+    def __init__(self, key: str, value, needed: int):
+        self.key, self.value, self.needed = key, value, needed
+        self.parts: list[tuple] = []
+        self.count = 0
+
+    def add(self, seq: np.ndarray, state, index=-1, buffered=-1, ready: bool = False, probs=np.nan) -> None:
+        n = len(seq)
+        if n:
+            full = [np.full(n, v) if np.ndim(v) == 0 else v for v in (index, buffered, ready)]
+            states = np.full(n, state, object) if isinstance(state, str) else np.array(state, object)
+            self.parts.append((full[0], seq, full[1], full[2], states, np.broadcast_to(probs, (n, len(LABEL_IDS)))))
+            self.count += n
+
+    def frames(self, least: int = ROWS_OUT) -> Iterator[pd.DataFrame]:
+        if self.count < max(least, 1):
+            return
+        index, seq, buffered, ready, state, probs = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts, self.count = [], 0
+        numbers = {n: pd.arrays.IntegerArray(v.astype(np.int64), v < 0) for n, v in (("index", index), ("buffered", buffered))}
+        columns = [numbers["index"], seq, numbers["buffered"], ready, state, *probs.T]
+        named = {self.key: [self.value] * len(seq), **dict(zip(OUTPUT_NAMES, columns)), "needed_samples": np.full(len(seq), self.needed)}
+        yield pd.DataFrame(named, copy=False)
+
+
 class LiveScorer(StatefulProcessor):
     """Per device: samples that wait, the last ``length`` ones, the moving average and the alert state."""
 
@@ -209,10 +250,11 @@ class LiveScorer(StatefulProcessor):
         self.held = handle.getMapState("held", "slice long", "rows binary", self.ttl_ms)
 
     def _load(self) -> dict:
-        if not self.state.exists():
+        stored = self.state.get()
+        if stored is None:
             return dict(last=(NEVER, NEVER), newest=NEVER, newest_seq=-1, window=self.fresh(), near=b"", slices=[], held=0, timer=0)
-        at, seq, newest, newest_seq, seen, flat, average, code, near, slices, held, timer = self.state.get()
-        window = (seen, np.array(flat).reshape(-1, len(CHANNELS)), np.array(average) if average else None, code)
+        at, seq, newest, newest_seq, seen, flat, average, code, near, slices, held, timer = stored
+        window = (seen, np.frombuffer(flat).reshape(-1, len(CHANNELS)), list(average) or None, code)
         return dict(last=(at, seq), newest=newest, newest_seq=newest_seq, window=window, near=near, slices=slices, held=held, timer=timer)
 
     def _save(self, device: dict, held: Held) -> None:
@@ -224,60 +266,78 @@ class LiveScorer(StatefulProcessor):
                 device["timer"] = due
         seen, buffer, average, code = device["window"]
         self.state.update(
-            (*device["last"], device["newest"], device["newest_seq"], seen, buffer.ravel().tolist(), [] if average is None else average.tolist(), code,
+            (*device["last"], device["newest"], device["newest_seq"], seen, buffer.tobytes(), [] if average is None else list(average), code,
              near, sorted(held.stored), device["held"], device["timer"])
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        device = self._load()
+        device, out = self._load(), Rows(self.key, key[0], self.length)
         held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
         until = NEVER  # an end mark makes due all up to it, however late others may be
-        unnumbered = []
+        unnumbered, files = [], {}
         for frame in rows:
-            if frame["seq"].isna().any():
-                unnumbered.append(frame[frame["seq"].isna()])
-                frame = frame[frame["seq"].notna()]
-            until, out = self._wait(device, held, frame, until)
-            yield from self._frames(key, out)
+            blank = frame["seq"].isna().to_numpy()
+            values = np.column_stack([frame[c].to_numpy(float) for c in [*CHANNELS, "ends"]])
+            at = frame["at"].to_numpy(np.int64) if self.timed else None
+            if blank.any():
+                # Order of arrival: batch by batch, then by whole file name and place.
+                named = frame["source_file"].to_numpy(object)[blank].tolist()
+                number = np.fromiter((files.setdefault(f, len(files)) for f in named), np.int64, len(named))
+                place = frame["place"].to_numpy(float)[blank]
+                unnumbered.append((number, place, values[blank], at[blank] if self.timed else number))
+                until = self._wait(device, held, frame["seq"].to_numpy()[~blank].astype(np.int64), at[~blank] if self.timed else None, values[~blank], until, out)
+            else:
+                until = self._wait(device, held, frame["seq"].to_numpy(np.int64), at, values, until, out)
+            yield from out.frames()
         if unnumbered:
-            # Order of arrival: batch by batch, then by whole file name and place.
-            frame = pd.concat(unnumbered).sort_values(["source_file", "place"], kind="stable")
-            frame["seq"] = device["newest_seq"] + 1 + np.arange(len(frame))
-            until, out = self._wait(device, held, frame, until)
-            yield from self._frames(key, out)
+            number, place, values, at = (np.concatenate(c) for c in zip(*unnumbered))
+            unnumbered.clear()
+            ranks = np.empty(len(files), np.int64)
+            ranks[[files[f] for f in sorted(files, key=lambda f: (f is None, f or ""))]] = np.arange(len(files))
+            order = np.lexsort((place, ranks[number]))
+            first = device["newest_seq"] + 1
+            for i in range(0, len(order), self.rows_at_once):
+                some = order[i : i + self.rows_at_once]
+                seq = first + i + np.arange(len(some))
+                until = self._wait(device, held, seq, at[some] if self.timed else None, values[some], until, out)
+                if not self.timed:  # what follows has higher numbers
+                    yield from self._release(device, held, max(until, device["newest"] - self.lateness), out)
         bound = until if self.timed else max(until, device["newest"] - self.lateness)
-        yield from self._release(key, device, held, bound)
+        yield from self._release(device, held, bound, out)
         self._save(device, held)
         if self.report:
-            yield from self._frames(key, [(None, device["newest_seq"], device["held"], False, "held", None, None, None)])
+            out.add(np.array([device["newest_seq"]]), "held", buffered=device["held"])
+        yield from out.frames(1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark has passed a slice: it is due, with all before it."""
-        device = self._load()
+        device, out = self._load(), Rows(self.key, key[0], self.length)
         held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
         bound = timerValues.getCurrentWatermarkInMs() // self.width * self.width - 1
-        yield from self._release(key, device, held, bound)
+        yield from self._release(device, held, bound, out)
         self._save(device, held)
+        yield from out.frames(1)
 
-    def _wait(self, device: dict, held: Held, frame: pd.DataFrame, until: int) -> tuple[int, list]:
-        """Puts samples into their slices; those before what is scored come back as rejected."""
-        if not len(frame):
-            return until, []
-        seq = frame["seq"].to_numpy(np.int64)
-        at = frame["at"].to_numpy(np.int64) if self.timed else seq
+    def _wait(self, device: dict, held: Held, seq: np.ndarray, at: np.ndarray | None, values: np.ndarray, until: int, out: Rows) -> int:
+        """Puts samples into their slices; those before what is scored come out as rejected. ``values`` end with the end marks."""
+        if not len(seq):
+            return until
+        at = seq if at is None else at
         late = (at < device["last"][0]) | (at == device["last"][0]) & (seq <= device["last"][1])
-        ends = frame["ends"].to_numpy(float)
-        new = np.column_stack([at.view(np.float64), seq.view(np.float64), frame[CHANNELS].to_numpy(float), ends])[~late]
-        if len(new):
-            device["newest"] = max(device["newest"], int(at[~late].max()))
-            device["newest_seq"] = max(device["newest_seq"], int(seq[~late].max()))
-            device["held"] += len(new)
-            held.put(new)
-            if (ends[~late] > 0).any():
-                until = max(until, int(at[~late][ends[~late] > 0].max()))
-        return until, [(None, int(s), None, False, "rejected", None, None, None) for s in seq[late]]
-
-    def _release(self, key, device: dict, held: Held, bound: int) -> Iterator[pd.DataFrame]:
+        if late.any():
+            out.add(seq[late], "rejected")
+            at, seq, values = at[~late], seq[~late], values[~late]
+        if len(seq):
+            device["newest"] = max(device["newest"], int(at.max()))
+            device["newest_seq"] = max(device["newest_seq"], int(seq.max()))
+            device["held"] += len(seq)
+            held.put(np.column_stack([at.view(np.float64), seq.view(np.float64), values]))
+            ends = values[:, -1] > 0
+            if ends.any():
+                until = max(until, int(at[ends].max()))
+        return until
+
+    def _release(self, device: dict, held: Held, bound: int, out: Rows) -> Iterator[pd.DataFrame]:
         """Scores all samples up to ``bound``, one slice or a run of small ones at a time."""
         run, size = [], 0
         for number in held.slices():
@@ -290,19 +350,21 @@ class LiveScorer(StatefulProcessor):
             run.append(rows[:ready])
             size += ready
             if size >= ROWS_NEAR:
-                yield from self._due(key, device, np.vstack(run))
+                self._due(device, np.vstack(run), out)
+                yield from out.frames()
                 run, size = [], 0
         if size:
-            yield from self._due(key, device, np.vstack(run))
+            self._due(device, np.vstack(run), out)
+            yield from out.frames()
 
-    def _due(self, key, device: dict, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+    def _due(self, device: dict, rows: np.ndarray, out: Rows) -> None:
         """Scores rows that are in order."""
         device["held"] -= len(rows)
-        at, seq, out = Held.orders(rows), Held.numbers(rows), []
+        at, seq = Held.orders(rows), Held.numbers(rows)
         again = np.zeros(len(rows), bool)
         again[1:] = (at[1:] == at[:-1]) & (seq[1:] == seq[:-1])
         device["last"] = (int(at[-1]), int(seq[-1]))
-        out += [(None, int(s), None, False, "rejected", None, None, None) for s in seq[again]]
+        out.add(seq[again], "rejected")
         rows, seq = rows[~again], seq[~again]
         begin = 0
         for stop in [*np.flatnonzero(rows[:, -1] > 0).tolist(), len(rows)]:
@@ -310,40 +372,33 @@ class LiveScorer(StatefulProcessor):
             if stop < len(rows):
                 device["window"] = self.fresh()
             begin = stop + 1
-        yield from self._frames(key, out)
-
-    def _frames(self, key, out: list) -> Iterator[pd.DataFrame]:
-        if out:
-            frame = pd.DataFrame(out, columns=OUTPUT_NAMES)
-            frame.insert(0, self.key, key[0])
-            frame["needed_samples"] = self.length
-            yield frame.astype({"window_index": "Int64", "buffered_samples": "Int64"})
 
     @staticmethod
     def fresh() -> tuple:
         return 0, np.empty((0, len(CHANNELS))), None, CALM
 
-    def scored(self, window: tuple, seq: np.ndarray, values: np.ndarray, out: list) -> tuple:
+    def scored(self, window: tuple, seq: np.ndarray, values: np.ndarray, out: Rows) -> tuple:
         """Feeds samples that are in order; adds a row for each while the window fills, then one per stride."""
         seen, buffer, average, code = window
         if not len(seq):
             return window
         filling = min(len(seq), max(0, self.length - 1 - seen))
-        out += [(None, int(s), seen + k + 1, False, "buffering", None, None, None) for k, s in enumerate(seq[:filling])]
+        out.add(seq[:filling], "buffering", buffered=seen + 1 + np.arange(filling))
         series = np.vstack([buffer, values])
         first, total = seen - len(buffer), seen + len(seq)  # position of series[0]; samples by now
         # Windows end at length, length + stride, ...; those not yet scored end after ``seen``.
         begin = max(0, -(-(seen + 1 - self.length) // self.stride))
-        starts = range(begin * self.stride, total - self.length + 1, self.stride)
+        starts = np.arange(begin * self.stride, total - self.length + 1, self.stride)
+        a = self.config.ema_alpha
         for lot in (starts[i : i + SCORED_AT_ONCE] for i in range(0, len(starts), SCORED_AT_ONCE)):
-            views = [augment(series[s - first : s - first + self.length], self.rate_hz) for s in lot]
-            probs = softmax_rows(np.asarray(self.scorer(np.stack(views)), dtype=float))
-            a = self.config.ema_alpha
-            for s, row in zip(lot, probs):
-                average = row if average is None else a * row + (1 - a) * average
+            views = series[(lot - first)[:, None] + np.arange(self.length)]
+            probs = softmax_rows(np.asarray(self.scorer(augment(views, self.rate_hz)), dtype=float))
+            states = []
+            for row in probs.tolist():
+                average = row if average is None else [a * p + (1 - a) * q for p, q in zip(row, average)]
                 code = next_code(code, average[1], average[2], self.config)
-                ends = int(seq[s + self.length - 1 - seen])
-                out.append((s // self.stride, ends, self.length, True, STATES[min(code, FALL)], *row))
+                states.append(STATES[min(code, FALL)])
+            out.add(seq[lot + (self.length - 1 - seen)], states, lot // self.stride, self.length, True, probs)
         return total, series[-self.length :], average, code
 
     def close(self) -> None:

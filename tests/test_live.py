@@ -3,8 +3,10 @@
 import json
 import os
 import sys
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -212,3 +214,38 @@ def test_rejects(spark, recorded):
     bad = [(r.source_file, r.problem) for r in live.rejects(rows).collect()]
     assert sorted(bad) == [("s002.json", ",".join(CHANNELS[1:])), ("s003b.json", "unreadable file")]
     assert live.well_formed(rows).filter(F.col("seq") == 500).count() == 0
+
+
+def test_lines_of_a_file_are_judged_alone(spark):
+    """A file of many arrays, a line each: a broken line costs itself alone, and places go on from line to line."""
+    good = dict(zip(CHANNELS, range(6)))
+    text = json.dumps([good, 5]) + "\n\n{not json\r\n" + json.dumps({**good, "acc_x": 9}) + "\n" + json.dumps([good])
+    files = spark.createDataFrame([(text, "a", None)], "value string, source_file string, modified timestamp")
+    rows = live.parse_samples(files, lines=True)
+    assert [r.acc_x for r in live.well_formed(rows).orderBy("place").collect()] == [0.0, 9.0, 0.0]
+    assert sorted(r.problem for r in live.rejects(rows).collect()) == ["not an object", "unreadable file"]
+
+
+def test_a_long_session_is_scored_in_lots():
+    """Windows are scored many at a time and rows come out in few frames: 50,000 samples take seconds."""
+
+    class Value:
+        stored = None
+
+        def get(self):
+            return self.stored
+
+        def update(self, value):
+            self.stored = value
+
+    n, calls = 50_000, []
+    processor = live.LiveScorer(lambda b: calls.append(len(b)) or scorer(b), "device", 2, 1, 100.0, live.SmootherConfig(), 0, None)
+    processor.state, processor.held, processor.handle = Value(), None, None
+    processor.rows_at_once = 2 * n
+    x = np.random.default_rng(3).normal(size=(n, 6))
+    frame = pd.DataFrame({"seq": np.nan, **dict(zip(CHANNELS, x.T)), "ends": False, "source_file": "a", "place": np.arange(n)})
+    began = time.process_time()
+    out = list(processor.handleInputRows(("d",), iter([frame]), None))
+    assert time.process_time() - began < 3
+    assert sum(map(len, out)) == n and sum(calls) == n - 1 and len(out) <= 2 + n // 1024
+    assert [int(s) for f in out for s in f["seq"]] == list(range(n))
