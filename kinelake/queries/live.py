@@ -150,9 +150,13 @@ def live_state(spark, sf_dir):
     return live.read_state(spark, path).select("device", "window_index", "buffered_samples", "state")
 
 
+#: Arrays of samples in one file, a line each.
+ARRAYS_PER_FILE = 200
+
+
 def _json_files(spark, sf_dir) -> str:
-    """Events as JSON files with arrays of samples: some lack a channel, hold text for a number, or are no object;
-    some files are no JSON. Numbers of every third event are strings."""
+    """Events as JSON arrays of samples, ``ARRAYS_PER_FILE`` lines to a file: some samples lack a channel, hold text for
+    a number, or are no object; some lines are no JSON. Numbers of every third event are strings."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     number = {c: F.expr(e).cast("double") for c, e in _CHANNEL_EXPR.items()}
     rest = [v.alias(c) for c, v in number.items() if c not in ("gyro_z", "gyro_y")]
@@ -168,7 +172,7 @@ def _json_files(spark, sf_dir) -> str:
     files = events.groupBy(part).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ","), F.lit("]")).alias("value"))
     broken = F.when(F.col("part") % 41 == 0, F.lit("[{not json")).otherwise(F.col("value"))
     folder = shared_path(spark, "json")
-    files.select(broken.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)  # one array per file
+    files.select(broken.alias("value")).write.option("maxRecordsPerFile", ARRAYS_PER_FILE).text(folder)
     return folder
 
 
@@ -184,7 +188,7 @@ FROM ({_JSON_STATE}) WHERE problem IS NULL""",
 )
 def json_samples(spark, sf_dir):
     """Samples streamed back from JSON files; the good ones of a file stay beside bad ones."""
-    stream = live.well_formed(live.read_sample_stream(spark, _json_files(spark, sf_dir)))
+    stream = live.well_formed(live.read_sample_stream(spark, _json_files(spark, sf_dir), lines=True))
     columns = ["device", "seq", *_CHANNEL_EXPR]
     return live.run_to_table(stream, shared_path(spark, "samples"), shared_path(spark, "samples-checkpoint"), columns)
 
@@ -229,6 +233,6 @@ FROM ({_JSON_STATE}) WHERE problem IS NOT NULL GROUP BY problem""",
 )
 def json_rejects(spark, sf_dir):
     """Rejected samples and files by reason."""
-    stream = live.rejects(live.read_sample_stream(spark, _json_files(spark, sf_dir)))
+    stream = live.rejects(live.read_sample_stream(spark, _json_files(spark, sf_dir), lines=True))
     found = live.run_to_table(stream, shared_path(spark, "rejects"), shared_path(spark, "rejects-checkpoint"), ["problem"])
     return found.groupBy("problem").agg(F.count("*").alias("n"))
