@@ -307,7 +307,9 @@ def harmonized_store(spark, sf_dir):
     """Samples written in two batches per dataset, the second repeating a part of the first, and read back."""
     trials = catalog(spark, sf_dir).select(*sensors.TRIAL_KEYS, "trial", "accepted")
     rows = samples(spark, sf_dir).join(trials.drop("accepted"), "trial").drop("trial")
-    path = shared_path(spark, "store")
+    path, numbered = shared_path(spark, "store"), shared_path(spark, "samples")
+    rows.write.partitionBy("dataset").parquet(numbered)  # numbered once for all four batches
+    rows = spark.read.schema(rows.schema).parquet(numbered)
     for dataset in ("kfall", "sisfall"):
         for part in ("trial % 3 <> 1", "trial % 3 <> 2"):
             tables.write_harmonized(rows, trials.filter(part), path, dataset)

@@ -27,19 +27,21 @@ def bucket(subject: str = "subject_id") -> Column:
 def upsert(rows: DataFrame, path: str, keys: Sequence[str] = TRIAL_KEYS, order: Sequence[str] = ()) -> None:
     """Writes trials beside those stored; what was stored of the same trials is replaced, all else stays.
 
-    Only folders (dataset, bucket) that get rows are written again: what they held is read without the
-    given trials, put together with the new rows in the shared folder, and then takes the folders' place.
+    Only folders (dataset, bucket) that get rows are written again. The new rows are worked out once and staged in the
+    shared folder, beside what those folders held of other trials; both together then take the folders' place.
     """
     spark, keys = rows.sparkSession, list(keys)
     placed = rows.withColumn("bucket", bucket())
     before = _existing(spark, path)
     if before is not None:
+        stage = shared_path(spark, "upsert")
+        placed.write.parquet(f"{stage}/new")
+        placed = spark.read.schema(placed.schema).parquet(f"{stage}/new")
         new = placed.select(*keys, "bucket").distinct()
         touched = before.join(new.select("dataset", "bucket").distinct(), ["dataset", "bucket"], "left_semi")
-        kept = touched.join(new.select(*keys), keys, "left_anti")
-        stage = shared_path(spark, "upsert")
-        placed.unionByName(kept.select(*placed.columns)).write.parquet(stage)
-        placed = spark.read.schema(placed.schema).parquet(stage)
+        kept = touched.join(new.select(*keys), keys, "left_anti").select(*placed.columns)
+        kept.write.parquet(f"{stage}/kept")
+        placed = placed.unionByName(spark.read.schema(kept.schema).parquet(f"{stage}/kept"))
     parted = placed.hint("rebalance", F.col("dataset"), F.col("bucket"))  # a long subject may fill several files
     writer = parted.sortWithinPartitions("dataset", "bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("dataset", "bucket").parquet(path)

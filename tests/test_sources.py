@@ -293,3 +293,24 @@ def test_cache_returns_what_was_asked(spark, tmp_path):
     rows = spark.createDataFrame([("kfall", 1.0), ("sisfall", 2.0)], "dataset string, x double").select("x", "dataset")
     tables.cache_features(rows, str(tmp_path / "cache"))
     assert [r.dataset for r in tables.cache_features(rows.filter("dataset = 'kfall'"), str(tmp_path / "cache")).collect()] == ["kfall"]
+
+
+def test_upsert_works_out_its_rows_once(spark, tmp_path):
+    """Rows that replace stored ones pass through their plan once; trials without new rows stay."""
+    seen = spark.sparkContext.accumulator(0)
+    schema = "dataset string, subject_id string, activity_code string, trial_id string, frame long"
+
+    def rows(low, high):
+        def counted(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+
+        made = spark.range(low, high).selectExpr("'kfall' dataset", "'SA1' subject_id", "'T1' activity_code", "concat('R', id) trial_id", "id frame")
+        return made.mapInPandas(counted, schema)
+
+    for low, high, whole in ((0, 6, 6), (4, 9, 9)):
+        seen.value = 0
+        tables.upsert(rows(low, high), str(tmp_path / "store"))
+        assert seen.value == high - low
+        assert spark.read.parquet(str(tmp_path / "store")).count() == whole
