@@ -144,7 +144,6 @@ def slice_windows(
     every = [*values, *single]
     packed = F.array_sort(F.collect_list(F.struct(frame, *every))).alias("_samples")
     arrays = inside.groupBy(*keys, "block").agg(packed)
-    arrays = arrays.select(*keys, "block", *[F.col(f"_samples.{v}").alias(f"_all_{v}") for v in every])
     joined = join_series(arrays, series.select(*keys, n_frames), keys, n_frames, size)
     n, block = F.col(n_frames), F.col("block")
     full, end = full_windows(n, length, stride), last_full_end(n, length, stride)
@@ -157,9 +156,11 @@ def slice_windows(
     windows = joined.withColumn("window_index", F.explode(numbered))
     index = F.col("window_index")
     first = (F.when(index < full, index * stride).otherwise(end) - block * size).cast("int")
-    cut = {v: F.slice(F.col(f"_all_{v}"), first + 1, F.lit(length)) for v in values}
-    cut |= {v: F.get(F.col(f"_all_{v}"), first + offset) for v, offset in single.items()}
-    return windows.select(*keys, "window_index", *[c.alias(v) for v, c in cut.items()])
+    # Columns are taken from what is cut: taken before, generated code takes them from the whole block per window.
+    cut = F.slice("_samples", first + 1, F.lit(length)).alias("_cut")
+    ends = {v: F.get("_samples", first + offset)[v] for v, offset in single.items()}
+    windows = windows.select(*keys, "window_index", cut, *[c.alias(v) for v, c in ends.items()])
+    return windows.select(*keys, "window_index", *[F.col(f"_cut.{v}").alias(v) for v in values], *single)
 
 
 def padded(column: str, length: int, fill: Column | None = None) -> Column:

@@ -185,3 +185,11 @@ def test_spectrum_looks_at_its_total_once(spark):
     began = time.perf_counter()
     assert long.select(*[c.alias(n) for n, c in cols.items()]).first()["spectral_energy"] == sum(range(2, 20_002))
     assert time.perf_counter() - began < 20
+
+
+def test_windows_are_cut_before_columns_are_taken(trials):
+    """Per window the plan handles its own samples, not each column of the whole block."""
+    _, samples, series = trials
+    dense = features.augmented_windows(samples, series, ["k"], LENGTH, STRIDE, RATE)
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(_samples#" in plan and "slice(_all_" not in plan
