@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,7 +32,10 @@ Scorer = Callable[[np.ndarray], np.ndarray]
 
 @dataclass(frozen=True)
 class PredictorConfig:
-    """Forest and its stages: one of every ``step`` trees. A stage takes the place of an epoch."""
+    """Forest and its stages: one of every ``step`` trees. A stage takes the place of an epoch.
+
+    ``folds_at_once`` folds are worked on together: the tasks of one fill the gaps between the jobs of another.
+    """
 
     trees: int = 40
     step: int = 5
@@ -39,6 +45,7 @@ class PredictorConfig:
     boost: float = 2.0
     gamma: float = 2.0
     seed: int = 42
+    folds_at_once: int = 4
 
 
 def score_windows(windows: DataFrame, scorer: Scorer, channels: Sequence[str] = (*CHANNELS, *AUX_CHANNELS)) -> DataFrame:
@@ -71,17 +78,22 @@ def staged_scores(model: PipelineModel, rows: DataFrame, step: int) -> DataFrame
     for i, tree in enumerate(trees):
         tree.setFeaturesCol("features").setProbabilityCol(f"_t{i}").setRawPredictionCol("").setPredictionCol("")
         scored = tree.transform(scored)
-    votes = F.array(*[vector_to_array(f"_t{i}") for i in range(len(trees))]).alias("_votes")
-    scored = scored.select(*rows.columns, votes)
-
-    def share(i: int, n: Column) -> Column:
-        return F.aggregate(F.slice("_votes", 1, n), F.lit(0.0), lambda a, x: a + x[i]) / n
+    votes = F.array(*[vector_to_array(f"_t{i}") for i in range(len(trees))])
+    names = [f"p_{name}" for name in CLASSES]
+    count, sizes = len(trees), np.arange(step, len(trees) + 1, step)
 
-    def stage(n: Column) -> Column:
-        return F.struct(n.alias("trees"), *[share(i, n).alias(f"p_{name}") for i, name in enumerate(CLASSES)])
+    # Arguments of a Python function are worked out in small methods. As columns of their own, so many trees make one
+    # method too long to be compiled, and the loops over them run many times as long.
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("trees", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])))
+    def stages(batch: pa.Array) -> pa.Array:
+        rows = len(batch)
+        each = batch.flatten().flatten().to_numpy(zero_copy_only=False).reshape(rows, count, len(CLASSES))
+        means = (each.cumsum(axis=1)[:, sizes - 1] / sizes[:, None]).reshape(-1, len(CLASSES))
+        parts = [pa.array(np.tile(sizes.astype(np.int32), rows)), *[pa.array(p) for p in means.T.copy()]]
+        ends = np.arange(rows + 1, dtype=np.int32) * len(sizes)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["trees", *names]))
 
-    sizes = F.array(*[F.lit(n) for n in range(step, len(trees) + 1, step)])
-    return scored.withColumn("stages", F.transform(sizes, stage)).drop("_votes")
+    return scored.select(*rows.columns, stages(votes).alias("stages"))
 
 
 def fit_fold(rows: DataFrame, names: Sequence[str], config: PredictorConfig | None = None) -> tuple[PipelineModel, DataFrame]:
@@ -101,7 +113,7 @@ def fit_fold(rows: DataFrame, names: Sequence[str], config: PredictorConfig | No
     )
     model = Pipeline(stages=[assembler, forest]).fit(weighed.filter("role = 'train'"))
     val = staged_scores(model, weighed.filter("role = 'val'").select(SUBJECT, "label_id", *names), c.step)
-    each = val.select(SUBJECT, "label_id", F.posexplode("stages").alias("epoch", "_s")).select(SUBJECT, "label_id", "epoch", "_s.*")
+    each = val.select(SUBJECT, "label_id", F.posexplode_outer("stages").alias("epoch", "_s")).select(SUBJECT, "label_id", "epoch", "_s.*")
     logs = [F.log(F.greatest(F.col(f"p_{name}"), F.lit(1e-12))) for name in CLASSES]
     loss = focal_loss(logs, F.col("label_id"), alpha, c.gamma)
     per_subject = each.groupBy("epoch", "trees", SUBJECT).agg(F.avg(loss).alias("loss"), F.count("*").alias("n"))
@@ -115,7 +127,7 @@ def train_loso(
 
     Each fold is fitted once, early stopping picks the stage from its history, and that stage scores the subject
     left out. Rows with their subject's place in the seeded order, history and predictions are written to the
-    shared folder, the last two fold by fold.
+    shared folder, the last two a folder for each fold.
     """
     c = config or PredictorConfig()
     spark = features.sparkSession
@@ -128,23 +140,28 @@ def train_loso(
     ranked = features.join(ranked_subjects(features, c.seed), SUBJECT)
     ranked.write.parquet(placed)
     ranked = spark.read.schema(ranked.schema).parquet(placed)
-    told, models = shared_path(spark, "loso-history"), {}
-    for fold in folds:
-        models[fold], losses = fit_fold(ranked.withColumn("role", inner_role(fold, cuts[fold])), names, c)
-        losses.select(F.lit(fold).alias("fold"), "epoch", "trees", "val_loss").write.mode("append").parquet(told)
-    history = spark.read.schema("fold string, epoch int, trees int, val_loss double").parquet(told)
-    stops = early_stop(history, ["fold"], c.patience)
-    best = {r["fold"]: r["best_epoch"] for r in stops.collect()}  # one per fold
-    scores = shared_path(spark, "loso-scores")
-    schema = None
-    for fold, model in models.items():
+    told, scores = shared_path(spark, "loso-history"), shared_path(spark, "loso-scores")
+
+    def fit(fold: str) -> PipelineModel:
+        model, losses = fit_fold(ranked.withColumn("role", inner_role(fold, cuts[fold])), names, c)
+        losses.select(F.lit(fold).alias("fold"), "epoch", "trees", "val_loss").write.parquet(f"{told}/{folds.index(fold)}")
+        return model
+
+    def score(fold: str) -> T.StructType:
         own = with_fold_role(ranked.drop("rank"), fold).filter("role = 'test'").drop("role")
-        staged = staged_scores(model, own, c.step)
+        staged = staged_scores(models[fold], own, c.step)
         chosen = staged.withColumn("_s", F.get("stages", F.lit(best[fold]))).drop("stages")
         preds = _labelled(chosen.select(F.lit(fold).alias("fold"), *own.columns, F.col("_s.trees").alias("trees"), *[F.col(f"_s.p_{n}").alias(f"p_{n}") for n in CLASSES]))
-        preds.write.mode("append").parquet(scores)
-        schema = preds.schema
-    return spark.read.schema(schema).parquet(scores), history, stops
+        preds.write.parquet(f"{scores}/{folds.index(fold)}")
+        return preds.schema
+
+    with ThreadPool(c.folds_at_once) as pool:
+        models = dict(zip(folds, pool.map(inheritable_thread_target(spark)(fit), folds)))
+        history = spark.read.schema("fold string, epoch int, trees int, val_loss double").parquet(*[f"{told}/{i}" for i in range(len(folds))])
+        stops = early_stop(history, ["fold"], c.patience)
+        best = {r["fold"]: r["best_epoch"] for r in stops.collect()}  # one per fold
+        schemas = pool.map(inheritable_thread_target(spark)(score), folds)
+    return spark.read.schema(schemas[0]).parquet(*[f"{scores}/{i}" for i in range(len(folds))]), history, stops
 
 
 def _labelled(df: DataFrame) -> DataFrame:

@@ -58,3 +58,21 @@ def test_all_folds_use_the_stage_of_their_history(spark, rows):
 def test_unknown_subject_is_an_error(rows):
     with pytest.raises(ValueError, match="no rows"):
         prediction.train_loso(rows, ["x", "y"], subjects=["kfall_SA99"])
+
+
+def test_folds_at_once_change_nothing(spark, rows):
+    found = []
+    for n in (1, 3):
+        config = PredictorConfig(trees=4, step=2, max_depth=2, folds_at_once=n)
+        preds, history, _ = prediction.train_loso(rows, ["x", "y"], config)
+        found.append([sorted(map(tuple, t.collect())) for t in (preds, history)])
+    assert found[0] == found[1]
+
+
+def test_every_tree_of_a_forest_is_worked_out_in_compiled_methods(rows):
+    forest = RandomForestClassifier(labelCol="label_id", numTrees=40, maxDepth=3, seed=1)
+    fit = Pipeline(stages=[VectorAssembler(inputCols=["x", "y"], outputCol="features"), forest]).fit(rows)
+    staged = prediction.staged_scores(fit, rows.select("global_subject_id", "x", "y"), 5)
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    assert [s["trees"] for s in staged.first()["stages"]] == list(range(5, 41, 5))
