@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -75,11 +75,15 @@ def parse_samples(files: DataFrame, device: str = "device", lines: bool = False)
     array = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
     elements = files.withColumn("elements", array)
     unreadable = F.col("elements").isNull() | (F.size("elements") == 1) & F.get("elements", F.lit(0)).isNull()
-    rows = elements.select(
-        "source_file", "modified", "_above", F.posexplode_outer(F.when(~unreadable, F.col("elements"))).alias("place", "element"), unreadable.alias("unreadable")
-    )
-    item = F.from_json("element", "map<string,string>")
-    rows = rows.withColumn("item", F.when(F.trim("element").startswith("{"), item))
+
+    # Objects are read before the array is taken apart: read after it, a filter on the rows reads each once per use.
+    def read(element: Column) -> Column:
+        item = F.from_json(element, "map<string,string>")
+        return F.struct(F.when(F.trim(element).startswith("{"), item).alias("item"))
+
+    judged = F.when(~unreadable, F.transform("elements", read))
+    rows = elements.select("source_file", "modified", "_above", F.posexplode_outer(judged).alias("place", "_read"), unreadable.alias("unreadable"))
+    rows = rows.withColumn("item", F.col("_read.item"))
     number = {c: F.expr(f"try_cast(item['{c}'] AS DOUBLE)") for c in CHANNELS}
     ends = F.coalesce(F.expr("try_cast(item['end'] AS BOOLEAN)"), F.lit(False))
     missing = F.array_compact(F.array(*(F.when(v.isNull(), F.lit(c)) for c, v in number.items())))

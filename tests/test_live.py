@@ -249,3 +249,13 @@ def test_a_long_session_is_scored_in_lots():
     assert time.process_time() - began < 3
     assert sum(map(len, out)) == n and sum(calls) == n - 1 and len(out) <= 2 + n // 1024
     assert [int(s) for f in out for s in f["seq"]] == list(range(n))
+
+
+@pytest.mark.parametrize("part", [live.rejects, live.well_formed])
+def test_an_object_is_read_once_also_under_a_filter(spark, part):
+    files = spark.createDataFrame([('[{"device": "a"}, 7, null]', "f", None), ("[]", "g", None), ("{not", "h", None)], "value string, source_file string, modified timestamp")
+    samples = live.parse_samples(files)
+    plan = part(samples)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(MapType") == 1
+    found = {(r["source_file"], r["place"]): r["problem"] for r in live.rejects(samples).collect()}
+    assert found == {("f", 0): ",".join(live.CHANNELS), ("f", 1): "not an object", ("f", 2): "not an object", ("g", None): "not an object", ("h", None): "unreadable file"}
