@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def powers(x: np.ndarray) -> np.ndarray:
+    """Squared magnitude of the real Fourier transform of each mean-removed row."""
+    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2
+    # Rounding noise of a constant window is not power.
+    noise = 8 * x.shape[1] * np.finfo(float).eps * np.abs(x).max(axis=1, keepdims=True)
+    return np.where(power > noise**2, power, 0.0)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def power_spectrum(values: pd.Series) -> pd.Series:
     """Squared magnitude of the real Fourier transform of each mean-removed array."""
@@ -18,11 +26,7 @@ def power_spectrum(values: pd.Series) -> pd.Series:
         if n < 2:
             spectra = [[] for _ in range(len(group))]
         else:
-            x = np.stack(group.to_list()).astype(float)
-            power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)) ** 2
-            # Rounding noise of a constant window is not power.
-            noise = 8 * n * np.finfo(float).eps * np.abs(x).max(axis=1, keepdims=True)
-            spectra = list(np.where(power > noise**2, power, 0.0))
+            spectra = list(powers(np.stack(group.to_list()).astype(float)))
         out.loc[group.index] = pd.Series(spectra, index=group.index, dtype=object)
     return out
 

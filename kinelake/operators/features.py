@@ -17,6 +17,7 @@ from kinelake.functions.channels import (
     tilt_degrees,
 )
 from kinelake.functions.spectrum import power_spectrum, spectral_columns
+from kinelake.functions.statistics import window_values
 from kinelake.operators.blocks import BLOCK_FRAMES, join_series, with_blocks
 from kinelake.operators.windows import assign_windows, full_windows, last_full_end, real_windows
 
@@ -118,6 +119,19 @@ def window_arrays(rows: DataFrame, keys: Sequence[str], values: Sequence[str], o
     return grouped.select(*keys, *[F.col(f"_samples.{v}").alias(v) for v in values])
 
 
+def block_windows(n: Column, block: Column, length: int, stride: int, size: int) -> tuple[Column, Column]:
+    """Numbers of the windows that start in a block, and the place there of the one in ``window_index``."""
+    full, end = full_windows(n, length, stride), last_full_end(n, length, stride)
+    low = F.ceil(block * size / stride)
+    high = F.least(full - 1, F.floor(((block + 1) * size - 1) / stride))
+    nothing = F.array().cast("array<bigint>")
+    on_grid = F.when(low <= high, F.sequence(low, high)).otherwise(nothing)
+    tail = (n > length) & (end < n) & (F.floor(end / size) == block)
+    numbered = F.concat(on_grid, F.when(tail, F.array(full)).otherwise(nothing))
+    index = F.col("window_index")
+    return numbered, (F.when(index < full, index * stride).otherwise(end) - block * size).cast("int")
+
+
 def slice_windows(
     blocked: DataFrame,
     series: DataFrame,
@@ -145,17 +159,8 @@ def slice_windows(
     packed = F.array_sort(F.collect_list(F.struct(frame, *every))).alias("_samples")
     arrays = inside.groupBy(*keys, "block").agg(packed)
     joined = join_series(arrays, series.select(*keys, n_frames), keys, n_frames, size)
-    n, block = F.col(n_frames), F.col("block")
-    full, end = full_windows(n, length, stride), last_full_end(n, length, stride)
-    low = F.ceil(block * size / stride)
-    high = F.least(full - 1, F.floor(((block + 1) * size - 1) / stride))
-    nothing = F.array().cast("array<bigint>")
-    on_grid = F.when(low <= high, F.sequence(low, high)).otherwise(nothing)
-    tail = (n > length) & (end < n) & (F.floor(end / size) == block)
-    numbered = F.concat(on_grid, F.when(tail, F.array(full)).otherwise(nothing))
+    numbered, first = block_windows(F.col(n_frames), F.col("block"), length, stride, size)
     windows = joined.withColumn("window_index", F.explode(numbered))
-    index = F.col("window_index")
-    first = (F.when(index < full, index * stride).otherwise(end) - block * size).cast("int")
     # Columns are taken from what is cut: taken before, generated code takes them from the whole block per window.
     cut = F.slice("_samples", first + 1, F.lit(length)).alias("_cut")
     ends = {v: F.get("_samples", first + offset)[v] for v, offset in single.items()}
@@ -203,17 +208,38 @@ def window_features(
     n_frames: str = "n_frames",
     size: int = BLOCK_FRAMES,
 ) -> DataFrame:
-    """All 54 features of every window of every series."""
-    rows = _windowed(samples, series, keys, length, stride, frame, n_frames, size)
-    by_window = list(keys) + ["window_index"]
-    timed = _time_aggregates(rows, keys, length, rate_hz)
-    slices = min(size, SLICE_FRAMES)
-    magnitude = samples.select(*keys, frame, accel_magnitude().alias("accel_mag"))
-    blocked = with_blocks(magnitude, frame, after=length - 1, size=slices)
-    arrays = slice_windows(blocked, series, keys, ["accel_mag"], length, stride, frame, n_frames, slices)
-    arrays = arrays.select(*by_window, padded("accel_mag", length).alias("accel_mag"))
-    spectral = spectral_features(arrays, by_window, "accel_mag", rate_hz)
-    return timed.join(spectral, by_window).select(*by_window, *FEATURE_NAMES)
+    """All 54 features of every window of every series.
+
+    Each window is cut from the block of samples it starts in and its features are found there, so samples are numbered
+    and sent once, for time features and spectra alike.
+    """
+    keys, slices = list(keys), min(size, SLICE_FRAMES)
+    blocked = with_blocks(samples.select(*keys, frame, *CHANNELS), frame, after=length - 1, size=slices)
+    inside = blocked.filter(F.col(frame) >= F.col("block") * slices)
+    joined = join_series(packed_blocks(inside, [*keys, "block"], frame), series.select(*keys, n_frames), keys, n_frames, slices)
+    numbered, first = block_windows(F.col(n_frames), F.col("block"), length, stride, slices)
+    windows = joined.withColumn("window_index", F.explode(numbered)).withColumn("_first", first)
+    cut = F.slice("_samples", F.col("_first") + 1, F.lit(length))
+    start = F.col("block") * slices + F.col("_first")
+    return _cut_features(windows, [*keys, "window_index"], cut, start, F.lit(length), F.lit(None), length, rate_hz)
+
+
+def packed_blocks(blocked: DataFrame, part: Sequence[str], frame: str) -> DataFrame:
+    """One row per block with its samples as an array in the order of their frames."""
+    each = F.struct(F.col(frame).alias("_frame"), *CHANNELS)
+    sent = blocked.select(*part, each.alias("_each")).repartition(*[F.col(c) for c in part])
+    return sent.groupBy(*part).agg(F.array_sort(F.collect_list("_each")).alias("_samples"))
+
+
+def _cut_features(windows: DataFrame, ids: Sequence[str], cut: Column, start: Column, total: Column, before: Column, length: int, rate_hz: float) -> DataFrame:
+    """Features of windows cut from the blocks beside them; windows without samples are left out."""
+    one = F.struct(cut.alias("_cut"), start.cast("long").alias("_start"), before.cast("double").alias("_before"))
+    # What is exploded is worked out there; as a plain column it would be cut again, from the block, by all that use it.
+    rows = windows.select(*ids, F.explode(F.array(one)).alias("_one")).select(*ids, "_one.*", total.cast("int").alias("_total"))
+    rows = rows.filter(F.size("_cut") > 0)
+    values = window_values(FEATURE_NAMES, length, rate_hz)
+    found = rows.select(*ids, values("_cut", "_start", "_total", "_before").alias("_values"))
+    return found.select(*ids, "_values.*")
 
 
 def features_batch(
@@ -227,38 +253,38 @@ def features_batch(
     """Features for the windows of a windows manifest, with label and ids carried along.
 
     Samples are packed into arrays by (trial, block of ``SLICE_FRAMES``), with one window of context; each window is cut
-    from the block it starts in and folds there, so samples go through one shuffle and windows through one.
+    from the block it starts in and its features are found there, so samples go through one shuffle and windows through one.
     """
     keys, size = list(trial_keys), SLICE_FRAMES
     part = [*keys, "block"]
     wanted = [c for c in ("label", "dataset", "global_subject_id", "activity_code", "trial_id") if c in windows.columns]
     carried = [c for c in wanted if c not in keys]
     blocked = with_blocks(samples.select(*keys, frame, *CHANNELS), frame, before=1, after=length - 1, size=size)
-    blocked = blocked.drop("core").repartition(*[F.col(c) for c in part])  # derived channels stay out of the shuffle
-    derived = blocked.withColumns({"accel_mag": accel_magnitude(), "gyro_mag": gyro_magnitude()})
-    derived = derived.withColumn("tilt", tilt_degrees(F.col("accel_mag")))
-    ordered = W.partitionBy(*part).orderBy(frame)
-    stepped = derived.withColumn("_step", F.col("accel_mag") - F.lag("accel_mag").over(ordered))
-    values = [*CHANNELS, "accel_mag", "gyro_mag", "tilt", "_step"]
-    packed = stepped.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("_frame"), *values))).alias("_samples"))
+    packed = packed_blocks(blocked, part, frame)
     start, end = F.col("start_frame"), F.col("end_frame")
     slim = real_windows(windows).select(*keys, "window_index", start, end, *carried)
     slim = slim.withColumn("block", F.floor(F.greatest(start, F.lit(0)) / size))
     cut = cut_frames("_samples", start, F.least(end, start + length))
-    rows = packed.join(slim, part).select(*part, "window_index", start, end, *carried, cut.alias("_cut")).filter(F.size("_cut") > 0)
-    last = F.try_element_at("_cut", F.lit(-1))
-    pads = F.when(last["_frame"] == end - 1, F.greatest(F.lit(length) - (end - start), F.lit(0))).otherwise(0)
-    rows = rows.withColumn("_all", F.concat("_cut", F.array_repeat(last, pads.cast("int"))))
     ids = [*part, "window_index", *carried]
-    rows = rows.select(*ids, start, F.size("_cut").alias("_real"), "_all", power_spectrum(F.col("_all.accel_mag")).alias("_power"))
-    spectral = spectral_columns("_power", F.size("_all"), rate_hz)
-    rows = rows.select(*ids, start, "_real", "_all", *[c.alias(n) for n, c in spectral.items()])
-    rows = rows.select(*ids, *spectral, start, "_real", F.posexplode("_all").alias("_pos", "_s")).select("*", "_s.*")
-    rows = rows.withColumns({"offset": F.col("_frame") - start, "is_pad": F.col("_pos") >= F.col("_real")})
-    found = _time_aggregates(rows, part, length, rate_hz, ["window_index", *carried, *spectral])
+    last = F.try_element_at("_cut", F.lit(-1))
+    pads = F.when(last["_frame"] == F.col("_end") - 1, F.greatest(F.lit(length) - (F.col("_end") - F.col("_start")), F.lit(0))).otherwise(0)
+    rows = packed.join(slim, part).withColumn("_end", end)
+    found = _cut_features(rows, [*ids, "_end"], cut, start, F.size("_cut") + pads, magnitude_before("_samples", start), length, rate_hz)
     return found.select(*FEATURE_NAMES, *dict.fromkeys([*wanted, *keys, "window_index"]))
 
 
+def without_gaps(rows: Column) -> Column:
+    """Whether the frames of an array of samples, in order, follow each other."""
+    return F.element_at(rows, -1)["_frame"] - rows[0]["_frame"] + 1 == F.size(rows)
+
+
+def magnitude_before(packed: str, start: Column) -> Column:
+    """Magnitude of acceleration of the last sample before ``start``. Without gaps it is null: no window has a use for it."""
+    rows = F.col(packed)
+    last = F.try_element_at(F.filter(rows, lambda s: s["_frame"] < start), F.lit(-1))
+    return F.when(~without_gaps(rows), F.sqrt(sum((last[c] * last[c] for c in ACCEL[1:]), last[ACCEL[0]] * last[ACCEL[0]])))
+
+
 def cut_frames(packed: str, start: Column, end: Column) -> Column:
     """Those elements of an array, ordered by their field ``_frame``, with frames in [start, end)."""
     rows = F.col(packed)
@@ -267,7 +293,7 @@ def cut_frames(packed: str, start: Column, end: Column) -> Column:
     count = F.greatest(F.least(end, last + 1) - low, F.lit(0))
     whole = F.slice(rows, F.least(low - first, F.size(rows)).cast("int") + 1, count.cast("int"))
     some = F.filter(rows, lambda s: (s["_frame"] >= start) & (s["_frame"] < end))
-    return F.when(last - first + 1 == F.size(rows), whole).otherwise(some)  # frames without gaps need no search
+    return F.when(without_gaps(rows), whole).otherwise(some)  # frames without gaps need no search
 
 
 def array_features(windows: DataFrame, keys: Sequence[str], length: int, rate_hz: float = 100.0) -> DataFrame:

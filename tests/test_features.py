@@ -193,3 +193,27 @@ def test_windows_are_cut_before_columns_are_taken(trials):
     dense = features.augmented_windows(samples, series, ["k"], LENGTH, STRIDE, RATE)
     plan = dense._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(_samples#" in plan and "slice(_all_" not in plan
+
+
+def test_window_features_number_samples_once(trials):
+    """Time features and spectra come from one pass over the samples."""
+    from kinelake.operators.blocks import number_rows
+
+    _, samples, series = trials
+    numbered = number_rows(samples.withColumnRenamed("frame", "at"), ["k"], ["at"], F.col("at")).drop("at")
+    found = features.window_features(numbered, series, ["k"], LENGTH, STRIDE, RATE)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
+
+
+def test_window_features_of_missing_values(trials):
+    """Samples without a value, or with NaN, count as they do when Spark folds them."""
+    _, samples, series = trials
+    odd = samples.withColumn("acc_x", F.when(F.col("frame") % 7 != 3, F.col("acc_x")))
+    odd = odd.withColumn("acc_z", F.when((F.col("k") == 3) & (F.col("frame") == 40), float("nan")).otherwise(F.col("acc_z")))
+    odd = odd.withColumn("gyro_y", F.when(F.col("k") != 2, F.col("gyro_y")))
+    found, want = (
+        f(odd, series, ["k"], LENGTH, STRIDE, RATE).toPandas().sort_values(["k", "window_index"]) for f in (features.window_features, features.time_features)
+    )
+    names = features.FEATURE_NAMES[:-3]
+    assert len(found) == len(want) and np.allclose(found[names].astype(float), want[names].astype(float), atol=1e-9, equal_nan=True)
+    assert found["gyro_y_mean"].isna().any() and found["acc_z_mean"].isna().any()
