@@ -52,9 +52,12 @@ def detector_scores(spark, sf_dir):
 @query("detector_metrics")
 def detector_metrics(spark, sf_dir):
     """Confusion, rates and AUC of those scores."""
-    scored = detector_scores(spark, sf_dir)
-    auc = metrics.roc_auc(scored.withColumn("_all", F.lit(1)), "label", "fall_probability", ["_all"])
-    counts = metrics.binary_metrics(scored.withColumn("_all", F.lit(1)), by=["_all"])
+    found = detector_scores(spark, sf_dir).select("label", "fall_probability", "predicted", F.lit(1).alias("_all"))
+    path = shared_path(spark, "detector-scores")
+    found.write.parquet(path)  # the rates read the scores once, the AUC three times
+    scored = spark.read.schema(found.schema).parquet(path)
+    auc = metrics.roc_auc(scored, "label", "fall_probability", ["_all"])
+    counts = metrics.binary_metrics(scored, by=["_all"])
     return counts.join(auc, "_all").drop("_all")
 
 
