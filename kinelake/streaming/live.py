@@ -11,9 +11,11 @@ fall into batches: what arrives later than that, or twice, comes out as a counte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +53,9 @@ ROWS_AT_ONCE, ROWS_NEAR, SCORED_AT_ONCE = 65_536, 1024, 1024
 #: Output rows that a call gathers before it gives them out.
 ROWS_OUT = 8192
 
+#: Samples that are packed by device at once, before they are sent.
+ROWS_PACKED = 131_072
+
 
 def parse_samples(files: DataFrame, device: str = "device", lines: bool = False) -> DataFrame:
     """Samples from rows (value, source_file, modified): the text of a file, its name and its time.
@@ -135,6 +140,74 @@ def softmax_rows(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
+def pack_samples(rows: DataFrame, key: str) -> DataFrame:
+    """One row per device of each run of ``ROWS_PACKED`` samples: their files' names, and the samples as numbers.
+
+    A sample is the place of its file among the names and its place there (only if it has no number; -1 and 0 if it has),
+    ``seq``, the channels and the end mark. So the shuffle, its sort and the stateful step handle few rows, whatever the samples.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, count = [], 0
+        for batch in batches:
+            some.append(batch)
+            count += batch.num_rows
+            if count >= ROWS_PACKED:
+                yield packed(pa.Table.from_batches(some))
+                some, count = [], 0
+        if count:
+            yield packed(pa.Table.from_batches(some))
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        keys, names = (table[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in (key, "source_file"))
+        device = keys.indices.to_numpy()
+        order = np.argsort(device, kind="stable")
+        device = device[order]
+        blank = table["seq"].is_null().to_numpy()[order]
+        samples = np.empty((len(order), 2 + len(CHANNELS) + 2))
+        samples[:, 2] = table["seq"].fill_null(0).to_numpy().astype(np.int64)[order].view(np.float64)
+        for i, c in enumerate(CHANNELS):
+            samples[:, 3 + i] = table[c].cast(pa.float64()).to_numpy()[order]
+        samples[:, -1] = table["ends"].to_numpy()[order]
+        samples[:, 0], samples[:, 1] = -1, 0
+        pairs, number = np.unique(device[blank].astype(np.int64) * len(names.dictionary) + names.indices.to_numpy()[order][blank], return_inverse=True)
+        owner = pairs // max(len(names.dictionary), 1)
+        files_at = np.searchsorted(owner, np.arange(len(keys.dictionary) + 1))
+        samples[blank, 0] = number - files_at[device[blank]]
+        samples[blank, 1] = table["place"].cast(pa.float64()).to_numpy()[order][blank]
+        files = names.dictionary.take(pa.array(pairs % max(len(names.dictionary), 1)))
+        at = np.searchsorted(device, np.arange(len(keys.dictionary) + 1)) * samples.itemsize * samples.shape[1]
+        columns = [
+            keys.dictionary,
+            pa.ListArray.from_arrays(pa.array(files_at, pa.int32()), files),
+            pa.Array.from_buffers(pa.binary(), len(keys.dictionary), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(samples)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [key, "files", "samples"])
+
+    kind = T.StructType([rows.schema[key], T.StructField("files", T.ArrayType(T.StringType())), T.StructField("samples", T.BinaryType())])
+    return rows.mapInArrow(pack, kind)
+
+
+def unpacked(frames: Iterator[pd.DataFrame], files: dict, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Samples of packed rows, some at a time, and where they have no number; files are numbered as they come."""
+    for frame in frames:
+        some, count = [], 0
+        for names, packed in zip(frame["files"], frame["samples"]):
+            samples = np.frombuffer(packed).reshape(-1, 2 + len(CHANNELS) + 2)
+            if len(names):
+                samples = samples.copy()
+                number = np.array([files.setdefault(f, len(files)) for f in names])
+                blank = samples[:, 0] >= 0
+                samples[blank, 0] = number[samples[blank, 0].astype(np.int64)]
+            some.append(samples)
+            count += len(samples)
+            if count >= at_once:
+                yield (whole := np.concatenate(some)), whole[:, 0] >= 0
+                some, count = [], 0
+        if some:
+            yield (whole := np.concatenate(some)), whole[:, 0] >= 0
+
+
 class Held:
     """Rows of one device that wait, by slice: a bounded number in memory, the rest in map state, an entry per slice.
 
@@ -145,40 +218,71 @@ class Held:
 
     def __init__(self, store, stored: Sequence[int], width: int, rows_at_once: int, near: bytes = b""):
         self.store, self.stored, self.width, self.limit = store, set(stored), width, rows_at_once
+        self.come: list[np.ndarray] = []
         self.near: dict[int, list[np.ndarray]] = {}
         self.count = 0
         self.put(np.frombuffer(near, np.float64).reshape(-1, self.WIDTH))
 
     def put(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.come.append(rows)
+        self.count += len(rows)
+        if self.count > self.limit:
+            self.settle()
+
+    def _split(self) -> None:
+        """Puts what has come into its slices."""
+        if not self.come:
+            return
+        rows = np.concatenate(self.come)
         number = self.orders(rows) // self.width
         by_slice = np.argsort(number, kind="stable")
         number, rows = number[by_slice], rows[by_slice]
-        at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else []
+        at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         for i, part in zip(at, np.split(rows, at[1:])):
             self.near.setdefault(int(number[i]), []).append(part)
-        self.count += len(rows)
-        if self.count > self.limit:
-            self.settle()
+        self.come = []
 
     def settle(self) -> None:
         """Moves what is in memory to the state store."""
+        self._split()
         for number, parts in self.near.items():
             earlier = [self._stored(number)] if number in self.stored else []
             self.store.updateValue((number,), (np.vstack([*earlier, *parts]).tobytes(),))
             self.stored.add(number)
         self.near, self.count = {}, 0
 
+    def _all(self) -> np.ndarray:
+        return np.concatenate([np.empty((0, self.WIDTH)), *(p for parts in self.near.values() for p in parts), *self.come])
+
     def packed(self) -> bytes:
         """What stays beside the device's state: all rows in memory if they are few, else none."""
         if self.count > ROWS_NEAR:
             self.settle()
-        return np.vstack([np.empty((0, self.WIDTH)), *(p for parts in self.near.values() for p in parts)]).tobytes()
+        return self._all().tobytes()
+
+    def first(self) -> int | None:
+        """The first slice that holds rows."""
+        rows = self._all()
+        slices = [*self.stored, *([int(self.orders(rows).min()) // self.width] if len(rows) else [])]
+        return min(slices, default=None)
+
+    def take_near(self, bound: int) -> np.ndarray:
+        """The rows up to ``bound``, in order as by ``take``, if all rows are in memory; they are no longer held."""
+        rows = self._all()
+        due = self.orders(rows) <= bound
+        self.near, self.come, self.count = {}, [], 0
+        self.put(rows[~due])
+        rows = rows[due]
+        return rows[np.lexsort((self.numbers(rows), self.orders(rows)))]
 
     def slices(self) -> list[int]:
+        self._split()
         return sorted(self.stored.union(self.near))
 
     def take(self, number: int) -> np.ndarray:
         """The rows of one slice in order, the first to come of equal ones first; they are no longer held."""
+        self._split()
         parts = self.near.pop(number, [])
         self.count -= sum(map(len, parts))
         if number in self.stored:
@@ -263,8 +367,8 @@ class LiveScorer(StatefulProcessor):
 
     def _save(self, device: dict, held: Held) -> None:
         near = held.packed()
-        if self.timed and (waiting := held.slices()):
-            due = (waiting[0] + 1) * self.width
+        if self.timed and (first := held.first()) is not None:
+            due = (first + 1) * self.width
             if due != device["timer"]:
                 self.handle.registerTimer(due)
                 device["timer"] = due
@@ -279,19 +383,14 @@ class LiveScorer(StatefulProcessor):
         held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
         until = NEVER  # an end mark makes due all up to it, however late others may be
         unnumbered, files = [], {}
-        for frame in rows:
-            blank = frame["seq"].isna().to_numpy()
-            values = np.column_stack([frame[c].to_numpy(float) for c in [*CHANNELS, "ends"]])
-            at = frame["at"].to_numpy(np.int64) if self.timed else None
-            if blank.any():
-                # Order of arrival: batch by batch, then by whole file name and place.
-                named = frame["source_file"].to_numpy(object)[blank].tolist()
-                number = np.fromiter((files.setdefault(f, len(files)) for f in named), np.int64, len(named))
-                place = frame["place"].to_numpy(float)[blank]
-                unnumbered.append((number, place, values[blank], at[blank] if self.timed else number))
-                until = self._wait(device, held, frame["seq"].to_numpy()[~blank].astype(np.int64), at[~blank] if self.timed else None, values[~blank], until, out)
+        for part in self._parts(rows, files):
+            blank, seq, number, place, values, at = part
+            if not blank.any():
+                until = self._wait(device, held, seq, at, values, until, out)
             else:
-                until = self._wait(device, held, frame["seq"].to_numpy(np.int64), at, values, until, out)
+                # Order of arrival: batch by batch, then by whole file name and place.
+                unnumbered.append((number[blank], place[blank], values[blank], at[blank] if self.timed else number[blank]))
+                until = self._wait(device, held, seq[~blank], at[~blank] if self.timed else None, values[~blank], until, out)
             yield from out.frames()
         if unnumbered:
             number, place, values, at = (np.concatenate(c) for c in zip(*unnumbered))
@@ -313,6 +412,28 @@ class LiveScorer(StatefulProcessor):
             out.add(np.array([device["newest_seq"]]), "held", buffered=device["held"])
         yield from out.frames(1)
 
+    def _parts(self, frames: Iterator[pd.DataFrame], files: dict) -> Iterator[tuple]:
+        """Samples as arrays: without a number or not, ``seq``, number of the file, place, values, and event time if there is one."""
+        frames = iter(frames)
+        if (head := next(frames, None)) is None:
+            return
+        frames = chain([head], frames)
+        if "samples" in head:
+            for samples, blank in unpacked(frames, files, self.rows_at_once):
+                seq = np.ascontiguousarray(samples[:, 2]).view(np.int64)
+                yield blank, seq, samples[:, 0].astype(np.int64), samples[:, 1], samples[:, 3:], None
+            return
+        for frame in frames:
+            blank = frame["seq"].isna().to_numpy()
+            values = np.column_stack([frame[c].to_numpy(float) for c in [*CHANNELS, "ends"]])
+            at = frame["at"].to_numpy(np.int64) if self.timed else None
+            number, place = np.full(len(frame), -1), np.zeros(len(frame))
+            if blank.any():
+                named = frame["source_file"].to_numpy(object)[blank].tolist()
+                number[blank] = np.fromiter((files.setdefault(f, len(files)) for f in named), np.int64, len(named))
+                place = frame["place"].to_numpy(float)
+            yield blank, frame["seq"].fillna(0).to_numpy(np.int64) if blank.any() else frame["seq"].to_numpy(np.int64), number, place, values, at
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark has passed a slice: it is due, with all before it."""
         device, out = self._load(), Rows(self.key, key[0], self.length)
@@ -343,6 +464,17 @@ class LiveScorer(StatefulProcessor):
 
     def _release(self, device: dict, held: Held, bound: int, out: Rows) -> Iterator[pd.DataFrame]:
         """Scores all samples up to ``bound``, one slice or a run of small ones at a time."""
+        if not held.stored:
+            rows = held.take_near(bound)
+            begin = 0
+            while begin < len(rows):
+                stop = min(begin + ROWS_OUT, len(rows))
+                while stop < len(rows) and (rows[stop, :2].view(np.int64) == rows[stop - 1, :2].view(np.int64)).all():
+                    stop += 1  # equal ones are told apart together
+                self._due(device, rows[begin:stop], out)
+                yield from out.frames()
+                begin = stop
+            return
         run, size = [], 0
         for number in held.slices():
             if number * self.width > bound:
@@ -466,6 +598,8 @@ def score_stream(
     when = [] if time is None else [F.col(time).alias("event_time"), F.unix_millis(F.col(time).cast("timestamp")).alias("at")]
     rows = samples if time is None else samples.filter(F.col(time).isNotNull()).withWatermark(time, delay)
     rows = rows.select(key, "seq", *CHANNELS, ends.alias("ends"), *named, *when)
+    if time is None:  # with event times, Spark drops late samples one by one
+        rows = pack_samples(rows, key)
     return rows.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=output_schema(samples.schema[key]),

@@ -259,3 +259,38 @@ def test_an_object_is_read_once_also_under_a_filter(spark, part):
     assert plan.count("from_json(MapType") == 1
     found = {(r["source_file"], r["place"]): r["problem"] for r in live.rejects(samples).collect()}
     assert found == {("f", 0): ",".join(live.CHANNELS), ("f", 1): "not an object", ("f", 2): "not an object", ("g", None): "not an object", ("h", None): "unreadable file"}
+
+
+def test_samples_are_sent_packed(spark):
+    """A device's samples reach the stateful step in few rows, with all they hold: long numbers, missing ones, missing names."""
+    rows = [("a" if i % 3 else None, (1 << 60) + i if i % 5 else None, *[float(i)] * 6, i % 7 == 0, f"f{i % 4}" if i % 11 else None, i) for i in range(2000)]
+    names = ["device", "seq", *CHANNELS, "ends", "source_file", "place"]
+    types = ["string", "long", *["double"] * 6, "boolean", "string", "long"]
+    samples = spark.createDataFrame(rows, ", ".join(map(" ".join, zip(names, types)))).coalesce(1)
+    packed = live.pack_samples(samples, "device").toPandas()
+    assert len(packed) == 2
+    got = []
+    for device, frame in packed.groupby("device", dropna=False):
+        files = {}
+        for part, blank in live.unpacked(iter([frame]), files, 100_000):
+            name = {n: f for f, n in files.items()}
+            seq = np.ascontiguousarray(part[:, 2]).view(np.int64)
+            for s, none, x in zip(seq.tolist(), blank, part.tolist()):
+                key = "a" if device == "a" else None
+                got.append((key, None if none else s, *x[3:9], x[9] > 0, *((name[int(x[0])], int(x[1])) if none else (None, 0))))
+    want = [r if r[1] is None else (*r[:-2], None, 0) for r in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_rows_in_memory_are_taken_at_once():
+    """All that is due, in the order and with the repeats that slice by slice would give; the rest stays."""
+    rng = np.random.default_rng(4)
+    at, seq = rng.integers(0, 5000, 900), rng.integers(0, 3, 900)
+    rows = np.column_stack([at.view(np.float64), seq.view(np.float64), np.arange(900.0), np.zeros((900, 6))])
+    once, each = (live.Held({}, [], 10, 10_000) for _ in range(2))
+    once.put(rows)
+    each.put(rows)
+    assert once.first() == at.min() // 10
+    taken = np.vstack([each.take(n) for n in each.slices() if n < 300])
+    assert np.array_equal(once.take_near(2999), taken) and once.count == each.count == (at >= 3000).sum()
+    assert np.array_equal(once.take_near(5000), np.vstack([each.take(n) for n in each.slices()])) and once.first() is None
