@@ -77,18 +77,29 @@ def parse_samples(files: DataFrame, device: str = "device", lines: bool = False)
         above = F.shiftleft(F.col("_line").cast("long"), 32)
     files = files.withColumn("_above", above)
     text = F.trim("value")
-    array = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text), "array<string>")
-    elements = files.withColumn("elements", array)
+    # An array of nothing but objects is read in one go. All others, and those with a value that comes out quoted (as NaN
+    # does), are read as texts and each of them alone.
+    whole = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    objects = files.withColumn("objects", F.from_json(whole, "array<map<string,string>>"))
+    odd = F.exists("objects", lambda o: o.isNull() | F.exists(F.map_values(o), lambda v: v.startswith('"')))
+    objects = objects.withColumn("plain", (F.size("objects") > 0) & ~F.coalesce(odd, F.lit(False)))
+    objects = objects.withColumn("plain", F.coalesce("plain", F.lit(False)))
+    elements = objects.withColumn("elements", F.when(~F.col("plain"), F.from_json(whole, "array<string>")))
     unreadable = F.col("elements").isNull() | (F.size("elements") == 1) & F.get("elements", F.lit(0)).isNull()
 
-    # Objects are read before the array is taken apart: read after it, a filter on the rows reads each once per use.
+    # Objects are read before the array is taken apart: read after it, a filter on the rows reads each once per use. Each
+    # takes along whether its text is readable: found later, every row would carry the whole array to find it from.
+    def judged(item: Column, unreadable: bool = False) -> Column:
+        return F.struct(item.alias("item"), F.lit(unreadable).alias("unreadable"))
+
     def read(element: Column) -> Column:
-        item = F.from_json(element, "map<string,string>")
-        return F.struct(F.when(F.trim(element).startswith("{"), item).alias("item"))
+        return judged(F.when(F.trim(element).startswith("{"), F.from_json(element, "map<string,string>")))
 
-    judged = F.when(~unreadable, F.transform("elements", read))
-    rows = elements.select("source_file", "modified", "_above", F.posexplode_outer(judged).alias("place", "_read"), unreadable.alias("unreadable"))
-    rows = rows.withColumn("item", F.col("_read.item"))
+    nothing = F.array(judged(F.lit(None).cast("map<string,string>"), True))
+    each = F.when(F.col("plain"), F.transform("objects", lambda o: judged(o))).when(unreadable, nothing).otherwise(F.transform("elements", read))
+    rows = elements.select("source_file", "modified", "_above", F.posexplode_outer(each).alias("_place", "_read"))
+    rows = rows.withColumns({"item": F.col("_read.item"), "unreadable": F.col("_read.unreadable")})
+    rows = rows.withColumn("place", F.when(~F.col("unreadable"), F.col("_place")))
     number = {c: F.expr(f"try_cast(item['{c}'] AS DOUBLE)") for c in CHANNELS}
     ends = F.coalesce(F.expr("try_cast(item['end'] AS BOOLEAN)"), F.lit(False))
     missing = F.array_compact(F.array(*(F.when(v.isNull(), F.lit(c)) for c, v in number.items())))

@@ -294,3 +294,38 @@ def test_rows_in_memory_are_taken_at_once():
     taken = np.vstack([each.take(n) for n in each.slices() if n < 300])
     assert np.array_equal(once.take_near(2999), taken) and once.count == each.count == (at >= 3000).sum()
     assert np.array_equal(once.take_near(5000), np.vstack([each.take(n) for n in each.slices()])) and once.first() is None
+
+
+def test_arrays_read_at_once_give_the_same_samples(spark, monkeypatch):
+    """Odd values, neighbours that are no objects and cut texts: as each element alone, whatever way the array is read."""
+    good = ", ".join(f'"{c}": {i}.5' for i, c in enumerate(CHANNELS[1:]))
+
+    def one(x, more=""):
+        return f'{{"acc_x": {x}, {good}{more}}}'
+
+    odd = ["1", '"2"', "NaN", '"NaN"', "-Infinity", "1e400", '"\\"5\\""', "null", "[1]", '{"a": 1}', "1e5", "12345678901234567890", '"high"', "1, \"acc_x\": 2"]
+    texts = [f"[{one(1)}, {one(x)}]" for x in odd]
+    texts += [f"[{one(1)}, {x}, {one(3)}]" for x in ("7", "null", "[]", '"text"', "[" + one(2) + "]", json.dumps(one(2)), "true")]
+    texts += [f"[{one(1)}, {one(2)}", f"[{one(1)}, {{]", f"[{one(1)}] 5", f"[{one(1)},]", one(4), "[]", "", "7", "null", "[null]", f"[{one(1)}, {{}}]"]
+    texts += [f"[{one(1, more)}]" for more in (', "device": "d", "seq": 5', ', "seq": "6", "end": true', ', "seq": 7.5', ', "device": {"a": "b"}')]
+    alone = {}
+    for way in ("at once", "alone"):
+        if way == "alone":
+            texts_now = [t[:-1] + ", 7]" if t.startswith("[{") and t.endswith("}]") else t for t in texts]  # one that is no object: all are read alone
+        else:
+            texts_now = texts
+        files = spark.createDataFrame([(t, f"{i:03d}", None) for i, t in enumerate(texts_now)], "value string, source_file string, modified timestamp")
+        rows = live.parse_samples(files).orderBy("source_file", "place").collect()
+        added = {f"{i:03d}": len(json.loads(t)) - 1 for i, t in enumerate(texts_now) if t != texts[i]}
+        alone[way] = [repr(r) for r in rows if r["place"] != added.get(r["source_file"], -1)]
+    assert alone["at once"] == alone["alone"]
+    assert len(alone["alone"]) > len(texts)
+
+
+def test_plain_arrays_are_not_read_as_texts(spark):
+    """Arrays of objects are read in one go, without a text for each of them."""
+    good = dict(zip(CHANNELS, range(6)))
+    files = spark.createDataFrame([(json.dumps([good] * 3), "a", None)], "value string, source_file string, modified timestamp")
+    samples = live.parse_samples(files)
+    assert "from_json(ArrayType(MapType" in samples._jdf.queryExecution().optimizedPlan().toString()
+    assert live.well_formed(samples).count() == 3
