@@ -11,7 +11,7 @@ fall into batches: what arrives later than that, or twice, comes out as a counte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -53,8 +53,8 @@ ROWS_AT_ONCE, ROWS_NEAR, SCORED_AT_ONCE = 65_536, 1024, 1024
 #: Output rows that a call gathers before it gives them out.
 ROWS_OUT = 8192
 
-#: Samples that are packed by device at once, before they are sent.
-ROWS_PACKED = 131_072
+#: Samples that are packed by device at once, before they are sent, and the numbers of a packed one without event time.
+ROWS_PACKED, PACKED_WIDTH = 131_072, len(CHANNELS) + 4
 
 
 def parse_samples(files: DataFrame, device: str = "device", lines: bool = False) -> DataFrame:
@@ -151,11 +151,11 @@ def softmax_rows(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
-def pack_samples(rows: DataFrame, key: str) -> DataFrame:
+def pack_samples(rows: DataFrame, key: str, timed: bool = False) -> DataFrame:
     """One row per device of each run of ``ROWS_PACKED`` samples: their files' names, and the samples as numbers.
 
     A sample is the place of its file among the names and its place there (only if it has no number; -1 and 0 if it has),
-    ``seq``, the channels and the end mark. So the shuffle, its sort and the stateful step handle few rows, whatever the samples.
+    ``seq``, the channels, the end mark and, if ``timed``, the event time ``at``. So the shuffle, its sort and the stateful step handle few rows, whatever the samples.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +175,13 @@ def pack_samples(rows: DataFrame, key: str) -> DataFrame:
         order = np.argsort(device, kind="stable")
         device = device[order]
         blank = table["seq"].is_null().to_numpy()[order]
-        samples = np.empty((len(order), 2 + len(CHANNELS) + 2))
+        samples = np.empty((len(order), PACKED_WIDTH + timed))
         samples[:, 2] = table["seq"].fill_null(0).to_numpy().astype(np.int64)[order].view(np.float64)
         for i, c in enumerate(CHANNELS):
             samples[:, 3 + i] = table[c].cast(pa.float64()).to_numpy()[order]
-        samples[:, -1] = table["ends"].to_numpy()[order]
+        samples[:, PACKED_WIDTH - 1] = table["ends"].to_numpy()[order]
+        if timed:
+            samples[:, PACKED_WIDTH] = table["at"].to_numpy().astype(np.int64)[order].view(np.float64)
         samples[:, 0], samples[:, 1] = -1, 0
         pairs, number = np.unique(device[blank].astype(np.int64) * len(names.dictionary) + names.indices.to_numpy()[order][blank], return_inverse=True)
         owner = pairs // max(len(names.dictionary), 1)
@@ -199,12 +201,12 @@ def pack_samples(rows: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(pack, kind)
 
 
-def unpacked(frames: Iterator[pd.DataFrame], files: dict, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def unpacked(frames: Iterator[pd.DataFrame], files: dict, at_once: int, timed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Samples of packed rows, some at a time, and where they have no number; files are numbered as they come."""
     for frame in frames:
         some, count = [], 0
         for names, packed in zip(frame["files"], frame["samples"]):
-            samples = np.frombuffer(packed).reshape(-1, 2 + len(CHANNELS) + 2)
+            samples = np.frombuffer(packed).reshape(-1, PACKED_WIDTH + timed)
             if len(names):
                 samples = samples.copy()
                 number = np.array([files.setdefault(f, len(files)) for f in names])
@@ -316,30 +318,66 @@ class Held:
 
 
 class Rows:
-    """Output rows of one call as columns, given out a frame at a time; -1 stands for no number."""
+    """Output rows of one call as numbers, given out a frame at a time; -1 stands for no number.
 
-    def __init__(self, key: str, value, needed: int):
-        self.key, self.value, self.needed = key, value, needed
-        self.parts: list[tuple] = []
+    ``packed`` frames have one row, the key and the rows' bytes, since a frame costs by its columns; see ``unpack_rows``.
+    """
+
+    def __init__(self, key: str, value, needed: int, packed: bool = False):
+        self.key, self.value, self.needed, self.packed = key, value, needed, packed
+        self.parts: list[np.ndarray] = []
         self.count = 0
 
     def add(self, seq: np.ndarray, state, index=-1, buffered=-1, ready: bool = False, probs=np.nan) -> None:
+        """``state`` is a name, or numbers among the names."""
         n = len(seq)
         if n:
-            full = [np.full(n, v) if np.ndim(v) == 0 else v for v in (index, buffered, ready)]
-            states = np.full(n, state, object) if isinstance(state, str) else np.array(state, object)
-            self.parts.append((full[0], seq, full[1], full[2], states, np.broadcast_to(probs, (n, len(LABEL_IDS)))))
+            rows = np.empty((n, len(OUTPUT_NAMES)))
+            numbers = rows.view(np.int64)
+            numbers[:, 0], numbers[:, 1], numbers[:, 2], numbers[:, 3] = index, seq, buffered, ready
+            numbers[:, 4] = OUTPUT_STATES.index(state) if isinstance(state, str) else state
+            rows[:, 5:] = probs
+            self.parts.append(rows)
             self.count += n
 
     def frames(self, least: int = ROWS_OUT) -> Iterator[pd.DataFrame]:
         if self.count < max(least, 1):
             return
-        index, seq, buffered, ready, state, probs = (np.concatenate(c) for c in zip(*self.parts))
+        rows = np.concatenate(self.parts)
         self.parts, self.count = [], 0
-        numbers = {n: pd.arrays.IntegerArray(v.astype(np.int64), v < 0) for n, v in (("index", index), ("buffered", buffered))}
-        columns = [numbers["index"], seq, numbers["buffered"], ready, state, *probs.T]
-        named = {self.key: [self.value] * len(seq), **dict(zip(OUTPUT_NAMES, columns)), "needed_samples": np.full(len(seq), self.needed)}
-        yield pd.DataFrame(named, copy=False)
+        if self.packed:
+            yield pd.DataFrame({self.key: pd.Series([self.value], dtype=object), "rows": [rows.tobytes()]})
+            return
+        columns = {n: v.to_pandas(integer_object_nulls=True) for n, v in output_columns(rows).items()}
+        yield pd.DataFrame({self.key: [self.value] * len(rows), **columns, "needed_samples": np.full(len(rows), self.needed)}, copy=False)
+
+
+def output_columns(rows: np.ndarray) -> dict[str, pa.Array]:
+    """Columns of the rows that ``Rows`` gathers."""
+    numbers = rows.view(np.int64)
+    known = {n: pa.array(numbers[:, i], mask=numbers[:, i] < 0 if n != "seq" else None) for i, n in enumerate(OUTPUT_NAMES[:3])}
+    states = pa.DictionaryArray.from_arrays(numbers[:, 4].astype(np.int8), OUTPUT_STATES).cast(pa.string())
+    probs = {n: pa.array(rows[:, 5 + i], from_pandas=True) for i, n in enumerate(OUTPUT_NAMES[5:])}  # NaN is null
+    return {**known, OUTPUT_NAMES[3]: pa.array(numbers[:, 3] > 0), OUTPUT_NAMES[4]: states, **probs}
+
+
+def unpack_rows(packed: DataFrame, key: T.StructField, needed: int) -> DataFrame:
+    """Output rows from packed ones."""
+    schema = output_schema(key)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, count, begin = [], 0, 0
+            for i, lot in enumerate(batch["rows"]):
+                some.append(np.frombuffer(lot.as_buffer()).reshape(-1, len(OUTPUT_NAMES)))
+                count += len(some[-1])
+                if count >= ROWS_AT_ONCE or i + 1 == batch.num_rows:
+                    owner = np.repeat(np.arange(begin, i + 1), [len(p) for p in some])
+                    columns = [batch[key.name].take(pa.array(owner)), *output_columns(np.concatenate(some)).values(), pa.array(np.full(count, needed))]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    some, count, begin = [], 0, i + 1
+
+    return packed.mapInArrow(unpack, schema)
 
 
 class LiveScorer(StatefulProcessor):
@@ -357,7 +395,9 @@ class LiveScorer(StatefulProcessor):
         ttl_ms: int | None,
         timed: bool = False,
         report: bool = False,
+        packed: bool = False,
     ) -> None:
+        self.packed = packed
         self.scorer, self.key, self.length, self.stride = scorer, key, length, stride
         self.rate_hz, self.config, self.lateness, self.ttl_ms = rate_hz, config, lateness, ttl_ms
         self.timed, self.report, self.width = timed, report, SLICE_MS if timed else SLICE_SEQ
@@ -390,7 +430,7 @@ class LiveScorer(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        device, out = self._load(), Rows(self.key, key[0], self.length)
+        device, out = self._load(), Rows(self.key, key[0], self.length, self.packed)
         held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
         until = NEVER  # an end mark makes due all up to it, however late others may be
         unnumbered, files = [], {}
@@ -430,9 +470,10 @@ class LiveScorer(StatefulProcessor):
             return
         frames = chain([head], frames)
         if "samples" in head:
-            for samples, blank in unpacked(frames, files, self.rows_at_once):
+            for samples, blank in unpacked(frames, files, self.rows_at_once, self.timed):
                 seq = np.ascontiguousarray(samples[:, 2]).view(np.int64)
-                yield blank, seq, samples[:, 0].astype(np.int64), samples[:, 1], samples[:, 3:], None
+                at = np.ascontiguousarray(samples[:, PACKED_WIDTH]).view(np.int64) if self.timed else None
+                yield blank, seq, samples[:, 0].astype(np.int64), samples[:, 1], samples[:, 3:PACKED_WIDTH], at
             return
         for frame in frames:
             blank = frame["seq"].isna().to_numpy()
@@ -447,8 +488,9 @@ class LiveScorer(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark has passed a slice: it is due, with all before it."""
-        device, out = self._load(), Rows(self.key, key[0], self.length)
+        device, out = self._load(), Rows(self.key, key[0], self.length, self.packed)
         held = Held(self.held, device["slices"], self.width, self.rows_at_once, device["near"])
+        device["timer"] = 0  # it is gone: what comes late for the same slice needs another
         bound = timerValues.getCurrentWatermarkInMs() // self.width * self.width - 1
         yield from self._release(device, held, bound, out)
         self._save(device, held)
@@ -537,15 +579,18 @@ class LiveScorer(StatefulProcessor):
         begin = max(0, -(-(seen + 1 - self.length) // self.stride))
         starts = np.arange(begin * self.stride, total - self.length + 1, self.stride)
         a = self.config.ema_alpha
+        b = 1 - a
         for lot in (starts[i : i + SCORED_AT_ONCE] for i in range(0, len(starts), SCORED_AT_ONCE)):
             views = series[(lot - first)[:, None] + np.arange(self.length)]
             probs = softmax_rows(np.asarray(self.scorer(augment(views, self.rate_hz)), dtype=float))
+            before = [[]] * probs.shape[1] if average is None else [[q] for q in average]
+            smooth = [list(accumulate(chain(q, p), lambda q, p: a * p + b * q))[len(q) :] for q, p in zip(before, probs.T.tolist())]
             states = []
-            for row in probs.tolist():
-                average = row if average is None else [a * p + (1 - a) * q for p, q in zip(row, average)]
-                code = next_code(code, average[1], average[2], self.config)
-                states.append(STATES[min(code, FALL)])
-            out.add(seq[lot + (self.length - 1 - seen)], states, lot // self.stride, self.length, True, probs)
+            for pre, fall in zip(smooth[1], smooth[2]):
+                code = next_code(code, pre, fall, self.config)
+                states.append(code)
+            average = [s[-1] for s in smooth]
+            out.add(seq[lot + (self.length - 1 - seen)], np.minimum(states, FALL), lot // self.stride, self.length, True, probs)
         return total, series[-self.length :], average, code
 
     def close(self) -> None:
@@ -553,6 +598,7 @@ class LiveScorer(StatefulProcessor):
 
 
 OUTPUT_NAMES = ["window_index", "seq", "buffered_samples", "window_ready", "state", *[f"p_{n}" for n in LABEL_IDS]]
+OUTPUT_STATES = [*STATES, "buffering", "rejected", "held"]
 
 
 def output_schema(key: T.StructField) -> T.StructType:
@@ -594,7 +640,7 @@ def score_stream(
 
     With ``time``, a timestamp column, order is by it and then ``seq``, and samples wait until the stream's watermark,
     ``delay`` behind the newest time of any device, has passed their minute; so a silent device is scored to its end.
-    Samples behind the watermark are dropped by Spark, which counts them in the query's progress.
+    A sample that comes later than that is scored all the same as long as no later one of its device is, else rejected.
 
     State (waiting samples, one window, average and alert) lies in the RocksDB store; ``state_ttl_ms`` lets that of
     silent devices expire, by processing time (not together with ``time``), so such a stream always has another
@@ -603,20 +649,20 @@ def score_stream(
     """
     if time is not None and state_ttl_ms is not None:
         raise ValueError("state expires by processing time, which event times exclude")
-    processor = LiveScorer(scorer, key, length, stride, rate_hz, config or SmootherConfig(), lateness, state_ttl_ms, time is not None, report)
+    timed, field = time is not None, samples.schema[key]
+    processor = LiveScorer(scorer, key, length, stride, rate_hz, config or SmootherConfig(), lateness, state_ttl_ms, timed, report, packed=True)
     ends = F.coalesce("ends", F.lit(False)) if "ends" in samples.columns else F.lit(False)
     named = [F.col(c) if c in samples.columns else F.lit(None).cast(t).alias(c) for c, t in (("source_file", "string"), ("place", "long"))]
-    when = [] if time is None else [F.col(time).alias("event_time"), F.unix_millis(F.col(time).cast("timestamp")).alias("at")]
-    rows = samples if time is None else samples.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    when = [F.unix_millis(F.col(time).cast("timestamp")).alias("at")] if timed else []
+    rows = samples.filter(F.col(time).isNotNull()).withWatermark(time, delay) if timed else samples
     rows = rows.select(key, "seq", *CHANNELS, ends.alias("ends"), *named, *when)
-    if time is None:  # with event times, Spark drops late samples one by one
-        rows = pack_samples(rows, key)
-    return rows.groupBy(key).transformWithStateInPandas(
+    scored = pack_samples(rows, key, timed).groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType=output_schema(samples.schema[key]),
+        outputStructType=T.StructType([field, T.StructField("rows", T.BinaryType())]),
         outputMode="Append",
-        timeMode="EventTime" if time is not None else "None" if state_ttl_ms is None else "ProcessingTime",
+        timeMode="EventTime" if timed else "None" if state_ttl_ms is None else "ProcessingTime",
     )
+    return unpack_rows(scored, field, length)
 
 
 def use_rocksdb(spark: SparkSession) -> None:

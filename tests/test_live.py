@@ -329,3 +329,42 @@ def test_plain_arrays_are_not_read_as_texts(spark):
     samples = live.parse_samples(files)
     assert "from_json(ArrayType(MapType" in samples._jdf.queryExecution().optimizedPlan().toString()
     assert live.well_formed(samples).count() == 3
+
+
+def test_samples_with_event_times_are_packed_and_late_ones_come_out(spark, tmp_path):
+    """Behind the watermark a sample is rejected if its device was scored beyond it, else scored; none goes without a row."""
+    live.use_rocksdb(spark)
+    rng, begin = np.random.default_rng(6), pd.Timestamp("2024-01-01", tz="UTC")
+
+    def write(number, rows):
+        x = rng.normal(size=(len(rows), 6))
+        frame = pd.DataFrame([(d, s, begin + pd.Timedelta(seconds=t), *map(float, v)) for (d, s, t), v in zip(rows, x)], columns=["device", "seq", "ts", *CHANNELS])
+        (tmp_path / "in").mkdir(exist_ok=True)
+        path = tmp_path / "in" / f"f{number}.parquet"
+        frame.astype({"ts": "datetime64[us, UTC]"}).to_parquet(path)
+        os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+
+    write(0, [("a", i, 10 * i) for i in range(60)] + [("b", i, 10 * i) for i in range(3)])
+    write(1, [("a", 60, 1800)])
+    write(2, [("c", 0, 1810)])
+    write(3, [("a", 100, 65), ("b", 101, 150)])
+    schema = "device string, seq long, ts timestamp, " + ", ".join(f"{c} double" for c in CHANNELS)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    scored = live.score_stream(stream, scorer, LENGTH, STRIDE, time="ts", delay="1 minute")
+    rows = live.run_to_table(scored, str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    assert [(r.device, r.seq) for r in rows if r.state == "rejected"] == [("a", 100)]
+    assert sorted((r.seq, r.buffered_samples) for r in rows if r.device == "b") == [(0, 1), (1, 2), (2, 3), (101, 4)]
+    assert sorted(r.window_index for r in rows if r.window_ready) == list(range(9)) and {r.device for r in rows} == {"a", "b"}
+    assert all(r.p_fall is None for r in rows if not r.window_ready)
+
+
+def test_scores_leave_the_stateful_step_packed():
+    """A call gives one frame of one row, the key and bytes, for few samples: a frame costs by its columns."""
+    processor = live.LiveScorer(scorer, "device", LENGTH, STRIDE, 100.0, live.SmootherConfig(), 0, None, packed=True)
+    out = live.Rows("device", "d", LENGTH, processor.packed)
+    processor.scored(processor.fresh(), np.arange(40), np.random.default_rng(7).normal(size=(40, 6)), out)
+    (frame,) = out.frames(1)
+    assert list(frame.columns) == ["device", "rows"] and len(frame) == 1
+    columns = live.output_columns(np.frombuffer(frame["rows"][0]).reshape(-1, len(live.OUTPUT_NAMES)))
+    assert columns["seq"].to_pylist() == [*range(19), *range(19, 40, 5)] and columns["window_index"].to_pylist() == [None] * 19 + list(range(5))
+    assert columns["state"].to_pylist()[:19] == ["buffering"] * 19 and set(columns["state"].to_pylist()[19:]) <= set(live.STATES)
