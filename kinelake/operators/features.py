@@ -257,7 +257,7 @@ def features_batch(
     """
     keys, size = list(trial_keys), SLICE_FRAMES
     part = [*keys, "block"]
-    wanted = [c for c in ("label", "dataset", "global_subject_id", "activity_code", "trial_id") if c in windows.columns]
+    wanted = [c for c in ("label", "dataset", "subject_id", "global_subject_id", "activity_code", "trial_id") if c in windows.columns]
     carried = [c for c in wanted if c not in keys]
     blocked = with_blocks(samples.select(*keys, frame, *CHANNELS), frame, before=1, after=length - 1, size=size)
     packed = packed_blocks(blocked, part, frame)

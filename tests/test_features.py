@@ -217,3 +217,17 @@ def test_window_features_of_missing_values(trials):
     names = features.FEATURE_NAMES[:-3]
     assert len(found) == len(want) and np.allclose(found[names].astype(float), want[names].astype(float), atol=1e-9, equal_nan=True)
     assert found["gyro_y_mean"].isna().any() and found["acc_z_mean"].isna().any()
+
+
+def test_samples_of_a_manifest_are_found_by_their_path(spark, sf_dir):
+    """Samples under the path of their trial alone: the four ids come from the windows, the subject's too, and lie beside no sample."""
+    from kinelake.operators.catalog import MANIFEST_KEY
+    from kinelake.plans.detection import predict
+    from kinelake.queries.windowing import measured_catalog, predict_manifest, rule
+
+    scored = predict_manifest(spark, sf_dir)
+    sent = [line for line in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression [harmonized_path" in line]
+    assert len(sent) == 1 and set(MANIFEST_KEY) < set(scored.columns)
+    want = predict(rule(), *measured_catalog(spark, sf_dir))  # samples under the four ids
+    columns = [*MANIFEST_KEY, "window_index", "label", "predicted"]
+    assert sorted(map(tuple, scored.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
