@@ -221,6 +221,13 @@ def unpacked(frames: Iterator[pd.DataFrame], files: dict, at_once: int, timed: b
             yield (whole := np.concatenate(some)), whole[:, 0] >= 0
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; they are let go, so that one column at a time lies in memory twice."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
 class Held:
     """Rows of one device that wait, by slice: a bounded number in memory, the rest in map state, an entry per slice.
 
@@ -440,12 +447,13 @@ class LiveScorer(StatefulProcessor):
                 until = self._wait(device, held, seq, at, values, until, out)
             else:
                 # Order of arrival: batch by batch, then by whole file name and place.
-                unnumbered.append((number[blank], place[blank], values[blank], at[blank] if self.timed else number[blank]))
+                unnumbered.append((number[blank], place[blank], values[blank], *([at[blank]] if self.timed else [])))
                 until = self._wait(device, held, seq[~blank], at[~blank] if self.timed else None, values[~blank], until, out)
             yield from out.frames()
         if unnumbered:
-            number, place, values, at = (np.concatenate(c) for c in zip(*unnumbered))
+            columns = [list(c) for c in zip(*unnumbered)]
             unnumbered.clear()
+            number, place, values, *at = map(joined, columns)
             ranks = np.empty(len(files), np.int64)
             ranks[[files[f] for f in sorted(files, key=lambda f: (f is None, f or ""))]] = np.arange(len(files))
             order = np.lexsort((place, ranks[number]))
@@ -453,7 +461,7 @@ class LiveScorer(StatefulProcessor):
             for i in range(0, len(order), self.rows_at_once):
                 some = order[i : i + self.rows_at_once]
                 seq = first + i + np.arange(len(some))
-                until = self._wait(device, held, seq, at[some] if self.timed else None, values[some], until, out)
+                until = self._wait(device, held, seq, at[0][some] if self.timed else None, values[some], until, out)
                 if not self.timed:  # what follows has higher numbers
                     yield from self._release(device, held, max(until, device["newest"] - self.lateness), out)
         bound = until if self.timed else max(until, device["newest"] - self.lateness)

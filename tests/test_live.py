@@ -368,3 +368,8 @@ def test_scores_leave_the_stateful_step_packed():
     columns = live.output_columns(np.frombuffer(frame["rows"][0]).reshape(-1, len(live.OUTPUT_NAMES)))
     assert columns["seq"].to_pylist() == [*range(19), *range(19, 40, 5)] and columns["window_index"].to_pylist() == [None] * 19 + list(range(5))
     assert columns["state"].to_pylist()[:19] == ["buffering"] * 19 and set(columns["state"].to_pylist()[19:]) <= set(live.STATES)
+
+
+def test_columns_of_samples_without_numbers_are_let_go():
+    parts = [np.arange(5), np.arange(5, 9)]
+    assert live.joined(parts).tolist() == list(range(9)) and parts == []
