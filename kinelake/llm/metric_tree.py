@@ -11,9 +11,10 @@ than a subtree). A subtree is a row of pages: each entry has a vector, its dista
 in inner pages a covering radius and the child page. Of equal vectors only the k + 1 smallest ids (and a missing one) enter the tree, since
 a query can use no more; so any number of copies costs nothing.
 
-A search reads all subtrees. For each query it keeps the k best scores so far, visits pages by the least distance they
-can hold, and computes a distance only where the stored distances cannot rule the entry out. Queries come in blocks of
-bounded size, one pass over the stored tree for each.
+A search reads all subtrees. For each query it keeps the k best scores so far. Queries go down a subtree together: pages
+are visited by the least distance they can hold for one of them, each page once, with the queries that cannot rule it
+out, and one matrix product gives the scores of its entries, but for those that the stored distances rule out for all.
+Queries come in blocks of bounded size, one pass over the stored tree for each.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,15 @@ from kinelake.llm.frames import settled
 #: Routing vectors of the root; entries of a page; vectors of a subtree, about; bytes of one block of queries.
 ROOTS, PAGE, SUBTREE, BLOCK_BYTES = 256, 256, 8192, 16 << 20
 
+#: Queries that go down a subtree together.
+TOGETHER = 1024
+
 #: Stands for a missing id, so that it comes last.
 NO_ID = (1 << 63) - 1
 
+#: The score of a place among the best that is still free.
+FREE = -NO_ID
+
 #: Share of a distance that rounding may be off by.
 MARGIN = 1e-9
 
@@ -45,29 +53,37 @@ _TREE_ARROW = pa.schema(
     [("root", pa.int32()), ("radius", pa.float64()), ("first", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("child", pa.list_(pa.int32()))]
     + [("parent", pa.list_(pa.float64())), ("cover", pa.list_(pa.float64())), ("vectors", pa.binary())]
 )
-_FOUND_ARROW = pa.schema([("item", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = "item int, query_id long, vec_id long, score long"
+_FOUND_ARROW = pa.schema([("item", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """id and v, floor(256 x) of each component x, of the vectors that are whole and finite; repeated rows once."""
-    x = F.transform(embedding, lambda c: c.cast("double"))
-    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(F.col(embedding).isNotNull()).where(F.coalesce(whole, F.lit(False)))
-    return rows.select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * 256)).alias("v")).distinct()
+    """id and v, floor(256 x) of each component x, of the vectors that are whole and finite."""
+    whole = F.forall(embedding, lambda c: F.abs(c.cast("double")) < float("inf"))  # null of a null, false of NaN
+    rows = vectors.where(F.coalesce(whole, F.lit(False)))
+    return rows.select(F.col(vec_id).cast("long").alias("id"), F.transform(embedding, lambda c: F.floor(c.cast("double") * 256)).alias("v"))
+
+
+def collapsed(rows: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the k + 1 smallest ids, and a missing one; repeated rows once. One shuffle, after each task has left out the rest."""
+    same = Window.partitionBy("v").orderBy("id")
+    return rows.withColumn("copy", F.dense_rank().over(same)).where(F.col("copy") <= k + 2).drop("copy").distinct()
 
 
 @dataclass
 class Space:
-    """Length of the vectors (shorter ones end in zeros), the largest squared length, and a type for exact products."""
+    """Length of the vectors (shorter ones end in zeros), the largest squared length, and a type for exact products.
+
+    No sum of products of two vectors is larger than the largest squared length, whatever its order.
+    """
 
     size: int
     most: int
     dtype: type
 
-    def matrix(self, rows: list) -> np.ndarray:
-        out = np.zeros((len(rows), self.size), self.dtype)
-        for i, r in enumerate(rows):
-            out[i, : len(r)] = r
+    def matrix(self, lists: pa.ListArray) -> np.ndarray:
+        out = np.zeros((len(lists), self.size), self.dtype)
+        out[np.arange(self.size) < pc.list_value_length(lists).to_numpy()[:, None]] = lists.flatten().to_numpy()
         return out
 
     def packed(self, flat: np.ndarray, n: int) -> np.ndarray:
@@ -86,12 +102,11 @@ def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
 def space_of(rows: DataFrame) -> Space | None:
     """From one aggregate over the vectors; None without any."""
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
-    top = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: F.greatest(a, F.abs(c)))
-    found = rows.agg(F.max(F.size("v")).alias("size"), F.max(norm).alias("most"), F.max(top).alias("top")).first()
+    found = rows.agg(F.max(F.size("v")).alias("size"), F.max(norm).alias("most")).first()
     if found["size"] is None:
         return None
-    exact = found["size"] * found["top"] ** 2 < 2**53
-    return Space(found["size"], found["most"], np.float64 if exact else np.int64)
+    dtype = np.float32 if found["most"] < 2**24 else np.float64 if found["most"] < 2**53 else np.int64
+    return Space(found["size"], found["most"], dtype)
 
 
 def _assigner(space: Space, roots):
@@ -102,7 +117,7 @@ def _assigner(space: Space, roots):
         square = (to * to).sum(axis=1)
         for batch in batches:
             if batch.num_rows:
-                x = space.lifted(space.matrix(batch.column(1).to_pylist()))
+                x = space.lifted(space.matrix(batch.column(1)))
                 nearest = np.argmin(square - 2 * x @ to.T, axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32())], ["id", "v", "root"])
 
@@ -152,7 +167,7 @@ def _subtree(space: Space, roots, page: int):
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         root = rows["root"][0].as_py()
-        v = space.matrix(rows["v"].to_pylist())
+        v = space.matrix(rows["v"].combine_chunks())
         ids = rows["id"].combine_chunks().fill_null(NO_ID).to_numpy()
         points = space.lifted(v)
         far = distances(points, roots.value[root])
@@ -169,57 +184,65 @@ def _subtree(space: Space, roots, page: int):
 
 @dataclass
 class MetricTree:
-    """The stored subtrees, the root's routing vectors (lifted) and their ids."""
+    """The stored subtrees, the root's routing vectors (lifted) and their ids; finds up to ``k`` neighbours exactly."""
 
     subtrees: DataFrame
     space: Space
     roots: np.ndarray
     root_ids: np.ndarray
+    k: int
 
 
 def build_tree(rows: DataFrame, space: Space, k: int, n_roots: int = ROOTS, page: int = PAGE, subtree: int = SUBTREE) -> MetricTree:
-    """Writes the tree over ``rows`` (id, v) to the shared folder. Finds up to ``k`` neighbours exactly."""
+    """Writes the tree over ``rows`` (id, v) to the shared folder; they are ``collapsed`` for up to ``k`` neighbours, and read twice."""
     sc = rows.sparkSession.sparkContext
-    same = Window.partitionBy("v").orderBy("id")
-    few = settled(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 2).drop("copy"), "vectors")
-    sample = few.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(n_roots).collect() or few.limit(1).collect()
-    roots = space.lifted(space.matrix([r["v"] for r in sample]))
+    sample = rows.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(n_roots).toArrow()
+    sample = sample if len(sample) else rows.limit(1).toArrow()
+    roots = space.lifted(space.matrix(sample["v"].combine_chunks()))
     sent = sc.broadcast(roots)  # at most n_roots vectors
-    placed = settled(few.mapInArrow(_assigner(space, sent), "id long, v array<long>, root int"), "placed")
+    placed = settled(rows.mapInArrow(_assigner(space, sent), "id long, v array<long>, root int"), "placed")
     parts = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / subtree).alias("parts"))  # at most n_roots rows
     dealt = placed.join(F.broadcast(parts), "root").withColumn("part", F.pmod(F.xxhash64("v", "id"), F.col("parts")))
     trees = dealt.select("id", "v", "root", "part").groupBy("root", "part").applyInArrow(_subtree(space, sent, page), _TREE)
-    ids = np.array([NO_ID if r["id"] is None else r["id"] for r in sample], np.int64)
-    return MetricTree(settled(trees, "metric-tree"), space, roots, ids)
+    return MetricTree(settled(trees, "metric-tree"), space, roots, sample["id"].fill_null(NO_ID).to_numpy(), k)
 
 
 class Best:
-    """The k best (score, id) of one query, best first, and the distance that bounds what may still enter."""
+    """The k best (score, id) of each query, best first, and the distances that bound what may still enter."""
 
-    def __init__(self, own: int, square: float, k: int, floor: int | None):
-        self.own, self.square, self.k, self.floor = own, square, k, floor
-        self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, own, square, k: int, floor=None):
+        """Ids of the queries, squares that turn scores into distances, and k-th scores known before: arrays, or values of one query."""
+        self.own, self.square, self.k = np.atleast_1d(own), np.atleast_1d(square), k
+        self.scores, self.ids = np.full((len(self.own), k), FREE), np.full((len(self.own), k), NO_ID)
+        self.floor = np.full(len(self.own), FREE if floor is None else floor)
+        self.least, self.reach = self.floor.copy(), np.zeros(len(self.own))
+        self.bound(np.arange(len(self.own)))
 
-        self.bound()
+    def distances(self, scores: np.ndarray, rows=slice(None)) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, self.square[rows] - 2.0 * scores))
 
-    def bound(self) -> None:
+    def bound(self, rows: np.ndarray) -> None:
         """Scores below ``least`` and distances above ``reach`` cannot enter any more."""
-        known = [x for x in (self.floor, int(self.scores[-1]) if len(self.scores) == self.k else None) if x is not None]
-        self.least, self.reach = max(known, default=None), math.inf
-        if known:
-            self.reach = math.sqrt(max(0.0, self.square - 2.0 * self.least)) * (1 + MARGIN) + MARGIN * (1 + math.sqrt(self.square))
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        if self.least is not None:
-            good = scores >= self.least
-            if not good.any():
-                return
-            ids, scores = ids[good], scores[good]
-        other = ids != self.own
-        ids, scores = np.append(self.ids, ids[other]), np.append(self.scores, scores[other])
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.ids, self.scores = ids[order], scores[order]
-        self.bound()
+        self.least[rows] = least = np.maximum(self.floor[rows], self.scores[rows, -1])
+        reach = self.distances(least, rows) * (1 + MARGIN) + MARGIN * (1 + np.sqrt(self.square[rows]))
+        self.reach[rows] = np.where(least > FREE, reach, np.inf)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """The scores of the vectors ``ids``, in a line for each query, or for those numbered in ``rows`` (ascending)."""
+        rows = np.arange(len(self.own)) if rows is None else rows
+        line, column = np.divmod(np.flatnonzero(scores >= self.least[rows, None].astype(scores.dtype)), len(ids))
+        other = ids[column] != self.own[rows[line]]
+        line, column = line[other], column[other]
+        if not len(line):
+            return
+        changed = rows[np.unique(line)]
+        query = np.append(np.repeat(changed, self.k), rows[line])
+        ids = np.append(self.ids[changed], ids[column])
+        scores = np.append(self.scores[changed], scores[line, column].astype(np.int64))
+        order = np.lexsort((ids, -scores, query))
+        first = order[np.searchsorted(query[order], changed)[:, None] + np.arange(self.k)]
+        self.ids[changed], self.scores[changed] = ids[first], scores[first]
+        self.bound(changed)
 
 
 class Subtree:
@@ -232,69 +255,87 @@ class Subtree:
         self.parent, self.cover = np.asarray(row["parent"]), np.asarray(row["cover"])
         self.vectors = space.packed(shared.opened_ints(row["vectors"]), len(self.ids))
 
-    def search(self, q: np.ndarray, away: float, best: Best) -> None:
-        """Best-first: pages by the least distance they can hold; ``away`` is the distance to the root's vector."""
-        heap = [(max(0.0, away - self.radius), 0, away)]
+    def search(self, q: np.ndarray, away, best: Best) -> None:
+        """Best-first, one query or a row for each: pages by the least distance they can hold for one of them.
+
+        ``away`` has the distances to the root's vector. Each page is visited once, with the queries that cannot rule it out.
+        """
+        q, away = np.atleast_2d(q), np.atleast_1d(away)
+        heap = [(0.0, 0, self.radius, np.arange(len(q)), away)]
         while heap:
-            low, page, dq = heapq.heappop(heap)
-            reach = best.reach
-            if low > reach:
-                return
+            _, page, cover, rows, d = heapq.heappop(heap)
+            able = d - cover <= best.reach[rows]
+            rows, d = rows[able], d[able]
+            if not len(rows):
+                continue
+            reach = best.reach[rows]
             a, b = self.first[page], self.first[page + 1]
-            near = a + np.flatnonzero(np.abs(dq - self.parent[a:b]) - self.cover[a:b] <= reach)
+            parent, cover = self.parent[a:b], self.cover[a:b]
+            near = a + np.flatnonzero((parent + cover >= (d - reach).min()) & (parent - cover <= (d + reach).max()))
             if not len(near):
                 continue
-            scores = self.vectors[near] @ q
-            if self.child[a] < 0:
-                best.add(self.ids[near], scores.astype(np.int64))
-                continue
-            d = np.sqrt(np.maximum(0.0, best.square - 2.0 * scores))
-            least = np.maximum(0.0, d - self.cover[near])
-            for i in np.flatnonzero(least <= reach):
-                heapq.heappush(heap, (float(least[i]), int(self.child[near[i]]), float(d[i])))
+            every = len(rows) == len(q)
+            scores = (q if every else q[rows]) @ self.vectors[near].T
+            if self.child[a] >= 0:
+                self.push(heap, near, scores, rows, best)
+            elif every:
+                best.add(self.ids[near], scores)
+            else:
+                best.add(self.ids[near], scores, rows)
+
+    def push(self, heap: list, entries: np.ndarray, scores: np.ndarray, rows: np.ndarray, best: Best) -> None:
+        """The pages below the entries, each with the queries that cannot rule it out."""
+        for entry, score in zip(entries, scores.T):
+            d, cover = best.distances(score, rows), self.cover[entry]
+            able = d - cover <= best.reach[rows]
+            if able.any():
+                least = max(0.0, float(d[able].min() - cover))
+                heapq.heappush(heap, (least, int(self.child[entry]), cover, rows[able], d[able]))
 
 
 def _searcher(space: Space, block, roots, root_ids: np.ndarray, k: int):
+    def groups(ids: np.ndarray, q: np.ndarray, to: np.ndarray) -> Iterator[tuple[np.ndarray, Best]]:
+        for at in range(0, len(ids), TOGETHER):
+            own, some = ids[at : at + TOGETHER], q[at : at + TOGETHER]
+            sample = (some @ to.T).astype(np.int64)  # scores of the roots, which are vectors too
+            sample[own[:, None] == root_ids] = FREE
+            floor = np.partition(sample, len(to) - k, axis=1)[:, len(to) - k] if len(to) > k else None
+            yield some, Best(own, (some.astype(float) ** 2).sum(axis=1) + space.most, k, floor)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = block.value
-        square = (q.astype(float) ** 2).sum(axis=1) + space.most
-        to = roots.value
-        sample = (q @ to[:, :-1].astype(space.dtype).T).astype(np.int64)  # scores of the roots, which are vectors too
-        sample[ids[:, None] == root_ids] = np.iinfo(np.int64).min
-        floors = [None] * len(ids)
-        if len(to) > k:
-            floors = np.partition(sample, len(to) - k, axis=1)[:, len(to) - k].tolist()
-        best = [Best(int(i), float(s), k, f) for i, s, f in zip(ids, square, floors)]
-        reach = np.array([b.reach for b in best])
+        to = roots.value[:, :-1].astype(space.dtype)
+        searched = list(groups(*block.value, to))
         for batch in batches:
             for row in batch.to_pylist():
                 tree = Subtree(row, space)
-                away = np.sqrt(np.maximum(0.0, square - 2.0 * (q.astype(float) @ to[tree.root, :-1])))
-                for i in np.flatnonzero(away - tree.radius <= reach):
-                    tree.search(q[i], float(away[i]), best[i])
-                    reach[i] = best[i].reach
-        item = np.repeat(np.arange(len(best)), [len(b.ids) for b in best])
-        if len(item):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(item, pa.int32()), pa.array(np.concatenate([b.ids for b in best])), pa.array(np.concatenate([b.scores for b in best]))], schema=_FOUND_ARROW
-            )
+                for some, best in searched:
+                    tree.search(some, best.distances(some @ to[tree.root]), best)
+        for at, (_, best) in enumerate(searched):
+            line, place = np.nonzero(best.scores > FREE)
+            columns = (at * TOGETHER + line).astype(np.int32), best.own[line], best.ids[line, place], best.scores[line, place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_FOUND_ARROW)
 
     return search
 
 
 def nearest(tree: MetricTree, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` best vectors for each row (id, v) of ``queries``, own id left out."""
-    spark, space = queries.sparkSession, tree.space
-    roots = spark.sparkContext.broadcast(tree.roots)
+    if k > tree.k:
+        raise ValueError(f"the tree holds the copies that {tree.k} neighbours need, not {k}")
+    sc, space = queries.sparkSession.sparkContext, tree.space
+    roots = sc.broadcast(tree.roots)
+    queries = settled(queries, "queries")
+    subtrees = tree.subtrees.repartition(2 * sc.defaultParallelism)  # a file may hold any number of them
     n = max(1, math.ceil(queries.count() * (space.size + 2) * 8 / BLOCK_BYTES))
     out = None
     for i in range(n):
-        rows = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(n)) == i).collect()  # BLOCK_BYTES, about
-        block = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), space.matrix([r["v"] for r in rows])))
-        found = settled(tree.subtrees.mapInArrow(_searcher(space, block, roots, tree.root_ids, k), "item int, vec_id long, score long"), "nearest")
-        names = spark.createDataFrame([(j, r["id"]) for j, r in enumerate(rows)], "item int, query_id long")
+        rows = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(n)) == i).toArrow()  # BLOCK_BYTES, about
+        ids, q = rows["id"].to_numpy(), space.matrix(rows["v"].combine_chunks())
+        alike = np.argsort(np.argmax(q @ tree.roots[:, :-1].T, axis=1), kind="stable")  # queries of one root go down together
+        block = sc.broadcast((ids[alike], q[alike]))
+        found = settled(subtrees.mapInArrow(_searcher(space, block, roots, tree.root_ids, k), _FOUND), "nearest")
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("vec_id"))
-        top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(F.broadcast(names), "item")
+        top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         top = top.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
         out = top if out is None else out.unionByName(top)
     return out
@@ -311,9 +352,10 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "
     shorter ended in zeros, an empty one as all zeros; scores must fit 64 bits; other columns do not matter; without
     vectors, or with one alone, the result is empty.
     """
-    rows = settled(quantised(vectors, vec_id, embedding), "quantised")
+    rows = settled(collapsed(quantised(vectors, vec_id, embedding), k), "vectors")
     space = space_of(rows)
     if space is None:
         none = F.lit(None).cast("long")
         return rows.select(none.alias("query_id"), none.cast("int").alias("rank"), none.alias("vec_id"), none.alias("score")).limit(0)
-    return nearest(build_tree(rows, space, k), rows.where(F.col("id") % every == 0), k)
+    asked = vectors.where(F.col(vec_id).cast("long") % every == 0)
+    return nearest(build_tree(rows, space, k), quantised(asked, vec_id, embedding).distinct(), k)
