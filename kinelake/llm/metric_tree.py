@@ -65,7 +65,10 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
 
 
 def collapsed(rows: DataFrame, k: int) -> DataFrame:
-    """Of equal vectors the k + 1 smallest ids, and a missing one; repeated rows once. One shuffle, after each task has left out the rest."""
+    """Of equal vectors the k + 1 smallest ids, and a missing one; repeated rows once.
+
+    One shuffle: before it each task leaves out larger ids, after it repeated rows go.
+    """
     same = Window.partitionBy("v").orderBy("id")
     return rows.withColumn("copy", F.dense_rank().over(same)).where(F.col("copy") <= k + 2).drop("copy").distinct()
 
@@ -274,11 +277,11 @@ class Subtree:
             near = a + np.flatnonzero((parent + cover >= (d - reach).min()) & (parent - cover <= (d + reach).max()))
             if not len(near):
                 continue
-            every = len(rows) == len(q)
-            scores = (q if every else q[rows]) @ self.vectors[near].T
+            whole = len(rows) == len(q)
+            scores = (q if whole else q[rows]) @ self.vectors[near].T
             if self.child[a] >= 0:
                 self.push(heap, near, scores, rows, best)
-            elif every:
+            elif whole:
                 best.add(self.ids[near], scores)
             else:
                 best.add(self.ids[near], scores, rows)
@@ -350,7 +353,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "
     equal vector count once, rows of equal id and other vectors are vectors and queries of their own that never
     find each other; a null id asks nothing, loses every tie, and stays null; vectors of unequal length count as if the
     shorter ended in zeros, an empty one as all zeros; scores must fit 64 bits; other columns do not matter; without
-    vectors, or with one alone, the result is empty.
+    vectors, or with one alone, the result is empty. ``vectors`` is read twice: for the tree, and for the queries.
     """
     rows = settled(collapsed(quantised(vectors, vec_id, embedding), k), "vectors")
     space = space_of(rows)

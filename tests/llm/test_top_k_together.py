@@ -92,6 +92,17 @@ def test_more_queries_than_go_together(spark, monkeypatch):
     assert top_k(frame_of(spark, rows), k=2, every=1) == plain_top_k(rows, 2, 1)
 
 
+def test_nothing_to_ask_or_to_find(spark):
+    """No queries, ids that are all missing, vectors without components, and a query that all others copy."""
+    for rows in (
+        [(1, [1.0]), (2, [2.0])],
+        [(None, [1.0]), (None, [2.0])],
+        [(5, []), (6, []), (10, []), (None, [])],
+        [(i, [0.5, -0.5]) for i in range(30)],
+    ):
+        assert top_k(frame_of(spark, rows), k=4, every=5) == plain_top_k(rows, 4, 5)
+
+
 def test_tree_knows_its_neighbours(spark):
     rows = quantised(frame_of(spark, [(1, [1.0]), (2, [1.0])]))
     with pytest.raises(ValueError):
