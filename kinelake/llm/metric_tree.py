@@ -67,10 +67,10 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
 def collapsed(rows: DataFrame, k: int) -> DataFrame:
     """Of equal vectors the k + 1 smallest ids, and a missing one; repeated rows once.
 
-    One shuffle: before it each task leaves out larger ids, after it repeated rows go.
+    Each task leaves out repeated rows before one shuffle, and larger ids before the other, so neither meets in one task.
     """
     same = Window.partitionBy("v").orderBy("id")
-    return rows.withColumn("copy", F.dense_rank().over(same)).where(F.col("copy") <= k + 2).drop("copy").distinct()
+    return rows.distinct().withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 2).drop("copy")
 
 
 @dataclass

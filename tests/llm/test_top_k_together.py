@@ -21,12 +21,13 @@ def top_k(frame, **more):
     return Counter(map(tuple, exact_top_k(frame, **more).collect()))
 
 
-def test_equal_vectors_meet_in_one_shuffle(spark):
-    """Each task leaves out what cannot count before the only shuffle; repeated rows count once."""
+def test_copies_leave_before_they_meet(spark):
+    """Each task leaves out repeated rows before one shuffle, and larger ids of a vector before the other."""
     rows = [(i, [0.5, 0.25]) for i in [*range(9, 40), 9, 9, 10]] + [(None, [0.5, 0.25])] * 3 + [(7, [1.0]), (7, [1.0]), (7, [2.0])]
     few = collapsed(quantised(frame_of(spark, rows)), 3)
     plan = few._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") < plan.index("Partial")
+    window, by_row, by_vector = (plan.rindex(x) for x in ("Partial", "HashAggregate", "Exchange hashpartitioning(v"))
+    assert plan.count("Exchange hashpartitioning") == 2 and by_vector < window < plan.rindex("Exchange") < by_row
     wanted = [(None, (128, 64)), *((i, (128, 64)) for i in range(9, 13)), (7, (256,)), (7, (512,))]
     assert Counter((r.id, tuple(r.v)) for r in few.collect()) == Counter(wanted)
 
